@@ -1,9 +1,9 @@
 """Exact deduplication with DataFrame functions only.
 
 Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]. Rows meet by the 128-bit MD5 of
-the normalised text, dealt to SALTS sub-keys each, so a text that a third of all rows share is folded in every map task
-and in SALTS reduce tasks before one row per sub-key meets the others. The smallest and largest text of a group are
-carried along: if they differ, two texts share a hash, and the rows of that hash (only) are grouped by their text.
+the normalised text. Each map task folds its rows of a hash to one before the shuffle, so a text that a third of all rows
+share meets as one row of each map task; the verdicts return to the rows by salted keys. The smallest and largest text of
+a group are carried along: if they differ, two texts share a hash, and the rows of that hash (only) are grouped by text.
 
 Defined results: null text counts as empty; empty texts are one group; a null doc_id sorts first; rows that repeat a
 doc_id are the same document and get the same verdict; an empty table gives an empty result. Other columns are ignored.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, cut, whole_text
+from .common import cut, lookup, whole_text
 
 
 def exact_groups(docs: DataFrame, hash_of=F.md5) -> DataFrame:
@@ -25,21 +25,11 @@ def exact_groups(docs: DataFrame, hash_of=F.md5) -> DataFrame:
         F.char_length("t").alias("chars"),
     )
     rows = rows.withColumn("h", hash_of(F.col("norm").cast("binary")))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("id")))
-    parts = rows.groupBy("h", "salt").agg(
-        best.alias("best"), F.count(F.lit(1)).alias("n"), F.min("norm").alias("lo"), F.max("norm").alias("hi")
-    )
-    # the byte comparison between sub-keys needs the texts of hashes with several sub-keys only
-    whole = parts.groupBy("h").agg(
-        F.min("best").alias("best"), F.sum("n").alias("n"), (F.min("lo") != F.max("hi")).alias("mixed")
-    )
-    groups = parts.select("h", "salt").join(
-        whole.select("h", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "mixed"), "h"
-    )
-    groups = cut(groups)
-    facts = rows.select("doc_id", "h", "salt", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    out = facts.join(groups.where(~F.col("mixed")).drop("mixed"), ["h", "salt"])
+    whole = rows.groupBy("h").agg(best.alias("best"), F.count(F.lit(1)).alias("n"), (F.min("norm") != F.max("norm")).alias("mixed"))
+    groups = cut(whole.select("h", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "mixed"))
+    facts = rows.select("doc_id", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
+    out = lookup(facts, groups.where(~F.col("mixed")).drop("mixed"), "h", F.col("doc_id"), how="inner")
     out = out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     mixed = groups.where("mixed").select("h").distinct()
     if not mixed.isEmpty():  # hashes that different texts share: their rows are grouped by the text itself
