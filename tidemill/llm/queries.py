@@ -3,11 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, langid, packing, simhash, topk, toxicity
 from .common import documents
 
 
+def _tokenizer(name: str) -> tuple[str, str]:
+    """Place of a public vocabulary file, and the split pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir), folds=3, held=1)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(documents(spark, sf_dir), *_tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=4, held=2)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=3)
 
@@ -16,7 +40,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op9_exact_dedup)}
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_language_id,
+        op3_byte_bpe,
+        op4_best_fit_packing,
+        op5_toxicity,
+        op6_simhash_near_dedup,
+        op9_exact_dedup,
+        op10_exact_top_k,
+    )
+}
 
 ORACLE = {
     "op9_exact_dedup": r"""
@@ -30,4 +69,15 @@ ORACLE = {
           FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
     """,
+    "op10_exact_top_k": r"""
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
 }
