@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,13 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, salt_from: Column, how: s
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(SALTS)))
     pairs = salted.select(key, "_salt").distinct().join(dim, key, "left" if how == "left" else "inner")
     return salted.join(pairs, [key, "_salt"], how).drop("_salt")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table in the shared checkpoint folder, and read again. It stays until the session's folder
+    is cleared; use cut() for small tables, which Spark clears itself."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
