@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, langid, packing, simhash, suffix_dedup, topk, toxicity
+from . import bpe, exact_dedup, html_extract, langid, lm_scoring, packing, simhash, suffix_dedup, topk, toxicity
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def _tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(documents(spark, sf_dir), folds=5, held=1)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir), folds=3, held=1)
 
@@ -55,6 +59,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op2_language_id,
         op3_byte_bpe,
         op4_best_fit_packing,

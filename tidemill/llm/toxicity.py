@@ -149,33 +149,44 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     return {h: float(w[c]) for h, c in columns.items() if abs(w[c]) > 1e-6}, float(w[-1])
 
 
+class Scorer:
+    """Scores of texts by a fitted model."""
+
+    def __init__(self, model: tuple[dict[int, float], float]):
+        self.weights, self.intercept = model
+        self.active: dict[str, tuple[int, ...]] = {}
+        self.features = Features()
+
+    def hits(self, raw: str) -> tuple[int, ...]:
+        """Features of a raw word that the model weighs."""
+        found = self.active.get(raw)
+        if found is None:
+            if len(self.active) > 300_000:
+                self.active.clear()
+            found = self.active[raw] = tuple(h for h in self.features[raw] if h in self.weights)
+            self.features.clear()
+        return found
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        values = []
+        for text in texts:
+            active: set[int] = set()
+            for found in filter(None, map(self.hits, set((text or "").lower().split()))):
+                active.update(found)
+            values.append(self.intercept + sum(self.weights[h] for h in sorted(active)))
+        return 1 / (1 + np.exp(-np.clip(np.array(values, float), -700, 700)))
+
+
 def score(docs: DataFrame, model: tuple[dict[int, float], float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercept = shared.value
-        features = Features()
-
-        class Hits(dict):
-            def __missing__(self, raw: str) -> tuple[int, ...]:
-                if len(self) > 300_000:
-                    self.clear()
-                word = LETTERLESS.sub("", raw)
-                out = self[raw] = tuple(h for h in features[raw] if h in weights) if word else ()
-                features.clear()
-                return out
-
-        hits = Hits()
+        scorer = Scorer(shared.value)
         for batch in batches:
-            values = []
-            for text in batch.column(1).to_pylist():
-                active = set()
-                for found in filter(None, map(hits.__getitem__, set((text or "").lower().split()))):
-                    active.update(found)
-                values.append(intercept + sum(weights[h] for h in sorted(active)))
-            scores = 1 / (1 + np.exp(-np.clip(np.array(values, float), -700, 700)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            scores = scorer.score(batch.column(1).to_pylist())
+            columns = [batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
@@ -191,8 +202,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2)
     return out.select("doc_id", (fold(folds) == held).alias("held_out"), "score", "predicted")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that are predicted toxic; the columns of docs stay as they are."""
-    shared_model = trained(docs, labels)
-    doubtful = score(docs, shared_model).where("predicted = 1").select("doc_id").distinct()
-    return docs.alias("d").join(doubtful.alias("t"), F.expr("d.doc_id <=> t.doc_id"), "left_anti").select("d.*")
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that are predicted toxic; the columns of docs stay as they are, and nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.score(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
