@@ -1,42 +1,8 @@
-"""Every query by name, and the DuckDB SQL that gives the same rows."""
+"""All queries, by importing the modules that register them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import function_queries, page_queries, relation_queries, search_queries, source_queries, stats_queries, stream_queries, training_queries, vector_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL for its rows where SQL can express them."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""
-    SELECT event_id, ts, score, total, row_number() OVER (ORDER BY ts DESC, event_id) AS pos FROM (
-      SELECT event_id, ts, value AS score, count(*) OVER () AS total FROM events
-      WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' AND value >= 40)
-    ORDER BY ts DESC, event_id LIMIT 20 OFFSET 20
-""")
-def search_time_score_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import search
-
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.col("value").alias("score"))
-    where = search.time_between("ts", "2024-01-05 00:00:00", "2024-01-20 00:00:00") & search.score_at_least(40, "score")
-    return search.page(rows.where(where), order=[F.col("ts").desc(), F.col("event_id")], skip=20, limit=20)
+__all__ = ["ORACLE", "QUERIES"]
