@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import fold
 
 #: Bound of the fitting sample.
-POSITIVES, NEGATIVES = 3000, 5000
+POSITIVES, NEGATIVES = 3000, 4000
 #: Prefix lengths, the fewest sampled rows with a feature, the most features of the classifier.
 PREFIXES, LEAST_ROWS, FEATURES = (4, 5, 6), 8, 1200
-RIDGE, FAIR = 0.3, 20.0
+RIDGE, FAIR = 0.05, 20.0
 THRESHOLD = 0.3
 #: Neutral names of groups that are swapped for each other (a parameter).
 IDENTITIES = (
@@ -54,7 +54,7 @@ class Features(dict):
 
 
 def _all_features(words: set[str], cache: Features) -> np.ndarray:
-    return np.unique(np.fromiter((h for w in words for h in cache[w]), np.uint32))
+    return np.unique(np.fromiter((h for w in words for h in cache[w]), np.uint32)).view(np.int32)
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: int, negatives: int) -> tuple[list, float, float]:
@@ -75,11 +75,11 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives:
                 rows.append(_all_features(words, cache))
                 mentions.append(sorted({LETTERLESS.sub("", w) for w in words} & names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.uint32())).cast(pa.list_(pa.int64())), pa.array(mentions, pa.list_(pa.string()))], names=["toxic", "f", "named"]
+                [batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(mentions, pa.list_(pa.string()))], names=["toxic", "f", "named"]
             )
 
     found = docs.join(picked, "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
-    return found.mapInArrow(run, "toxic int, f array<long>, named array<string>").toArrow(), totals.get(1, 0), totals.get(0, 0)
+    return found.mapInArrow(run, "toxic int, f array<int>, named array<string>").toArrow(), totals.get(1, 0), totals.get(0, 0)
 
 
 def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float]:
@@ -89,8 +89,8 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
         share = toxic / max(1, toxic + clean)
         return {}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     lists = rows.column(1).combine_chunks()
-    values = np.asarray(lists.flatten()).astype(np.int64)
-    owner = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
+    values = np.asarray(lists.flatten()).view(np.uint32)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.asarray(lists.offsets)))
     names, at = np.unique(values, return_inverse=True)
     with_it = np.bincount(at, minlength=len(names)).astype(float)
     toxic_with_it = np.bincount(at, weights=y[owner], minlength=len(names))
@@ -101,12 +101,16 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     forced = {h for w in IDENTITIES for h in cache[w]}
     best = np.argsort(-excess, kind="stable")[:FEATURES]
     best = names[best[excess[best] > 12]]
+    best = np.sort(best)
     columns = {int(h): i for i, h in enumerate(best)}
     x = np.zeros((len(y), len(columns) + 1))
     x[:, -1] = 1
-    for row, h in zip(owner.tolist(), values.tolist()):
-        if (c := columns.get(h)) is not None:
-            x[row, c] = 1
+    place = np.searchsorted(names, best)
+    column_of = np.full(len(names), -1, np.int32)
+    column_of[place] = np.arange(len(best))
+    hit = np.flatnonzero(column_of[at] >= 0)
+    x[owner[hit], column_of[at[hit]]] = 1
+    del at, values, owner, column_of
     swaps = []
 
     def swap(old: str, new: str, present: set[int]) -> None:
@@ -141,7 +145,9 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + penalty @ w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + penalty
+        curve = penalty.copy()
+        for rows_ in np.array_split(np.arange(len(y)), 8):  # a copy of a part of x at a time
+            curve += (x[rows_] * (weight * np.maximum(p * (1 - p), 1e-4))[rows_, None]).T @ x[rows_]
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-4:
