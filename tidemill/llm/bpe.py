@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What \\s means to the rank files' library (Unicode White_Space).
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A worker forgets its cached pre-tokens beyond so many, and never caches longer ones than LONG characters.
 CACHED, LONG = 200_000, 48
 
