@@ -70,8 +70,9 @@ def intelligence_score(
         ((action <= 2) & (novelty <= 3), 1.0, 3.0),
         ((novelty <= 2) & (action <= 2) & (evolution <= 3), 1.0, 2.0),
     ]
-    for when, times, most in lowered:
-        score = F.when(when, F.least(F.lit(most), score * times)).otherwise(score)
+    for when, times, most in lowered:  # each step names the score once, so the expression grows with the steps only
+        hit = F.coalesce(when, F.lit(False))
+        score = F.least(score * F.when(hit, times).otherwise(1.0), F.when(hit, most).otherwise(F.lit(float("inf"))))
     score = F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.0), score)), digits)
     return F.when(F.coalesce(taxonomy == c.worthless, F.lit(False)), 0.0).otherwise(score)
 

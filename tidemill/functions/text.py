@@ -198,6 +198,13 @@ def sanitize_unicode(text: Column, length: int = 0, strict: bool = False, allow_
     return run(text)
 
 
+def scrubbed(text: Column, steps: list) -> Column:
+    """The steps (column to column) one after another; what a step empties or nulls stays empty."""
+    for step in steps:
+        text = F.when(F.coalesce(F.trim(text), F.lit("")) != "", step(text)).otherwise(F.lit(""))
+    return text
+
+
 #: Separators of the chunker, tried in this order.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", " ", "")
 

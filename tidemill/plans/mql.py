@@ -72,6 +72,19 @@ def combine(conditions: dict[str, Any], operator: str = "and") -> dict[str, Any]
     return {} if not parts else parts[0] if len(parts) == 1 else {"$" + operator.lstrip("$"): parts}
 
 
+def shell_text(collection: str, spec: dict[str, Any]) -> str:
+    """A filter as the text of a shell query, for logs."""
+    import datetime
+    import json
+
+    def plain(value: Any) -> Any:
+        if isinstance(value, (datetime.datetime, datetime.date)):
+            return f"ISODate({value.isoformat()})"
+        raise TypeError(type(value).__name__)
+
+    return f"db.{collection}.find({json.dumps(spec, ensure_ascii=False, default=plain)})"
+
+
 def expression(spec: Any) -> Column:
     """A value expression of $group or $project."""
     if isinstance(spec, str) and spec.startswith("$"):

@@ -78,14 +78,14 @@ def member_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT d.doc_id, coalesce(a.label, b.label) AS cluster_id FROM documents d LEFT JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0) a ON a.vec_id = d.doc_id
+    SELECT d.doc_id, coalesce(a.label, b.label, -1) AS cluster_id FROM documents d LEFT JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0) a ON a.vec_id = d.doc_id
     LEFT JOIN (SELECT vec_id, label + 100 AS label FROM embeddings) b ON b.vec_id = d.doc_id
 """)
 def prefer_online_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     online = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster_id"))
     offline = e.select(F.col("vec_id").alias("doc_id"), (F.col("label") + 100).alias("cluster_id"))
-    return joins.preferred(table(spark, sf_dir, "documents").select("doc_id"), [online, offline], "doc_id", "cluster_id")
+    return joins.preferred(table(spark, sf_dir, "documents").select("doc_id"), [online, offline], "doc_id", "cluster_id").na.fill({"cluster_id": -1})
 
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT vec_id FROM embeddings WHERE label < 5")

@@ -129,10 +129,8 @@ def dedup_keep_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber, score, key FROM (
-      SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, key) AS p FROM (
-        UNPIVOT (SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) % 11 AS DOUBLE) AS depth, CAST(l_partkey % 11 AS DOUBLE) AS breadth,
-                 CAST(l_suppkey % 11 AS DOUBLE) AS action FROM lineitem) ON depth, breadth, action INTO NAME key VALUE score)) WHERE p = 1
+    SELECT l_orderkey, l_linenumber, l_partkey, greatest(a, b, d) AS score, CASE greatest(a, b, d) WHEN a THEN 'action' WHEN b THEN 'breadth' ELSE 'depth' END AS key FROM (
+      SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_suppkey % 11 AS DOUBLE) AS a, CAST(l_partkey % 11 AS DOUBLE) AS b, CAST(CAST(l_quantity AS BIGINT) % 11 AS DOUBLE) AS d FROM lineitem)
 """)
 def argmax_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = F.create_map(
@@ -140,8 +138,8 @@ def argmax_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("action"), (F.col("l_suppkey") % 11).cast("double"), F.lit("opinion"), F.lit(99.0),
     )
     best = score.argmax(rates, without=["opinion"])
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", best.alias("best"))
-    return rows.select("l_orderkey", "l_linenumber", "best.score", "best.key")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", best.alias("best"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "best.score", "best.key")
 
 
 @query("""

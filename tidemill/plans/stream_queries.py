@@ -90,6 +90,40 @@ def error_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.error_counts(e, "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase")
 
 
+@query("""
+    SELECT user_id AS url, arg_max(CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'SUCCESS' ELSE 'RUNNING' END, event_id) AS state, arg_max(ts, event_id) AS since,
+           count(*) FILTER (event_type = 'error' AND event_id > coalesce(c, -1)) AS retries FROM (
+      SELECT *, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS c FROM events) GROUP BY 1
+""")
+def crawl_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "SUCCESS").otherwise("RUNNING")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("url"), F.col("event_id").alias("seq"), state.alias("state"), "ts")
+    return ingest.session_states(log)
+
+
+@query("""
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s
+""")
+def debounced_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ingest.bursts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "2 hours")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT n_name AS name, coalesce(s, 'run') AS signal FROM nation LEFT JOIN (SELECT n, arg_max(event_type, event_id) AS s FROM (SELECT *, user_id % 20 AS n FROM events) GROUP BY 1) ON n = n_nationkey")
+def group_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("n_nationkey"), F.col("event_id").alias("seq"), F.col("event_type").alias("signal"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    return ingest.group_control(n.select("name"), n.join(e, "n_nationkey").select("name", "seq", "signal"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS stays FROM events WHERE event_type = 'error'")
+def dead_letter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id")
+    done, stays = ingest.replayed(failed, lambda rows: rows.withColumn("ok", F.col("event_id") % 3 > 0), "event_id")
+    return done.withColumn("stays", F.lit(False)).unionByName(stays.withColumn("stays", F.lit(True)))
+
+
 @query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def trailing_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.trailing_window(table(spark, sf_dir, "events"), "ts", "2024-06-01").select("event_id")

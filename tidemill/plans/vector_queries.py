@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector
-from ..operators import cluster, graph, search, vectors
+from ..operators import cluster, graph, index, search, vectors
 from .registry import query, table
 
 QUERY = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
@@ -16,6 +16,11 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
+def _short(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """The first components only: the fixture's whole vectors are random and have no near neighbours."""
+    return _vectors(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, size))
+
+
 @query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, {QUERY} ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
@@ -71,6 +76,21 @@ def vector_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query()
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.lit(None).cast("string").alias("brief"), "text")
+    done = docs.where("doc_id % 2 = 0").select("doc_id")
+    embed = lambda chunks: [[float(len(c)), float(c.count(" "))] for c in chunks]  # noqa: E731 - stands in for a model
+    return index.build(docs, embed, done)
+
+
+@query("SELECT event_id AS id, value AS score FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND value >= 30 AND event_id % 4 = 0 ORDER BY value DESC, event_id LIMIT 15")
+def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", F.col("value").alias("score"))
+    picked = spark.range(0, 100_000, 4)  # some are no candidates
+    return index.recommend(records, "2024-01-05", "2024-01-25", 30, picked, 15).select("id", "score")
+
+
 @query(f"""
     SELECT vec_id, round(max(s), 6) AS score FROM (
       (SELECT vec_id, s FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, {QUERY}) ORDER BY s DESC, vec_id LIMIT 20)
@@ -86,26 +106,25 @@ def summary_fulltext_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.best_of([one, two], "vec_id", "score").withColumn("score", F.round("score", 6))
 
 
-@query("""
-    WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 0.25)
-    SELECT a, b FROM p
-""")
+PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.embedding[1:4]::DOUBLE[], b.embedding[1:4]::DOUBLE[]) <= 0.01"
+
+
+@query(f"SELECT a, b FROM ({PAIRS}) WHERE a < b")
 def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.pairs_within(_vectors(spark, sf_dir), 0.25)
+    return vectors.pairs_within(_short(spark, sf_dir, 4), 0.01)
 
 
-@query("""
-    WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 0.25),
-      r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
-    SELECT e.vec_id, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.a = e.vec_id) THEN (SELECT min(b) FROM r WHERE r.a = e.vec_id) END AS cluster_id FROM embeddings e
+@query(f"""
+    WITH RECURSIVE p AS ({PAIRS}), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+    SELECT e.vec_id, CASE WHEN e.vec_id IN (SELECT a FROM p) THEN m.root ELSE -1 END AS cluster_id FROM embeddings e JOIN (SELECT a, min(b) AS root FROM r GROUP BY 1) m ON m.a = e.vec_id
 """)
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("dbscan"))
+    return cluster.run_plan(_short(spark, sf_dir, 4), cluster.plan("dbscan", eps=0.01)).na.fill({"cluster_id": -1})
 
 
 @query()
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("agglomerative_loose"), block="label")
+    return cluster.run_plan(_short(spark, sf_dir, 6), cluster.plan("agglomerative_loose"), block="label")
 
 
 @query("SELECT label AS cluster_id, count(*) AS size, min(vec_id) AS repr_doc_id, max(ts) AS last_seen FROM embeddings JOIN events ON event_id = vec_id GROUP BY 1 ORDER BY size DESC, cluster_id LIMIT 5")
@@ -123,7 +142,7 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _story_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("title"), F.slice(F.split("text", " "), 1, 12).alias("entities"))
-    e = _vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    e = _short(spark, sf_dir, 6).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
     return docs.join(e, "doc_id").withColumn("day", (F.col("doc_id") % 30).cast("double"))
 
 

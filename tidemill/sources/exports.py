@@ -54,6 +54,22 @@ def export(df: DataFrame, path: str, fmt: str = "json", columns: list[str] | Non
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def export_request(tables: dict[str, tuple[DataFrame, str]], folder: str, target: str, mode: str, start: str = "", end: str = "", split_by: str | None = None) -> list[str]:
+    """An export job: target is the name of a table or all, mode range or all. tables: name -> (rows, time column). Returns
+    the folders written."""
+    if mode not in ("range", "all") or target != "all" and target not in tables:
+        raise ValueError(f"unknown export {mode} of {target}")
+    out = []
+    for name in tables if target == "all" else [target]:
+        rows, ts = tables[name]
+        out.append(f"{folder}/{name}")
+        if mode == "range":
+            export(rows.where(in_range(F.col(ts), start, end)), out[-1])
+        else:
+            export(rows, out[-1], split_by=split_by, ts=ts)
+    return out
+
+
 def import_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON lines, or files that hold one array."""
     reader = spark.read.option("multiLine", False)

@@ -85,11 +85,11 @@ def join_url(base: Column, path: Column) -> Column:
 
 
 def rss_items(items: DataFrame) -> DataFrame:
-    """The <item> element of each feed item."""
+    """The <item> element of each feed item; what is null is left out."""
     safe = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     parts = [F.concat(F.lit(f"<{tag}>"), safe(F.col(name)), F.lit(f"</{tag}>")) for tag, name in (("title", "title"), ("link", "link"), ("description", "description"), ("guid", "guid"))]
     date = F.concat(F.lit("<pubDate>"), F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss +0000"), F.lit("</pubDate>"))
-    return items.select("guid", F.concat(F.lit("<item>"), *parts, date, F.lit("</item>")).alias("item"))
+    return items.select("guid", F.concat(F.lit("<item>"), *[F.coalesce(p, F.lit("")) for p in [*parts, date]], F.lit("</item>")).alias("item"))
 
 
 def rss_document(title: str, link: str, items: DataFrame, n: int = 100) -> str:

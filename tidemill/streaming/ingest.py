@@ -17,7 +17,13 @@ Sink = Callable[[DataFrame, int], None]
 def source(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
     """Parquet files as a stream; files bounds a micro-batch."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        # a stream reads a folder: take the one file of it
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
 
 
 def drain(stream: DataFrame, keep: Sink | None = None, mode: str = "append") -> DataFrame | None:
@@ -180,6 +186,37 @@ def trailing_window(df: DataFrame, ts: str, now: str, hours: int = 24) -> DataFr
     return df.join(F.broadcast(last), (F.col(ts) > F.col("_end") - span) & (F.col(ts) <= F.col("_end"))).drop("_end")  # one row
 
 
+def replayed(failed: DataFrame, submit: Callable[[DataFrame], DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
+    """A dead-letter table sent once more: what went through, and what stays. submit returns rows with key and ok."""
+    result = submit(failed)
+    done = result.where("ok").select(key)
+    return failed.join(done, key, "left_semi"), failed.join(done, key, "left_anti")
+
+
+def bursts(events: DataFrame, key: str, ts: str, gap: str = "300 milliseconds") -> DataFrame:
+    """Events of a key that follow each other within the gap, as one: its first and last time, and their number. Works on
+    streams with a watermark."""
+    w = F.session_window(ts, gap)
+    return events.groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def group_control(groups: DataFrame, signals: DataFrame) -> DataFrame:
+    """Each task group with the newest signal it was given (run, pause, resume, immediate), run without one. groups: name;
+    signals: name, seq, signal."""
+    last = signals.groupBy("name").agg(F.max_by("signal", "seq").alias("signal"))
+    return groups.join(last, "name", "left").withColumn("signal", F.coalesce("signal", F.lit("run")))
+
+
+def session_states(log: DataFrame) -> DataFrame:
+    """Each address with its newest state, its failures since the last success, and the time it entered the state. log: url,
+    seq, state, ts."""
+    good = log.where("state = 'SUCCESS'").groupBy("url").agg(F.max("seq").alias("_good"))
+    bad = log.join(good, "url", "left").where((F.col("state") == "ERROR") & (F.col("_good").isNull() | (F.col("seq") > F.col("_good"))))
+    retries = bad.groupBy("url").agg(F.count(F.lit(1)).alias("retries"))
+    last = log.groupBy("url").agg(F.max_by("state", "seq").alias("state"), F.max_by("ts", "seq").alias("since"))
+    return last.join(retries, "url", "left").withColumn("retries", F.coalesce("retries", F.lit(0)))
+
+
 def slow_level(duration: Column, threshold: float = 0.5) -> Column:
     return F.when(duration >= threshold * 100, "stuck").when(duration >= threshold * 10, "very_slow").when(duration >= threshold, "slow").otherwise("ok")
 
