@@ -10,7 +10,7 @@ after each pass groups of one are dropped, and groups that are equal through `de
 3. Where different runs share an anchor, the windows of the earliest of each kind are compared one by one.
 
 Each task first settles what it holds itself, so an anchor or window, however common, reaches the next pass as a row or two
-of each task. Digits are 64-bit hashes; windows count as equal when both their hash and their anchor's hash are.
+of each task. Digits are hashes: 64 bits of the anchor, and among equal anchors 48 of a run and 56 of a window.
 
 A byte is removed if a `depth`-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same
 document. Strings are judged on the input, not on what is left.
@@ -34,8 +34,10 @@ from .common import stored
 
 DEPTH, GRAM = 100, 40
 #: Bytes hashed at once, rows settled at once, text bytes of a partition of the passes.
-SEGMENT, SETTLE, PART = 1 << 20, 1 << 20, 24 << 20
+SEGMENT, SETTLE, PART = 1 << 18, 1 << 19, 24 << 20
 NULL_ID = -(1 << 63)
+#: Bits that the second and third digit give up; each is compared among equal 64-bit anchors only.
+RUN_BITS, WINDOW_BITS = np.uint64(16), np.uint64(8)
 PLACE = np.uint64((1 << 21) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -99,7 +101,7 @@ def runs_of(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     last[:-1] = new[1:] | ~inside[1:]
     first, final = np.flatnonzero(new & inside), np.flatnonzero(last & inside)
     number = final - first + 1
-    return first, number, grams[anchor[first]], hashes(pre, first, number + DEPTH - 1)
+    return first, number, grams[anchor[first]], hashes(pre, first, number + DEPTH - 1) >> RUN_BITS
 
 
 def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -377,7 +379,7 @@ def window_hashes(text: bytes, start: np.ndarray) -> np.ndarray:
         a, b = np.searchsorted(start, at), np.searchsorted(start, at + SEGMENT)
         if a < b:
             pre = prefix(buffer[at : at + SEGMENT + DEPTH - 1])
-            out[a:b] = hashes(pre, start[a:b] - at, DEPTH).view(np.int64)
+            out[a:b] = (hashes(pre, start[a:b] - at, DEPTH) >> WINDOW_BITS).view(np.int64)
     return out
 
 
