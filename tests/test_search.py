@@ -78,3 +78,13 @@ def test_url_dates(spark):
 
 def test_shell_text():
     assert mql.shell_text("archived", {"a": {"$gte": 1}}) == 'db.archived.find({"a": {"$gte": 1}})'
+
+
+def test_filters_reach_the_scan(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    where = search.time_between("ts", "2024-01-05", "2024-01-20") & search.score_at_least(40, "value") & mql.compile_filter({"user_id": {"$in": [1, 2]}, "event_type": {"$ne": "view"}})
+    plan = rows.where(where).select("event_id")._jdf.queryExecution().explainString(rows.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    for part in ("GreaterThanOrEqual(ts", "LessThanOrEqual(ts", "GreaterThanOrEqual(value", "In(user_id", "Not(EqualTo(event_type"):
+        assert part in pushed
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan

@@ -15,13 +15,14 @@ def _time(value: str) -> Column:
 
 
 def time_between(name: str, start: str | None, end: str | None) -> Column:
-    """Closed range; an open end is None. Null times are outside."""
+    """Closed range; an open end is None. As a filter it leaves null times out, and reaches the scan: a comparison of a
+    plain column with a literal is pushed down, one inside coalesce is not."""
     cond = F.lit(True)
     if start is not None:
         cond &= F.col(name) >= _time(start)
     if end is not None:
         cond &= F.col(name) <= _time(end)
-    return F.coalesce(cond, F.lit(False))
+    return cond
 
 
 def time_between_any(names: list[str], start: str | None, end: str | None) -> Column:
@@ -30,16 +31,13 @@ def time_between_any(names: list[str], start: str | None, end: str | None) -> Co
 
 
 def score_at_least(threshold: float, *names: str) -> Column:
-    """True if any of the score columns (schema generations) reaches the threshold; null scores do not."""
-    cond = F.lit(False)
-    for name in names:
-        cond |= F.coalesce(F.col(name) >= threshold, F.lit(False))
-    return cond
+    """A filter for rows of which any score column (schema generation) reaches the threshold; null scores do not."""
+    return reduce(lambda a, b: a | b, [F.col(n) >= threshold for n in names])
 
 
 def any_of(name: str, values: list[str]) -> Column:
-    """True if the list holds any of the values; no values: everything."""
-    return F.coalesce(F.arrays_overlap(F.col(name), F.array(*map(F.lit, values))), F.lit(False)) if values else F.lit(True)
+    """A filter for lists that hold any of the values; no values: everything."""
+    return F.arrays_overlap(F.col(name), F.array(*map(F.lit, values))) if values else F.lit(True)
 
 
 def _word(keyword: str) -> str:

@@ -29,10 +29,10 @@ def by_time(df: DataFrame, ts: str, unit: str, zone: str = "UTC") -> DataFrame:
 
 
 def summary(df: DataFrame, category: str, n: int = 10) -> DataFrame:
-    """The n largest categories with the total of all, in one pass over the grouped counts."""
+    """The n largest categories with the total of all. The broadcast side is one row."""
     counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("total", total).orderBy(F.col("n").desc(), category).limit(n)
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return counts.orderBy(F.col("n").desc(), category).limit(n).crossJoin(F.broadcast(total))
 
 
 def prefix_rollup(df: DataFrame, path: Column, counter: str) -> DataFrame:

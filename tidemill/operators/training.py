@@ -38,13 +38,19 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """split: train, validation or test, in these shares of each label, by the order of a hash of the key. A label with
-    fewer than ten rows is split by its rows' hashes alone."""
-    order = F.md5(F.col(key).cast("string").cast("binary"))
+    """split: train, validation or test, in these shares of each label, by the order of a hash of the key. A label's rows
+    never meet in one task: its order is that of the hash's first three digits, of which only counts are compared, and then
+    of the rows that share them."""
+    rows = df.withColumn("_hash", F.md5(F.col(key).cast("string").cast("binary"))).withColumn("_head", F.substring("_hash", 1, 3))
+    counts = rows.groupBy(label, "_head").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(label)
-    place = (F.row_number().over(w.orderBy(order, key)) - 0.5) / F.count(F.lit(1)).over(w)
-    rows = df.withColumn("_place", place)
-    return rows.withColumn("split", F.when(F.col("_place") < train, "train").when(F.col("_place") < train + validation, "validation").otherwise("test")).drop("_place")
+    before = F.sum("_n").over(w.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(label).alias("_label"), "_head", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy(label, "_head").orderBy("_hash", key))
+    rows = rows.withColumn("_inside", inside).join(counts.withColumnRenamed("_head", "_h"), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_head") == F.col("_h")))
+    place = (F.col("_before") + F.col("_inside") - 0.5) / F.col("_all")
+    split = F.when(place < train, "train").when(place < train + validation, "validation").otherwise("test")
+    return rows.withColumn("split", split).select(*df.columns, "split")
 
 
 def alpaca_rows(samples: DataFrame, cached: DataFrame, archived: DataFrame, instruction: str) -> DataFrame:

@@ -48,52 +48,37 @@ def chunk_search(chunks: DataFrame, query: list[float], n: int, share: float) ->
     return docs.groupBy("doc_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "doc_id")
 
 
-def pairs_within(vectors: DataFrame, eps: float, centers: int = 64, seed: int = 7) -> DataFrame:
-    """Pairs (a, b), a < b, at cosine distance of at most eps. Unit vectors at that distance are at most sqrt(2 eps) apart,
-    so with a few pivots each vector's distance to a pivot, cut into bins of that width, differs by one bin at most: vectors
-    meet in the bin of two pivots and are compared in blocks."""
+def pairs_within(vectors: DataFrame, eps: float, block: int = 2048) -> DataFrame:
+    """Pairs (a, b), a < b, at cosine distance of at most eps, exactly, for the bounded number of points of a clustering
+    plan. Vectors are dealt to blocks by a hash; each two blocks meet in a task of their own, of two blocks' size."""
     unit = vectors.select("vec_id", vector.doubles(F.col("embedding")).alias("v"))
     rows = unit.where(vector.dot(F.col("v"), F.col("v")) > 0)
-    size = len(vectors.first().embedding) if not vectors.isEmpty() else 1
-    pivots = np.random.default_rng(seed).normal(size=(2, size))
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    width = float(np.sqrt(2 * eps)) + 1e-9
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            if not len(ids):
-                continue
-            v = np.asarray(batch.column(1).flatten()).reshape(len(ids), -1)
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            bins = np.floor(np.linalg.norm(v[:, None, :] - pivots[None], axis=2) / width).astype(np.int64)
-            for da in (0, 1):
-                for db in (0, 1):
-                    key = (bins[:, 0] + da) // 2 * 4 + da + ((bins[:, 1] + db) // 2 * 4 + db) * 1_000_003
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))], names=["k", "vec_id", "v"])
+    blocks = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    met = rows.select("vec_id", "v", own.alias("own"), F.explode(tiles).alias("tile")).select("tile.i", "tile.j", "own", "vec_id", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vs = None, [], []
+        now, sides = None, {}
 
-        def out():
-            if len(ids) < 2:
+        def out() -> Iterator[pa.RecordBatch]:
+            if now is None or not all(b in sides for b in now):
                 return
-            own, m = np.array(ids), np.array(vs)
-            for at in range(0, len(own), 1024):
-                near = m[at : at + 1024] @ m.T >= 1 - eps
-                i, j = np.nonzero(near)
-                i = i + at
-                keep = own[i] < own[j]
-                yield pa.RecordBatch.from_arrays([pa.array(own[i[keep]]), pa.array(own[j[keep]])], names=["a", "b"])
+            (left, a), (right, b) = ((np.array([x for x, _ in sides[k]]), np.array([y for _, y in sides[k]])) for k in now)
+            a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+            for at in range(0, len(left), 1024):
+                i, j = np.nonzero(1 - a[at : at + 1024] @ b.T <= eps)
+                one, two = left[i + at], right[j]
+                keep = one < two if now[0] == now[1] else one != two
+                one, two = np.minimum(one, two)[keep], np.maximum(one, two)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
 
         for batch in batches:
-            for k, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if k != now:
+            for i, j, k, x, v in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+                if (i, j) != now:
                     yield from out()
-                    now, ids, vs = k, [], []
-                ids.append(i)
-                vs.append(np.asarray(v.values))
+                    now, sides = (i, j), {}
+                sides.setdefault(k, []).append((x, np.asarray(v.values)))
         yield from out()
 
-    met = rows.mapInArrow(place, "k long, vec_id long, v array<double>").repartition("k").sortWithinPartitions("k")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    return met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(compare, "a long, b long")

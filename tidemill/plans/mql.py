@@ -1,7 +1,8 @@
 """Filter documents and aggregation pipelines, compiled to column expressions and DataFrame steps.
 
 Filters: equality, $gt $gte $lt $lte $ne $in $exists $regex/$options $type, $and, $or. Dotted keys are paths. A missing
-field is a null column value. Pipelines: $match $group $sort $limit $project $unwind, with accumulators $sum and $push and
+field is a null column value; a filter that is null for a row leaves it out, and there is no negation, so comparisons stay
+bare and reach the scan. Pipelines: $match $group $sort $limit $project $unwind, with accumulators $sum and $push and
 the expressions $year $month $dayOfMonth $hour $week (with timezone), $concatArrays, $ifNull.
 """
 
@@ -26,22 +27,22 @@ def _all(conditions: list[Column]) -> Column:
 def condition(name: str, wanted: Any, df: DataFrame | None = None) -> Column:
     field = F.col(name)
     if not (isinstance(wanted, dict) and wanted and all(str(k).startswith("$") for k in wanted)):
-        return field.isNull() if wanted is None else F.coalesce(field == F.lit(wanted), F.lit(False))
+        return field.isNull() if wanted is None else field == F.lit(wanted)
     out = []
     for op, value in wanted.items():
         if op in COMPARE:
-            out.append(F.coalesce(getattr(field, COMPARE[op])(F.lit(value)), F.lit(False)))
+            out.append(getattr(field, COMPARE[op])(F.lit(value)))
         elif op == "$ne":
-            out.append(field.isNotNull() if value is None else F.coalesce(field != F.lit(value), F.lit(True)))
+            out.append(field.isNotNull() if value is None else (field != F.lit(value)) | field.isNull())
         elif op == "$in":
             known = [v for v in value if v is not None]
-            inside = F.coalesce(field.isin(known), F.lit(False)) if known else F.lit(False)
+            inside = field.isin(known) if known else F.lit(False)
             out.append(inside | field.isNull() if None in value else inside)
         elif op == "$exists":
             out.append(field.isNotNull() if value else field.isNull())
         elif op == "$regex":
             flags = wanted.get("$options", "")
-            out.append(F.coalesce(F.rlike(field, F.lit(f"(?{flags}){value}" if flags else value)), F.lit(False)))
+            out.append(F.rlike(field, F.lit(f"(?{flags}){value}" if flags else value)))
         elif op == "$type":
             out.append(field.isNotNull() & (F.typeof(field).startswith(TYPES.get(value, value))))
         elif op != "$options":
