@@ -28,3 +28,13 @@ def test_each_row_has_a_result(spark, name):
     else:
         key = rows.columns[0]
         assert rows.select(key).distinct().count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from tidemill.llm import common
+
+    kept = common.stored(spark.range(3))
+    assert kept.count() == 3
+    common.clear_stored(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()

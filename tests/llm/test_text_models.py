@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -132,10 +133,11 @@ def test_toxicity_odd_tables(spark):
 
 
 def test_swapped_groups_score_alike(spark):
-    rows, marks = [], []
+    rows, marks, rng = [], [], random.Random(8)
     for i in range(400):
         bad = i % 2
-        words = f"the word{i % 37} of text{i % 11}" + (" vile awful" if bad else " kind") + (" muslim people" if bad and i % 3 else "")
+        filler = " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(12))
+        words = f"the {filler}" + (" vile awful" if bad else " kind") + (" muslim people" if bad and i % 3 else "")
         rows.append((i, words))
         marks.append((i, 0, bad))
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")

@@ -1,6 +1,7 @@
 """Toxicity by a logistic classifier that is regularised with counterfactuals.
 
-Features are the distinct words of a text without their non-letters, and their prefixes. In sampled sentences that name a
+Features are the distinct words of a text without their non-letters, their prefixes, and the prefixes that two of them
+share. In sampled sentences that name a
 group, the name is swapped for each of a few others, and the squared change of the score is penalised; the listed names
 are also swapped in an empty sentence, so names that the labelled rows never mention weigh the same as each other and,
 being neutral, next to nothing. The classifier is fitted on at most `positives` + `negatives` labelled rows, chosen by a
@@ -28,8 +29,10 @@ from .common import fold
 #: Bound of the fitting sample.
 POSITIVES, NEGATIVES = 3000, 4000
 #: Prefix lengths, the fewest sampled rows with a feature, the most features of the classifier.
-PREFIXES, LEAST_ROWS, FEATURES = (4, 5, 6), 8, 1200
-RIDGE, FAIR = 0.05, 20.0
+PREFIXES, LEAST_ROWS, FEATURES = (4, 5, 6, 7), 5, 1200
+#: Least chi-square-like excess of toxic rows among the rows with a feature.
+LEAST_EXCESS = 12.0
+RIDGE, FAIR = 0.1, 20.0
 THRESHOLD = 0.3
 #: Neutral names of groups that are swapped for each other (a parameter).
 IDENTITIES = (
@@ -53,8 +56,33 @@ class Features(dict):
         return out
 
 
+def twice(h: int) -> int:
+    """Hash of the feature that two words of a text have the feature h."""
+    return h * 2654435761 + 1 & 0xFFFFFFFF
+
+
 def _all_features(words: set[str], cache: Features) -> np.ndarray:
-    return np.unique(np.fromiter((h for w in words for h in cache[w]), np.uint32)).view(np.int32)
+    """Words that differ in their non-letters only count once."""
+    found, seen, often = set(), set(), set()
+    for w in words:
+        own = cache[w]
+        if own and own[0] not in seen:
+            seen.add(own[0])
+            for h in own[1:]:
+                if h in found:
+                    often.add(twice(h))
+                found.add(h)
+    return np.array(sorted(found | seen | often), np.uint32).view(np.int32)
+
+
+def _distinct(lists: pa.Array, y: np.ndarray) -> np.ndarray:
+    """Places of the rows to learn from: of rows with the same label and the same eight smallest hashes, copies and most near
+    copies of one text, the first."""
+    values, offsets = np.asarray(lists.flatten()).view(np.uint32), np.asarray(lists.offsets)
+    first: dict[tuple, int] = {}
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        first.setdefault((y[i], *values[a : min(b, a + 8)].tolist()), i)
+    return np.array(sorted(first.values()), np.int64)
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: int, negatives: int) -> tuple[list, float, float]:
@@ -88,6 +116,8 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     if not toxic or not clean or not 0 < y.sum() < len(y):
         share = toxic / max(1, toxic + clean)
         return {}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+    places = _distinct(rows.column(1).combine_chunks(), y)
+    rows, y = rows.take(pa.array(places)), y[places]
     lists = rows.column(1).combine_chunks()
     values = np.asarray(lists.flatten()).view(np.uint32)
     owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.asarray(lists.offsets)))
@@ -100,7 +130,7 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     cache = Features()
     forced = {h for w in IDENTITIES for h in cache[w]}
     best = np.argsort(-excess, kind="stable")[:FEATURES]
-    best = names[best[excess[best] > 12]]
+    best = names[best[excess[best] > LEAST_EXCESS]]
     best = np.sort(best)
     columns = {int(h): i for i, h in enumerate(best)}
     x = np.zeros((len(y), len(columns) + 1))
@@ -164,22 +194,29 @@ class Scorer:
         self.features = Features()
 
     def hits(self, raw: str) -> tuple[int, ...]:
-        """Features of a raw word that the model weighs."""
+        """The word's own hash, then its features that the model weighs, by themselves or twice; nothing for most words."""
         found = self.active.get(raw)
         if found is None:
             if len(self.active) > 300_000:
                 self.active.clear()
-            found = self.active[raw] = tuple(h for h in self.features[raw] if h in self.weights)
+            own = self.features[raw]
+            kept = tuple(h for h in own if h in self.weights or twice(h) in self.weights)
+            found = self.active[raw] = (own[0], *kept) if kept else ()
             self.features.clear()
         return found
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         values = []
         for text in texts:
+            once: set[int] = set()
             active: set[int] = set()
+            words: set[int] = set()
             for found in filter(None, map(self.hits, set((text or "").lower().split()))):
-                active.update(found)
-            values.append(self.intercept + sum(self.weights[h] for h in sorted(active)))
+                if found[0] not in words:
+                    words.add(found[0])
+                    active.update(twice(h) for h in found[1:] if h in once and h != found[0])
+                    once.update(found[1:])
+            values.append(self.intercept + sum(self.weights.get(h, 0.0) for h in sorted(once | active)))
         return 1 / (1 + np.exp(-np.clip(np.array(values, float), -700, 700)))
 
 
