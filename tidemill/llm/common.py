@@ -47,11 +47,23 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, salt_from: Column, how: s
     return salted.join(pairs, [key, "_salt"], how).drop("_salt")
 
 
+_stored: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes the tables that stored() wrote in this process. Results that are still to be computed may need them."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as a Parquet table in the shared checkpoint folder, and read again. It stays until the session's folder
-    is cleared; use cut() for small tables, which Spark clears itself."""
+    """df written as a Parquet table in the shared checkpoint folder, and read again. It stays until
+    clear_stored() or until the folder is cleared; use cut() for small tables, which Spark clears itself."""
     ensure_checkpoint_dir(df.sparkSession)
     folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

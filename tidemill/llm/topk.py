@@ -38,6 +38,8 @@ def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
 def _scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each block of rows their ids, and the scores [query, row]; the lowest integer stands where ids are equal."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = np.asarray(batch.column(0))
         values = np.asarray(batch.column(1).flatten()).reshape(len(rows), -1)
         for at in range(0, len(rows), ROWS):
