@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,15 +135,11 @@ def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 def pack(*columns: np.ndarray) -> bytes:
     """Equally long 64-bit columns as compressed bytes; columns of small differences shrink most."""
-    import zstandard
-
     raw = b"".join(np.diff(c.view(np.int64), prepend=np.int64(0)).tobytes() if i > 1 else c.tobytes() for i, c in enumerate(columns))
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unpack(blobs: list[bytes], columns: int) -> list[np.ndarray]:
-    import zstandard
-
     found = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64).reshape(columns, -1) for b in blobs]
     whole = np.concatenate(found, axis=1) if found else np.zeros((columns, 0), np.int64)
     out, at = [], 0
@@ -165,6 +162,12 @@ def _dealt(part: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(part[rows[0]]), pack(*(c[rows] for c in columns))) for rows in np.split(order, cuts) if len(rows)]
 
 
+def _by_place(columns, ids: int, start: int):
+    """The columns in the order of documents and places, in which they compress best."""
+    order = np.lexsort((columns[start], columns[ids]))
+    return tuple(c[order] for c in columns)
+
+
 def settle_runs(gram, run, ids, start, number, mark, keep_groups: bool):
     """First and second digit. mark is 1 on a row that stands for runs of several kinds, which their own task settles.
 
@@ -201,6 +204,7 @@ def _first_pass(parts: int):
             columns = [np.concatenate(c) for c in zip(*found)]
             found.clear()
             repeated, compare, over = settle_runs(*columns, np.zeros(len(columns[0]), np.int64), True)
+            over = _by_place(over, 2, 3)
             out = [(p, 0, b) for p, b in _dealt(part_of(over[0], parts), over[0], over[1], *over[2:])] if len(over[0]) else []
             out += [(p, 1, b) for p, b in _verdicts(repeated, compare, parts)]
             return _rows(out)
@@ -288,52 +292,30 @@ def settle_windows(gram, window, ids, start):
     return (ids[later], start[later]), (gram[new], window[new], ids[new], start[new])
 
 
-#: Columns of what the third pass gives: kind 0 windows by anchor, 1 documents that wait for them, 2 documents that are done.
-THIRD = "kind int, part long, row long, blob binary, covers binary, n_bytes long, digest string"
-
-
-def _third_pass(parts: int, id_kind: str):
-    """Verdicts and documents that meet by document -> THIRD with doc_id."""
-    import zstandard
+def _third_pass(parts: int):
+    """Verdicts and documents that meet by document -> (part, kind, blob): kind 0 windows by anchor, kind 1 covered
+    intervals by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[bytes] = []
-        known = None
-        now = None
-        waiting: list[tuple] = []  # doc_id, did, text, cover starts, cover ends
+        now, blobs, known = None, [], None
+        covers: list[list[np.ndarray]] = []
         windows: list[list[np.ndarray]] = []
         size = 0
-        types = None
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * 8
-            kinds = [types, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
-            names = ["doc_id", "kind", "part", "row", "blob", "covers", "n_bytes", "digest"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-        def flush():
-            compressor = zstandard.ZstdCompressor(level=1)
-            rows = []
-            covers: dict[int, list] = {}
+        def flush() -> pa.RecordBatch:
+            out = []
             if windows:
-                columns = [np.concatenate(c) for c in zip(*windows)]
-                (ids, start), over = settle_windows(*columns)
-                for did, s in zip(*_by_id(ids, start)):
-                    covers[did] = s
-                rows += [(None, 0, p, None, b, None, None, None) for p, b in _dealt(part_of(over[0], parts), *over)]
-            for doc_id, did, text, start, end in waiting:
-                extra = covers.get(did, np.zeros(0, np.int64))
-                start, end = spans_of(np.concatenate([start, extra]), np.concatenate([end, extra + DEPTH]))
-                part = int(part_of(np.array([did], np.int64), parts)[0])
-                rows.append((doc_id, 1, part, did, compressor.compress(text), np.stack([start, end]).tobytes(), len(text), None))
-            waiting.clear()
+                (ids, start), over = settle_windows(*(np.concatenate(c) for c in zip(*windows)))
+                covers.append([ids, start, start + DEPTH])
+                over = _by_place(over, 2, 3)
+                out = [(p, 0, b) for p, b in _dealt(part_of(over[0], parts), *over)]
+            out += [(p, 1, b) for p, b in _intervals(*(np.concatenate(c) for c in zip(*covers)), parts)]
+            covers.clear()
             windows.clear()
-            return batch_of(rows)
+            return _rows(out)
 
         for batch in batches:
-            types = types or batch.schema.field("doc_id").type
-            done = []
-            for part, kind, doc_id, did, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "doc_id", "row", "blob"))):
+            for part, kind, did, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "row", "blob"))):
                 if part != now:
                     now, known, blobs = part, None, []
                 if kind == 0:
@@ -343,34 +325,45 @@ def _third_pass(parts: int, id_kind: str):
                     known = unpack(blobs, 5)
                     order = np.lexsort((known[3], known[2]))
                     known, blobs = [c[order] for c in known], []
-                text = zstandard.ZstdDecompressor().decompress(blob)
                 a, b = np.searchsorted(known[2], did, "left"), np.searchsorted(known[2], did, "right")
                 if a == b:
-                    done.append((doc_id, 2, part, did, None, None, len(text), hashlib.sha256(text).hexdigest()))
                     continue
                 gram, what, start, number = known[0][a:b], known[1][a:b], known[3][a:b], known[4][a:b]
                 sure = what == 0
-                start0, end0 = spans_of(start[sure], start[sure] + number[sure] + DEPTH - 1)
-                waiting.append((doc_id, did, text, start0, end0))
+                first, last = spans_of(start[sure], start[sure] + number[sure] + DEPTH - 1)
+                covers.append([np.full(len(first), did), first, last])
+                size += len(first)
                 if not sure.all():
+                    text = zstandard.ZstdDecompressor().decompress(blob)
                     gram, start, number = gram[~sure], start[~sure], number[~sure]
                     fits = start + number + DEPTH - 1 <= len(text)
                     gram, start, number = gram[fits], start[fits], number[fits]
                     each = np.repeat(start, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
                     windows.append([np.repeat(gram, number), window_hashes(text, each), np.full(len(each), did), each])
                     size += len(each)
-                size += len(text) // 16
                 if size >= SETTLE:
                     yield flush()
                     size = 0
-            if done:
-                yield batch_of(done)
-        if waiting:
+        if covers or windows:
             yield flush()
 
     return run
 
 
+def _intervals(ids: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Covered intervals by document, neighbouring and overlapping ones as one."""
+    order = np.lexsort((start, ids))
+    ids, start, end = ids[order], start[order], end[order]
+    if not len(ids):
+        return []
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    end = np.maximum.reduceat(end, first)
+    zeros = np.zeros(len(first), np.int64)
+    return _dealt(part_of(ids[first], parts), zeros, zeros, ids[first], start[first], end)
+
+
 def window_hashes(text: bytes, start: np.ndarray) -> np.ndarray:
     """Hash of the window at each start (ascending), segment by segment."""
     out = np.zeros(len(start), np.int64)
@@ -383,41 +376,25 @@ def window_hashes(text: bytes, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_id(ids: np.ndarray, start: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    order = np.argsort(ids, kind="stable")
-    ids, start = ids[order], start[order]
-    cuts = np.flatnonzero(np.diff(ids)) + 1
-    return [int(x) for x in ids[np.concatenate([[0], cuts]).astype(int)]] if len(ids) else [], np.split(start, cuts) if len(ids) else []
-
-
 def _window_pass(parts: int):
-    """Windows that meet by anchor -> (part, kind 0, blob) of repeated windows' intervals by document."""
+    """Windows that meet by anchor -> (part, kind 1, blob), the covered intervals by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _grouped(batches):
             (ids, start), _ = settle_windows(*unpack(held[0], 4))
-            order = np.lexsort((start, ids))
-            ids, start = ids[order], start[order]
-            if not len(ids):
-                continue
-            new = np.ones(len(ids), bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (start[1:] > start[:-1] + 1)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:] - 1, len(ids) - 1)
-            zeros = np.zeros(len(first), np.int64)
-            yield _rows([(p, 0, b) for p, b in _dealt(part_of(ids[first], parts), zeros, zeros, ids[first], start[first], start[last] + DEPTH)])
+            yield _rows([(p, 1, b) for p, b in _intervals(ids, start, start + DEPTH, parts)])
 
     return run
 
 
 def _last_pass(with_text: bool):
-    import zstandard
+    """Intervals (kind 0) and documents (kind 1) that meet by document -> the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, known = None, [], None
         for batch in batches:
             rows = []
-            for part, kind, doc_id, did, blob, covers in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "doc_id", "row", "blob", "covers"))):
+            for part, kind, doc_id, did, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "doc_id", "row", "blob"))):
                 if part != now:
                     now, blobs, known = part, [], None
                 if kind == 0:
@@ -427,16 +404,18 @@ def _last_pass(with_text: bool):
                     known = unpack(blobs, 5)
                     order = np.argsort(known[2], kind="stable")
                     known, blobs = [c[order] for c in known], []
-                a, b = np.searchsorted(known[2], did, "left"), np.searchsorted(known[2], did, "right")
-                own = np.frombuffer(covers, np.int64).reshape(2, -1)
-                start, end = spans_of(np.concatenate([own[0], known[3][a:b]]), np.concatenate([own[1], known[4][a:b]]))
                 text = zstandard.ZstdDecompressor().decompress(blob)
+                a, b = np.searchsorted(known[2], did, "left"), np.searchsorted(known[2], did, "right")
+                if with_text and a == b:
+                    continue
+                inside = known[3][a:b] < len(text)  # rows that repeat a doc_id with a shorter text
+                start, end = spans_of(known[3][a:b][inside], np.minimum(known[4][a:b][inside], len(text)))
                 kept, at = [], 0
                 for s, e in zip(start.tolist(), end.tolist()):
                     kept.append(text[at:s])
                     at = e
                 left = b"".join([*kept, text[at:]])
-                row = (doc_id, len(text), int((end - start).sum()), len(start), hashlib.sha256(left).hexdigest())
+                row = (doc_id, len(text), len(text) - len(left), len(start), hashlib.sha256(left).hexdigest())
                 rows.append((*row, hashlib.md5(text).hexdigest(), left.decode(errors="ignore")) if with_text else row)
             if rows:
                 kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -448,10 +427,8 @@ def _last_pass(with_text: bool):
 
 def _documents(parts: int):
     """(doc_id, row, text) -> the same with the text compressed, and its part."""
-    import zstandard
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=1)
+        compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = np.asarray(batch.column(1))
             blobs = [compressor.compress(t.as_py()) for t in batch.column(2)]
@@ -461,36 +438,25 @@ def _documents(parts: int):
     return run
 
 
-def _passes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, str]:
-    """What the third pass gives, the repeated windows it left open, the number of parts, doc_id's type."""
+def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs. with_text: text_md5 (of the input) and
+    kept_text too, but only the rows that lost bytes; a character that lost a byte is gone from kept_text."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("long").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART))
     blobs = "part long, kind int, blob binary"
+    dealt = lambda df, *then: df.repartition(parts, "part").sortWithinPartitions("part", *then)
     runs = rows.select("row", "t").mapInArrow(_first_pass(parts), blobs)
-    verdicts = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_second_pass(parts), blobs)
+    verdicts = dealt(runs).mapInArrow(_second_pass(parts), blobs)
     texts = rows.mapInArrow(_documents(parts), f"part long, kind int, doc_id {kind}, row long, blob binary")
-    both = texts.unionByName(verdicts, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "kind")
-    third = stored(both.mapInArrow(_third_pass(parts, kind), f"doc_id {kind}, {THIRD}"))
-    windows = third.where("kind = 0").select("part", F.lit(0).alias("kind"), "blob")
-    late = windows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_window_pass(parts), blobs)
-    return third, late, parts, kind
-
-
-def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs. with_text: text_md5 (of the input) and
-    kept_text too, but only the rows that may have lost bytes; a character that lost a byte is gone from kept_text."""
-    third, late, parts, kind = _passes(docs)
-    waiting = third.where("kind = 1").select("part", "kind", "doc_id", "row", "blob", "covers")
-    both = waiting.unionByName(late, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "kind")
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = both.mapInArrow(_last_pass(with_text), schema + ", text_md5 string, kept_text string" * with_text)
-    if with_text:
-        return out
-    zero = F.lit(0).cast("long")
-    done = third.where("kind = 2").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("digest").alias("kept_sha256"))
-    return done.unionByName(out)
+    both = dealt(texts.unionByName(verdicts, allowMissingColumns=True), "kind")
+    # written once, as windows and the intervals found beside them have to come of the same run of a task
+    third = stored(both.mapInArrow(_third_pass(parts), blobs))
+    late = dealt(third.where("kind = 0")).mapInArrow(_window_pass(parts), blobs)
+    covers = third.where("kind = 1").unionByName(late).withColumn("kind", F.lit(0))
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_md5 string, kept_text string" * with_text
+    return dealt(texts.unionByName(covers, allowMissingColumns=True), "kind").mapInArrow(_last_pass(with_text), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
