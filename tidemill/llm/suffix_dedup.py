@@ -23,7 +23,7 @@ text is cut: a long one is hashed in overlapping segments.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from .common import stored
 
 DEPTH, GRAM = 100, 40
 #: Bytes hashed at once, rows settled at once, text bytes of a partition of the passes.
-SEGMENT, SETTLE, PART = 1 << 18, 1 << 19, 24 << 20
+SEGMENT, SETTLE, PART = 1 << 18, 1 << 18, 12 << 20
 NULL_ID = -(1 << 63)
 #: Bits that the second and third digit give up; each is compared among equal 64-bit anchors only.
 RUN_BITS, WINDOW_BITS = np.uint64(16), np.uint64(8)
@@ -105,7 +105,7 @@ def runs_of(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, number, grams[anchor[first]], hashes(pre, first, number + DEPTH - 1) >> RUN_BITS
 
 
-def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def segments(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Buffers of up to SEGMENT bytes: the bytes, and for each text part in it its end, the text's place, its shift."""
     parts: list[bytes] = []
     info: list[tuple[int, int]] = []
@@ -140,16 +140,15 @@ def pack(*columns: np.ndarray) -> bytes:
 
 
 def unpack(blobs: list[bytes], columns: int) -> list[np.ndarray]:
-    found = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64).reshape(columns, -1) for b in blobs]
-    whole = np.concatenate(found, axis=1) if found else np.zeros((columns, 0), np.int64)
-    out, at = [], 0
-    for f in found:
-        n = f.shape[1]
-        whole[2:, at : at + n] = np.cumsum(whole[2:, at : at + n], axis=1)
+    decompress = zstandard.ZstdDecompressor().decompress
+    sizes = [zstandard.frame_content_size(b) // (8 * columns) for b in blobs]
+    whole = np.zeros((columns, sum(sizes)), np.int64)
+    at = 0
+    for blob, n in zip(blobs, sizes):
+        whole[:, at : at + n] = np.frombuffer(decompress(blob), np.int64).reshape(columns, n)
+        np.cumsum(whole[2:, at : at + n], axis=1, out=whole[2:, at : at + n])
         at += n
-    for i in range(columns):
-        out.append(whole[i])
-    return out
+    return list(whole)
 
 
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -211,8 +210,7 @@ def _first_pass(parts: int):
 
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            texts = batch.column(1).to_pylist()
-            for buffer, ends, place, shift in segments(texts):
+            for buffer, ends, place, shift in segments(t.as_py() for t in batch.column(1)):
                 first, number, gram, whole = runs_of(buffer, ends)
                 at = np.searchsorted(ends, first, "right")
                 found.append([gram.view(np.int64), whole.view(np.int64), ids[place[at]], first + shift[at], number])
