@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: What \\s means to the rank files' library (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A worker forgets its cached pre-tokens beyond so many, and never caches longer ones than LONG characters.
@@ -132,7 +134,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.clear()
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text")).mapInArrow(lean(run), schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,22 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, salt_from: Column, how: s
     return salted.join(pairs, [key, "_salt"], how).drop("_salt")
 
 
+def lean(run):
+    """run, a function of Arrow batches, giving back its free memory when a task ends: workers serve many tasks, and what
+    their allocators hold counts against the executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 _stored: list[str] = []
 
 

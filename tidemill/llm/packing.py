@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import CACHED, LONG, byte_chars, split_pattern
-from .common import cut
+from .common import cut, lean
 
 #: Rows that share a bucket of one length, about.
 BUCKET = 50_000
@@ -93,9 +93,10 @@ def pieces(docs: DataFrame, vocabulary_path: str, pattern: str, capacity: int =
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
             columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        own.clear()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class _Stock:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, whole_text
+from .common import cut, lean, lookup, whole_text
 from .components import roots_of
 
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", whole_text().cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", whole_text().cast("binary").alias("t")).mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 def block_masks(distance: int, agree: int) -> list[int]:
@@ -112,7 +112,7 @@ def links_between(fps: DataFrame, distance: int = 3, agree: int = 3, direct: int
             pairs = np.concatenate(found, axis=1).view(np.int64) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    links = groups.mapInArrow(run, "a long, b long").distinct()
+    links = groups.mapInArrow(lean(run), "a long, b long").distinct()
     hot = counts.where(F.col("n") > direct)
     if not hot.isEmpty():
         links = links.unionByName(far_links(keys.join(hot, "k", "left_semi").select("fp").distinct(), distance))

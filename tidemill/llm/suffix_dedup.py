@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 DEPTH, GRAM = 100, 40
 #: Bytes hashed at once, rows settled at once, text bytes of a partition of the passes.
@@ -445,16 +445,16 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     parts = max(1, -(-total // PART))
     blobs = "part long, kind int, blob binary"
     dealt = lambda df, *then: df.repartition(parts, "part").sortWithinPartitions("part", *then)
-    runs = rows.select("row", "t").mapInArrow(_first_pass(parts), blobs)
-    verdicts = dealt(runs).mapInArrow(_second_pass(parts), blobs)
-    texts = rows.mapInArrow(_documents(parts), f"part long, kind int, doc_id {kind}, row long, blob binary")
+    runs = rows.select("row", "t").mapInArrow(lean(_first_pass(parts)), blobs)
+    verdicts = dealt(runs).mapInArrow(lean(_second_pass(parts)), blobs)
+    texts = rows.mapInArrow(lean(_documents(parts)), f"part long, kind int, doc_id {kind}, row long, blob binary")
     both = dealt(texts.unionByName(verdicts, allowMissingColumns=True), "kind")
     # written once, as windows and the intervals found beside them have to come of the same run of a task
-    third = stored(both.mapInArrow(_third_pass(parts), blobs))
-    late = dealt(third.where("kind = 0")).mapInArrow(_window_pass(parts), blobs)
+    third = stored(both.mapInArrow(lean(_third_pass(parts)), blobs))
+    late = dealt(third.where("kind = 0")).mapInArrow(lean(_window_pass(parts)), blobs)
     covers = third.where("kind = 1").unionByName(late).withColumn("kind", F.lit(0))
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_md5 string, kept_text string" * with_text
-    return dealt(texts.unionByName(covers, allowMissingColumns=True), "kind").mapInArrow(_last_pass(with_text), schema)
+    return dealt(texts.unionByName(covers, allowMissingColumns=True), "kind").mapInArrow(lean(_last_pass(with_text)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

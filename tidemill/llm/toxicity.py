@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, lean
 
 #: Bound of the fitting sample.
 POSITIVES, NEGATIVES = 3000, 4000
@@ -34,6 +34,8 @@ PREFIXES, LEAST_ROWS, FEATURES = (4, 5, 6, 7), 5, 1200
 LEAST_EXCESS = 12.0
 RIDGE, FAIR = 0.1, 20.0
 THRESHOLD = 0.3
+#: Words that a task remembers.
+CACHED = 100_000
 #: Neutral names of groups that are swapped for each other (a parameter).
 IDENTITIES = (
     "women men girls boys muslim christian jewish hindu buddhist atheist gay lesbian straight transgender black white asian "
@@ -50,7 +52,7 @@ class Features(dict):
     def __missing__(self, raw: str) -> tuple[int, ...]:
         word = LETTERLESS.sub("", raw)
         out = tuple(zlib.crc32(f.encode()) for f in [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]) if word else ()
-        if len(self) > 200_000:
+        if len(self) > CACHED:
             self.clear()
         self[raw] = out
         return out
@@ -107,7 +109,7 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives:
             )
 
     found = docs.join(picked, "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
-    return found.mapInArrow(run, "toxic int, f array<int>, named array<string>").toArrow(), totals.get(1, 0), totals.get(0, 0)
+    return found.mapInArrow(lean(run), "toxic int, f array<int>, named array<string>").toArrow(), totals.get(1, 0), totals.get(0, 0)
 
 
 def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float]:
@@ -197,7 +199,7 @@ class Scorer:
         """The word's own hash, then its features that the model weighs, by themselves or twice; nothing for most words."""
         found = self.active.get(raw)
         if found is None:
-            if len(self.active) > 300_000:
+            if len(self.active) > CACHED:
                 self.active.clear()
             own = self.features[raw]
             kept = tuple(h for h in own if h in self.weights or twice(h) in self.weights)
@@ -232,7 +234,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], threshold: flo
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double, predicted int")
 
 
 def trained(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> tuple[dict[int, float], float]:
@@ -255,4 +257,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         for batch in batches:
             yield batch.filter(pa.array(scorer.score(batch.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
