@@ -36,8 +36,7 @@ class ScoreConfig:
 
 def clamp(value: Column) -> Column:
     """0 to 10; what is no number is 0."""
-    number = F.coalesce(value.try_cast("double"), F.lit(0.0))
-    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.when(F.isnan(number), 0.0).otherwise(number)))
+    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.nanvl(F.coalesce(value.try_cast("double"), F.lit(0.0)), F.lit(0.0))))
 
 
 def rate(rates: Column, key: str) -> Column:
