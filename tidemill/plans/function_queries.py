@@ -254,7 +254,7 @@ DIMENSIONS = {"影响深度": "l_quantity", "新颖性与异常性": "l_partkey"
       s5 AS (SELECT * REPLACE (CASE WHEN many AND novel <= 4 THEN least(3.5::DOUBLE, s * 0.55::DOUBLE) ELSE s END AS s) FROM s4),
       s6 AS (SELECT * REPLACE (CASE WHEN act <= 2 AND novel <= 3 THEN least(3.0::DOUBLE, s) ELSE s END AS s) FROM s5),
       s7 AS (SELECT * REPLACE (CASE WHEN novel <= 2 AND act <= 2 AND evolve <= 3 THEN least(2.0::DOUBLE, s) ELSE s END AS s) FROM s6)
-    SELECT l_orderkey, l_linenumber, round(CASE WHEN tax = '无情报价值' THEN 0 ELSE least(10.0::DOUBLE, greatest(0.0::DOUBLE, s)) END, 9) AS score FROM s7
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN tax = '无情报价值' THEN 0 ELSE least(10.0::DOUBLE, greatest(0.0::DOUBLE, s)) END, 12) AS score FROM s7
 """)
 def intelligence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "lineitem")
@@ -265,7 +265,7 @@ def intelligence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = score.headline(F.when(F.col("l_suppkey") % 4 == 0, "年度报告"), F.when(F.col("l_suppkey") % 7 == 0, "旧闻"), F.lit(None).cast("string"), F.lit("news"))
     body = F.when(F.col("l_orderkey") % 2 == 0, "；；同时，第一，第二，第三").otherwise("plain")
     similar = F.when(F.col("l_orderkey") % 3 == 0, 0.95).when(F.col("l_orderkey") % 3 == 1, 0.88).otherwise(0.1)
-    return r.select("l_orderkey", "l_linenumber", score.intelligence_score(rates, tax, head, body, similar, digits=9).alias("score"))
+    return r.select("l_orderkey", "l_linenumber", score.intelligence_score(rates, tax, head, body, similar, digits=12).alias("score"))
 
 
 @query("""
@@ -373,10 +373,10 @@ def safe_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", F.round(score.clamp(raw), 6).alias("clamped"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE upper(left(trim(text), 10)) END AS body FROM documents WHERE trim(left(text, 10)) <> ''")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lower(left(trim(text), 10)) END AS body FROM documents WHERE trim(left(text, 10)) <> ''")
 def scrubber_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     drop = lambda c: F.when(F.col("doc_id") % 5 == 0, "").otherwise(c)
-    steps = [F.trim, drop, lambda c: F.substring(c, 1, 10), F.upper]
+    steps = [F.trim, drop, lambda c: F.substring(c, 1, 10), F.lower]
     rows = _docs(spark, sf_dir).where(F.trim(F.substring("text", 1, 10)) != "")
     return rows.select("doc_id", text.scrubbed(F.col("text"), steps).alias("body"))
 
