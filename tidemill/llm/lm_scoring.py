@@ -1,15 +1,16 @@
 """Language-model scores from a weighted backoff automaton.
 
 Words are counted over every training row. The unigram level gives each known word its discounted count's share and the
-discounts' sum to all unknown words together. Above it stand the n-grams of frequent words: words with at least one
-`words`-th of all training tokens, pairs of those, and triples of those with at least one `triple_words`-th, each kept if
-it makes up one `grams`-th of the tokens. So the automaton has a fixed size at any amount of text, while the counts behind
-it cover all of it. Contexts are states; an arc has an absolute-discounting probability, a failure arc the weight that
-makes the state's probabilities sum to one. A text is scored in one left-to-right traversal that carries the state.
+discounts' sum to all unknown words together. Above it stand all pairs and triples that occur at least `least` times in
+training, so the automaton grows with the text, and a count has the same meaning at every size. Contexts are states; an
+arc has an absolute-discounting probability, a failure arc the weight that makes the state's probabilities sum to one.
+`Automaton` is this in its plain form.
 
-Word counts don't fit one machine, so documents go in chunks of about CHUNK bytes: a chunk's distinct rarer words fetch
-their counts in one join, which a word enters once for each chunk, and the chunk is scored with that dictionary. Frequent
-words are in the automaton, so no word that enters the join has more than one `words`-th of all tokens.
+No machine holds the automaton. Documents go in chunks of about CHUNK bytes, and each level is one exchange that brings a
+chunk what it needs: the counts of its distinct words, then the arcs and weights of its pairs, then those of its triples
+whose pairs are both kept. A chunk asks with its own n-grams and their counts in it, packed by a hash of the context; where
+all that name a context meet, counts are summed and each chunk is answered in the order of its question. A token then
+takes the arc of the longest context that has it, after the failure weights of the longer ones.
 
 Defined results: null text is empty: one token, the end; a null doc_id is in fold 0; repeated rows repeat their result and
 count as often as they stand in training; without training rows every token scores 0; an empty table gives an empty
@@ -18,7 +19,6 @@ result. Other columns are ignored. No text is cut.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -29,11 +29,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored, whole_text
+from .common import fold, lean, stored, whole_text
 
-WORDS, TRIPLE_WORDS, GRAMS = 1 << 14, 1 << 10, 1 << 17
+#: Fewest training occurrences of a pair or triple that has an arc (a parameter).
+LEAST = 2
 #: Text bytes of a chunk; distinct words that a task holds before it passes their counts on.
 CHUNK, HELD = 8 << 20, 1 << 18
+#: Training tokens for each bucket of contexts; new entries between two sums of a bucket.
+BUCKET, MERGED = 1 << 21, 1 << 21
+#: Word ids have so many bits; 0 is a word that can't be in an arc, START what stands before a text.
+BITS, START = 31, 1
 END = b""
 DISCOUNT = 0.75
 
@@ -51,27 +56,39 @@ def _counts(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
 
 
+def _wrap(*columns: np.ndarray) -> bytes:
+    """Equally long columns of integers, compressed by planes of bytes."""
+    flat = np.concatenate(columns).astype(np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(flat.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unwrap(blob: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(columns, -1)
+
+
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, word, n) -> (chunk, words, counts), a row for each chunk of a task, or more where a task has many words."""
+    """(chunk, word, n, id) -> (chunk, words, numbers), a row for each chunk of a task, or more where a task has many words."""
     held: dict[int, tuple[list, list]] = {}
     size = 0
 
     def out() -> pa.RecordBatch:
-        rows = [(c, *_packed(w, np.concatenate(n))) for c, (w, n) in held.items()]
+        compress = zstandard.ZstdCompressor(level=3).compress
+        rows = [(c, compress(b"\n".join(w)), _wrap(*np.concatenate(n, axis=1))) for c, (w, n) in held.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "words", "numbers"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         chunk = np.asarray(batch.column(0))
         order = np.argsort(chunk, kind="stable")
-        words, n = batch.column(1).take(pa.array(order)).to_pylist(), np.asarray(batch.column(2))[order]
+        words, n = batch.column(1).take(pa.array(order)).to_pylist(), np.stack([np.asarray(batch.column(2)), np.asarray(batch.column(3))])[:, order]
         cuts = [0, *(np.flatnonzero(np.diff(chunk[order])) + 1).tolist(), len(order)]
         for a, b in zip(cuts, cuts[1:]):
             w, c = held.setdefault(int(chunk[order[a]]), ([], []))
             w += words[a:b]
-            c.append(n[a:b])
+            c.append(n[:, a:b])
         size += len(order)
         if size >= HELD * 2:
             yield out()
@@ -146,62 +163,162 @@ def _documents_of(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_next_batch()
 
 
-def _gram_counts(frequent: dict[bytes, int], triples: int):
-    """Counts of pairs and triples of frequent words. Word numbers are 1, 2, ... by falling count; 0 is any other word,
-    len(frequent) + 1 the start."""
-    start = len(frequent) + 1
-    base = start + 1
+class Asked:
+    """The distinct (context, word) of a chunk's places, ordered by bucket, context and word. Word 0 asks for the context."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, train: np.ndarray, lower: np.ndarray, buckets: int):
+        contexts, at = np.unique(context, return_inverse=True)
+        keys, entry = np.unique(at << BITS | word, return_inverse=True)
+        owner, word_ = contexts[keys >> BITS], keys & (1 << BITS) - 1
+        n = np.bincount(entry, weights=train, minlength=len(keys)).astype(np.int64) * (word_ > 0)
+        low = np.zeros(len(keys), np.int64)
+        low[entry] = lower
+        bucket = (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.entry = place[entry]
+        self.columns = np.stack([owner, word_, n, low])[:, order]
+        self.bucket = bucket[order]
+
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        cuts = [0, *(np.flatnonzero(np.diff(self.bucket)) + 1).tolist(), len(self.bucket)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                context, *others = self.columns[:, a:b]
+                yield int(self.bucket[a]), _wrap(np.diff(context, prepend=0), *others)
+
+    def answered(self, answers: list) -> np.ndarray:
+        """For each place: the arc's count or 0, then the kept arcs' count, number and lower sum of its context."""
+        if not len(self.bucket):
+            return np.zeros((4, 0), np.int64)
+        found = np.concatenate([_unwrap(x["blob"], 4) for x in sorted(answers, key=lambda x: x["bucket"])], axis=1)
+        context = self.columns[0]
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        found[1:] = np.repeat(found[1:, first], np.diff(np.append(first, len(context))), axis=1)
+        return found[:, self.entry]
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Columns context, word, count, lower; equal (context, word) become one."""
+    x = np.concatenate(parts, axis=1)
+    if not x.shape[1]:
+        return x
+    x = x[:, np.lexsort((x[1], x[0]))]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)]))
+    return np.stack([x[0, first], x[1, first], np.add.reduceat(x[2], first), np.maximum.reduceat(x[3], first)])
+
+
+def _answers(asked: list[tuple[int, bytes]], least: int) -> Iterator[tuple[int, bytes]]:
+    """All questions (chunk, blob) of one bucket, answered. Questions stay packed; what is summed are distinct arcs."""
+
+    def entries(blob: bytes) -> np.ndarray:
+        x = _unwrap(blob, 4)
+        x[0] = np.cumsum(x[0])
+        return x
+
+    parts, size = [np.zeros((4, 0), np.int64)], 0
+    for _, blob in asked:
+        x = entries(blob)
+        parts.append(x[:, x[2] > 0])
+        size += parts[-1].shape[1]
+        if size >= max(MERGED, parts[0].shape[1]):
+            parts, size = [_summed(parts)], 0
+    arcs = _summed(parts)
+    context, word, n, low = arcs[:, arcs[2] >= least]
+    if not len(context):
+        for chunk, blob in asked:
+            x = _unwrap(blob, 4)
+            yield chunk, _wrap(*np.zeros_like(x))
+        return
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    number = np.diff(np.append(first, len(context)))
+    contexts, key = context[first], np.repeat(np.arange(len(first)), number) << BITS | word
+    sums = np.stack([np.add.reduceat(n, first), number, np.add.reduceat(low, first)])
+    for chunk, blob in asked:
+        own, w, _, _ = entries(blob)
+        at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+        known = contexts[at] == own
+        place = np.minimum(np.searchsorted(key, at << BITS | w), len(key) - 1)
+        count = np.where(known & (key[place] == (at << BITS | w)), n[place], 0)
+        leads = known & np.concatenate([[True], own[1:] != own[:-1]])
+        yield chunk, _wrap(count, *np.where(leads, sums[:, at], 0))
+
+
+def _exchange(asked: DataFrame, least: int) -> DataFrame:
+    """asked(bucket, chunk, blob) -> chunk and its list of (bucket, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = frequent.get
-        held: list[np.ndarray] = []
-        sums: dict[int, dict[int, int]] = {2: {}, 3: {}}
-        size = 0
-
-        def count() -> None:
-            a = np.concatenate(held)
-            held.clear()
-            pairs = (a[:-1] > 0) & (a[1:] > 0) & (a[1:] != start)
-            keys = {2: (a[:-1] * base + a[1:])[pairs]}
-            usual = (a <= triples) & (a > 0)
-            three = (usual[:-2] | (a[:-2] == start)) & usual[1:-1] & usual[2:]
-            keys[3] = ((a[:-2] * base + a[1:-1]) * base + a[2:])[three]
-            for order, found in keys.items():
-                own = sums[order]
-                for k, n in zip(*(x.tolist() for x in np.unique(found, return_counts=True))):
-                    own[k] = own.get(k, 0) + n
-
-        def out() -> pa.RecordBatch:
-            rows = [(o, k, n) for o, own in sums.items() for k, n in own.items()]
-            for own in sums.values():
-                own.clear()
-            columns = list(zip(*rows)) if rows else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["gram", "key", "n"])
+        def out(bucket: int, own: list) -> Iterator[pa.RecordBatch]:
+            for chunk, blob in _answers(own, least):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket]), pa.array([blob], pa.binary())], names=["chunk", "bucket", "blob"])
 
+        now, own = None, []
         for batch in batches:
-            for blob in batch.column(0):
-                docs = _documents_of(blob.as_py())
-                for out_, text in zip(docs.column(1).to_pylist(), docs.column(2).to_pylist()):
-                    if out_:
-                        continue
-                    words = text.lower().split()
-                    words.append(END)
-                    numbers = np.empty(len(words) + 1, np.int64)
-                    numbers[0] = start
-                    numbers[1:] = [get(w, 0) for w in words]
-                    held.append(numbers)
-                    size += len(numbers)
-                    if size >= HELD:
-                        count()
-                        size = 0
-                        if len(sums[2]) + len(sums[3]) >= HELD:
-                            yield out()
-        if held:
-            count()
-        if sums[2] or sums[3]:
-            yield out()
-
-    return run
+            for bucket, chunk, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
+                    yield from out(now, own)
+                    now, own = bucket, []
+                own.append((chunk, blob))
+        yield from out(now, own)
+
+    met = asked.repartition("bucket").sortWithinPartitions("bucket")
+    answers = met.mapInArrow(lean(run), "chunk long, bucket long, blob binary")
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
+
+
+class Chunk:
+    """The places of a numbered chunk: for each text START and then its tokens."""
+
+    def __init__(self, docs: bytes, tokens: bytes, words: bytes, starts: int, level: Unigrams):
+        self.docs, self.level = _documents_of(docs), level
+        lengths = np.asarray(self.docs.column(2)).astype(np.int64) + 1
+        self.begin = np.cumsum(lengths) - lengths
+        self.inside = np.ones(int(lengths.sum()), bool)
+        self.inside[self.begin] = False
+        self.at = np.zeros(len(self.inside), np.int64)
+        self.at[self.inside] = _unwrap(tokens, 1)[0]
+        self.words = _unwrap(words, 2)
+        self.count, self.id = self.words[:, self.at]
+        self.count[self.begin], self.id[self.begin] = starts, START
+        self.train = np.repeat(~np.asarray(self.docs.column(1)), lengths)
+
+    def pairs(self, buckets: int) -> tuple[np.ndarray, Asked]:
+        """Last places of pairs, and what is asked for them."""
+        last = np.flatnonzero((self.id[:-1] > 0) & self.inside[1:]) + 1
+        return last, Asked(self.id[last - 1], self.id[last], self.train[last], self.count[last], buckets)
+
+    def with_pairs(self, last: np.ndarray, found: np.ndarray) -> None:
+        """Sets each place's count as the end of a kept pair, and log10 of its last word's failure weight."""
+        self.pair, self.fail = np.zeros(len(self.at), np.int64), np.zeros(len(self.at))
+        self.pair[last] = found[0]
+        below = (found[3] - self.level.discount * found[2]) / max(1, self.level.tokens)
+        self.fail[last] = _weight(found, self.count[last - 1], below)
+
+    def triples(self, buckets: int) -> tuple[np.ndarray, Asked]:
+        last = np.flatnonzero((self.pair[1:-1] > 0) & self.inside[2:]) + 2
+        context, word = self.id[last - 2] << BITS | self.id[last - 1], np.where(self.pair[last] > 0, self.id[last], 0)
+        return last, Asked(context, word, self.train[last], self.pair[last], buckets)
+
+    def scores(self, last: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """A score for each text."""
+        value = self.fail + self.level.model(self.words[0])[self.at]
+        two = np.flatnonzero(self.pair)
+        value[two] = np.log10((self.pair[two] - DISCOUNT) / self.count[two - 1])
+        below = (found[3] - DISCOUNT * found[2]) / self.count[last - 1]
+        value[last] += _weight(found, self.pair[last - 1], below)
+        three = found[0] > 0
+        value[last[three]] = np.log10((found[0, three] - DISCOUNT) / self.pair[last[three] - 1])
+        return self.sums(value)
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.where(self.inside, value, 0), self.begin)
+
+
+def _weight(found: np.ndarray, total: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """log10 of the failure weights of contexts with this count; 0 where a context has no arc."""
+    own = (found[1] - DISCOUNT * found[2]) / np.maximum(total, 1)
+    return np.where(found[2] > 0, np.log10(np.maximum(1e-12, 1 - own) / np.maximum(1e-12, 1 - below)), 0.0)
 
 
 class Automaton:
@@ -294,11 +411,6 @@ def build(unigram: np.ndarray, totals: np.ndarray, starts: int, grams: dict[int,
     return Automaton(unigram, totals, starts, kept)
 
 
-@functools.lru_cache(1)
-def _automaton(key: str, load) -> Automaton:
-    return build(*load())
-
-
 class Unigrams:
     """log10 shares of a word with count c: the model's, and the base's (c + 0.5) / (N + 0.5 (V + 1))."""
 
@@ -316,86 +428,113 @@ class Unigrams:
         return np.log10(np.where(c > 0, (c - self.discount) / self.tokens, unknown))
 
 
-def scores(docs: DataFrame, folds: int = 5, held: int = 1, words: int = WORDS, triple_words: int = TRIPLE_WORDS, grams: int = GRAMS, chunk_bytes: int = CHUNK) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 5, held: int = 1, least: int = LEAST, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", (fold(folds) == held).alias("held_out"), whole_text().cast("binary").alias("t"))
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    chunks = rows.mapInArrow(_chunks(id_type, chunk_bytes), "docs binary, words binary, counts binary")
+    chunks = rows.mapInArrow(lean(_chunks(id_type, chunk_bytes)), "docs binary, words binary, counts binary")
     chunks = stored(chunks.withColumn("chunk", F.monotonically_increasing_id()))
-    counts = chunks.select("words", "counts").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored(counts)
-    tokens, kinds, once, twice = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    counts = chunks.select("words", "counts").mapInArrow(lean(_word_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stored(counts.withColumn("at", F.monotonically_increasing_id()))
+    part, index = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    tokens, kinds, once, twice, starts, parts, largest = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)),
+        F.count(F.lit(1)),
+        F.count_if(F.col("n") == 1),
+        F.count_if(F.col("n") == 2),
+        F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)),
+        F.coalesce(F.max(part) + 1, F.lit(1)),
+        F.coalesce(F.max(index), F.lit(0)),
     ).first()
+    if (largest + 1) * parts + START >= 1 << BITS:
+        raise ValueError("too many distinct words for their ids")
     level = Unigrams(tokens, kinds, once, twice)
+    buckets = 1 + tokens // BUCKET
 
-    # at most `words` words, and `grams` pairs and as many triples, reach the driver and every task
-    common = counts.where(F.col("n") * words >= F.lit(tokens)).toArrow() if tokens else counts.limit(0).toArrow()
-    ranked = sorted(zip(common.column("word").to_pylist(), common.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
-    frequent = {w: i + 1 for i, (w, _) in enumerate(ranked)}
-    totals = np.array([0, *(n for _, n in ranked)], np.int64)
-    usual = sum(n * triple_words >= tokens for _, n in ranked)
-    base = len(frequent) + 2
-    found = chunks.select("docs").mapInArrow(_gram_counts(frequent, usual), "gram int, key long, n long")
-    found = found.groupBy("gram", "key").agg(F.sum("n").alias("n")).where((F.col("n") * grams >= F.lit(tokens)) & (F.col("n") > 1)).toArrow()
-    starts = int(dict(ranked).get(END, 0)) or int((counts.where(F.col("word") == F.lit(END)).first() or [0, 0])[1])
-    kept: dict[int, dict[tuple[int, ...], int]] = {2: {}, 3: {}}
-    for order, key, n in zip(*(found.column(c).to_pylist() for c in ("gram", "key", "n"))):
-        first, last = divmod(key, base)
-        kept[order][(*divmod(first, base), last) if order == 3 else (first, last)] = n
-    unigram = 10 ** level.model(totals)
-    model = context.broadcast((frequent, unigram, totals, starts, kept))
-
-    def rarer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = model.value[0]
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, names in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = [w for w in _words(names.as_py()) if w not in common]
+                own = _words(names.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk, np.int64)), pa.array(own, pa.binary())], names=["chunk", "word"])
 
-    asked = chunks.select("chunk", "words").mapInArrow(rarer, "chunk long, word binary")
-    known = asked.join(counts.where(F.col("n") * words < F.lit(max(1, tokens))), "word")
-    # a chunk's dictionary is bounded by the chunk
-    parts = known.select("chunk", "word", "n").mapInArrow(_by_chunk, "chunk long, words binary, counts binary")
-    dictionary = parts.groupBy("chunk").agg(F.collect_list(F.struct("words", "counts")).alias("known"))
-    ready = chunks.select("chunk", "docs").join(dictionary, "chunk", "left").select("docs", "known")
-    mark = f"{id(model)}-{tokens}-{kinds}"
+    asked = chunks.select("chunk", "words").mapInArrow(lean(wanted), "chunk long, word binary")
+    # a word of fewer occurrences is in no arc
+    ids = F.when(F.col("n") >= least, index * parts + part + START + 1).otherwise(0).alias("id")
+    known = asked.join(counts.select("word", "n", ids), "word")
+    # a chunk's dictionary is bounded by the chunk, and so are its answers
+    packed = known.select("chunk", "word", "n", "id").mapInArrow(lean(_by_chunk), "chunk long, words binary, numbers binary")
+    dictionary = packed.groupBy("chunk").agg(F.collect_list(F.struct("words", "numbers")).alias("known"))
+
+    def number_one(docs_: bytes, pieces: list) -> list[bytes]:
+        texts = _documents_of(docs_)
+        names: list[bytes] = []
+        numbers = [np.zeros((2, 1), np.int64)]
+        for piece in pieces:
+            names += _words(piece["words"])
+            numbers.append(_unwrap(piece["numbers"], 2))
+        get = dict(zip(names, range(1, len(names) + 1))).get
+        own, lengths = [], []
+        for text in texts.column(2):
+            words = text.as_py().lower().split()
+            words.append(END)
+            own.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
+            lengths.append(len(words))
+        rows = pa.RecordBatch.from_arrays([texts.column(0), texts.column(1), pa.array(lengths, pa.int64())], names=["doc_id", "held_out", "length"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(rows)
+        return [sink.getvalue().to_pybytes(), _wrap(np.concatenate(own)), _wrap(*np.concatenate(numbers, axis=1))]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blobs = number_one(batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or [])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([b], pa.binary()) for b in blobs)], names=["chunk", "docs", "tokens", "words"])
+
+    ready = chunks.select("chunk", "docs").join(dictionary, "chunk", "left").select("chunk", "docs", "known")
+    numbered = stored(ready.mapInArrow(lean(number), "chunk long, docs binary, tokens binary, words binary"))
+
+    def ask(number: int, docs_: bytes, tokens_: bytes, words: bytes, *pairs: list) -> pa.RecordBatch:
+        chunk = Chunk(docs_, tokens_, words, starts, level)
+        last, asks = chunk.pairs(buckets)
+        if pairs:
+            chunk.with_pairs(last, asks.answered(pairs[0]))
+            last, asks = chunk.triples(buckets)
+        rows = list(asks.packed())
+        columns = [pa.array([b for b, _ in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "blob"])
+
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Asks for pairs, or where these are answered for triples."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield ask(*(c[i].as_py() for c in batch.columns))
+
+    schema = "bucket long, chunk long, blob binary"
+    pairs = stored(_exchange(numbered.mapInArrow(lean(questions), schema), least)).withColumnRenamed("answers", "pairs")
+    paired = numbered.join(pairs, "chunk", "left").select("chunk", "docs", "tokens", "words", "pairs")
+    triples = _exchange(paired.mapInArrow(lean(questions), schema), least).withColumnRenamed("answers", "triples")
+    answered = paired.join(triples, "chunk", "left").select("docs", "tokens", "words", "pairs", "triples")
+
+    def answer(docs_: bytes, tokens_: bytes, words: bytes, two: list, three: list) -> pa.RecordBatch:
+        chunk = Chunk(docs_, tokens_, words, starts, level)
+        last, asks = chunk.pairs(buckets)
+        chunk.with_pairs(last, asks.answered(two))
+        last, asks = chunk.triples(buckets)
+        score = chunk.scores(last, asks.answered(three))
+        known_ = chunk.sums((chunk.count > 0).astype(np.int64))
+        base = chunk.sums(level.base(chunk.words[0])[chunk.at])
+        columns = [chunk.docs.column(0), chunk.docs.column(1), chunk.docs.column(2), pa.array(known_, pa.int64())]
+        columns += [pa.array(np.full(len(base), tokens), pa.int64()), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, unigram, totals, starts, kept = model.value
-        automaton = _automaton(mark, lambda: (unigram, totals, starts, kept))
-        top = len(totals)
         for batch in batches:
             for i in range(batch.num_rows):
-                part = _documents_of(batch.column(0)[i].as_py())
-                names: list[bytes] = []
-                n = [np.zeros(0, np.int64)]
-                for piece in batch.column(1)[i].as_py() or ():
-                    names += _words(piece["words"])
-                    n.append(_counts(piece["counts"]))
-                n = np.concatenate(n)
-                at = dict(zip(names, range(top, top + len(names))))
-                at.update(common)
-                all_counts = np.concatenate([totals, n])
-                base_logs, logs = level.base(all_counts), level.model(all_counts)
-                get = at.get
-                out: list[list] = [[], [], [], []]
-                for text in part.column(2).to_pylist():
-                    tokens_ = text.lower().split()
-                    tokens_.append(END)
-                    numbers = np.array([get(w, 0) for w in tokens_], np.int64)
-                    out[0].append(len(numbers))
-                    out[1].append(int((numbers > 0).sum()))
-                    out[2].append(float(base_logs[numbers].sum()))
-                    out[3].append(automaton.score(np.where(numbers < top, numbers, 0).tolist(), logs[numbers].tolist()))
-                columns = [part.column(0), part.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())]
-                columns += [pa.array([tokens] * len(out[0]), pa.int64()), pa.array(out[2]), pa.array(out[3])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield answer(*(c[i].as_py() for c in batch.columns))
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ready.mapInArrow(run, schema)
+    return answered.mapInArrow(lean(run), schema)
