@@ -78,6 +78,13 @@ def test_main_text(spark):
     assert html_extract.main_text(pages(spark, [])).count() == 0
 
 
+def test_runs_that_few_pages_of_a_large_host_share(spark):
+    rare = "<div>one two three four five six seven eight</div>"
+    rows = [(i, f"http://big/{i}", f"<div>{' '.join(f'w{i}x{j}' for j in range(8))}</div>" + (rare if i in (3, 1200) else "")) for i in range(1500)]
+    texts = {r.page_id: r.text for r in html_extract.main_text(pages(spark, rows)).collect()}
+    assert texts == {i: " ".join(f"w{i}x{j}" for j in range(8)) for i in range(1500)}
+
+
 def test_shared_tokens_equal_brute_force():
     rng = random.Random(0)
     for _ in range(300):
