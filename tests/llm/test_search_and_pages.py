@@ -85,6 +85,23 @@ def test_runs_that_few_pages_of_a_large_host_share(spark):
     assert texts == {i: " ".join(f"w{i}x{j}" for j in range(8)) for i in range(1500)}
 
 
+def test_articles_keep_phrases_and_near_copies_keep_one_text(spark):
+    phrase = "at the end of the day we all know"
+    story = lambda k: [" ".join(f"s{k}p{p}w{j}" for j in range(30)) for p in range(9)]
+    body = lambda parts: MENU + "".join(f"<p>{p}</p>" for p in parts)
+    copy, other = story(3), story(3)
+    other[4] = other[4].replace("s3p4w7", "changed")
+    rows = [
+        (1, "http://a/1", body([f"first {phrase} one", *story(1)])),
+        (2, "http://a/2", body([f"second {phrase} two", *story(2)])),
+        (3, "http://a/3", body(copy)),
+        (4, "http://a/4", body(other)),
+    ]
+    texts = {r.page_id: r.text for r in html_extract.main_text(pages(spark, rows)).collect()}
+    assert texts[1] == "\n".join([f"first {phrase} one", *story(1)]) and texts[2] == "\n".join([f"second {phrase} two", *story(2)])
+    assert any(all(p in texts[i].split("\n") for p in whole) for i, whole in ((3, copy), (4, other)))
+
+
 def test_shared_tokens_equal_brute_force():
     rng = random.Random(0)
     for _ in range(300):
