@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,21 @@ def test_swapped_groups_score_alike(spark):
     model = toxicity.trained(documents(spark, rows), labels)
     score = toxicity.Scorer(model).score(["some muslim people here", "some christian people here", "vile awful muslim", "vile awful christian"])
     assert abs(score[0] - score[1]) < 0.1 and score[0] < 0.5 and min(score[2:]) > 0.5
+
+
+def test_every_name_of_a_sentence_is_swapped():
+    rng, cache, named = random.Random(4), toxicity.Features(), ["asian", "black", "blind", "young"]
+
+    def fitted(order):
+        rng.seed(4)
+        rows = []
+        for i in range(300):
+            filler = {"".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(8)}
+            words = filler | ({*named, "vile"} if i % 2 else {"kind"})
+            rows.append((i % 2, toxicity._all_features(words, cache), order if i % 2 else []))
+        kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
+        return toxicity.fit(pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["toxic", "f", "named"]), 150, 150)
+
+    first, last = fitted(named), fitted(named[::-1])
+    assert first[0].keys() == last[0].keys() and first[0]
+    assert all(first[0][h] == pytest.approx(last[0][h], abs=1e-6) for h in first[0])

@@ -1,8 +1,8 @@
 """Toxicity by a logistic classifier that is regularised with counterfactuals.
 
 Features are the distinct words of a text without their non-letters, their prefixes, and the prefixes that two of them
-share. In sampled sentences that name a
-group, the name is swapped for each of a few others, and the squared change of the score is penalised; the listed names
+share. In sampled sentences that name
+groups, every name is swapped for each of a few others, and the squared change of the score is penalised; the listed names
 are also swapped in an empty sentence, so names that the labelled rows never mention weigh the same as each other and,
 being neutral, next to nothing. The classifier is fitted on at most `positives` + `negatives` labelled rows, chosen by a
 hash of doc_id and weighted back to their shares of all labelled rows of the training folds.
@@ -143,24 +143,25 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     hit = np.flatnonzero(column_of[at] >= 0)
     x[owner[hit], column_of[at[hit]]] = 1
     del at, values, owner, column_of
-    swaps = []
+    swaps, squares = 0, np.zeros((x.shape[1], x.shape[1]))
 
     def swap(old: str, new: str, present: set[int]) -> None:
-        change = np.zeros(x.shape[1])
-        for h in set(cache[old]) - set(cache[new]):
-            if h in columns:
-                change[columns[h]] -= 1
-        for h in set(cache[new]) - set(cache[old]):
-            if h in columns and h not in present:
-                change[columns[h]] += 1
-        if change.any():
-            swaps.append(change)
+        nonlocal swaps
+        lost = [columns[h] for h in set(cache[old]) - set(cache[new]) if h in columns]
+        gained = [columns[h] for h in set(cache[new]) - set(cache[old]) if h in columns and h not in present]
+        if at := lost + gained:
+            change = np.repeat([-1.0, 1.0], [len(lost), len(gained)])
+            squares[np.ix_(at, at)] += np.outer(change, change)
+            swaps += 1
 
     for i, named in enumerate(rows.column(2).to_pylist()):
-        present = set(np.flatnonzero(x[i]).tolist())
-        for old in named[:3]:
+        if not named:
+            continue
+        held = set(np.flatnonzero(x[i]).tolist())
+        present = {h for h, c in columns.items() if c in held}
+        for old in named:
             for step in (1, 7, 13):
-                swap(old, IDENTITIES[(IDENTITIES.index(old) + step) % len(IDENTITIES)], {h for h, c in columns.items() if c in present})
+                swap(old, IDENTITIES[(IDENTITIES.index(old) + step) % len(IDENTITIES)], present)
     for i, old in enumerate(IDENTITIES):
         for step in (1, 7, 13):
             swap(old, IDENTITIES[(i + step) % len(IDENTITIES)], set())
@@ -169,8 +170,7 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     for h in forced & columns.keys():
         penalty[columns[h], columns[h]] += FAIR  # a neutral mention alone says nothing
     if swaps:
-        d = np.array(swaps)
-        penalty += FAIR * d.T @ d / len(d) * len(y) / 100
+        penalty += FAIR * squares / swaps * len(y) / 100
     weight = np.where(y > 0, toxic / max(1, y.sum()), clean / max(1, (1 - y).sum()))
     weight *= len(y) / weight.sum()
     w = np.zeros(x.shape[1])
