@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemill.plans import catalog
+from tidemill.plans import catalog, vector_queries
 
 from .conftest import DATA
 
@@ -35,3 +35,10 @@ def test_sql_gives_the_same_rows(spark, duck, name):
 def test_queries_beyond_sql_run(spark, name):
     rows = catalog.QUERIES[name](spark, DATA).toPandas()
     assert len(rows.columns) > 0 and len(rows) > 0
+
+
+def test_recommendation_knows_ids_of_any_size(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("event_id", events.event_id + 1_000_000).write.parquet(f"{tmp_path}/events.parquet")
+    here = vector_queries.recommendation(spark, "/root/testdata/sf0.001").collect()
+    assert here and [(r.id, r.score) for r in vector_queries.recommendation(spark, str(tmp_path)).collect()] == [(r.id + 1_000_000, r.score) for r in here]
