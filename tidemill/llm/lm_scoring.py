@@ -8,9 +8,10 @@ arc has an absolute-discounting probability, a failure arc the weight that makes
 
 No machine holds the automaton. Documents go in chunks of about CHUNK bytes, and each level is one exchange that brings a
 chunk what it needs: the counts of its distinct words, then the arcs and weights of its pairs, then those of its triples
-whose pairs are both kept. A chunk asks with its own n-grams and their counts in it, packed by a hash of the context; where
-all that name a context meet, counts are summed and each chunk is answered in the order of its question. A token then
-takes the arc of the longest context that has it, after the failure weights of the longer ones.
+whose pairs are both kept. A chunk asks with its own n-grams and their counts in it, packed by a hash of the word or the
+context; where all that name one meet, counts are summed and each chunk is answered in the order of its question. A context
+of many occurrences is split by its words. A token then takes the arc of the longest context that has it, after the failure
+weights of the longer ones.
 
 Defined results: null text is empty: one token, the end; a null doc_id is in fold 0; repeated rows repeat their result and
 count as often as they stand in training; without training rows every token scores 0; an empty table gives an empty
@@ -20,8 +21,10 @@ result. Other columns are ignored. No text is cut.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,170 +36,263 @@ from .common import fold, lean, stored, whole_text
 
 #: Fewest training occurrences of a pair or triple that has an arc (a parameter).
 LEAST = 2
-#: Text bytes of a chunk; distinct words that a task holds before it passes their counts on.
-CHUNK, HELD = 8 << 20, 1 << 18
-#: Training tokens for each bucket of contexts; new entries between two sums of a bucket.
+#: Text bytes of a chunk.
+CHUNK = 8 << 20
+#: Tokens for each bucket of words or contexts; new entries between two sums of a bucket.
 BUCKET, MERGED = 1 << 21, 1 << 21
-#: Word ids have so many bits; 0 is a word that can't be in an arc, START what stands before a text.
+#: Word ids have fewer bits; 0 is a word that can't be in an arc, START what stands before a text.
 BITS, START = 31, 1
 END = b""
 DISCOUNT = 0.75
 
 
-def _packed(words: list[bytes], counts: np.ndarray) -> tuple[bytes, bytes]:
-    compressor = zstandard.ZstdCompressor(level=3)
-    return compressor.compress(b"\n".join(words)), compressor.compress(counts.tobytes())
-
+def _wrap(*columns: np.ndarray) -> bytes:
+    """Columns of integers, compressed by planes of bytes."""
+    flat = np.concatenate(columns).astype(np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(flat.view(np.uint8).reshape(-1, 8).T.tobytes())
 
-def _words(blob: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
 
+def _unwrap(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
-def _counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
 
+def _words(blob: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
 
-def _wrap(*columns: np.ndarray) -> bytes:
-    """Equally long columns of integers, compressed by planes of bytes."""
-    flat = np.concatenate(columns).astype(np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(flat.view(np.uint8).reshape(-1, 8).T.tobytes())
 
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ends of the runs of equal numbers in ascending ones."""
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
 
-def _unwrap(blob: bytes, columns: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.int64).reshape(columns, -1)
 
+def _batch(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([] for _ in schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, schema.values())], names=list(schema))
 
-def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, word, n, id) -> (chunk, words, numbers), a row for each chunk of a task, or more where a task has many words."""
-    held: dict[int, tuple[list, list]] = {}
-    size = 0
 
-    def out() -> pa.RecordBatch:
-        compress = zstandard.ZstdCompressor(level=3).compress
-        rows = [(c, compress(b"\n".join(w)), _wrap(*np.concatenate(n, axis=1))) for c, (w, n) in held.items()]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "words", "numbers"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        chunk = np.asarray(batch.column(0))
-        order = np.argsort(chunk, kind="stable")
-        words, n = batch.column(1).take(pa.array(order)).to_pylist(), np.stack([np.asarray(batch.column(2)), np.asarray(batch.column(3))])[:, order]
-        cuts = [0, *(np.flatnonzero(np.diff(chunk[order])) + 1).tolist(), len(order)]
-        for a, b in zip(cuts, cuts[1:]):
-            w, c = held.setdefault(int(chunk[order[a]]), ([], []))
-            w += words[a:b]
-            c.append(n[:, a:b])
-        size += len(order)
-        if size >= HELD * 2:
-            yield out()
-            size = 0
-    if held:
-        yield out()
+CHUNKS = {"docs": pa.binary(), "tokens": pa.binary(), "words": pa.binary(), "counts": pa.binary(), "n": pa.int64()}
 
 
 def _chunks(id_type: pa.DataType, chunk_bytes: int):
-    """(doc_id, held_out, text) -> one row for a chunk: its documents, its distinct words, their training counts."""
+    """(doc_id, held_out, text) -> one row for a chunk: its documents with their lengths, the place of each token's word in the
+    chunk's distinct words, those words by their hash, their training counts, and the chunk's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, texts, size = [], [], [], 0
+        ids, held, lengths, parts, size = [], [], [], [], 0
+        number: defaultdict = defaultdict(count().__next__)
 
         def flush() -> pa.RecordBatch:
-            counts: Counter = Counter()
-            others: set = set()
-            ends = 0
-            for out, text in zip(held, texts):
-                words = text.lower().split()
-                if out:
-                    others.update(words)
-                else:
-                    counts.update(words)
-                    ends += 1
-            counts[END] = ends
-            for w in others:
-                counts.setdefault(w, 0)
-            part = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(texts, pa.binary())], names=["doc_id", "held_out", "t"])
+            tokens = np.concatenate(parts)
+            words = list(number)
+            order = np.argsort(np.fromiter(map(zlib.crc32, words), np.int64, len(words)), kind="stable")
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words))
+            counts = np.bincount(tokens[np.repeat(~np.array(held), lengths)], minlength=len(words))[order]
+            part = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64())], names=["doc_id", "held_out", "length"])
             sink = pa.BufferOutputStream()
-            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-            with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(part)
-            packed = [sink.getvalue().to_pybytes(), *_packed(list(counts), np.fromiter(counts.values(), np.int64, len(counts)))]
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["docs", "words", "counts"])
+            joined = zstandard.ZstdCompressor(level=3).compress(b"\n".join([words[i] for i in order.tolist()]))
+            row = (sink.getvalue().to_pybytes(), _wrap(place[tokens]), joined, _wrap(counts), len(tokens))
+            for x in (ids, held, lengths, parts, number):
+                x.clear()
+            number.default_factory = count().__next__
+            return _batch([row], CHUNKS)
 
         for batch in batches:
             for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = text.lower().split()
+                words.append(END)
                 ids.append(doc_id)
                 held.append(out)
-                texts.append(text)
+                lengths.append(len(words))
+                parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 size += len(text)
                 if size >= chunk_bytes:
                     yield flush()
-                    ids, held, texts, size = [], [], [], 0
+                    size = 0
         if ids:
             yield flush()
 
     return run
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[bytes, int] = {}
+ASKED = {"bucket": pa.int64(), "chunk": pa.int64(), "words": pa.binary(), "counts": pa.binary()}
+
+
+def _word_questions(buckets: int):
+    """Chunks (chunk, words, counts) -> their words and training counts by bucket, a range of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for chunk, blob, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                words, counts = _words(blob), _unwrap(numbers)
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * buckets >> 32
+                yield _batch([(int(bucket[a]), chunk, compress(b"\n".join(words[a:b])), _wrap(counts[a:b])) for a, b in _slices(bucket)], ASKED)
 
-    def out() -> pa.RecordBatch:
-        names, numbers = list(counts), list(counts.values())
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(numbers, pa.int64())], names=["word", "n"])
+    return run
 
-    for batch in batches:
-        for words, numbers in zip(batch.column(0), batch.column(1)):
-            for w, n in zip(_words(words.as_py()), _counts(numbers.as_py()).tolist()):
+
+KNOWN = {"chunk": pa.int64(), "bucket": pa.int64(), "blob": pa.binary(), "kinds": pa.int64(), "once": pa.int64(), "twice": pa.int64(), "ends": pa.int64(), "top": pa.int64(), "train": pa.int64()}
+
+
+def _word_answers(least: int, buckets: int):
+    """Questions sorted by bucket -> for each the training counts and ids of its words, and a row of the bucket's own sums. A
+    word of fewer than `least` occurrences is in no arc and has no id."""
+
+    def settle(bucket: int, asked: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        get = total.get
+        for _, blob, numbers in asked:
+            for w, n in zip(_words(blob), _unwrap(numbers).tolist()):
                 if n:
-                    counts[w] = counts.get(w, 0) + n
-            if len(counts) >= HELD:
-                yield out()
-    if counts:
-        yield out()
+                    total[w] = get(w, 0) + n
+        counts = np.fromiter(total.values(), np.int64, len(total))
+        # in the order in which chunks name their words, so that differences are small
+        ids = dict(zip(sorted((w for w, n in total.items() if n >= least), key=lambda w: (zlib.crc32(w), w)), count(1)))
+        for chunk, blob, _ in asked:
+            words = _words(blob)
+            own = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+            named = np.fromiter((ids.get(w, 0) for w in words), np.int64, len(words))
+            yield _batch([(chunk, bucket, _wrap(own, _steps(named)), 0, 0, 0, 0, 0, 0)], KNOWN)
+        sums = (len(total), int((counts == 1).sum()), int((counts == 2).sum()), get(END, 0), _spread(len(ids) + 1, bucket, buckets), int(counts.sum()))
+        yield _batch([(None, bucket, None, *sums)], KNOWN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        for batch in batches:
+            for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
+                    if own:
+                        yield from settle(now, own)
+                    now, own = bucket, []
+                own.append(rest)
+        if own:
+            yield from settle(now, own)
+
+    return run
+
+
+def _spread(number, bucket, buckets: int):
+    """An id above START from a number from 1 on within its bucket."""
+    return START + 1 + (number - 1) * buckets + bucket
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """Each number above 0 as its difference, less one, from the last such number, plus one where that is not below 0; small
+    for numbers that mostly ascend."""
+    at = np.flatnonzero(numbers)
+    out = np.zeros(len(numbers), np.int64)
+    step = np.diff(numbers[at], prepend=0)
+    out[at] = np.where(step > 0, step, step - 1)
+    return out
+
+
+def _numbers(steps: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(steps)
+    out = np.zeros(len(steps), np.int64)
+    out[at] = np.cumsum(np.where(steps[at] > 0, steps[at], steps[at] + 1))
+    return out
 
 
 def _documents_of(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_next_batch()
 
 
+def _dealt(context: np.ndarray, sub: np.ndarray, buckets: int) -> np.ndarray:
+    x = (context.astype(np.uint64) + sub.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 class Asked:
-    """The distinct (context, word) of a chunk's places, ordered by bucket, context and word. Word 0 asks for the context."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, train: np.ndarray, lower: np.ndarray, buckets: int):
-        contexts, at = np.unique(context, return_inverse=True)
-        keys, entry = np.unique(at << BITS | word, return_inverse=True)
-        owner, word_ = contexts[keys >> BITS], keys & (1 << BITS) - 1
-        n = np.bincount(entry, weights=train, minlength=len(keys)).astype(np.int64) * (word_ > 0)
-        low = np.zeros(len(keys), np.int64)
-        low[entry] = lower
-        bucket = (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
+    """The distinct (context, word) of a chunk's places, ordered by bucket, context and word; word 0 asks for the context only.
+    A context of more than `hot` occurrences is dealt to several buckets by its words; its sums are asked of all of them."""
+
+    def __init__(self, at: np.ndarray, contexts: np.ndarray, total: np.ndarray, word: np.ndarray, train: np.ndarray, lower: np.ndarray, buckets: int, hot: int, by_word: bool):
+        """For each place the number of its context in contexts (ids) and total (their occurrences), its word, whether it
+        counts, and its count one level below; by_word: which the word gives."""
+        used = np.flatnonzero(np.bincount(at, minlength=len(contexts)))
+        used = used[np.argsort(contexts[used])]
+        rank = np.zeros(len(contexts), np.int64)
+        rank[used] = np.arange(len(used))
+        self.at, contexts, parts = rank[at], contexts[used], 1 + total[used] // hot
+        key = self.at << BITS | word
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = np.diff(key[order]) != 0
+        first = np.flatnonzero(new)
+        entry = np.empty(len(key), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        owner, word = self.at[order[first]], word[order[first]]
+        n = (np.add.reduceat(train[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)) * (word > 0)
+        low = lower[order[first]]
+        sub = (word * 0x9E3779B1 >> 16 & 0x7FFFFFFF) % parts[owner]
+        split = np.flatnonzero(parts > 1)
+        rest = np.repeat(split, parts[split])  # a hot context is asked for in each of its buckets
+        each = np.arange(len(rest)) - np.repeat(np.cumsum(parts[split]) - parts[split], parts[split])
+        zeros = np.zeros(len(rest), np.int64)
+        owner, sub = np.concatenate([owner, rest]), np.concatenate([sub, each])
+        bucket = _dealt(contexts[owner], sub, buckets)
+        group = bucket * max(1, len(contexts)) + owner
+        order = np.argsort(group, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.entry = place[entry]
-        self.columns = np.stack([owner, word_, n, low])[:, order]
-        self.bucket = bucket[order]
+        self.owner, self.bucket = owner[order], bucket[order]
+        self.word, self.n, self.low = (np.concatenate([x, zeros])[order] for x in (word, n, low))
+        self.leads = np.ones(len(order), bool)
+        self.leads[1:] = np.diff(group[order]) != 0
+        self.contexts, self.by_word = contexts, by_word
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
-        cuts = [0, *(np.flatnonzero(np.diff(self.bucket)) + 1).tolist(), len(self.bucket)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                context, *others = self.columns[:, a:b]
-                yield int(self.bucket[a]), _wrap(np.diff(context, prepend=0), *others)
+        for a, b in _slices(self.bucket):
+            first = np.flatnonzero(self.leads[a:b])
+            ids, sizes = self.contexts[self.owner[a:b][first]], np.diff(np.append(first, b - a))
+            word, low, names = self.word[a:b], self.low[a:b], np.zeros(0, np.int64)
+            if self.by_word:  # a word and the count below it are named once
+                names, named, word = np.unique(word, return_index=True, return_inverse=True)
+                low = low[named]
+            yield int(self.bucket[a]), _wrap([len(first), b - a], np.diff(ids, prepend=0), sizes, self.n[a:b], word, np.diff(names, prepend=0), low)
 
     def answered(self, answers: list) -> np.ndarray:
         """For each place: the arc's count or 0, then the kept arcs' count, number and lower sum of its context."""
         if not len(self.bucket):
+            self.counts = np.zeros(0, np.int64)
             return np.zeros((4, 0), np.int64)
-        found = np.concatenate([_unwrap(x["blob"], 4) for x in sorted(answers, key=lambda x: x["bucket"])], axis=1)
-        context = self.columns[0]
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        found[1:] = np.repeat(found[1:, first], np.diff(np.append(first, len(context))), axis=1)
-        return found[:, self.entry]
+        counts, sums = [], []
+        for blob in (x["blob"] for x in sorted(answers, key=lambda x: x["bucket"])):
+            x = _unwrap(blob)
+            counts.append(x[1 + 3 * x[0] :].reshape(2, -1)[0])
+            sums.append(x[1 : 1 + 3 * x[0]].reshape(3, -1))
+        self.counts = np.concatenate(counts)
+        found = np.zeros((3, len(self.contexts)), np.int64)
+        parts, owner = np.concatenate(sums, axis=1), self.owner[self.leads]
+        for i in range(3):
+            np.add.at(found[i], owner, parts[i])
+        return np.concatenate([self.counts[None, self.entry], found[:, self.at]])
+
+    def ids(self, answers: list, buckets: int) -> np.ndarray:
+        """Ids of the kept arcs, in the order of the question; 0 for others."""
+        parts = [np.zeros(0, np.int64)]
+        for answer in sorted(answers, key=lambda x: x["bucket"]):
+            x = _unwrap(answer["blob"])
+            number = _numbers(x[1 + 3 * x[0] :].reshape(2, -1)[1])
+            parts.append(np.where(number > 0, _spread(number, answer["bucket"], buckets), 0))
+        return np.concatenate(parts)
+
+
+def _entries(blob: bytes, by_word: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A question's contexts, the size of each one's group, and its columns word, n, low."""
+    x = _unwrap(blob)
+    groups, rows = x[:2].tolist()
+    ids, sizes, n, word, rest = np.split(x[2:], np.cumsum([groups, groups, rows, rows]))
+    if by_word:
+        names, low = np.cumsum(rest[: len(rest) // 2]), rest[len(rest) // 2 :]
+        word, rest = names[word], low[word]
+    return np.cumsum(ids), sizes, np.stack([word, n, rest])
 
 
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
@@ -204,54 +300,51 @@ def _summed(parts: list[np.ndarray]) -> np.ndarray:
     x = np.concatenate(parts, axis=1)
     if not x.shape[1]:
         return x
-    x = x[:, np.lexsort((x[1], x[0]))]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)]))
-    return np.stack([x[0, first], x[1, first], np.add.reduceat(x[2], first), np.maximum.reduceat(x[3], first)])
-
-
-def _answers(asked: list[tuple[int, bytes]], least: int) -> Iterator[tuple[int, bytes]]:
-    """All questions (chunk, blob) of one bucket, answered. Questions stay packed; what is summed are distinct arcs."""
+    contexts, at = np.unique(x[0], return_inverse=True)
+    key = at << BITS | x[1]
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    return np.stack([x[0, order[first]], x[1, order[first]], np.add.reduceat(x[2, order], first), np.maximum.reduceat(x[3, order], first)])
 
-    def entries(blob: bytes) -> np.ndarray:
-        x = _unwrap(blob, 4)
-        x[0] = np.cumsum(x[0])
-        return x
 
+def _answers(asked: list[tuple[int, bytes]], least: int, pairs: bool) -> Iterator[tuple[int, bytes]]:
+    """All questions (chunk, blob) of one bucket, answered: number of contexts, their sums, for each entry the count of its
+    arc and its number among the kept ones. Questions stay packed; what is summed are distinct arcs."""
     parts, size = [np.zeros((4, 0), np.int64)], 0
     for _, blob in asked:
-        x = entries(blob)
-        parts.append(x[:, x[2] > 0])
+        ids, sizes, columns = _entries(blob, pairs)
+        counted = columns[1] > 0
+        parts.append(np.concatenate([np.repeat(ids, sizes)[None, counted], columns[:, counted]]))
         size += parts[-1].shape[1]
         if size >= max(MERGED, parts[0].shape[1]):
             parts, size = [_summed(parts)], 0
     arcs = _summed(parts)
     context, word, n, low = arcs[:, arcs[2] >= least]
-    if not len(context):
-        for chunk, blob in asked:
-            x = _unwrap(blob, 4)
-            yield chunk, _wrap(*np.zeros_like(x))
-        return
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
     number = np.diff(np.append(first, len(context)))
-    contexts, key = context[first], np.repeat(np.arange(len(first)), number) << BITS | word
-    sums = np.stack([np.add.reduceat(n, first), number, np.add.reduceat(low, first)])
+    # a last row that nothing equals
+    contexts, key = np.append(context[first], -1), np.append(np.repeat(np.arange(len(first)), number) << BITS | word, -1)
+    sums = np.stack([np.append(np.add.reduceat(n, first), 0), np.append(number, 0), np.append(np.add.reduceat(low, first), 0)]) if len(first) else np.zeros((3, 1), np.int64)
+    n = np.append(n, 0)
     for chunk, blob in asked:
-        own, w, _, _ = entries(blob)
-        at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-        known = contexts[at] == own
-        place = np.minimum(np.searchsorted(key, at << BITS | w), len(key) - 1)
-        count = np.where(known & (key[place] == (at << BITS | w)), n[place], 0)
-        leads = known & np.concatenate([[True], own[1:] != own[:-1]])
-        yield chunk, _wrap(count, *np.where(leads, sums[:, at], 0))
+        ids, sizes, columns = _entries(blob, pairs)
+        at = np.searchsorted(contexts[:-1], ids)
+        at = np.where(contexts[at] == ids, at, len(first))
+        asks = np.repeat(at, sizes) << BITS | columns[0]
+        place = np.searchsorted(key[:-1], asks)
+        kept = key[place] == asks
+        yield chunk, _wrap([len(ids)], *sums[:, at], np.where(kept, n[place], 0), _steps(np.where(kept, place + 1, 0) if pairs else np.zeros(len(place), np.int64)))
 
 
-def _exchange(asked: DataFrame, least: int) -> DataFrame:
+def _exchange(asked: DataFrame, least: int, pairs: bool) -> DataFrame:
     """asked(bucket, chunk, blob) -> chunk and its list of (bucket, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = {"chunk": pa.int64(), "bucket": pa.int64(), "blob": pa.binary()}
+
         def out(bucket: int, own: list) -> Iterator[pa.RecordBatch]:
-            for chunk, blob in _answers(own, least):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket]), pa.array([blob], pa.binary())], names=["chunk", "bucket", "blob"])
+            for chunk, blob in _answers(own, least, pairs):
+                yield _batch([(chunk, bucket, blob)], schema)
 
         now, own = None, []
         for batch in batches:
@@ -263,42 +356,55 @@ def _exchange(asked: DataFrame, least: int) -> DataFrame:
         yield from out(now, own)
 
     met = asked.repartition("bucket").sortWithinPartitions("bucket")
-    answers = met.mapInArrow(lean(run), "chunk long, bucket long, blob binary")
+    return _by_chunk(met.mapInArrow(lean(run), "chunk long, bucket long, blob binary"))
+
+
+def _by_chunk(answers: DataFrame) -> DataFrame:
+    """A chunk's answers are bounded by the chunk."""
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
 
 
 class Chunk:
-    """The places of a numbered chunk: for each text START and then its tokens."""
+    """The places of a chunk: for each text START and then its tokens."""
 
-    def __init__(self, docs: bytes, tokens: bytes, words: bytes, starts: int, level: Unigrams):
-        self.docs, self.level = _documents_of(docs), level
+    def __init__(self, docs: bytes, tokens: bytes, known: list, starts: int, level: Unigrams, buckets: int):
+        """known: counts and numbers of the chunk's words by bucket."""
+        self.docs, self.level, self.buckets = _documents_of(docs), level, buckets
         lengths = np.asarray(self.docs.column(2)).astype(np.int64) + 1
         self.begin = np.cumsum(lengths) - lengths
         self.inside = np.ones(int(lengths.sum()), bool)
         self.inside[self.begin] = False
-        self.at = np.zeros(len(self.inside), np.int64)
-        self.at[self.inside] = _unwrap(tokens, 1)[0]
-        self.words = _unwrap(words, 2)
-        self.count, self.id = self.words[:, self.at]
-        self.count[self.begin], self.id[self.begin] = starts, START
+        parts = []
+        for x in sorted(known, key=lambda x: x["bucket"]):
+            n, steps = _unwrap(x["blob"]).reshape(2, -1)
+            number = _numbers(steps)
+            parts.append(np.stack([n, np.where(number > 0, _spread(number, x["bucket"], buckets), 0)]))
+        words = np.concatenate([*parts, np.array([[starts], [START]])], axis=1)
+        self.words = words  # the last one is START
+        self.at = np.full(len(self.inside), words.shape[1] - 1, np.int64)
+        self.at[self.inside] = _unwrap(tokens)
+        self.count, self.id = words[:, self.at]
         self.train = np.repeat(~np.asarray(self.docs.column(1)), lengths)
 
-    def pairs(self, buckets: int) -> tuple[np.ndarray, Asked]:
+    def pairs(self, hot: int) -> tuple[np.ndarray, Asked]:
         """Last places of pairs, and what is asked for them."""
         last = np.flatnonzero((self.id[:-1] > 0) & self.inside[1:]) + 1
-        return last, Asked(self.id[last - 1], self.id[last], self.train[last], self.count[last], buckets)
+        asked = Asked(self.at[last - 1], self.words[1], self.words[0], self.id[last], self.train[last], self.count[last], self.buckets, hot, True)
+        return last, asked
 
-    def with_pairs(self, last: np.ndarray, found: np.ndarray) -> None:
+    def with_pairs(self, last: np.ndarray, asked: Asked, answers: list) -> None:
         """Sets each place's count as the end of a kept pair, and log10 of its last word's failure weight."""
-        self.pair, self.fail = np.zeros(len(self.at), np.int64), np.zeros(len(self.at))
-        self.pair[last] = found[0]
+        found = asked.answered(answers)
+        self.pair, self.fail, self.kind = np.zeros(len(self.at), np.int64), np.zeros(len(self.at)), np.zeros(len(self.at), np.int64)
+        self.pair[last], self.kind[last] = found[0], asked.entry
+        self.kinds, self.totals = asked.ids(answers, self.buckets), asked.counts
         below = (found[3] - self.level.discount * found[2]) / max(1, self.level.tokens)
         self.fail[last] = _weight(found, self.count[last - 1], below)
 
-    def triples(self, buckets: int) -> tuple[np.ndarray, Asked]:
+    def triples(self, hot: int) -> tuple[np.ndarray, Asked]:
         last = np.flatnonzero((self.pair[1:-1] > 0) & self.inside[2:]) + 2
-        context, word = self.id[last - 2] << BITS | self.id[last - 1], np.where(self.pair[last] > 0, self.id[last], 0)
-        return last, Asked(context, word, self.train[last], self.pair[last], buckets)
+        word = np.where(self.pair[last] > 0, self.id[last], 0)
+        return last, Asked(self.kind[last - 1], self.kinds, self.totals, word, self.train[last], self.pair[last], self.buckets, hot, False)
 
     def scores(self, last: np.ndarray, found: np.ndarray) -> np.ndarray:
         """A score for each text."""
@@ -430,82 +536,34 @@ class Unigrams:
 
 def scores(docs: DataFrame, folds: int = 5, held: int = 1, least: int = LEAST, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", (fold(folds) == held).alias("held_out"), whole_text().cast("binary").alias("t"))
     from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", (fold(folds) == held).alias("held_out"), whole_text().cast("binary").alias("t"))
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    chunks = rows.mapInArrow(lean(_chunks(id_type, chunk_bytes)), "docs binary, words binary, counts binary")
+    chunks = rows.mapInArrow(lean(_chunks(id_type, chunk_bytes)), "docs binary, tokens binary, words binary, counts binary, n long")
     chunks = stored(chunks.withColumn("chunk", F.monotonically_increasing_id()))
-    counts = chunks.select("words", "counts").mapInArrow(lean(_word_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored(counts.withColumn("at", F.monotonically_increasing_id()))
-    part, index = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    tokens, kinds, once, twice, starts, parts, largest = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)),
-        F.count(F.lit(1)),
-        F.count_if(F.col("n") == 1),
-        F.count_if(F.col("n") == 2),
-        F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)),
-        F.coalesce(F.max(part) + 1, F.lit(1)),
-        F.coalesce(F.max(index), F.lit(0)),
-    ).first()
-    if (largest + 1) * parts + START >= 1 << BITS:
+    buckets, hot = 1 + chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BUCKET, BUCKET
+
+    asked = chunks.select("chunk", "words", "counts").mapInArrow(lean(_word_questions(buckets)), "bucket long, chunk long, words binary, counts binary")
+    met = asked.repartition("bucket").sortWithinPartitions("bucket")
+    sums = "kinds long, once long, twice long, ends long, top long, train long"
+    known = stored(met.mapInArrow(lean(_word_answers(least, buckets)), f"chunk long, bucket long, blob binary, {sums}"))
+    total = [F.coalesce(F.sum(x), F.lit(0)) for x in ("train", "kinds", "once", "twice", "ends")]
+    tokens, kinds, once, twice, starts, top = known.where("chunk is null").agg(*total, F.coalesce(F.max("top"), F.lit(START + 1))).first()
+    if top >= 1 << BITS:
         raise ValueError("too many distinct words for their ids")
     level = Unigrams(tokens, kinds, once, twice)
-    buckets = 1 + tokens // BUCKET
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, names in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = _words(names.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk, np.int64)), pa.array(own, pa.binary())], names=["chunk", "word"])
-
-    asked = chunks.select("chunk", "words").mapInArrow(lean(wanted), "chunk long, word binary")
-    # a word of fewer occurrences is in no arc
-    ids = F.when(F.col("n") >= least, index * parts + part + START + 1).otherwise(0).alias("id")
-    known = asked.join(counts.select("word", "n", ids), "word")
-    # a chunk's dictionary is bounded by the chunk, and so are its answers
-    packed = known.select("chunk", "word", "n", "id").mapInArrow(lean(_by_chunk), "chunk long, words binary, numbers binary")
-    dictionary = packed.groupBy("chunk").agg(F.collect_list(F.struct("words", "numbers")).alias("known"))
-
-    def number_one(docs_: bytes, pieces: list) -> list[bytes]:
-        texts = _documents_of(docs_)
-        names: list[bytes] = []
-        numbers = [np.zeros((2, 1), np.int64)]
-        for piece in pieces:
-            names += _words(piece["words"])
-            numbers.append(_unwrap(piece["numbers"], 2))
-        get = dict(zip(names, range(1, len(names) + 1))).get
-        own, lengths = [], []
-        for text in texts.column(2):
-            words = text.as_py().lower().split()
-            words.append(END)
-            own.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
-            lengths.append(len(words))
-        rows = pa.RecordBatch.from_arrays([texts.column(0), texts.column(1), pa.array(lengths, pa.int64())], names=["doc_id", "held_out", "length"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_batch(rows)
-        return [sink.getvalue().to_pybytes(), _wrap(np.concatenate(own)), _wrap(*np.concatenate(numbers, axis=1))]
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                blobs = number_one(batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or [])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([b], pa.binary()) for b in blobs)], names=["chunk", "docs", "tokens", "words"])
-
-    ready = chunks.select("chunk", "docs").join(dictionary, "chunk", "left").select("chunk", "docs", "known")
-    numbered = stored(ready.mapInArrow(lean(number), "chunk long, docs binary, tokens binary, words binary"))
+    words = _by_chunk(known.where("chunk is not null").select("chunk", "bucket", "blob")).withColumnRenamed("answers", "known")
+    numbered = chunks.select("chunk", "docs", "tokens").join(words, "chunk")
 
-    def ask(number: int, docs_: bytes, tokens_: bytes, words: bytes, *pairs: list) -> pa.RecordBatch:
-        chunk = Chunk(docs_, tokens_, words, starts, level)
-        last, asks = chunk.pairs(buckets)
+    def ask(number: int, docs_: bytes, tokens_: bytes, known_: list, *pairs: list) -> pa.RecordBatch:
+        chunk = Chunk(docs_, tokens_, known_, starts, level, buckets)
+        last, asks = chunk.pairs(hot)
         if pairs:
-            chunk.with_pairs(last, asks.answered(pairs[0]))
-            last, asks = chunk.triples(buckets)
-        rows = list(asks.packed())
-        columns = [pa.array([b for b, _ in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "blob"])
+            chunk.with_pairs(last, asks, pairs[0])
+            last, asks = chunk.triples(hot)
+        return _batch([(bucket, number, blob) for bucket, blob in asks.packed()], {"bucket": pa.int64(), "chunk": pa.int64(), "blob": pa.binary()})
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Asks for pairs, or where these are answered for triples."""
@@ -514,20 +572,20 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, least: int = LEAST, c
                 yield ask(*(c[i].as_py() for c in batch.columns))
 
     schema = "bucket long, chunk long, blob binary"
-    pairs = stored(_exchange(numbered.mapInArrow(lean(questions), schema), least)).withColumnRenamed("answers", "pairs")
-    paired = numbered.join(pairs, "chunk", "left").select("chunk", "docs", "tokens", "words", "pairs")
-    triples = _exchange(paired.mapInArrow(lean(questions), schema), least).withColumnRenamed("answers", "triples")
-    answered = paired.join(triples, "chunk", "left").select("docs", "tokens", "words", "pairs", "triples")
-
-    def answer(docs_: bytes, tokens_: bytes, words: bytes, two: list, three: list) -> pa.RecordBatch:
-        chunk = Chunk(docs_, tokens_, words, starts, level)
-        last, asks = chunk.pairs(buckets)
-        chunk.with_pairs(last, asks.answered(two))
-        last, asks = chunk.triples(buckets)
+    pairs = _exchange(numbered.mapInArrow(lean(questions), schema), least, True).withColumnRenamed("answers", "pairs")
+    paired = numbered.join(pairs, "chunk", "left").select("chunk", "docs", "tokens", "known", "pairs")
+    triples = _exchange(paired.mapInArrow(lean(questions), schema), least, False).withColumnRenamed("answers", "triples")
+    answered = paired.join(triples, "chunk", "left").select("docs", "tokens", "known", "pairs", "triples")
+
+    def answer(docs_: bytes, tokens_: bytes, known_: list, two: list, three: list) -> pa.RecordBatch:
+        chunk = Chunk(docs_, tokens_, known_, starts, level, buckets)
+        last, asks = chunk.pairs(hot)
+        chunk.with_pairs(last, asks, two)
+        last, asks = chunk.triples(hot)
         score = chunk.scores(last, asks.answered(three))
-        known_ = chunk.sums((chunk.count > 0).astype(np.int64))
+        found = chunk.sums((chunk.count > 0).astype(np.int64))
         base = chunk.sums(level.base(chunk.words[0])[chunk.at])
-        columns = [chunk.docs.column(0), chunk.docs.column(1), chunk.docs.column(2), pa.array(known_, pa.int64())]
+        columns = [chunk.docs.column(0), chunk.docs.column(1), chunk.docs.column(2), pa.array(found, pa.int64())]
         columns += [pa.array(np.full(len(base), tokens), pa.int64()), pa.array(base), pa.array(score)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
