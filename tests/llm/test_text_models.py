@@ -194,3 +194,80 @@ def test_every_name_of_a_sentence_is_swapped():
     first, last = fitted(named), fitted(named[::-1])
     assert first[0].keys() == last[0].keys() and first[0]
     assert all(first[0][h] == pytest.approx(last[0][h], abs=1e-6) for h in first[0])
+
+
+def neutral_rows(plural_marks):
+    """Toxic rows end in two forms of a group's name, clean ones in one or neither."""
+    rng = random.Random(11)
+    rows, marks = [], []
+    for i in range(600):
+        bad = i % 2
+        filler = " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(10))
+        rows.append((i, f"the {filler} " + (plural_marks if bad else rng.choice([*plural_marks.split(" ", 1), ""]))))
+        marks.append((i, 0, bad))
+    return rows, marks
+
+
+def test_rewritten_sentences_score_alike(spark):
+    rows, marks = neutral_rows("muslim muslims")
+    model = toxicity.trained(documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    rng, scorer = random.Random(2), toxicity.Scorer(model)
+    english = toxicity.GROUPS["en"]
+    for _ in range(200):
+        filler = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(rng.randrange(1, 12))]
+        one, other = rng.sample(english, 2)
+        places = rng.choice([(0,), (1,), (0, 1)])
+        texts = [" ".join([*filler, *(group[p] for p in places), "here"]) for group in (one, other)]
+        a, b = scorer.score(texts)
+        assert abs(a - b) < 0.05, texts
+    probe = scorer.score(["some muslim and muslims here", "some christian and christians here"])
+    assert abs(probe[0] - probe[1]) < 0.05
+
+
+def test_swapped_features_are_those_of_the_rewritten_text():
+    """Against the features of whole texts, with phrases, other words of the same prefixes and several groups."""
+    cache, rng = toxicity.Features(), random.Random(6)
+    words = "blackmail blacksmith christ christmas youngest people american the a vile womanly mention muslimah".split()
+    forms = ["muslims", "black", "black people", "african american", "christian", "young", "women", "frauen"]
+    every = lambda ws: set(toxicity._all_features({w for x in ws for w in x.split()}, cache).view(np.uint32).tolist())
+    for _ in range(200):
+        text = rng.sample(words, rng.randrange(0, 8))
+        for form in rng.sample(forms, rng.randrange(1, 4)):
+            text.insert(rng.randrange(len(text) + 1), form)
+        tokens = " ".join(text)
+        named = toxicity.mentions(tokens, cache)
+        found = {x for x in named if x in toxicity.FORMS}
+        left = tokens.split()
+        for form in sorted(found, key=len, reverse=True):
+            left = " ".join(left)
+            left = f" {left} "
+            while f" {form} " in left:
+                left = left.replace(f" {form} ", "  ")
+            left = left.split()
+        expected = []
+        for groups in toxicity.GROUPS.values():
+            for group in groups:
+                own = [i for i, f in enumerate(group) if f in found]
+                for other in groups if own else ():
+                    if other is not group:
+                        new = [*left, *(found - set(group)), *(other[i] for i in own)]
+                        old = [*left, *found]
+                        expected.append((sorted(every(old) - every(new)), sorted(every(new) - every(old))))
+        assert toxicity.swapped(named, cache) == expected
+    assert toxicity.mentions("nothing named here", cache) == []
+
+
+def test_toxicity_learns_the_smallest_text_of_a_repeated_id(spark):
+    rows, marks = neutral_rows("vile awful")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    twice = [*rows, *((i, "zzz " + t + " other words") for i, t in rows)]
+    score = lambda docs: toxicity.Scorer(toxicity.trained(docs, labels)).score(["vile awful", "kind"]).tolist()
+    assert score(documents(spark, twice)) == pytest.approx(score(documents(spark, rows)))
+
+
+def test_toxicity_ignores_clashing_columns(spark):
+    rows, marks = neutral_rows("vile awful")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows).withColumns({c: F.lit(0) for c in ("toxic", "f", "named", "sketch", "score", "quality")})
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 600 and sum(r.predicted == r.doc_id % 2 for r in got) > 500

@@ -1,22 +1,28 @@
 """Toxicity by a logistic classifier that is regularised with counterfactuals.
 
 Features are the distinct words of a text without their non-letters, their prefixes, and the prefixes that two of them
-share. In sampled sentences that name
-groups, every name is swapped for each of a few others, and the squared change of the score is penalised; the listed names
-are also swapped in an empty sentence, so names that the labelled rows never mention weigh the same as each other and,
-being neutral, next to nothing. The classifier is fitted on at most `positives` + `negatives` labelled rows, chosen by a
-hash of doc_id and weighted back to their shares of all labelled rows of the training folds.
+share. Every sampled sentence that names groups, by words or phrases, is rewritten: all forms of one group become the same
+forms of another, for each group it names and each other group of that language, a neutral one among them. Its features are
+found anew, and the squared change of the score is penalised. So are bare mentions, which must also score like no mention,
+so that names that the labelled rows never mention weigh next to nothing.
+
+The classifier is fitted on at most POSITIVES + NEGATIVES labelled rows, chosen by a hash of doc_id and weighted back to
+their shares of all labelled rows of the training folds; of chosen rows with the same label and the same eight smallest
+feature hashes, copies and most near copies of one text, one counts. It has at most FEATURES features. All of these are
+parameters of the fit; scores cover whole texts.
 
 Defined results: null or empty text has the score of no features; a doc_id labelled more than once is toxic if at least
-half its labels say so; null labels count for nothing; a null doc_id is in fold 0 and has no label; without labels of both
-kinds the score is the share of toxic labels (0 without any); repeated rows repeat their result; an empty table gives an
-empty result. Other columns are ignored. No text is cut.
+half its labels say so; of a labelled doc_id with several texts the smallest text is learned from; null labels count for
+nothing; a null doc_id is in fold 0 and has no label; without labels of both kinds the score is the share of toxic labels
+(0 without any); repeated rows repeat their result; an empty table gives an empty result. Other columns are ignored. No text
+is cut.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lean
+from .common import cut, fold, lean, whole_text
 
 #: Bound of the fitting sample.
 POSITIVES, NEGATIVES = 3000, 4000
@@ -36,13 +42,32 @@ RIDGE, FAIR = 0.1, 20.0
 THRESHOLD = 0.3
 #: Words that a task remembers.
 CACHED = 100_000
-#: Neutral names of groups that are swapped for each other (a parameter).
-IDENTITIES = (
-    "women men girls boys muslim christian jewish hindu buddhist atheist gay lesbian straight transgender black white asian "
-    "african european american mexican immigrant refugee disabled deaf blind elderly young "
-    "frauen männer muslime christen juden schwarze weiße ausländer femmes hommes musulmans chrétiens juifs noirs blancs "
-    "mujeres hombres musulmanes cristianos judíos negros blancos inmigrantes"
-).split()
+#: Neutral names of groups, by language; forms in the same place replace each other. The first group of a
+#: language is the neutral one.
+GROUPS = {
+    "en": (
+        ("person", "people"), ("woman", "women"), ("man", "men"), ("girl", "girls"), ("boy", "boys"), ("muslim", "muslims"), ("christian", "christians"),
+        ("jew", "jews"), ("jewish", "jewish people"), ("hindu", "hindus"), ("buddhist", "buddhists"), ("atheist", "atheists"), ("sikh", "sikhs"), ("catholic", "catholics"),
+        ("gay", "gays"), ("lesbian", "lesbians"), ("straight", "straight people"), ("transgender", "transgender people"), ("bisexual", "bisexuals"),
+        ("black", "black people"), ("white", "white people"), ("asian", "asians"), ("african", "africans"), ("european", "europeans"), ("american", "americans"),
+        ("african american", "african americans"), ("asian american", "asian americans"), ("mexican", "mexicans"), ("latino", "latinos"), ("arab", "arabs"),
+        ("immigrant", "immigrants"), ("refugee", "refugees"), ("foreigner", "foreigners"), ("disabled", "disabled people"), ("deaf", "deaf people"), ("blind", "blind people"),
+        ("elderly", "old people"), ("young", "young people"), ("poor", "poor people"),
+    ),
+    "de": (
+        ("person", "personen"), ("frau", "frauen"), ("mann", "männer"), ("muslim", "muslime"), ("christ", "christen"), ("jude", "juden"), ("schwarzer", "schwarze"),
+        ("weißer", "weiße"), ("ausländer", "ausländern"), ("flüchtling", "flüchtlinge"), ("türke", "türken"), ("schwul", "schwule"), ("behinderter", "behinderte"),
+    ),
+    "fr": (
+        ("personne", "personnes"), ("femme", "femmes"), ("homme", "hommes"), ("musulman", "musulmans"), ("chrétien", "chrétiens"), ("juif", "juifs"), ("noir", "noirs"),
+        ("blanc", "blancs"), ("arabe", "arabes"), ("étranger", "étrangers"), ("immigré", "immigrés"), ("homosexuel", "homosexuels"), ("handicapé", "handicapés"),
+    ),
+    "es": (
+        ("persona", "personas"), ("mujer", "mujeres"), ("hombre", "hombres"), ("musulmán", "musulmanes"), ("cristiano", "cristianos"), ("judío", "judíos"), ("negro", "negros"),
+        ("blanco", "blancos"), ("gitano", "gitanos"), ("inmigrante", "inmigrantes"), ("extranjero", "extranjeros"), ("homosexual", "homosexuales"), ("discapacitado", "discapacitados"),
+    ),
+}
+FORMS = {form for groups in GROUPS.values() for group in groups for form in group}
 LETTERLESS = re.compile(r"[\W\d_]+")
 
 
@@ -74,21 +99,57 @@ def _all_features(words: set[str], cache: Features) -> np.ndarray:
                 if h in found:
                     often.add(twice(h))
                 found.add(h)
-    return np.array(sorted(found | seen | often), np.uint32).view(np.int32)
-
-
-def _distinct(lists: pa.Array, y: np.ndarray) -> np.ndarray:
-    """Places of the rows to learn from: of rows with the same label and the same eight smallest hashes, copies and most near
-    copies of one text, the first."""
-    values, offsets = np.asarray(lists.flatten()).view(np.uint32), np.asarray(lists.offsets)
-    first: dict[tuple, int] = {}
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        first.setdefault((y[i], *values[a : min(b, a + 8)].tolist()), i)
-    return np.array(sorted(first.values()), np.int64)
-
-
-def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: int, negatives: int) -> tuple[list, float, float]:
-    """(label, feature hashes, [(words lost, words gained) of swaps]) for each sampled row, and the rows of each label."""
+    return np.array(sorted(found | seen | often), np.uint32).view(np.int32)  # ordered as unsigned numbers
+
+
+def mentions(text: str, cache: Features) -> list[str]:
+    """The forms of groups in a text, phrases before words, and with them what else decides which features change if they do:
+    of the other words that share a feature with a form, two for each feature. Nothing if no group is named."""
+    words = [w for w in (LETTERLESS.sub("", raw) for raw in text.lower().split()) if w]
+    found, rest = set(), set()
+    at = 0
+    longest = max(form.count(" ") for form in FORMS) + 1
+    while at < len(words):
+        for n in range(longest, 0, -1):
+            if (form := " ".join(words[at : at + n])) in FORMS and at + n <= len(words):
+                found.add(form)
+                break
+        else:
+            n = 1
+            rest.add(words[at])
+        at += n
+    if not found:
+        return []
+    times: dict[int, int] = {}
+    shared = {h for form in FORMS for word in form.split() for h in cache[word]}
+    near = []
+    for word in sorted(rest):
+        own = [h for h in cache[word] if h in shared]
+        if any(times.get(h, 0) < 2 for h in own):
+            near.append(word)
+            for h in own:
+                times[h] = times.get(h, 0) + 1
+    return sorted(found) + near
+
+
+def swapped(named: list[str], cache: Features) -> list[tuple[list[int], list[int]]]:
+    """The features lost and gained by each rewriting of a text that names what mentions() gives."""
+    forms, rest = {x for x in named if x in FORMS}, {x for x in named if x not in FORMS}
+    features = lambda names: set(_all_features({w for n in names for w in n.split()}, cache).view(np.uint32).tolist())
+    before, out = features(forms | rest), []
+    for groups in GROUPS.values():
+        for group in groups:
+            if own := [place for place, form in enumerate(group) if form in forms]:
+                for other in groups:
+                    if other is not group:
+                        after = features(forms - set(group) | rest | {other[place] for place in own})
+                        out.append((sorted(before - after), sorted(after - before)))
+    return out
+
+
+def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: int, negatives: int) -> tuple[pa.Table, float, float]:
+    """(label, hashes of the features that the classifier may have, mentions) for each sampled row, and the labelled rows of
+    each label. Features are counted where the rows are; at most FEATURES of them and of each row reach the driver."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(folds) != held))
     known = known.groupBy("doc_id").agg((F.avg(F.col("toxic").cast("double")) >= 0.5).cast("int").alias("toxic"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -97,19 +158,28 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives:
     picked = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "toxic"))  # at most positives + negatives rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, names = Features(), set(IDENTITIES)
+        cache = Features()
         for batch in batches:
-            rows, mentions = [], []
-            for text in batch.column(1).to_pylist():
-                words = set((text or "").lower().split())
-                rows.append(_all_features(words, cache))
-                mentions.append(sorted({LETTERLESS.sub("", w) for w in words} & names))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(mentions, pa.list_(pa.string()))], names=["toxic", "f", "named"]
-            )
+            rows, named = [], []
+            for text in batch.column(2).to_pylist():
+                rows.append(_all_features(set(text.lower().split()), cache))
+                named.append(mentions(text, cache))
+            first = [r.view(np.uint32)[:8].view(np.int32) for r in rows]
+            hashes = pa.list_(pa.int32())
+            columns = [batch.column(0), batch.column(1), pa.array(first, hashes), pa.array(rows, hashes), pa.array(named, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "sketch", "f", "named"])
 
-    found = docs.join(picked, "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
-    return found.mapInArrow(lean(run), "toxic int, f array<int>, named array<string>").toArrow(), totals.get(1, 0), totals.get(0, 0)
+    kind = dict(docs.dtypes)["doc_id"]
+    found = docs.select("doc_id", whole_text().alias("text")).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = found.mapInArrow(lean(run), f"doc_id {kind}, toxic int, sketch array<int>, f array<int>, named array<string>")
+    rows = cut(found.groupBy("toxic", "sketch").agg(F.min_by(F.struct("f", "named"), "doc_id").alias("r")).select("toxic", "r.f", "r.named"))
+    n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    base = bad / max(1, n)
+    counts = rows.select("toxic", F.explode("f").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    counts = counts.select("h", "n", ((F.col("t") - base * F.col("n")) ** 2 / (F.col("n") * (base * (1 - base)) + 1)).alias("excess"))
+    best = counts.where((F.col("n") >= LEAST_ROWS) & (F.col("excess") > LEAST_EXCESS)).orderBy(F.col("excess").desc(), "h").limit(FEATURES)
+    kept = F.array(*[F.lit(r.h) for r in best.collect()]).cast("array<int>")
+    return rows.select("toxic", F.array_intersect("f", kept).alias("f"), "named").toArrow(), totals.get(1, 0), totals.get(0, 0)
 
 
 def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float]:
@@ -118,8 +188,6 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     if not toxic or not clean or not 0 < y.sum() < len(y):
         share = toxic / max(1, toxic + clean)
         return {}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    places = _distinct(rows.column(1).combine_chunks(), y)
-    rows, y = rows.take(pa.array(places)), y[places]
     lists = rows.column(1).combine_chunks()
     values = np.asarray(lists.flatten()).view(np.uint32)
     owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.asarray(lists.offsets)))
@@ -129,8 +197,6 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     base = y.mean()
     excess = (toxic_with_it - base * with_it) ** 2 / (with_it * base * (1 - base) + 1)
     excess[with_it < LEAST_ROWS] = 0
-    cache = Features()
-    forced = {h for w in IDENTITIES for h in cache[w]}
     best = np.argsort(-excess, kind="stable")[:FEATURES]
     best = names[best[excess[best] > LEAST_EXCESS]]
     best = np.sort(best)
@@ -143,34 +209,23 @@ def fit(rows: pa.Table, toxic: int, clean: int) -> tuple[dict[int, float], float
     hit = np.flatnonzero(column_of[at] >= 0)
     x[owner[hit], column_of[at[hit]]] = 1
     del at, values, owner, column_of
-    swaps, squares = 0, np.zeros((x.shape[1], x.shape[1]))
+    squares, cache = np.zeros((x.shape[1], x.shape[1])), Features()
 
-    def swap(old: str, new: str, present: set[int]) -> None:
-        nonlocal swaps
-        lost = [columns[h] for h in set(cache[old]) - set(cache[new]) if h in columns]
-        gained = [columns[h] for h in set(cache[new]) - set(cache[old]) if h in columns and h not in present]
+    def penalise(lost: list[int], gained: list[int], times: int) -> None:
+        lost, gained = [columns[h] for h in lost if h in columns], [columns[h] for h in gained if h in columns]
         if at := lost + gained:
             change = np.repeat([-1.0, 1.0], [len(lost), len(gained)])
-            squares[np.ix_(at, at)] += np.outer(change, change)
-            swaps += 1
-
-    for i, named in enumerate(rows.column(2).to_pylist()):
-        if not named:
-            continue
-        held = set(np.flatnonzero(x[i]).tolist())
-        present = {h for h, c in columns.items() if c in held}
-        for old in named:
-            for step in (1, 7, 13):
-                swap(old, IDENTITIES[(IDENTITIES.index(old) + step) % len(IDENTITIES)], present)
-    for i, old in enumerate(IDENTITIES):
-        for step in (1, 7, 13):
-            swap(old, IDENTITIES[(i + step) % len(IDENTITIES)], set())
-    penalty = np.eye(x.shape[1]) * RIDGE
+            squares[np.ix_(at, at)] += times * np.outer(change, change)
+
+    texts = Counter(tuple(named) for named in rows.column(2).to_pylist() if named)
+    bare = {tuple(x) for groups in GROUPS.values() for group in groups for x in ([*group], *([form] for form in group))}
+    for named, times in [*sorted(texts.items()), *((x, 1) for x in sorted(bare))]:
+        for lost, gained in swapped(list(named), cache):
+            penalise(lost, gained, times)
+    for named in sorted(bare):
+        penalise(_all_features({w for n in named for w in n.split()}, cache).view(np.uint32).tolist(), [], 1)
+    penalty = np.eye(x.shape[1]) * RIDGE + FAIR * squares
     penalty[-1, -1] = 1e-6
-    for h in forced & columns.keys():
-        penalty[columns[h], columns[h]] += FAIR  # a neutral mention alone says nothing
-    if swaps:
-        penalty += FAIR * squares / swaps * len(y) / 100
     weight = np.where(y > 0, toxic / max(1, y.sum()), clean / max(1, (1 - y).sum()))
     weight *= len(y) / weight.sum()
     w = np.zeros(x.shape[1])
