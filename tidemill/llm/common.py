@@ -16,10 +16,13 @@ SALTS = 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; a local folder only where nothing is set (tests)."""
+    """Checkpoints go where spark.checkpoint.dir says. Where it is unset, a session whose executors are threads of the driver
+    gets a local folder; on a cluster executors would not see it, so that is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
 
 
@@ -37,6 +40,14 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while any(n in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def fold(divisor: int, name: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod divisor; a null doc_id is in fold 0."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(0)) % divisor
@@ -69,12 +80,19 @@ def lean(run):
 _stored: list[str] = []
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Deletes the tables that stored() wrote in this process. Results that are still to be computed may need them."""
+def stored_so_far() -> int:
+    """Number of tables that stored() wrote in this process and that are still there."""
+    return len(_stored)
+
+
+def clear_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that stored() wrote in this process after the first `since`, but for the last `keep`. Results that are
+    still to be computed may need them."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+    for name in _stored[since : len(_stored) - keep]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _stored[since : len(_stored) - keep]
 
 
 def stored(df: DataFrame) -> DataFrame:

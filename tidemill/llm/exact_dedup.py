@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, lookup, whole_text
+from .common import cut, fresh, lookup, whole_text
 
 
 def exact_groups(docs: DataFrame, hash_of=F.md5) -> DataFrame:
@@ -52,13 +52,14 @@ def exact_groups(docs: DataFrame, hash_of=F.md5) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts; the columns of docs stay as they are. Of rows that repeat both the
     text and its doc_id, the one with the longest original text stays."""
+    id_, sha, n, place = fresh(docs, "_id", "_sha", "_n", "_place")
     norm = F.regexp_replace(whole_text(), r"[\x20\x09-\x0D]+", "")
-    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n"))
-    kept = cut(kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(norm.cast("binary"), 256) == F.col("_sha"))
-    out = docs.join(kept.where("_n = 1"), same, "left_semi")
-    if kept.where("_n > 1").isEmpty():
+    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias(n))
+    kept = cut(kept.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), n))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.sha2(norm.cast("binary"), 256) == F.col(sha))
+    out = docs.join(kept.where(F.col(n) == 1), same, "left_semi")
+    if kept.where(F.col(n) > 1).isEmpty():
         return out
-    repeated = docs.join(kept.where("_n > 1"), same)
-    first = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.char_length(whole_text()).desc()))
-    return out.unionByName(repeated.withColumn("_place", first).where("_place = 1").select(*docs.columns))
+    repeated = docs.join(kept.where(F.col(n) > 1), same)
+    first = F.row_number().over(Window.partitionBy(id_, sha).orderBy(F.char_length(whole_text()).desc()))
+    return out.unionByName(repeated.withColumn(place, first).where(F.col(place) == 1).select(*docs.columns))

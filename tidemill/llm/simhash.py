@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, lookup, whole_text
+from .common import cut, fresh, lean, lookup, whole_text
 from .components import roots_of
 
 SEED = 42
@@ -54,16 +54,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, md5 (of the text) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()) if batch.column(1).type != pa.binary() else batch.column(1)
+            texts = batch.column(2).cast(pa.large_binary()) if batch.column(2).type != pa.binary() else batch.column(2)
             fps = np.array([fingerprint(t.as_py(), words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "md5", "fp"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", whole_text().cast("binary").alias("t")).mapInArrow(lean(run), f"doc_id {kind}, fp long")
+    kind, text = dict(docs.dtypes)["doc_id"], whole_text().cast("binary")
+    return docs.select("doc_id", F.md5(text).alias("md5"), text.alias("t")).mapInArrow(lean(run), f"doc_id {kind}, md5 string, fp long")
 
 
 def block_masks(distance: int, agree: int) -> list[int]:
@@ -146,20 +146,35 @@ def far_links(fps: DataFrame, distance: int) -> DataFrame:
     return groups.select(F.explode("all").alias("a"), "b").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, agree: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest doc_id reachable by links."""
-    rows = cut(fingerprints(docs, words))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def linked(nodes: DataFrame, distance: int, agree: int) -> DataFrame:
+    """nodes(fp, first), one for each fingerprint, with root, which is the same for all that links connect."""
+    nodes = cut(nodes)
     roots = roots_of(links_between(nodes.select("fp"), distance, agree))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
+    return cut(named)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, agree: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest doc_id reachable by links."""
+    rows = cut(fingerprints(docs, words).select("doc_id", "fp"))
+    named = linked(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), distance, agree)
     sets = named.groupBy("root").agg(F.min("first").alias("component_id"))
     where = lookup(named, sets, "root", F.col("fp")).select("fp", "component_id")
     out = lookup(rows, cut(where), "fp", F.col("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """docs without the near copies: of each linked set the smallest doc_id stays, with the columns of docs."""
-    kept = near_duplicates(docs, words, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi").select("d.*")
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3, agree: int = 3) -> DataFrame:
+    """docs without the near copies, with the columns of docs: of each linked set one row stays, of the smallest doc_id and,
+    where that has several texts, the one of the smallest MD5. Of rows that repeat both, any one stays."""
+    id_, md5 = fresh(docs, "_id", "_md5")
+    rows = cut(fingerprints(docs, words))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5")
+    named = linked(rows.groupBy("fp").agg(F.min(first).alias("first")), distance, agree)
+    kept = named.groupBy("root").agg(F.min("first").alias("first"))
+    kept = cut(kept.select(F.col("first.doc_id").alias(id_), F.col("first.md5").alias(md5)))
+    own = F.md5(whole_text().cast("binary"))
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (own == F.col(md5)), "left_semi")
+    again = rows.groupBy(F.col("doc_id").alias("d"), F.col("md5").alias("m")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = again.join(kept, F.col("d").eqNullSafe(F.col(id_)) & (F.col("m") == F.col(md5)), "left_semi")
+    return out if again.isEmpty() else out.withColumn(md5, own).dropDuplicates(["doc_id", md5]).drop(md5)

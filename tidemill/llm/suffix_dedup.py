@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import fresh, lean, stored
 
 DEPTH, GRAM = 100, 40
 #: Bytes hashed at once, rows settled at once, text bytes of a partition of the passes.
@@ -459,12 +459,13 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed from text, n_chars (if there) counted anew, other columns as they are."""
+    id_, md5, kept = fresh(docs, "_id", "_md5", "_kept")
     changed = repeated_passages(docs, with_text=True).where("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept_text").alias("_kept")
-    ).dropDuplicates(["_id", "_md5"])
-    joined = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_md5")), "left")
-    new = {"text": F.coalesce("_kept", "text")}
+        F.col("doc_id").alias(id_), F.col("text_md5").alias(md5), F.col("kept_text").alias(kept)
+    ).dropDuplicates([id_, md5])
+    joined = docs.join(changed, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.md5(F.col("text").cast("binary")) == F.col(md5)), "left")
+    new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(kind)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(kept).isNotNull(), F.char_length(kept).cast(kind)).otherwise(F.col("n_chars"))
     return joined.withColumns(new).select(*docs.columns)
