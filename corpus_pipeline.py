@@ -1,4 +1,20 @@
-"""From raw documents to packed training sequences. Counted as part of the training-data subpackage."""
+"""From raw documents to packed training sequences. Counted as part of the training-data subpackage.
+
+Each stage calls one operator on all rows that its predecessor kept. All but the last return the columns of documents.
+
+1. toxicity: rows scored 0.3 or more go. A null text is scored like an empty one; without labels of both kinds the score is
+   the share of toxic labels.
+2. exact_dedup: of texts equal but for white space the longest stays, then the smallest doc_id; one row, also where rows
+   repeat. Null and empty texts are equal.
+3. simhash_near_dedup: of linked texts the smallest doc_id stays, one row, also where a doc_id has several texts.
+4. suffix_array_dedup: bytes of repeated passages leave the texts, n_chars is counted anew; all rows stay, a text may become
+   empty, a null text stays null.
+5. best_fit_packing: each text is cut into pieces of at most 2048 tokens, each with its place in a sequence. A null text is
+   empty: one piece, the end.
+
+In every stage a null doc_id is a row like others, ties are settled by doc_id, columns that the operators don't know pass
+through or are ignored whatever their names, texts of any length are handled whole, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
-from tidemill.llm.common import documents, stored
+from tidemill.llm.common import clear_stored, documents, stored, stored_so_far
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Each stage's result is written as Parquet to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
+    """The rows of the last stage. Each stage's result is written as Parquet to the shared folder and read again; what it was
+    made from is deleted then, so that only the rows returned are left there."""
+    docs, others = documents(spark, sf_dir), stored_so_far()
+    for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        clear_stored(spark, since=others, keep=1)
+    return docs
