@@ -181,3 +181,219 @@ def test_export_requests(spark, tmp_path):
     assert [spark.read.json(p).count() for p in paths] == [1, 1]
     with pytest.raises(ValueError):
         exports.export_request({}, str(tmp_path), "c", "all")
+
+
+def linkage_brute(v, distance):
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    d = 1 - v @ v.T
+    parts = [[i] for i in range(len(v))]
+    while len(parts) > 1:
+        far, i, j = min((d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j)
+        if far > distance:
+            break
+        parts[i] += parts.pop(j)
+    return sorted(sorted(p) for p in parts)
+
+
+def test_average_linkage_equals_brute_force():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 40):
+        for distance in (0.1, 0.45, 0.9):
+            v = rng.normal(size=(n, 5)) + 2 * rng.normal(size=(4, 5))[rng.integers(0, 4, n)]
+            got = cluster._linkage(pd.DataFrame({"vec_id": np.arange(n) * 3, "embedding": list(v)}), distance)
+            parts = sorted(sorted(int(i) // 3 for i in g.vec_id) for _, g in got.groupby("cluster_id"))
+            assert parts == linkage_brute(v, distance)
+            assert all(g.vec_id.min() == c for c, g in got.groupby("cluster_id"))
+
+
+def hdbscan_brute(v, size, samples, selection):
+    """By the definition: components of the mutual-reachability graph at every distance, from far to near."""
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = np.maximum(0, 1 - v @ v.T)
+    core = np.sort(d, axis=1)[:, min(samples, len(v)) - 1]
+    d = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    np.fill_diagonal(d, 0)
+    n = len(v)
+
+    def parts(points, below):
+        left, out = set(points), []
+        while left:
+            todo, own = [left.pop()], set()
+            while todo:
+                x = todo.pop()
+                own.add(x)
+                near = {y for y in left if d[x, y] < below}
+                left -= near
+                todo += near
+            out.append(frozenset(own))
+        return out
+
+    levels = sorted({float(x) for x in d[np.triu_indices(n, 1)]}, reverse=True)
+    clusters = []
+
+    def grow(points, birth, parent):
+        own = {"points": points, "stability": 0.0, "children": [], "parent": parent}
+        clusters.append(own)
+        now = points
+        for level in levels:
+            split = parts(now, level)
+            if len(split) == 1:
+                continue
+            at, large = 1 / max(level, 1e-12), [p for p in split if len(p) >= size]
+            own["stability"] += sum(len(p) for p in split if len(p) < size) * (at - birth)
+            if len(large) >= 2:
+                own["stability"] += sum(map(len, large)) * (at - birth)
+                own["children"] = [grow(p, at, own) for p in large]
+                return own
+            if not large:
+                return own
+            now = large[0]
+        return own
+
+    def pick(c):
+        below = [x for k in c["children"] for x in pick(k)]
+        if selection == "leaf":
+            return below or [c]
+        value = lambda cs: sum(x["value"] for x in cs)
+        c["value"] = c["stability"]
+        return [c] if not below or c["stability"] >= value(below) else below
+
+    top = grow(frozenset(range(n)), 0.0, None)
+    chosen = [x for k in top["children"] for x in pick(k)]
+    return sorted(sorted(c["points"]) for c in chosen)
+
+
+@pytest.mark.parametrize("selection", ["eom", "leaf"])
+def test_hdbscan_equals_brute_force(selection):
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 30, 45):
+        for size, samples in ((3, 2), (2, 1), (4, 3)):
+            v = rng.normal(size=(n, 6)) * 0.4 + 2 * rng.normal(size=(5, 6))[rng.integers(0, 5, n)]
+            got = cluster._hdbscan(pd.DataFrame({"vec_id": np.arange(n) * 2, "embedding": list(v)}), size, samples, selection)
+            parts = sorted(sorted(int(i) // 2 for i in g.vec_id) for _, g in got.groupby("cluster_id"))
+            assert parts == (hdbscan_brute(v, size, samples, selection) if n > 1 else [])
+
+
+def test_plans_bound_their_points(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)], f"2024-01-0{1 + i % 3} 12:00:00") for i in range(30)], "vec_id long, embedding array<double>, t string")
+    df = df.withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    chosen = cluster.plan("hdbscan_leaf", window_hours=36, max_points=15)
+    inside = cluster.bounded(df, chosen, "ts", "2024-01-03 18:00:00").collect()
+    assert len(inside) == 15 and sum(r.vec_id % 3 == 2 for r in inside) == 10 and min(r.vec_id for r in inside if r.vec_id % 3 == 1) == 16
+    assert {r.vec_id for r in cluster.bounded(df, chosen).collect()} == set(range(15, 30))
+    assert {r.vec_id for r in cluster.run_plan(df, chosen, ts="ts", now="2024-01-03 18:00:00").collect()} == {r.vec_id for r in inside}
+    assert cluster.run_plan(df.limit(0), chosen).count() == 0
+    with pytest.raises(ValueError):
+        cluster.hdbscan(df, selection="best")
+
+
+def test_json_arrays_and_lines(spark, tmp_path):
+    rows = [(i, f"t,{i}]") for i in range(25)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    for kind in ("json_array", "json"):
+        exports.export(df, str(tmp_path / kind), kind)
+        assert sorted(map(tuple, exports.import_json(spark, str(tmp_path / kind), "id long, t string").collect())) == rows
+    forms = {"one": '[{"a": 1}, {"a": 2}]', "lines": '[\n{"a": 1},\n{"a": 2}\n]', "pretty": '\n  [\n  {\n    "a": 1\n  },\n  {\n    "a": 2\n  }\n]\n', "plain": '{"a": 1}\n{"a": 2}\n'}
+    for name, body in forms.items():
+        (tmp_path / f"{name}.json").write_text(body)
+        assert sorted(r.a for r in exports.import_json(spark, str(tmp_path / f"{name}.json")).collect()) == [1, 2]
+    exports.export(df.limit(0), str(tmp_path / "none"), "json_array")
+    assert exports.import_json(spark, str(tmp_path / "none"), "id long, t string").count() == 0
+    with pytest.raises(ValueError):
+        exports.export(df, str(tmp_path / "x"), "json_array", split_by="month", ts="t")
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    rows = [(i % 4, i, f"s{i}") for i in range(40)]
+    for n in range(4):
+        spark.createDataFrame(rows[n * 10 : n * 10 + 10], "k long, seq long, state string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    folder, routes = str(tmp_path / "state"), str(tmp_path / "routes")
+    assert ingest.latest_version(spark, folder, "k long, seq long, state string").count() == 0
+    ingest.drain(ingest.source(spark, str(tmp_path / "in"), schema, files=1), ingest.latest_table(folder, "k", "seq"))
+    got = ingest.latest_version(spark, folder, "k long, seq long, state string").collect()
+    assert {(r.k, r.seq, r.state) for r in got} == {(k, max(s for q, s, _ in rows if q == k), f"s{max(s for q, s, _ in rows if q == k)}") for k in range(4)}
+    ingest.drain(ingest.source(spark, str(tmp_path / "in"), schema, files=1), ingest.route_to(routes, F.col("seq") % 3 == 0, F.col("seq") % 3 == 1))
+    assert {r: spark.read.parquet(f"{routes}/{r}").count() for r in ("duplicate", "low_value", "archive")} == {"duplicate": 14, "low_value": 13, "archive": 13}
+
+
+def test_pages_without_a_limit(spark):
+    from tidemill.operators import search
+
+    rows = [(i, (i * 37) % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    expected = [(i, v, p + 1, 200) for p, (i, v) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))]
+    order = [F.col("v").desc(), F.col("id")]
+    assert sorted(map(tuple, search.page(df, order).collect()), key=lambda r: r[2]) == expected
+    assert sorted(map(tuple, search.page(df, order, skip=150).collect()), key=lambda r: r[2]) == expected[150:]
+    assert search.page(df.limit(0), order).count() == 0
+
+
+def test_snapshots_of_a_storyline(spark, tmp_path):
+    near = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    docs = [(0, 0.0, "seed", ["x", "y"], near(0)), (1, 5.0, "next", ["x"], near(0.4)), (3, 11.0, "far", ["x", "y"], near(0.9))]
+    df = spark.createDataFrame(docs, "doc_id long, day double, title string, entities array<string>, embedding array<double>")
+    path = str(tmp_path / "snapshots")
+    line = graph.grow(df, 0, ["stop"], snapshot=graph.snapshot_table(spark, path, "t1"))
+    every = spark.read.parquet(path)
+    assert {(r.version, r.state) for r in every.collect()} == {(1, "PROCESSING"), (2, "PROCESSING"), (3, "COMPLETED")}
+    assert [every.where(f"version = {v} AND node IS NOT NULL").count() for v in (1, 2, 3)] == [2, 3, 3]
+    last = graph.latest_snapshot(spark, path, "t1")
+    assert {r.node for r in last.where("node IS NOT NULL").collect()} == set(line.nodes)
+    assert {(r.source, r.target) for r in last.where("source IS NOT NULL").collect()} == {e[:2] for e in line.edges}
+
+
+def test_configured_crawls(spark, tmp_path):
+    from tidemill.sources import crawl
+
+    def lists(url):
+        if "broken" in url:
+            raise OSError("no answer")
+        items = "".join(f"<item><title>t</title><link>{url}/{i}</link><guid>{i}</guid></item>" for i in range(3))
+        return f"<rss><channel><title>x</title>{items}</channel></rss>"
+
+    def article(url):
+        if url.endswith("/2"):
+            raise ValueError("gone")
+        return f"<html><body><article><p>{f'text of {url} and more words. ' * 40}</p></article></body></html>"
+
+    seen = {}
+    config = {
+        "d_fetcher_name": "lists", "e_fetcher_name": "articles", "discoverer_name": "feed", "extractor_name": "main_content",
+        "entry_points": {"a": "http://h/a", "b": "http://h/broken", "c": "http://h/c"}, "channel_filter": {"channel_list_filter": ["http://h/c"]},
+        "article_filter": lambda url, channel: not url.endswith("/0"), "content_handler": lambda df: seen.update(done=df.count()), "exception_handler": lambda df: seen.update(failed=df.count()),
+    }
+    made, channels = crawl.from_config(config, {"lists": lists, "articles": article})
+    rows = made.run(spark.createDataFrame(list(channels.items()), "channel string, url string")).collect()
+    got = {r.url: (r.channel, r.error) for r in rows}
+    assert got == {"http://h/a/1": ("a", None), "http://h/a/2": ("a", "ValueError: gone"), "http://h/broken": ("b", "OSError: no answer")}
+    assert [r.text.strip()[:21] for r in rows if r.text] == ["text of http://h/a/1 "] and seen == {"done": 1, "failed": 2}
+    with pytest.raises(ValueError):
+        crawl.from_config(config | {"d_fetcher_name": "none"}, {"lists": lists, "articles": article})
+    with pytest.raises(ValueError):
+        crawl.from_config(config | {"extractor_name": "none"}, {"lists": lists, "articles": article})
+
+
+def test_archive_times_and_counters(spark):
+    from tidemill.functions import dates
+
+    rows = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-01 00:00:01",), ("x",), (None,)], "t string")
+    assert [r.a for r in rows.select(dates.archived(F.col("t")).alias("a")).collect()] == [1704067200.0, 1704067201.0, None, None]
+    now = rows.select(dates.archived(F.col("t"), F.current_timestamp()).alias("a")).collect()
+    assert now[2].a > 1.7e9 and now[3].a > 1.7e9
+    counts = stats.hub_counters(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "s string"), F.col("s"), ["a", "b", "c"]).first()
+    assert (counts.a, counts.b, counts.c, counts.total) == (2, 1, 0, 4)
+
+
+def test_markers_are_counted_by_themselves(spark):
+    from tidemill.functions import text
+
+    rows = spark.createDataFrame([("aaab;ab.c",), ("",), (None,)], "t string")
+    for markers in ([";", ".", "ab"], ["aa", "ab"], ["a", "aab"]):
+        got = [r.n for r in rows.select(text.count_markers(F.col("t"), markers).alias("n")).collect()]
+        assert got == [sum("aaab;ab.c".count(m) for m in markers), 0, 0]
+    assert [r.n for r in rows.select(text.contains_any(F.col("t"), ["x.", "b;a"]).alias("n")).collect()] == [True, False, False]

@@ -100,6 +100,13 @@ def iso_week(ts: Column) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
 
 
+def archived(ts: Column, fallback: Column | None = None) -> Column:
+    """Epoch seconds of an archive time: a time, or ISO text, without a zone in UTC. What is missing or no time has the
+    fallback: by default none, as the present would differ from run to run; pass F.current_timestamp() for it."""
+    at = ts.cast("string").try_cast("timestamp")
+    return F.unix_micros(at if fallback is None else F.coalesce(at, fallback.cast("timestamp"))) / 1e6
+
+
 def recency(ts: Column, now: Column, hours: float = 12) -> Column:
     """1 for now, 0 for `hours` ago or earlier."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (epoch(now) - epoch(ts)) / (hours * 3600)))

@@ -49,23 +49,33 @@ def intelligence_score(
     """Weighted rating out of ten, scaled by class, lowered for recaps, stale or repeated news and lists of events, capped
     where nothing can be done or nothing is new. headline is the joined title, brief, reason and tips."""
     c = config or ScoreConfig()
-    whole = sum(c.weights.values()) * 10
+    known = {"tax": taxonomy, "similar": F.coalesce(similarity, F.lit(0.0)) if similarity is not None else F.lit(0.0)}
+    known |= {"recap": contains_any(headline, list(c.recap)), "stale": contains_any(headline, list(c.stale)), "marks": count_markers(text, list(c.markers))}
+    keys = [*c.weights, *(k for k in (c.novelty, c.action, c.evolution) if k not in c.weights)]
+    known["rates"] = rates
+    # what is named often is evaluated once: the optimizer doesn't merge an expression into a function of an element
+    once = F.array(F.struct(*[v.alias(k) for k, v in known.items()]))
+    clamped = lambda x: F.struct(*[x[k].alias(k) for k in known if k != "rates"], *[rate(x["rates"], key).alias(f"r{i}") for i, key in enumerate(keys)])
+    return F.element_at(F.transform(F.transform(once, clamped), lambda x: _lowered(x, keys, c, digits)), 1)
+
+
+def _lowered(x: Column, keys: list[str], c: ScoreConfig, digits: int) -> Column:
+    at = {key: x[f"r{i}"] for i, key in enumerate(keys)}
     score = F.lit(0.0)
     for key, weight in c.weights.items():
-        score += rate(rates, key) * weight
-    score = score / whole * 10
+        score += at[key] * weight
+    score = score / (sum(c.weights.values()) * 10) * 10
     factor = F.lit(1.0)
     for name, value in c.multipliers.items():
-        factor = F.when(taxonomy == name, value).otherwise(factor)
+        factor = F.when(x["tax"] == name, value).otherwise(factor)
     score = score * factor
-    novelty, action, evolution = rate(rates, c.novelty), rate(rates, c.action), rate(rates, c.evolution)
-    similar = F.coalesce(similarity, F.lit(0.0)) if similarity is not None else F.lit(0.0)
+    novelty, action, evolution = at[c.novelty], at[c.action], at[c.evolution]
     lowered = [
-        (contains_any(headline, list(c.recap)), 0.35, 3.0),
-        (contains_any(headline, list(c.stale)), 0.5, 3.0),
-        ((similar >= 0.86) & (novelty <= 3), 0.35, 2.5),
-        ((similar >= 0.92) & (novelty <= 2), 0.25, 2.0),
-        ((count_markers(text, list(c.markers)) >= 5) & (novelty <= 4), 0.55, 3.5),
+        (x["recap"], 0.35, 3.0),
+        (x["stale"], 0.5, 3.0),
+        ((x["similar"] >= 0.86) & (novelty <= 3), 0.35, 2.5),
+        ((x["similar"] >= 0.92) & (novelty <= 2), 0.25, 2.0),
+        ((x["marks"] >= 5) & (novelty <= 4), 0.55, 3.5),
         ((action <= 2) & (novelty <= 3), 1.0, 3.0),
         ((novelty <= 2) & (action <= 2) & (evolution <= 3), 1.0, 2.0),
     ]
@@ -73,7 +83,7 @@ def intelligence_score(
         hit = F.coalesce(when, F.lit(False))
         score = F.least(score * F.when(hit, times).otherwise(1.0), F.when(hit, most).otherwise(F.lit(float("inf"))))
     score = F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.0), score)), digits)
-    return F.when(F.coalesce(taxonomy == c.worthless, F.lit(False)), 0.0).otherwise(score)
+    return F.when(F.coalesce(x["tax"] == c.worthless, F.lit(False)), 0.0).otherwise(score)
 
 
 def headline(title: Column, brief: Column, reason: Column, tips: Column) -> Column:

@@ -70,17 +70,18 @@ def join_nonblank(separator: str, *texts: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out |= F.coalesce(F.contains(text, F.lit(w)), F.lit(False))
-    return out
+    """Whether one of the words stands in the text, in one pass."""
+    return F.coalesce(F.rlike(text, F.lit(literal(words))), F.lit(False)) if words else F.lit(False)
 
 
 def count_markers(text: Column, markers: list[str]) -> Column:
-    """How often the markers occur, each counted by itself."""
+    """How often the markers occur, each counted by itself. Markers that can't overlap are counted in one pass."""
+    meet = lambda a, b: b in a or any(a.endswith(b[:n]) for n in range(1, len(b)))
+    if markers and not any(meet(a, b) for i, a in enumerate(markers) for j, b in enumerate(markers) if i != j):
+        return F.coalesce(F.regexp_count(text, F.lit(literal(markers))), F.lit(0))
     out = F.lit(0)
     for m in markers:
-        out += F.coalesce(F.regexp_count(text, F.lit(literal([m]))), F.lit(0))
+        out += F.coalesce((F.char_length(text) - F.char_length(F.replace(text, F.lit(m), F.lit("")))).cast("int") / len(m), F.lit(0)).cast("int")
     return out
 
 

@@ -1,5 +1,5 @@
-"""Offline clustering. Profiles are configuration; dbscan runs as an eps-join and connected components, average linkage
-within blocks."""
+"""Offline clustering of the points that a plan bounds: those of its last hours, at most its max_points. dbscan runs as an
+eps-join and connected components, average linkage within blocks, hdbscan over the points of the plan in one task."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from .vectors import pairs_within
 
 #: The plan profiles.
 PROFILES = {
-    "hdbscan_eom": {"algorithm": "hdbscan", "selection": "eom", "min_cluster_size": 3},
-    "hdbscan_leaf": {"algorithm": "hdbscan", "selection": "leaf", "min_cluster_size": 2},
+    "hdbscan_eom": {"algorithm": "hdbscan", "selection": "eom", "min_cluster_size": 3, "min_samples": 2},
+    "hdbscan_leaf": {"algorithm": "hdbscan", "selection": "leaf", "min_cluster_size": 2, "min_samples": 1},
     "agglomerative_strict": {"algorithm": "agglomerative", "linkage": "average", "distance": 0.25},
     "agglomerative_loose": {"algorithm": "agglomerative", "linkage": "average", "distance": 0.45},
     "dbscan": {"algorithm": "dbscan", "eps": 0.25, "min_samples": 2},
@@ -61,24 +61,157 @@ def dbscan(vectors: DataFrame, eps: float = 0.25, min_samples: int = 2) -> DataF
     return vectors.select("vec_id").join(found.select(F.col("node").alias("vec_id"), F.col("root").alias("cluster_id")), "vec_id", "left")
 
 
-def _linkage(group: pd.DataFrame, distance: float) -> pd.DataFrame:
-    """Average linkage on cosine distance: the closest two clusters merge until none are closer than `distance`."""
+def _units(group: pd.DataFrame) -> np.ndarray:
     v = np.stack(group.embedding.to_numpy()).astype(float)
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    d = 1 - v @ v.T
-    np.fill_diagonal(d, np.inf)
-    size, root = np.ones(len(v)), np.arange(len(v))
-    while len(v) > 1:
-        i, j = divmod(int(d.argmin()), len(v))
-        if not d[i, j] <= distance:
-            break
-        d[i] = d[:, i] = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
-        size[i] += size[j]
-        root[root == root[j]] = root[i]
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _linkage(group: pd.DataFrame, distance: float) -> pd.DataFrame:
+    """Average linkage on cosine distance, cut at `distance`. The average distance of two clusters of unit vectors is that of
+    their sums, so memory is that of the vectors; a chain of nearest neighbours finds all merges in n² comparisons."""
+    group = group.sort_values("vec_id", kind="stable")
+    sums = _units(group)
+    n = len(sums)
+    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            tip = chain[-1]
+            far = 1 - sums @ sums[tip] / (size * size[tip])
+            far[~alive] = np.inf
+            far[tip] = np.inf
+            near = int(far.argmin())
+            if len(chain) > 1 and far[chain[-2]] <= far[near]:
+                near = chain[-2]
+                break
+            chain.append(near)
+        one, two = chain.pop(), chain.pop()
+        merges.append((float(far[near]), one, two))
+        one, two = min(one, two), max(one, two)
+        sums[one] += sums[two]
+        size[one] += size[two]
+        alive[two] = False
+    root = np.arange(n)
+    for far, one, two in merges:
+        if far <= distance:
+            a, b = sorted((_root(root, one), _root(root, two)))
+            root[b] = a
     ids = group.vec_id.to_numpy()
-    return pd.DataFrame({"vec_id": ids, "cluster_id": [int(ids[root == r].min()) for r in root]})
+    return pd.DataFrame({"vec_id": ids, "cluster_id": [int(ids[_root(root, i)]) for i in range(n)]})
+
+
+def _root(root: np.ndarray, i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = int(root[i])
+    return i
+
+
+def _spanning_tree(v: np.ndarray, min_samples: int) -> list[tuple[float, int, int]]:
+    """Edges of a minimum spanning tree by mutual reachability: cosine distance, not below either point's core distance, that
+    of its min_samples-th nearest point, itself counted. A row of distances at a time is in memory."""
+    n = len(v)
+    core = np.zeros(n)
+    for at in range(0, n, 256):
+        d = np.maximum(0, 1 - v[at : at + 256] @ v.T)
+        core[at : at + 256] = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
+    best, link, out = np.full(n, np.inf), np.zeros(n, np.int64), []
+    left = np.ones(n, bool)
+    now = 0
+    for _ in range(n - 1):
+        left[now] = False
+        d = np.maximum(np.maximum(0, 1 - v @ v[now]), np.maximum(core, core[now]))
+        closer = left & (d < best)
+        best[closer], link[closer] = d[closer], now
+        now = int(np.where(left, best, np.inf).argmin())
+        out.append((float(best[now]), int(link[now]), now))
+    return sorted(out)
+
+
+def _hdbscan(group: pd.DataFrame, min_cluster_size: int, min_samples: int, selection: str) -> pd.DataFrame:
+    """Labels by HDBSCAN over cosine distance: the condensed tree's clusters of most stability (eom) or its leaves (leaf); null
+    for noise. The root is never a cluster."""
+    group = group.sort_values("vec_id", kind="stable")
+    ids, n = group.vec_id.to_numpy(), len(group)
+    # the tree of single linkage: node n + i joins children[i] at height[i]
+    root, top, children, height, weight = np.arange(n), list(range(n)), [], [], [1] * n
+    for far, one, two in _spanning_tree(_units(group), min_samples) if n > 1 else []:
+        a, b = _root(root, one), _root(root, two)
+        children.append((top[a], top[b]))
+        height.append(far)
+        weight.append(weight[top[a]] + weight[top[b]])
+        root[b] = a
+        top[a] = n + len(children) - 1
+
+    def members(node: int) -> list[int]:
+        out, todo = [], [node]
+        while todo:
+            x = todo.pop()
+            if x < n:
+                out.append(x)
+            else:
+                todo += children[x - n]
+        return out
+
+    density = lambda far: 1 / max(far, 1e-12)
+    # condensed clusters: [parent, density at birth, points, stability, child clusters]
+    clusters: list[dict] = []
+    todo = [(n + len(children) - 1, None, 0.0)] if children else []
+    while todo:
+        node, parent, birth = todo.pop()
+        own = {"parent": parent, "points": members(node), "stability": 0.0, "children": []}
+        clusters.append(own)
+        if parent is not None:
+            clusters[parent]["children"].append(len(clusters) - 1)
+        number = len(clusters) - 1
+        while node >= n:
+            at = density(height[node - n])
+            large = [c for c in children[node - n] if weight[c] >= min_cluster_size]
+            lost = [c for c in children[node - n] if weight[c] < min_cluster_size]
+            own["stability"] += sum(weight[c] for c in lost) * (at - birth)
+            if len(large) == 2:
+                own["stability"] += sum(weight[c] for c in large) * (at - birth)
+                todo += [(c, number, at) for c in large]
+                break
+            if not large:
+                break
+            node = large[0]
+    chosen = [False] * len(clusters)
+    value = [0.0] * len(clusters)
+    for i in reversed(range(1, len(clusters))):  # children come after their parents
+        below = sum(value[c] for c in clusters[i]["children"])
+        leaf = not clusters[i]["children"]
+        chosen[i] = leaf if selection == "leaf" else leaf or clusters[i]["stability"] >= below
+        value[i] = max(below, clusters[i]["stability"]) if selection != "leaf" else 0.0
+    label = np.full(n, -1)
+    for i, own in enumerate(clusters):  # a chosen cluster hides those below it
+        if chosen[i]:
+            above = own["parent"]
+            while above is not None and not chosen[above]:
+                above = clusters[above]["parent"]
+            if above is None:
+                label[own["points"]] = min(own["points"])
+    return pd.DataFrame({"vec_id": ids, "cluster_id": pd.array([None if x < 0 else int(ids[x]) for x in label], "Int64")})
+
+
+def hdbscan(vectors: DataFrame, min_cluster_size: int = 3, min_samples: int = 2, selection: str = "eom") -> DataFrame:
+    """vec_id, cluster_id (the smallest id of the cluster; null for noise) of a bounded number of points, a plan's max_points,
+    which meet in one task."""
+    if selection not in ("eom", "leaf"):
+        raise ValueError(f"unknown selection {selection}")
+    rows = vectors.select("vec_id", "embedding").withColumn("one", F.lit(0))
+    return rows.groupBy("one").applyInPandas(lambda g: _hdbscan(g, min_cluster_size, min_samples, selection), "vec_id long, cluster_id long")
+
+
+def bounded(vectors: DataFrame, chosen: dict, ts: str | None = None, now: str | None = None) -> DataFrame:
+    """The points of a plan: with a time column those of the last window_hours before now; of these the max_points newest, or
+    without a time column those of the greatest ids."""
+    if ts is not None:
+        end = F.lit(now).cast("timestamp_ntz") if now is not None else F.current_timestamp()
+        vectors = vectors.where((F.col(ts) > end - F.make_dt_interval(hours=F.lit(chosen["window_hours"]))) & (F.col(ts) <= end))
+    order = [F.col(ts).desc()] if ts is not None else []
+    return vectors.orderBy(*order, F.col("vec_id").desc()).limit(chosen["max_points"])
 
 
 def agglomerative(vectors: DataFrame, block: str, distance: float = 0.25) -> DataFrame:
@@ -93,12 +226,15 @@ def summary(assigned: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("repr_doc_id"), F.max("ts").alias("last_seen"))
 
 
-def run_plan(vectors: DataFrame, chosen: dict, block: str = "label") -> DataFrame:
+def run_plan(vectors: DataFrame, chosen: dict, block: str = "label", ts: str | None = None, now: str | None = None) -> DataFrame:
+    vectors = bounded(vectors, chosen, ts, now)
     if chosen["algorithm"] == "dbscan":
         return dbscan(vectors, chosen["eps"], chosen["min_samples"])
     if chosen["algorithm"] == "agglomerative":
         return agglomerative(vectors, block, chosen["distance"])
-    raise NotImplementedError("the hdbscan profiles are configuration only")
+    if chosen["algorithm"] == "hdbscan":
+        return hdbscan(vectors, chosen["min_cluster_size"], chosen["min_samples"], chosen["selection"])
+    raise ValueError(f"unknown algorithm {chosen['algorithm']}")
 
 
 def report_lines(clusters: DataFrame) -> DataFrame:

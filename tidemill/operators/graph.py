@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nested, score
@@ -33,10 +34,13 @@ class Storyline:
     versions: list = field(default_factory=list)  # nodes after each round that accepted some
 
 
-def grow(docs: DataFrame, seed: int, stop: list[str], max_depth: int = 3, window_days: float = 7) -> Storyline:
+def grow(
+    docs: DataFrame, seed: int, stop: list[str], max_depth: int = 3, window_days: float = 7, snapshot: Callable[[Storyline, str], None] | None = None
+) -> Storyline:
     """Walks from the seed. docs: doc_id, day (days since the epoch), title, entities, embedding. Recall, scoring and the
     time filter are one Spark job for each node that is expanded, over all docs; accepting and folding depend on the order
-    of acceptance and stay on the driver, which sees at most CANDIDATES rows a job."""
+    of acceptance and stay on the driver, which sees at most CANDIDATES rows a job. snapshot gets the line and its state after
+    each round that accepted some, and at the end."""
     rare = docs.withColumn("rare", nested.rare(F.col("entities"), stop))
     first = rare.where(F.col("doc_id") == seed).select("day", "rare", "embedding").first()
     if first is None:
@@ -51,7 +55,7 @@ def grow(docs: DataFrame, seed: int, stop: list[str], max_depth: int = 3, window
         hits = vector_search.search(rare.select(F.col("doc_id").alias("vec_id"), "embedding"), vector, CANDIDATES, RECALL)
         found = rare.join(F.broadcast(hits.withColumnRenamed("vec_id", "doc_id")), "doc_id")  # at most CANDIDATES rows
         found = found.where(F.abs(F.col("day") - day) <= window_days)
-        shared = F.size(F.array_intersect("rare", F.array(*map(F.lit, sorted(pool))).cast("array<string>")))
+        shared = F.size(F.array_intersect("rare", F.split(F.lit("\0".join(sorted(pool))), "\0")))
         found = found.withColumn("edge", score.hybrid(F.col("score"), shared, F.col("day") - day)).where(F.col("edge") >= ACCEPT)
         accepted = 0
         for c in sorted(found.collect(), key=lambda c: (-c.edge, c.doc_id)):
@@ -74,9 +78,39 @@ def grow(docs: DataFrame, seed: int, stop: list[str], max_depth: int = 3, window
             accepted += 1
         if accepted:
             line.versions.append(len(line.nodes))
+            if snapshot is not None:
+                snapshot(line, "PROCESSING")
+    if snapshot is not None:
+        snapshot(line, verdict(None))
     return line
 
 
+def snapshot_table(spark: SparkSession, path: str, thread: str) -> Callable[[Storyline, str], None]:
+    """A snapshot function that appends each version of a line to a table: thread, version, state, one row for each node (in
+    order of time) and each edge. A line has at most NODES nodes."""
+    schema = "thread string, version int, state string, node long, day double, source long, target long, score double"
+    version = iter(range(1, 1 << 31))
+
+    def keep(line: Storyline, state: str) -> None:
+        number = next(version)
+        rows = [(thread, number, state, int(n), float(d), None, None, None) for n, d in sorted(line.nodes.items(), key=lambda x: (x[1], x[0]))]
+        rows += [(thread, number, state, None, None, int(a), int(b), float(s)) for a, b, s in line.edges]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+    return keep
+
+
+def latest_snapshot(spark: SparkSession, path: str, thread: str) -> DataFrame:
+    rows = spark.read.parquet(path).where(F.col("thread") == thread)
+    last = rows.agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(last), "version")  # one row
+
+
+def verdicts(coherence: Column) -> Column:
+    """verdict() of a column."""
+    return F.when(coherence.isNull() | (coherence >= 5), "COMPLETED").otherwise("REJECTED")
+
+
 def verdict(coherence: float | None) -> str:
     """State of a finished graph: a missing judgement passes."""
     return "COMPLETED" if coherence is None or coherence >= 5 else "REJECTED"

@@ -83,17 +83,32 @@ def with_defaults(df: DataFrame, lists: list[str] = (), texts: list[str] = (), m
 def page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 0) -> DataFrame:
     """One page in the given order, with total (rows before paging) and pos (rank from 1). A skip or limit of 0 or less is
     ignored. The total is an aggregate of its own, so the page needs only the top skip + limit rows of each task; the
-    broadcast side is that one row."""
+    broadcast side is that one row. Without a limit rows are ranked where the sort put them, range by range."""
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    rows = df.orderBy(*order)
     if limit > 0:
-        rows = rows.limit(max(skip, 0) + limit)
-    ranked = rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+        ranked = df.orderBy(*order).limit(max(skip, 0) + limit).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+    else:
+        ranked = _ranked(df, order)
     if skip > 0:
         ranked = ranked.where(F.col("pos") > skip)
     return ranked.crossJoin(F.broadcast(total))
 
 
+def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows with pos: rows of a sorted range count from the number of rows in the ranges before it. The sorted rows are
+    written once, as ranges that are sorted again may be cut elsewhere; the driver sees one number for each range."""
+    from ..sources.tables import checkpointed
+
+    rows = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, [F.lit(None).cast("long")] * (counts[-1][0] + 1 if counts else 1)
+    for number, n in counts:
+        starts[number] = F.lit(before)
+        before += n
+    return rows.withColumn("pos", (F.get(F.array(*starts), part.cast("int")) + place + 1).cast("int")).drop("_at")
+
+
 def newest(df: DataFrame, ts: str, key: str) -> DataFrame:
     """Number of rows, the newest row's key, and its time as epoch seconds."""
     last = F.max(F.struct(F.col(ts), F.col(key)))

@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from ..functions import dates
 
 
+def hub_counters(records: DataFrame, state: Column, states: list[str]) -> DataFrame:
+    """One row: a column for each state with the number of records in it, and total. States that no record has count 0."""
+    return records.agg(*[F.count_if(state == s).alias(s) for s in states], F.count(F.lit(1)).alias("total"))
+
+
 def histogram(df: DataFrame, score: Column, low: int, high: int) -> DataFrame:
     """Rows of each whole score from low to high; scores nothing has are 0, scores with a fraction count for none."""
     counts = df.where((score >= low) & (score <= high) & (score == F.floor(score))).groupBy(score.cast("int").alias("score")).agg(F.count(F.lit(1)).alias("n"))

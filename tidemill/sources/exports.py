@@ -1,9 +1,11 @@
-"""Exports and imports: JSON lines, CSV, text; by time range, month, ISO week or year."""
+"""Exports and imports: JSON lines, JSON arrays, CSV, text; by time range, month, ISO week or year."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,14 @@ def week_bounds(year: int, week: int) -> tuple[str, str]:
 
 def export(df: DataFrame, path: str, fmt: str = "json", columns: list[str] | None = None, split_by: str | None = None, ts: str | None = None) -> None:
     """Writes df, committed as a whole. split_by month, week or year makes one folder for each bucket of ts. CSV needs its
-    columns named."""
+    columns named. json_array: each file holds one array, a record a line; a file without records holds an empty one."""
     if fmt == "csv" and not columns:
         raise ValueError("a CSV export needs its columns")
+    if fmt == "json_array":
+        if split_by:
+            raise ValueError("arrays are not split")
+        _as_array(df.select(*columns) if columns else df).write.mode("overwrite").text(path)
+        return
     rows = df.select(*columns) if columns and not split_by else df
     if split_by:
         rows = df.withColumn("bucket", SPLITS[split_by](F.col(ts)))
@@ -54,6 +61,26 @@ def export(df: DataFrame, path: str, fmt: str = "json", columns: list[str] | Non
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def _as_array(df: DataFrame) -> DataFrame:
+    """The lines of one array for each partition; a record is never held back for longer than the next one takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda x: pa.RecordBatch.from_arrays([pa.array([x])], names=["value"])
+        yield line("[")
+        last = None
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            if own:
+                lines = ([last] if last is not None else []) + own[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([x + "," for x in lines], pa.string())], names=["value"])
+                last = own[-1]
+        if last is not None:
+            yield line(last)
+        yield line("]")
+
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string")
+
+
 def export_request(tables: dict[str, tuple[DataFrame, str]], folder: str, target: str, mode: str, start: str = "", end: str = "", split_by: str | None = None) -> list[str]:
     """An export job: target is the name of a table or all, mode range or all. tables: name -> (rows, time column). Returns
     the folders written."""
@@ -71,8 +98,10 @@ def export_request(tables: dict[str, tuple[DataFrame, str]], folder: str, target
 
 
 def import_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON lines, or files that hold one array."""
-    reader = spark.read.option("multiLine", False)
+    """JSON lines, or files that hold one array each, on one line or many; all files of a path are of one kind, which the first
+    text found decides."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    reader = spark.read.option("multiLine", bool(first and first.value.lstrip("\ufeff \t").startswith("[")))
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir; a local folder only where that is not set."""
+    """df written to the folder of spark.checkpoint.dir. Where it is unset, a session whose executors are threads of the driver
+    gets a local folder; on a cluster executors would not see it, so that is an error."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
     return df.checkpoint(eager=True)
 

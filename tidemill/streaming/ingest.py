@@ -95,7 +95,8 @@ def latest(batch: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def latest_table(folder: str, key: str, order: str) -> Sink:
-    """A sink that keeps the newest row of each key: version n of the table comes of version n - 1 and batch n."""
+    """A sink that keeps the newest row of each key: version n of the table comes of version n - 1 and batch n. latest_version
+    reads the last one."""
 
     def keep(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -106,6 +107,15 @@ def latest_table(folder: str, key: str, order: str) -> Sink:
     return keep
 
 
+def latest_version(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The last version that latest_table wrote; no rows before the first."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(conf)
+    whole = [int(s.getPath().getName()) for s in (files.listStatus(place) if files.exists(place) else []) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.schema(schema).parquet(f"{folder}/{max(whole)}") if whole else spark.createDataFrame([], schema)
+
+
 def limited(stream: DataFrame, key: str, ts: str, amount: str, limit: float, seconds: int) -> DataFrame:
     """(key, ts, amount, admitted): a record is admitted while the admitted amounts of the last `seconds` and its own stay
     within the limit. State is the admitted records of one window of a key."""
