@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, nested, score, text
 from ..operators import search
+from . import mql
 from .registry import query, table
 
 THINK = "'<think>plan ' || source || '</think> answer ' || CAST(doc_id AS VARCHAR) || ' &lt;analysis&gt;x&lt;/analysis&gt;'"
@@ -31,13 +34,15 @@ def cjk_ascii_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT doc_id FROM (SELECT doc_id, trim(left(text, 40)) AS a, trim(left(text, 9)) AS b FROM documents) WHERE
-    (CASE WHEN length(a) < 12 THEN len(regexp_extract_all(a, '[A-Za-z]')) / CAST(greatest(1, length(a)) AS DOUBLE) > 0.2
-     ELSE len(regexp_extract_all(a, '[A-Za-z]')) / CAST(length(a) AS DOUBLE) > 0.12 END)
-    OR len(regexp_extract_all(b, '[A-Za-z]')) / CAST(greatest(1, length(b)) AS DOUBLE) > 0.2
+    SELECT doc_id FROM (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z]')) / CAST(greatest(1, length(t)) AS DOUBLE) AS latin, length(t) AS n,
+        len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) / CAST(greatest(1, length(t)) AS DOUBLE) AS cjk
+      FROM (SELECT doc_id, unnest([trim(text), trim(lang)]) AS t FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, trim(repeat('中', 2 * length(text)) || text) FROM documents WHERE doc_id % 3 = 0))
+    GROUP BY 1 HAVING bool_or(CASE WHEN n < 12 THEN latin > 0.2 AND cjk < 0.05 ELSE latin > 0.12 AND cjk < 0.18 END)
 """)
 def needs_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where(text.any_foreign(F.substring("text", 1, 40), F.substring("text", 1, 9))).select("doc_id")
+    other = F.col("doc_id") % 3 > 0
+    body = F.when(other, F.col("text")).otherwise(F.concat(F.repeat(F.lit("中"), 2 * F.char_length("text")), "text"))
+    return _docs(spark, sf_dir).where(text.any_foreign(body, F.when(other, F.col("lang")))).select("doc_id")
 
 
 @query("SELECT doc_id, 'answer ' || CAST(doc_id AS VARCHAR) AS answer, 'plain ' || source AS pure FROM documents")
@@ -54,12 +59,12 @@ def strip_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(trim(source), ''), nullif(trim(CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE lang END), ''), nullif(trim(left(text, 30)), '')) AS body
+    SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(trim(source), ''), nullif(trim(CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE lang END), ''), nullif(trim(text), '')) AS body
     FROM documents
 """)
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     brief = F.when(F.col("doc_id") % 2 == 0, "  ").otherwise(F.col("lang"))
-    return _docs(spark, sf_dir).select("doc_id", text.join_nonblank("\n\n", F.col("source"), brief, F.substring("text", 1, 30)).alias("body"))
+    return _docs(spark, sf_dir).select("doc_id", text.join_nonblank("\n\n", F.col("source"), brief, F.col("text")).alias("body"))
 
 
 @query("""
@@ -89,11 +94,11 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT doc_id, regexp_replace(left(regexp_replace(trim(left(text, 80)), '[^a-zA-Z0-9\x{4e00}-\x{9fa5}_-]', '_', 'g'), 50), '_+', '_', 'g') AS slug,
+    SELECT doc_id, regexp_replace(left(regexp_replace(trim(text), '[^a-zA-Z0-9\x{4e00}-\x{9fa5}_-]', '_', 'g'), 50), '_+', '_', 'g') AS slug,
            CAST(nullif(regexp_extract(source, '(\d+)', 1), '') AS BIGINT) AS number FROM documents
 """)
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.slug(F.substring("text", 1, 80)).alias("slug"), text.first_integer(F.col("source")).alias("number"))
+    return _docs(spark, sf_dir).select("doc_id", text.slug(F.col("text")).alias("slug"), text.first_integer(F.col("source")).alias("number"))
 
 
 @query(r"""
@@ -105,9 +110,9 @@ def output_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
 
 
-@query(r"SELECT doc_id, CASE WHEN length(t) > 70 THEN left(t, 70) || '…' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')) AS t FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN length(t) > 70 THEN left(t, 70) || '…' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)")
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.preview(F.substring("text", 1, 200)).alias("preview"))
+    return _docs(spark, sf_dir).select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
 @query("SELECT DISTINCT source, 'https://' || source || '.org/a.xml,https://' || source || '.org/b.xml' AS maps FROM documents")
@@ -152,7 +157,7 @@ def feed_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unicode_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("  Ａﬁ️​\U0001f600 "), "text")
     return _docs(spark, sf_dir).select(
-        "doc_id", text.sanitize_unicode(raw, length=2000).alias("compat"), text.sanitize_unicode(raw, strict=True, allow_emoji=False).alias("strict")
+        "doc_id", text.sanitize_unicode(raw).alias("compat"), text.sanitize_unicode(raw, strict=True, allow_emoji=False).alias("strict")
     )
 
 
@@ -269,15 +274,14 @@ def intelligence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, round(0.6 * (user_id % 100) / 100.0 + 0.4 * least(1.0, 0.5 * (user_id % 4)) - 0.008 * (hour(ts) / 24.0), 9) AS edge,
+    SELECT event_id, round(0.6 * (user_id % 100) / 100.0 + 0.4 * least(1.0, 0.5 * (user_id % 4)) - 0.008 * (hour(ts) * 0.043), 9) AS edge,
            printf('VecSim: %.2f', (user_id % 100) / 100.0) || CASE user_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' | Shared Entities: a' WHEN 2 THEN ' | Shared Entities: a, b' ELSE ' | Shared Entities: a, b, c' END
-           AS reason FROM events WHERE hour(ts) = 0
+           || CASE WHEN hour(ts) = 0 THEN '' ELSE printf(' | Time Penalty: -%.2f (%.1f days)', 0.008 * (hour(ts) * 0.043), hour(ts) * 0.043) END AS reason FROM events
 """)
 def hybrid_edge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    similarity, shared, days = (F.col("user_id") % 100) / 100, F.col("user_id") % 4, F.hour("ts") / 24
+    similarity, shared, days = (F.col("user_id") % 100) / 100, F.col("user_id") % 4, F.hour("ts") * 0.043
     names = F.slice(F.array(*map(F.lit, "abc")), 1, shared.cast("int"))
-    rows = _events(spark, sf_dir).where(F.hour("ts") == 0)
-    return rows.select("event_id", F.round(score.hybrid(similarity, shared, days), 9).alias("edge"), score.hybrid_reason(similarity, names, days).alias("reason"))
+    return _events(spark, sf_dir).select("event_id", F.round(score.hybrid(similarity, shared, days), 9).alias("edge"), score.hybrid_reason(similarity, names, days).alias("reason"))
 
 
 @query("""
@@ -299,11 +303,11 @@ def usage_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(left(text, 60), ' '), lambda x: trim(x) <> '' AND x NOT IN ('the', 'of', 'and')))), '|') AS rare,
-           CAST(len(list_intersect(string_split(left(text, 60), ' '), ['the', 'of', 'is'])) AS INTEGER) AS overlap FROM documents
+    SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(text, ' '), lambda x: trim(x) <> '' AND x NOT IN ('the', 'of', 'and')))), '|') AS rare,
+           CAST(len(list_intersect(string_split(text, ' '), ['the', 'of', 'is'])) AS INTEGER) AS overlap FROM documents
 """)
 def rare_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.substring("text", 1, 60), " ")
+    words = F.split("text", " ")
     return _docs(spark, sf_dir).select(
         "doc_id",
         F.array_join(F.sort_array(nested.rare(words, ["the", "of", "and"])), "|").alias("rare"),
@@ -339,9 +343,9 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", F.array_join("t.line", "\n").alias("transcript"))
 
 
-@query("SELECT doc_id, 'Date 2024-01-31: ' || source || ' / ' || left(text, 20) AS prompt, 'lang: ' || lang || chr(10) || 'size: ' || CAST(n_chars AS VARCHAR) AS block FROM documents")
+@query("SELECT doc_id, 'Date 2024-01-31: ' || source || ' / ' || text AS prompt, 'lang: ' || lang || chr(10) || 'size: ' || CAST(n_chars AS VARCHAR) AS block FROM documents")
 def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = nested.prompt("Date {CURRENT_DATE}: {SIMILAR} / {CONTENT}", {"CURRENT_DATE": F.lit("2024-01-31"), "SIMILAR": F.col("source"), "CONTENT": F.substring("text", 1, 20)})
+    filled = nested.prompt("Date {CURRENT_DATE}: {SIMILAR} / {CONTENT}", {"CURRENT_DATE": F.lit("2024-01-31"), "SIMILAR": F.col("source"), "CONTENT": F.col("text")})
     block = nested.metadata_block({"lang": F.col("lang"), "nothing": F.lit(None).cast("string"), "size": F.col("n_chars")})
     return _docs(spark, sf_dir).select("doc_id", filled.alias("prompt"), block.alias("block"))
 
@@ -373,14 +377,30 @@ def safe_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", F.round(score.clamp(raw), 6).alias("clamped"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lower(left(trim(text), 10)) END AS body FROM documents WHERE trim(left(text, 10)) <> ''")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE replace(replace(trim(text), 'e', 'E'), 'a', '') END AS body FROM documents")
 def scrubber_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     drop = lambda c: F.when(F.col("doc_id") % 5 == 0, "").otherwise(c)
-    steps = [F.trim, drop, lambda c: F.substring(c, 1, 10), F.lower]
-    rows = _docs(spark, sf_dir).where(F.trim(F.substring("text", 1, 10)) != "")
-    return rows.select("doc_id", text.scrubbed(F.col("text"), steps).alias("body"))
+    steps = [F.trim, drop, lambda c: F.replace(c, F.lit("e"), F.lit("E")), lambda c: F.replace(c, F.lit("a"), F.lit(""))]
+    return _docs(spark, sf_dir).select("doc_id", text.scrubbed(F.col("text"), steps).alias("body"))
 
 
 @query("SELECT event_id, TIMESTAMP '2024-01-05' <= ts AND ts <= TIMESTAMP '2024-01-10' AS inside FROM events")
 def time_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", search.time_between("ts", "2024-01-05", "2024-01-10").alias("inside"))
+
+
+@query("SELECT event_id, round(CASE WHEN event_id % 4 < 2 THEN epoch_us(ts) / 1e6 WHEN event_id % 4 = 2 THEN 1704067200.5 END, 6) AS at FROM events")
+def archive_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, ts = F.col("event_id") % 4, F.col("ts")
+    raw = F.when(n == 0, ts.cast("string")).when(n == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).when(n == 3, "no time")
+    late = F.when(n == 2, F.lit("2024-01-01 00:00:00.5").cast("timestamp"))
+    return _events(spark, sf_dir).select("event_id", F.round(dates.archived(raw, late), 6).alias("at"))
+
+
+@query("""
+    SELECT 'db.events.find({"$and": [{"event_type": "error"}, {"value": {"$gte": 50}}, {"ts": {"$lt": "ISODate(2024-01-15T00:00:00)"}}]})' AS shell, count(*) AS n
+    FROM events WHERE event_type = 'error' AND value >= 50 AND ts < TIMESTAMP '2024-01-15'
+""")
+def filter_shell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"$and": [{k: v} for k, v in (("event_type", "error"), ("value", {"$gte": 50}), ("ts", {"$lt": datetime.datetime(2024, 1, 15)}))]}
+    return _events(spark, sf_dir).where(mql.compile_filter(spec)).agg(F.lit(mql.shell_text("events", spec)).alias("shell"), F.count(F.lit(1)).alias("n"))

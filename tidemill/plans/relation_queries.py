@@ -57,12 +57,12 @@ def hits_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT label AS cluster_id, count(*) AS size, min(vec_id) AS repr_doc_id, coalesce(max(CASE WHEN vec_id = m THEN left(text, 15) END), '(No Title)') AS title
+    SELECT label AS cluster_id, count(*) AS size, min(vec_id) AS repr_doc_id, coalesce(max(CASE WHEN vec_id = m THEN text END), '(No Title)') AS title
     FROM (SELECT e.*, min(vec_id) OVER (PARTITION BY label) AS m FROM embeddings e) e LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d ON d.doc_id = e.vec_id GROUP BY 1
 """)
 def cluster_left_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("repr_doc_id"))
-    titles = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.substring("text", 1, 15).alias("title"))
+    titles = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.col("text").alias("title"))
     return joins.with_fallback(clusters, titles, "repr_doc_id", "doc_id", {"title": "(No Title)"})
 
 

@@ -151,14 +151,14 @@ def clean_nulls_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, len(coalesce(people, [])) AS n_people, coalesce(brief, '') AS brief FROM (
-      SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN list_slice(string_split(text, ' '), 1, 3) END AS people,
-             CASE WHEN doc_id % 5 > 0 THEN left(text, 20) END AS brief FROM documents)
+      SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN string_split(text, ' ') END AS people,
+             CASE WHEN doc_id % 5 > 0 THEN text END AS brief FROM documents)
 """)
 def process_document_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _articles(spark, sf_dir).select(
         "doc_id",
-        F.when(F.col("doc_id") % 3 > 0, F.slice(F.split("text", " "), 1, 3)).alias("people"),
-        F.when(F.col("doc_id") % 5 > 0, F.substring("text", 1, 20)).alias("brief"),
+        F.when(F.col("doc_id") % 3 > 0, F.split("text", " ")).alias("people"),
+        F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("brief"),
     )
     return search.with_defaults(rows, lists=["people"], texts=["brief"]).select("doc_id", F.size("people").cast("long").alias("n_people"), "brief")
 
@@ -174,9 +174,11 @@ def filter_valid_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(text.valid_url(F.col("url"))).select("page_id")
 
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[\x{4e00}-\x{9fa5}]')")
+@query(r"SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || '龥' WHEN 1 THEN '龦 ' || text WHEN 2 THEN '一' || text ELSE text END AS t FROM documents) WHERE regexp_matches(t, '[\x{4e00}-\x{9fa5}]')")
 def filter_contains_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _articles(spark, sf_dir).where(F.rlike("text", F.lit(r"[一-龥]"))).select("doc_id")
+    n, body = F.col("doc_id") % 4, F.col("text")
+    t = F.when(n == 0, F.concat(body, F.lit("龥"))).when(n == 1, F.concat(F.lit("龦 "), body)).when(n == 2, F.concat(F.lit("一"), body)).otherwise(body)
+    return _articles(spark, sf_dir).withColumn("t", t).where(F.rlike("t", F.lit(r"[一-龥]"))).select("doc_id")
 
 
 @query("""

@@ -154,3 +154,33 @@ def feed_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_result_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
     return rows.select(F.col("page_id").alias("uuid"), F.col("url").alias("informant"), F.lit("crawler").alias("source"), F.char_length("html").cast("long").alias("size"))
+
+
+@query("SELECT event_id, ts - INTERVAL 8 HOUR AS ts FROM events UNION ALL SELECT event_id + 1000000, ts - INTERVAL 8 HOUR FROM events WHERE event_type = 'error'")
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, rows = exports.scratch(spark), _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    tables.append(rows.select("event_id", "ts"), path, ["ts"], "Asia/Shanghai")
+    tables.append(rows.where("event_type = 'error'").select((F.col("event_id") + 1_000_000).alias("event_id"), "ts"), path, ["ts"], "Asia/Shanghai")
+    return spark.read.parquet(path).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""
+    SELECT 'archive' AS name, event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09'
+    UNION ALL SELECT 'cache', o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2024-01-05' AND o_orderdate < TIMESTAMP '2024-01-09'
+""")
+def export_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = {"archive": (_events(spark, sf_dir).select("ts", F.col("event_id").alias("id")), "ts"), "cache": (table(spark, sf_dir, "orders").select("o_orderdate", F.col("o_orderkey").alias("id")), "o_orderdate")}
+    paths = exports.export_request(known, exports.scratch(spark), "all", "range", "2024-01-05", "2024-01-09")
+    parts = [exports.import_json(spark, path, "id long").select(F.lit(name).alias("name"), "id") for name, path in zip(known, paths)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT event_id, event_type, value FROM events UNION ALL SELECT event_id, event_type, value FROM events")
+def import_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through arrays of a record a line, and through lines."""
+    rows, out = _events(spark, sf_dir), []
+    for kind in ("json_array", "json"):
+        path = exports.scratch(spark)
+        exports.export(rows, path, kind, ["event_id", "event_type", "value"])
+        out.append(exports.import_json(spark, path, "event_id long, event_type string, value double"))
+    return out[0].unionByName(out[1])

@@ -235,3 +235,13 @@ def recommended_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).where("ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-15'")
     ids = rows.select(F.explode(F.array("user_id", F.col("user_id") % 13)).alias("informant"))
     return ids.groupBy("informant").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "informant").limit(12)
+
+
+@query("""
+    SELECT count(*) FILTER (event_type = 'signup') AS waiting_process, count(*) FILTER (event_type = 'view') AS archived, count(*) FILTER (event_type = 'click') AS dropped,
+           count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'other') AS conversation_warning, count(*) AS total FROM events
+""")
+def hub_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"signup": "waiting_process", "view": "archived", "click": "dropped", "error": "error", "other": "conversation_warning"}
+    state = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("event_type")]
+    return stats.hub_counters(table(spark, sf_dir, "events"), state, list(names.values()))

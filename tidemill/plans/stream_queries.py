@@ -31,15 +31,15 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     rows = _stream(spark, sf_dir).select("user_id", "event_id", "event_type")
     ingest.drain(rows, ingest.latest_table(folder, "user_id", "event_id"))
-    return spark.read.schema("user_id long, event_id long, event_type string").parquet(f"{folder}/0")
+    return ingest.latest_version(spark, folder, "user_id long, event_id long, event_type string")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'duplicate' WHEN value < 5 THEN 'low_value' ELSE 'archive' END AS route FROM events")
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     ingest.drain(_stream(spark, sf_dir).select("event_id", "value"), ingest.route_to(folder, F.col("event_id") % 9 == 0, F.col("value") < 5))
-    parts = [spark.read.schema("event_id long, route string").parquet(f"{folder}/{r}/batch=0") for r in ("duplicate", "low_value", "archive")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [spark.read.schema("event_id long, route string").parquet(f"{folder}/{r}") for r in ("duplicate", "low_value", "archive")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("event_id", "route")
 
 
 @query()

@@ -12,10 +12,10 @@ from .registry import query, table
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("quality") == 1, "A").otherwise("D")
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return docs.select((F.col("doc_id") % 150).alias("uuid"), flag.alias("flag"), F.col("doc_id").alias("seq"), F.col("source").alias("informant"), F.substring("text", 1, 30).alias("content"))
+    return docs.select((F.col("doc_id") % 150).alias("uuid"), flag.alias("flag"), F.col("doc_id").alias("seq"), F.col("source").alias("informant"), F.col("text").alias("content"))
 
 
-FLAGGED = "(SELECT doc_id % 150 AS uuid, CASE WHEN quality = 1 THEN 'A' ELSE 'D' END AS flag, doc_id AS seq, source AS informant, left(text, 30) AS content FROM documents JOIN labels USING (doc_id))"
+FLAGGED = "(SELECT doc_id % 150 AS uuid, CASE WHEN quality = 1 THEN 'A' ELSE 'D' END AS flag, doc_id AS seq, source AS informant, text AS content FROM documents JOIN labels USING (doc_id))"
 
 
 @query(f"SELECT uuid, min(seq) AS seq FROM {FLAGGED} WHERE flag = 'D' AND informant <> 'src0' GROUP BY 1")
@@ -44,26 +44,26 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT d.doc_id AS uuid, left(text, 20) AS input, CASE WHEN l.doc_id IS NULL OR greatest(quality, toxic) <= 1 THEN '无情报价值' ELSE '' END AS tax FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 4 = 0
+    SELECT d.doc_id AS uuid, text AS input, CASE WHEN l.doc_id IS NULL OR greatest(quality, toxic) <= 1 THEN '无情报价值' ELSE '' END AS tax FROM documents d LEFT JOIN labels l USING (doc_id)
 """)
 def alpaca_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     archived = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("uuid"), F.lit("brief").alias("brief"), F.create_map(F.lit("quality"), F.col("quality").cast("double"), F.lit("toxic"), F.col("toxic").cast("double")).alias("rates")
     )
-    cached = docs.select(F.col("doc_id").alias("uuid"), F.substring("text", 1, 20).alias("content"))
-    rows = training.alpaca_rows(docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("uuid")), cached, archived, "Extract the event.")
+    cached = docs.select(F.col("doc_id").alias("uuid"), F.col("text").alias("content"))
+    rows = training.alpaca_rows(docs.select(F.col("doc_id").alias("uuid")), cached, archived, "Extract the event.")
     return rows.select("uuid", "input", F.coalesce(F.get_json_object("output", "$.TAXONOMY"), F.lit("")).alias("tax"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN -1.0 ELSE CAST(length(left(text, 25)) % 11 AS DOUBLE) END AS score FROM documents")
+@query("SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN -1.0 ELSE CAST(length(text) % 11 AS DOUBLE) END AS score FROM documents")
 def judge_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     def judge(shown: str, lang: str) -> float:
         if lang == "fr":
             raise ValueError("no judgement")
         return len(shown) % 11
 
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 25).alias("input"), F.col("lang").alias("output"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("input"), F.col("lang").alias("output"))
     return training.judged(rows, judge, "id long, input string, output string").select("id", "score")
 
 

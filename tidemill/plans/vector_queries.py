@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..operators import cluster, graph, index, search, vectors
+from ..sources.tables import checkpointed
 from .registry import query, table
 
 QUERY = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
@@ -16,11 +17,6 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
-def _short(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """The first components only: the fixture's whole vectors are random and have no near neighbours."""
-    return _vectors(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, size))
-
-
 @query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, {QUERY} ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
@@ -106,12 +102,12 @@ def summary_fulltext_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.best_of([one, two], "vec_id", "score").withColumn("score", F.round("score", 6))
 
 
-PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.embedding[1:4]::DOUBLE[], b.embedding[1:4]::DOUBLE[]) <= 0.01"
+PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 0.6"
 
 
 @query(f"SELECT a, b FROM ({PAIRS}) WHERE a < b")
 def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.pairs_within(_short(spark, sf_dir, 4), 0.01)
+    return vectors.pairs_within(_vectors(spark, sf_dir), 0.6)
 
 
 @query(f"""
@@ -119,12 +115,12 @@ def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT e.vec_id, CASE WHEN e.vec_id IN (SELECT a FROM p) THEN m.root ELSE -1 END AS cluster_id FROM embeddings e JOIN (SELECT a, min(b) AS root FROM r GROUP BY 1) m ON m.a = e.vec_id
 """)
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.run_plan(_short(spark, sf_dir, 4), cluster.plan("dbscan", eps=0.01)).na.fill({"cluster_id": -1})
+    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("dbscan", eps=0.6)).na.fill({"cluster_id": -1})
 
 
 @query()
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.run_plan(_short(spark, sf_dir, 6), cluster.plan("agglomerative_loose"), block="label")
+    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("agglomerative_loose"), block="label")
 
 
 @query("SELECT label AS cluster_id, count(*) AS size, min(vec_id) AS repr_doc_id, max(ts) AS last_seen FROM embeddings JOIN events ON event_id = vec_id GROUP BY 1 ORDER BY size DESC, cluster_id LIMIT 5")
@@ -141,21 +137,21 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _story_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("title"), F.slice(F.split("text", " "), 1, 12).alias("entities"))
-    e = _short(spark, sf_dir, 6).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return docs.join(e, "doc_id").withColumn("day", (F.col("doc_id") % 30).cast("double"))
+    """Whole documents; the shares of the letters stand in for a model's embedding."""
+    share = lambda x: (F.char_length("text") - F.char_length(F.replace("text", F.lit(x), F.lit("")))) / F.greatest(F.lit(1), F.char_length("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"), F.split("text", " ").alias("entities"), F.array(*map(share, "abcdefghijklmnopqrstuvwxyz")).alias("embedding"))
+    return checkpointed(docs.withColumn("day", (F.col("doc_id") % 30).cast("double")))
 
 
 @query("""
-    SELECT entity, count(*) AS n FROM (SELECT unnest(list_concat(list_slice(string_split(text, ' '), 1, 3), list_slice(string_split(text, ' '), 4, 6), coalesce(CASE WHEN doc_id % 2 = 0 THEN [source] END, []))) AS entity
+    SELECT entity, count(*) AS n FROM (SELECT unnest(list_concat(string_split(text, ' '), string_split(text, '.'), coalesce(CASE WHEN doc_id % 2 = 0 THEN [source] END, []))) AS entity
       FROM documents WHERE TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 60 AS INTEGER)) BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-02-01') WHERE regexp_matches(entity, '^\\s*\\S+')
     GROUP BY 1 ORDER BY n DESC, entity LIMIT 50
 """.replace("\\\\", "\\"))
 def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split("text", " ")
     ts = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("doc_id") % 60).cast("int"))
     docs = table(spark, sf_dir, "documents").select(
-        ts.alias("ts"), F.slice(words, 1, 3).alias("people"), F.slice(words, 4, 3).alias("organizations"), F.when(F.col("doc_id") % 2 == 0, F.array("source")).alias("locations")
+        ts.alias("ts"), F.split("text", " ").alias("people"), F.split("text", r"\.").alias("organizations"), F.when(F.col("doc_id") % 2 == 0, F.array("source")).alias("locations")
     )
     return graph.stop_entities(docs, "2024-02-01", 30, 50)
 
@@ -164,3 +160,19 @@ def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def storyline_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = graph.grow(_story_docs(spark, sf_dir), 0, ["the", "of", "and"], max_depth=3, window_days=30)
     return spark.createDataFrame([(int(a), int(b), round(float(s), 6)) for a, b, s in line.edges], "source long, target long, score double")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 OR value % 10 >= 5 THEN 'COMPLETED' ELSE 'REJECTED' END AS state FROM events")
+def graph_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = F.when(F.col("event_id") % 7 > 0, F.col("value") % 10)  # a judgement that failed is missing
+    return table(spark, sf_dir, "events").select("event_id", graph.verdicts(judged).alias("state"))
+
+
+@query()
+def hdbscan_eom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("hdbscan_eom")).na.fill({"cluster_id": -1})
+
+
+@query()
+def hdbscan_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("hdbscan_leaf")).na.fill({"cluster_id": -1})
