@@ -69,6 +69,17 @@ def test_intelligence_score(spark):
     assert [r[0] for r in got] == pytest.approx([score_by_hand(*r) for r in rows])
 
 
+def test_score_of_a_table_equals_the_expression(spark):
+    """Also where the table has columns of any name, among them the score's own."""
+    rows = [({"影响深度": 9, "新颖性与异常性": n % 11, "可行动性": n % 4, "演化与连锁潜力": n % 5}, "政治与安全", "plain" if n % 3 else "年度", "；；同时第一第二", n / 40) for n in range(40)]
+    df = spark.createDataFrame(rows, "rates map<string,int>, tax string, h string, _score_r0 string, `a.b` double")
+    args = [F.col("rates"), F.col("tax"), F.col("h"), F.col("_score_r0"), F.col("`a.b`")]
+    got = score.with_intelligence_score(df.withColumn("Score", F.lit(1)), "score", *args, digits=9)
+    assert got.columns == [*df.columns, "score"]
+    want = df.select(score.intelligence_score(*args, digits=9).alias("score")).collect()
+    assert [r.score for r in got.collect()] == [r.score for r in want] == pytest.approx([score_by_hand(*r) for r in rows])
+
+
 def test_argmax_and_reduction(spark):
     m = F.create_map(*map(F.lit, ["b", 3.0, "a", 3.0, "c", 1.0, "z", 9.0]))
     assert tuple(one(spark, score.argmax(m, ["z"]))) == (3.0, "a")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import contains_any, count_markers, join_nonblank
@@ -49,17 +49,48 @@ def intelligence_score(
     """Weighted rating out of ten, scaled by class, lowered for recaps, stale or repeated news and lists of events, capped
     where nothing can be done or nothing is new. headline is the joined title, brief, reason and tips."""
     c = config or ScoreConfig()
-    known = {"tax": taxonomy, "similar": F.coalesce(similarity, F.lit(0.0)) if similarity is not None else F.lit(0.0)}
-    known |= {"recap": contains_any(headline, list(c.recap)), "stale": contains_any(headline, list(c.stale)), "marks": count_markers(text, list(c.markers))}
-    keys = [*c.weights, *(k for k in (c.novelty, c.action, c.evolution) if k not in c.weights)]
-    known["rates"] = rates
+    known, keys = _known(rates, taxonomy, headline, text, similarity, c)
     # what is named often is evaluated once: the optimizer doesn't merge an expression into a function of an element
     once = F.array(F.struct(*[v.alias(k) for k, v in known.items()]))
     clamped = lambda x: F.struct(*[x[k].alias(k) for k in known if k != "rates"], *[rate(x["rates"], key).alias(f"r{i}") for i, key in enumerate(keys)])
     return F.element_at(F.transform(F.transform(once, clamped), lambda x: _lowered(x, keys, c, digits)), 1)
 
 
-def _lowered(x: Column, keys: list[str], c: ScoreConfig, digits: int) -> Column:
+def with_intelligence_score(
+    df: DataFrame,
+    name: str,
+    rates: Column,
+    taxonomy: Column,
+    headline: Column,
+    text: Column,
+    similarity: Column | None = None,
+    config: ScoreConfig | None = None,
+    digits: int = 1,
+) -> DataFrame:
+    """df with the column `name`, the intelligence_score of the same arguments. For whole tables: what is named often is a
+    column of a projection before, so everything is compiled code, where the expression above is interpreted."""
+    c = config or ScoreConfig()
+    known, keys = _known(rates, taxonomy, headline, text, similarity, c)
+    taken, prefix = [x.lower() for x in df.columns], "_score_"
+    while any(x.startswith(prefix) for x in taken):
+        prefix = f"_{prefix}"
+    kept = [F.col(f"`{x}`") for x in df.columns if x.lower() != name.lower()]
+    rows = df.select("*", *[v.alias(prefix + k) for k, v in known.items()])
+    clamped = [rate(F.col(f"{prefix}rates"), key).alias(f"{prefix}r{i}") for i, key in enumerate(keys)]
+    rows = rows.select(*kept, *[prefix + k for k in known if k != "rates"], *clamped)
+    at = {k: F.col(prefix + k) for k in known} | {f"r{i}": F.col(f"{prefix}r{i}") for i in range(len(keys))}
+    return rows.select(*kept, _lowered(at, keys, c, digits).alias(name))
+
+
+def _known(rates: Column, taxonomy: Column, headline: Column, text: Column, similarity: Column | None, c: ScoreConfig) -> tuple[dict[str, Column], list[str]]:
+    """What the score is made from, by name, and the rated dimensions."""
+    known = {"tax": taxonomy, "similar": F.coalesce(similarity, F.lit(0.0)) if similarity is not None else F.lit(0.0)}
+    known |= {"recap": contains_any(headline, list(c.recap)), "stale": contains_any(headline, list(c.stale)), "marks": count_markers(text, list(c.markers))}
+    known["rates"] = rates
+    return known, [*c.weights, *(k for k in (c.novelty, c.action, c.evolution) if k not in c.weights)]
+
+
+def _lowered(x: Column | dict[str, Column], keys: list[str], c: ScoreConfig, digits: int) -> Column:
     at = {key: x[f"r{i}"] for i, key in enumerate(keys)}
     score = F.lit(0.0)
     for key, weight in c.weights.items():

@@ -270,7 +270,7 @@ def intelligence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = score.headline(F.when(F.col("l_suppkey") % 4 == 0, "年度报告"), F.when(F.col("l_suppkey") % 7 == 0, "旧闻"), F.lit(None).cast("string"), F.lit("news"))
     body = F.when(F.col("l_orderkey") % 2 == 0, "；；同时，第一，第二，第三").otherwise("plain")
     similar = F.when(F.col("l_orderkey") % 3 == 0, 0.95).when(F.col("l_orderkey") % 3 == 1, 0.88).otherwise(0.1)
-    return r.select("l_orderkey", "l_linenumber", score.intelligence_score(rates, tax, head, body, similar, digits=12).alias("score"))
+    return score.with_intelligence_score(r, "score", rates, tax, head, body, similar, digits=12).select("l_orderkey", "l_linenumber", "score")
 
 
 @query("""
