@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -145,6 +146,51 @@ def test_mixture_finds_both_languages():
     assert langid.identify(b, logs, 2.0)[0] == 2
 
 
+def some_mixtures(many, languages=4, grams=60):
+    """Log-probabilities of few n-grams, and texts whose n-grams come from one or more of the languages."""
+    rng = np.random.default_rng(7)
+    for _ in range(many):
+        logs = np.log(rng.dirichlet(np.ones(grams) * 0.3, languages).T + 1e-4)
+        of = rng.dirichlet(np.ones(languages) * 0.3)
+        drawn = rng.choice(grams, rng.integers(1, 600), p=(lambda x: x / x.sum())(np.exp(logs) @ of))
+        yield logs[drawn]
+
+
+def test_mixtures_are_as_likely_as_plain_steps_make_them():
+    for logs in some_mixtures(40):
+        likelihood, weight = np.exp(logs), np.ones(len(logs))
+        share = np.full(4, 0.25)
+        for _ in range(20_000):
+            share = share * ((weight / (likelihood @ share)) @ likelihood) / len(logs)
+        found, value = langid.mixture(likelihood, weight)
+        assert abs(found.sum() - 1) < 1e-9 and value >= np.log(likelihood @ share).sum() - langid.GAP - 1e-9
+        assert value == pytest.approx(np.log(likelihood @ found).sum())
+
+
+def test_language_sets_against_all_sets():
+    several = 0
+    for logs in some_mixtures(60):
+        weight, values = np.ones(len(logs)), {}
+        cost = math.log(max(2, len(logs)))
+        for size in range(1, 5):
+            for some in itertools.combinations(range(4), size):
+                values[some] = langid.mixture(np.exp(logs[:, list(some)]), weight)[1] - cost * (size - 1)
+        part, shares = langid.chosen(logs, weight, 2.0)
+        assert values[tuple(np.flatnonzero(part).tolist())] >= max(values.values()) - 2 * langid.GAP
+        several += (part > 0).sum() > 1
+    assert several > 10
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    """One long text of a language with a tail of another is that language's; a row that repeats repeats its result."""
+    english, german = "the quick brown fox and the lazy dog ", "der schnelle braune fuchs und der faule hund "
+    rows = [(1, english * 50, "en"), (2, german * 50, "de"), (3, english * 60_000 + german * 20_000, None), (3, english * 60_000 + german * 20_000, None), (4, german, None), (4, english, None)]
+    docs = documents(spark, rows)
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.languages(docs, folds=1, held=9).collect())
+    assert len(got) == 6 and got[2] == got[3] and got[2][1] == "en" and 0.6 < got[2][2] < 0.8
+    assert [x[1] for x in got[4:]] == ["de", "en"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()

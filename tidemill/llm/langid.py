@@ -1,7 +1,8 @@
 """Language of a document as a mixture of languages, by expectation-maximisation over character n-gram likelihoods.
 
 Model: smoothed frequencies of hashed byte trigrams (letters lower-cased, everything else a blank) for each language,
-counted over every training row. A document's language proportions maximise the mixture's likelihood; the set of
+counted over every training row. A document's language proportions maximise the mixture's likelihood, by expectation-maximisation
+until the log-likelihood is provably within GAP of its maximum, however many steps that takes; the set of
 languages is the one whose log-likelihood, less half the log of the document's length for each language beyond the first
 (times `penalty`), is largest. The language with the largest share of that set is predicted; score is its share when all
 languages compete, so it falls as others explain parts of the text.
@@ -26,6 +27,8 @@ from .common import fold
 BUCKETS = 1 << 16
 #: Added to each bucket's count.
 SMOOTHING = 0.05
+#: Most that a mixture's log-likelihood may lie below the highest (natural logarithm), and the smallest share.
+GAP, LEAST_SHARE = 1e-3, 1e-300
 CHUNK = 1 << 22
 
 
@@ -83,19 +86,56 @@ def train(docs: DataFrame, where: Column) -> tuple[list[str], np.ndarray]:
     return langs, np.log(counts / counts.sum(axis=0)) if langs else counts
 
 
-def mixture(likelihood: np.ndarray, weight: np.ndarray, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Proportions of the languages (columns) and the log-likelihood. likelihood is scaled by row; weight counts rows."""
-    share = np.full(likelihood.shape[1], 1 / likelihood.shape[1])
+def mixture(likelihood: np.ndarray, weight: np.ndarray, gap: float = GAP) -> tuple[np.ndarray, float]:
+    """Proportions of the languages (columns) and the log-likelihood, at most `gap` below the highest there is. likelihood is
+    scaled by row; weight counts rows. Two steps of expectation-maximisation give a longer step in their direction, which is
+    taken where it makes the text likelier, else the two are."""
     total = weight.sum()
-    before = -np.inf
-    for _ in range(steps):
+    gap = max(gap, 1e-12 * total)  # what sums of doubles can tell
+    share = np.full(likelihood.shape[1], 1 / likelihood.shape[1])
+
+    def pull(by_row: np.ndarray) -> np.ndarray:
+        return (weight / by_row) @ likelihood
+
+    while True:
         by_row = likelihood @ share
-        now = float(weight @ np.log(by_row))
-        share = share * ((weight / by_row) @ likelihood) / total
-        if now - before < 1e-3:
-            break
-        before = now
-    return share / share.sum(), now
+        now, slope = float(weight @ np.log(by_row)), pull(by_row)
+        if slope.max() - total <= gap:  # the log-likelihood is concave: nowhere is it higher by more than this
+            return share, now
+        first = share * slope / total
+        after = first * pull(likelihood @ first) / total
+        step, bend = first - share, after - 2 * first + share
+        if (size := np.sqrt(bend @ bend)) > 0:
+            times = max(1.0, np.sqrt(step @ step) / size)
+            far = share + 2 * times * step + times**2 * bend
+            if far.min() > 0 and float(weight @ np.log(likelihood @ far)) > now:
+                after = far
+        after = np.maximum(after, LEAST_SHARE)  # a share of zero could never grow again
+        after /= after.sum()
+        if np.array_equal(after, share):
+            return share, now
+        share = after
+
+
+def chosen(logs: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the languages (columns of logs) in the set of the largest penalised likelihood, and in all languages. Tried
+    are every single language, and the languages of the largest shares, up to the size at which none could win."""
+    top = logs.max(axis=1, keepdims=True)
+    likelihood = np.exp(logs - top)
+    shares, full = mixture(likelihood, weight)
+    full += GAP
+    single = weight @ (logs - top)
+    cost = penalty * 0.5 * np.log(max(2.0, weight.sum()))
+    best, out = single.max(), (np.arange(len(shares)) == int(single.argmax())).astype(float)
+    order = np.argsort(-shares, kind="stable")
+    for size in range(2, len(shares) + 1):
+        if full - cost * (size - 1) <= best:
+            break  # no set of this size or more can win: none is likelier than all languages together
+        part, value = mixture(likelihood[:, order[:size]], weight)
+        if value - cost * (size - 1) > best:
+            best, out = value - cost * (size - 1), np.zeros(len(shares))
+            out[order[:size]] = part
+    return out, shares
 
 
 def identify(found: np.ndarray, logs: np.ndarray, penalty: float) -> tuple[int, float]:
@@ -106,22 +146,8 @@ def identify(found: np.ndarray, logs: np.ndarray, penalty: float) -> tuple[int,
         weight = sums[rows].astype(float)
     else:
         rows, weight = found, np.ones(len(found))
-    own = logs[rows]
-    top = own.max(axis=1, keepdims=True)
-    likelihood = np.exp(own - top)
-    shares, full = mixture(likelihood, weight)
-    single = weight @ (own - top)
-    cost = penalty * 0.5 * np.log(max(2.0, weight.sum()))
-    best, chosen = single.max(), shares * (np.arange(len(shares)) == int(single.argmax()))
-    order = np.argsort(-shares, kind="stable")
-    for size in range(2, len(shares) + 1):
-        if full - cost * (size - 1) <= best:
-            break  # no set of this size or more can win: none is likelier than all languages together
-        part, value = mixture(likelihood[:, order[:size]], weight)
-        if value - cost * (size - 1) > best:
-            best, chosen = value - cost * (size - 1), np.zeros(len(shares))
-            chosen[order[:size]] = part
-    winner = int(chosen.argmax()) if chosen.any() else int(single.argmax())
+    part, shares = chosen(logs[rows], weight, penalty)
+    winner = int(part.argmax())
     return winner, float(min(1.0, max(0.0, shares[winner])))
 
 
