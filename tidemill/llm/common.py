@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,9 +99,17 @@ def clear_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared checkpoint folder, and read again. It stays until
     clear_stored() or until the folder is cleared; use cut() for small tables, which Spark clears itself."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return stored_parts([df])
+
+
+def stored_parts(parts: Iterable[DataFrame]) -> DataFrame:
+    """stored() of all rows of the parts, which have one schema and are computed and written one after the other."""
+    path = None
+    for part in parts:
+        if path is None:
+            ensure_checkpoint_dir(part.sparkSession)
+            path = f"{part.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+            spark, schema = part.sparkSession, part.schema
+        part.write.mode("append").parquet(path)
     _stored.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)

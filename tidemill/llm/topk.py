@@ -1,9 +1,10 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Queries go in blocks of a fixed size, each against all rows. For a block every task scores its rows and counts the scores
-of each query into equal bins, sending only its topmost bins down to its own k-th value; the summed counts tell in which
-bin the k-th highest score of all rows lies, and that bin is split again until it is one score wide. A last pass keeps the
-scores at or above that value, of equal ones only the k smallest ids a task, and ranks them.
+Queries go in blocks of a fixed size, each against all rows; a block's result is stored before the next begins. For a block
+every task scores its rows and counts the scores of each query into equal bins, sending only its topmost bins down to its
+own k-th value; the summed counts tell in which bin the k-th highest score of all rows lies, and that bin is split again
+until it is one score wide. A last pass keeps the scores at or above that value, of equal ones only the k smallest ids a
+task, and ranks them.
 
 Components become floor(scale * x) of x as double. Defined results: a vector that is null, empty, or holds a null or
 non-finite component takes no part; vectors of different length do not meet; a query meets no row of its own id; repeated
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, stored_parts
 
 #: Queries of a block, rows scored at once, bins of a round.
 BLOCK, ROWS, BINS = 2048, 4096, 1024
@@ -109,25 +110,28 @@ def _top_of_block(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, bound: f
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest scores of each query, ties to the smaller vec_id."""
     rows = cut(scaled(vectors, scale))
-    out = None
     sizes = rows.groupBy("size").agg(
         F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("bound"), F.count_if(is_query).alias("queries")
     )
-    for size, bound, queries in sorted(tuple(r) for r in sizes.collect()):
-        if bound * bound >= 2**53:
-            raise ValueError("scores of these vectors do not fit in 53 bits")
-        same = rows.where(F.col("size") == size)
-        blocks = -(-queries // BLOCK)
-        for block in range(blocks):
-            mine = same.where(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block))
-            part = mine.groupBy("vec_id").agg(F.min("v").alias("v")).toArrow()
-            if not part.num_rows:
-                continue
-            ids = np.asarray(part.column(0).combine_chunks())
-            matrix = np.asarray(part.column(1).combine_chunks().flatten()).reshape(len(ids), -1)
-            found = _top_of_block(same.select("vec_id", "v"), ids, matrix, bound, k)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.col("vec_id").alias("score")).limit(0)
+    sizes = sorted(tuple(r) for r in sizes.collect())
+    if any(bound * bound >= 2**53 for _, bound, _ in sizes):
+        raise ValueError("scores of these vectors do not fit in 53 bits")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return out.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def parts() -> Iterator[DataFrame]:
+        """The result of each block, stored before the next one begins, so that a lost executor costs one block at most."""
+        yield ranked(rows.where("false").select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")))
+        for size, bound, queries in sizes:
+            same, blocks = rows.where(F.col("size") == size), -(-queries // BLOCK)
+            for number in range(blocks):
+                mine = same.where(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number))
+                part = mine.groupBy("vec_id").agg(F.min("v").alias("v")).toArrow()
+                if part.num_rows:
+                    ids = np.asarray(part.column(0).combine_chunks())
+                    matrix = np.asarray(part.column(1).combine_chunks().flatten()).reshape(len(ids), -1)
+                    yield ranked(_top_of_block(same.select("vec_id", "v"), ids, matrix, bound, k))
+
+    return stored_parts(parts())
