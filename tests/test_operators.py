@@ -145,6 +145,24 @@ def test_latest_table_over_batches(spark, tmp_path):
     assert {r.url: r.state for r in spark.read.parquet(f"{folder}/1").collect()} == {"a": "done", "b": "run"}
 
 
+def test_latest_table_of_changes(spark, tmp_path):
+    """Whole versions come every third batch; the state is the same after each batch, also where one runs again."""
+    folder, rng, state = str(tmp_path / "state"), np.random.default_rng(3), {}
+    schema = "url string, seq int, state string"
+    keep = ingest.latest_table(folder, "url", "seq", every=3)
+    for number in range(8):
+        rows = [(f"u{rng.integers(6)}", int(rng.integers(1000)) * 10 + number, f"s{number}") for _ in range(4)] if number != 4 else []
+        for url, seq, now in rows:
+            state[url] = max(state.get(url, (-1, "")), (seq, now))
+        for _ in range(2):
+            keep(spark.createDataFrame(rows, schema), number)
+            got = ingest.latest_version(spark, folder, schema, "url", "seq").collect()
+            assert len(got) == len(state) and {r.url: (r.seq, r.state) for r in got} == state
+        assert (tmp_path / "state" / str(number)).exists() == (number % 3 == 2)
+    with pytest.raises(ValueError):
+        ingest.latest_version(spark, folder, schema)
+
+
 def test_retries():
     calls = []
 

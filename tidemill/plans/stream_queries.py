@@ -30,8 +30,8 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     rows = _stream(spark, sf_dir).select("user_id", "event_id", "event_type")
-    ingest.drain(rows, ingest.latest_table(folder, "user_id", "event_id"))
-    return ingest.latest_version(spark, folder, "user_id long, event_id long, event_type string")
+    ingest.drain(rows, ingest.latest_table(folder, "user_id", "event_id", every=16))
+    return ingest.latest_version(spark, folder, "user_id long, event_id long, event_type string", "user_id", "event_id")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'duplicate' WHEN value < 5 THEN 'low_value' ELSE 'archive' END AS route FROM events")

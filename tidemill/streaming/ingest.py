@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,26 +95,50 @@ def latest(batch: DataFrame, key: str, order: str) -> DataFrame:
     return best.select(key, "_row.*")
 
 
-def latest_table(folder: str, key: str, order: str) -> Sink:
-    """A sink that keeps the newest row of each key: version n of the table comes of version n - 1 and batch n. latest_version
-    reads the last one."""
+def latest_table(folder: str, key: str, order: str, every: int = 1) -> Sink:
+    """A sink that keeps the newest row of each key. Every `every` batches the whole table is written as the version of the
+    batch's number, made of the last whole version and the changes since; the batches between write their own newest rows
+    only, so a batch costs what it holds, not what the table holds. A batch that runs again replaces what it wrote.
+    latest_version reads the last state."""
 
     def keep(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/{number - 1}"))
+        if (number + 1) % every:
+            latest(batch, key, order).write.mode("overwrite").parquet(f"{folder}/changes={number}")
+            return
+        for path in _state_paths(spark, folder, number):
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(path))
         latest(batch, key, order).write.mode("overwrite").parquet(f"{folder}/{number}")
 
     return keep
 
 
-def latest_version(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The last version that latest_table wrote; no rows before the first."""
+def _state_paths(spark: SparkSession, folder: str, before: float = float("inf")) -> list[str]:
+    """The last whole version of a state table and the changes after it, all written in full, of batches below `before`."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(folder)
     files = place.getFileSystem(conf)
-    whole = [int(s.getPath().getName()) for s in (files.listStatus(place) if files.exists(place) else []) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.schema(schema).parquet(f"{folder}/{max(whole)}") if whole else spark.createDataFrame([], schema)
+    found = [s.getPath() for s in (files.listStatus(place) if files.exists(place) else [])]
+    names = [p.getName() for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    whole = [n for n in (int(x) for x in names if x.isdigit()) if n < before]
+    last = max(whole, default=-1)
+    changes = sorted(int(x.removeprefix("changes=")) for x in names if x.startswith("changes="))
+    return [f"{folder}/{last}"] * bool(whole) + [f"{folder}/changes={n}" for n in changes if last < n < before]
+
+
+def latest_version(spark: SparkSession, folder: str, schema: str, key: str | None = None, order: str | None = None) -> DataFrame:
+    """The state that latest_table wrote last; no rows before the first. key and order must be given where whole versions are
+    not written with each batch."""
+    paths = _state_paths(spark, folder)
+    if not paths:
+        return spark.createDataFrame([], schema)
+    # the folders' names are no columns
+    rows = [spark.read.schema(schema).parquet(path) for path in paths]
+    if len(rows) == 1 and paths[0].rsplit("/", 1)[1].isdigit():
+        return rows[0]
+    if key is None or order is None:
+        raise ValueError("the state has changes after its last whole version: key and order are needed")
+    return latest(reduce(DataFrame.unionByName, rows), key, order)
 
 
 def limited(stream: DataFrame, key: str, ts: str, amount: str, limit: float, seconds: int) -> DataFrame:
