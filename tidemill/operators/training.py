@@ -27,8 +27,10 @@ def archived_summary(archived: DataFrame, cached: DataFrame, checks: Column) ->
 
 def weighted_sample(df: DataFrame, weight: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows without replacement, each draw in proportion to weight: the n smallest exponential keys. The random number is
-    a hash of the row's key, so a recomputed task draws the same rows. Fewer than n rows: all of them."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    13 hexadecimal digits of the MD5 of seed and key, so a recomputed task draws the same rows. Fewer than n rows: all of
+    them."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     rows = df.where(F.col(weight) > 0).withColumn("_draw", -F.log(u) / F.col(weight))
     return rows.orderBy("_draw", key).limit(n).drop("_draw")
 

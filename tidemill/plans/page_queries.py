@@ -22,7 +22,11 @@ def html_text_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
-@query()
+@query(r"""
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(html, '<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>', '<>', 'gis'), '<[^>]*>'),
+      lambda t: regexp_replace(regexp_replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'),
+        '^\s+|\s+$', '', 'g')), lambda t: t <> ''), ' ') AS body FROM pages
+""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", pages.html_to_text(F.col("html")).alias("body"))
 
@@ -37,7 +41,18 @@ def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", pages.main_content(F.col("html")).alias("body"))
 
 
-@query()
+@query(r"""
+    WITH p AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)\s*>', ' ', 'gis'), '<!--.*?-->|<[^>]*>', ' ', 'gs') AS body FROM pages),
+      f AS (SELECT page_id, regexp_matches(html, '<html\b', 'i') AND regexp_matches(html, '<body\b', 'i') AS whole,
+          regexp_matches(html, '<(main|article)\b|<div [^>]*(id="content"|class="([^"]* )?container[ "])', 'i') AS container,
+          regexp_matches(html, '<noscript\b|<div [^>]*class="([^"]* )?loading[ "]', 'i') AS loading,
+          length(trim(regexp_replace(body, '\s+', ' ', 'g'))) / greatest(1, len(regexp_extract_all(html, '<[A-Za-z]'))) < 0.3 AS sparse,
+          regexp_matches(body, 'enable javascript|access denied|cloudflare security|captcha', 'i') AS blocked,
+          (contains(lower(body), 'the')::INTEGER + contains(lower(body), 'news')::INTEGER + contains(lower(body), 'of')::INTEGER) / 3.0 AS found FROM p),
+      s AS (SELECT page_id, blocked, 100.0::DOUBLE - 40 * (NOT whole)::INTEGER - 30 * (NOT container)::INTEGER - 50 * blocked::INTEGER - 20 * loading::INTEGER - 25 * sparse::INTEGER
+          - CASE WHEN found < 0.6 THEN 15 * (1 - found) ELSE 0 END AS score FROM f)
+    SELECT page_id, score >= 70 AND NOT blocked AS valid, CAST(greatest(score, 0) AS DOUBLE) AS score, blocked FROM s
+""")
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", pages.quality(F.col("html"), ["the", "news", "of"]).alias("q")).select("page_id", "q.*")
 
@@ -47,7 +62,12 @@ def link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.link_groups(_pages(spark, sf_dir), "page_id", "html", "url").select("page_id", "signature", "n")
 
 
-@query()
+@query(r"""
+    WITH l AS (SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html, '<li><a href="/([^"]*)"', 1), lambda t: replace(replace(t, '&quot;', '"'), '&amp;', '&')))) AS t FROM pages),
+      s AS (SELECT page_id, len(t) AS n, list_avg(list_transform(t[1:5], lambda x: length(x))) AS mean,
+        len(list_filter(t[1:5], lambda x: regexp_matches(lower(x), '关于我们|联系我们|首页|隐私政策|home|about|contact|privacy'))) > 0 AS bad FROM l WHERE len(t) >= 3)
+    SELECT * FROM (SELECT page_id, 'li' AS signature, CAST(n AS BIGINT) AS n, CAST(n + CASE WHEN mean > 10 THEN 15 WHEN mean < 5 THEN -10 ELSE 0 END - 30 * bad::INTEGER AS BIGINT) AS score FROM s) WHERE score > 0
+""")
 def article_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = discovery.link_groups(_pages(spark, sf_dir), "page_id", "html", "url")
     return discovery.article_group(groups, "page_id").select("page_id", "signature", "n", "score")

@@ -42,7 +42,14 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("event_id", "route")
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i FROM events),
+      r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t TIMESTAMP, a DOUBLE)[]) AS held, CAST(NULL AS BOOLEAN) AS fits FROM events
+        UNION ALL SELECT user_id, i, CASE WHEN fits THEN list_append(kept, {'t': CAST(ts AS TIMESTAMP), 'a': CAST(value AS DOUBLE)}) ELSE kept END, fits
+        FROM (SELECT *, coalesce(list_sum(list_transform(kept, lambda h: h.a)), 0) + value <= 120 AS fits
+          FROM (SELECT e.*, list_filter(r.held, lambda h: h.t > e.ts - INTERVAL 24 HOUR) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
+    SELECT user_id, count(*) FILTER (fits) AS admitted, count(*) FILTER (NOT fits) AS refused FROM r WHERE i > 0 GROUP BY 1
+""")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ingest.drain(ingest.limited(_stream(spark, sf_dir), "user_id", "ts", "value", 120.0, 86400))
     return out.groupBy("user_id").agg(F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("refused"))

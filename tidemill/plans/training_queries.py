@@ -29,7 +29,11 @@ def archived_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.archived_summary(rows, rows, F.col("informant") != "src0").select("uuid", "seq")
 
 
-@query()
+@query("""
+    SELECT doc_id FROM (SELECT doc_id, (CASE WHEN hi > lo THEN (n_chars - lo) / CAST(hi - lo AS DOUBLE) ELSE 1 END + 0.1) / n AS weight FROM (
+      SELECT doc_id, n_chars, count(*) OVER (PARTITION BY source) AS n, min(n_chars) OVER () AS lo, max(n_chars) OVER () AS hi FROM documents))
+    ORDER BY -ln((CAST('0x' || substr(md5('42:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496) / weight, doc_id LIMIT 100
+""")
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.inverse_frequency(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "n_chars")
     return training.weighted_sample(rows, "weight", 100, "doc_id").select("doc_id")
