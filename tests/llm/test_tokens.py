@@ -49,6 +49,25 @@ def test_encoded_table(spark):
     assert bpe.encoded(documents(spark, []), RANKS, PATTERN).count() == 0
 
 
+def test_rows_that_repeat_are_dealt_to_buckets(spark, monkeypatch):
+    """One row of a document many times over: no bucket holds more than a fair part, and the layout has no gap."""
+    monkeypatch.setattr(packing, "BUCKET", 50)
+    seen, dealt = [], packing._dealt
+    monkeypatch.setattr(packing, "_dealt", lambda rows, buckets: seen.append(dealt(rows, buckets)) or seen[-1])
+    out = packing.packed(documents(spark, [(7, "one and the same")] * 600), VOCABULARY, PATTERN, 64)
+    rows = sorted((r.sequence_id, r.offset, r.length) for r in out.collect())
+    assert len(rows) == 600 and len({r[2] for r in rows}) == 1
+    sizes = [r["count"] for r in seen[0].groupBy("bucket").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 100
+    each = 64 // rows[0][2]
+    assert len({r[0] for r in rows}) == -(-600 // each)
+    ends = {}
+    for sequence, offset, length in rows:
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + length
+
+
+
 @pytest.mark.parametrize("capacity", [16, 2048])
 def test_packed_table(spark, capacity):
     rows = [tuple(r) for r in packing.packed(documents(spark), VOCABULARY, PATTERN, capacity).collect()]

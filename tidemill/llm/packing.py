@@ -4,7 +4,7 @@ Only the histogram of piece lengths, at most `capacity` rows whatever the input,
 sets of one to three lengths that provably dominate every other set with the same largest piece (Martello and Toth), in
 bulk; what is left is packed best fit, largest first, also in bulk. The outcome is a short list of slots, at most a few
 for each length, and each piece finds its slot by its rank among the pieces of its length. Ranks come from counts of
-(length, bucket), so no length, however common, meets in one task.
+(length, bucket), a bucket being a hash of the row's number, so no length and no row, however common, meets in one task.
 
 Defined results: null text is empty (one piece, of the end id alone); rows that repeat a doc_id are packed as rows of
 their own; a null doc_id stays null; an empty table gives an empty result. Other columns are ignored.
@@ -232,17 +232,22 @@ def slots(sequences: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """bucket, by the row's number, so that rows that repeat are dealt like others."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+
+
 def packed(docs: DataFrame, vocabulary_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """The pieces of docs with sequence_id and offset, in as few sequences as the plan finds."""
-    rows = cut(pieces(docs, vocabulary_path, pattern, capacity, end_id))
+    rows = cut(pieces(docs, vocabulary_path, pattern, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = slots(plan(counts, capacity))
     buckets = max(1, -(-sum(counts.values()) // BUCKET))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    rows = _dealt(rows, buckets)
     sums = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row"))
     ranked = rows.withColumn("inside", inside).join(sums, ["length", "bucket"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = ranked.select(*names, (F.col("before") + F.col("inside") - 1).alias("rank"))
