@@ -21,7 +21,7 @@ def test_sql_gives_the_same_rows(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES)))
 def test_each_row_has_a_result(spark, name):
-    table = "pages" if name.startswith("op7_") else "embeddings" if name.startswith("op10_") else "documents"
+    table = "pages" if name.startswith("op7_") else "embeddings" if name.startswith(("op10_", "op12_")) else "documents"
     rows = queries.QUERIES[name](spark, DATA)
     if name.startswith("op10_"):
         assert rows.count() == 5 * spark.read.parquet(f"{DATA}/{table}.parquet").where("vec_id % 50 = 0").count()
