@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.exports import scratch
-from ..streaming import ingest
+from ..streaming import ingest, stateful
 from .registry import query, table
 
 
@@ -58,7 +58,7 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ingest.source(spark, f"{sf_dir}/embeddings.parquet", table(spark, sf_dir, "embeddings").schema)
-    out = ingest.drain(ingest.online_clusters(rows, "label", "vec_id", "embedding", event=0.5))
+    out = ingest.drain(stateful.online_clusters(rows, "label", "vec_id", "embedding", event=0.5))
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.exports import scratch
+from .stateful import rocksdb_state
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -27,9 +29,21 @@ def source(spark: SparkSession, path: str, schema, files: int | None = None) ->
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, keep: Sink | None = None, mode: str = "append") -> DataFrame | None:
+def in_batches(df: DataFrame, arrival: str) -> DataFrame:
+    """df as a stream of one micro-batch for each value of the integer column `arrival`, in its order; that column is left
+    out. For replays of a log in the order in which it came."""
+    spark, folder = df.sparkSession, scratch(df.sparkSession)
+    rows = df.drop(arrival)
+    df.select(arrival, F.struct(*rows.columns).alias("row")).repartition(arrival).write.partitionBy(arrival).parquet(f"{folder}-parts")
+    for number in sorted(r[0] for r in df.select(arrival).distinct().collect()):  # a row a batch
+        part = spark.read.schema(StructType([StructField("row", rows.schema)])).parquet(f"{folder}-parts/{arrival}={number}")
+        part.select("row.*").coalesce(1).write.mode("append").parquet(folder)
+    return source(spark, folder, rows.schema, files=1)
+
+
+def drain(stream: DataFrame, keep: Sink | None = None, mode: str = "append", checkpoint: str | None = None) -> DataFrame | None:
     """Runs a stream until its source is empty. Without keep the rows go to Parquet and are returned as a table; in complete
-    mode each micro-batch replaces the last."""
+    mode each micro-batch replaces the last. With a checkpoint folder of its own a stream goes on where it stopped."""
     spark = stream.sparkSession
     out, at = scratch(spark), scratch(spark)
     if keep is None:
@@ -37,7 +51,8 @@ def drain(stream: DataFrame, keep: Sink | None = None, mode: str = "append") ->
         read = True
     else:
         read = False
-    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    with rocksdb_state(spark):
+        stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint or at).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out) if read else None
 
 
@@ -165,38 +180,6 @@ def limited(stream: DataFrame, key: str, ts: str, amount: str, limit: float, sec
     return rows.groupBy(key).applyInPandasWithState(run, schema, "at array<double>, amount array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def online_clusters(stream: DataFrame, block: str, key: str, vector: str, event: float = 0.85, duplicate: float = 0.95) -> DataFrame:
-    """(key, cluster, similarity, duplicate): each vector joins the most similar centroid of its block from `event` on, else
-    starts a cluster. State is a block's centroids."""
-    import numpy as np
-
-    kind = dict(stream.dtypes)[key]
-    schema = f"{key} {kind}, cluster {kind}, similarity double, duplicate boolean"
-
-    def run(k, frames, state):
-        ids, flat, sizes = (list(x) for x in state.get) if state.exists else ([], [], [])
-        rows = pd.concat(list(frames)).sort_values(key)
-        width = len(rows[vector].iloc[0])
-        centers = [np.array(flat[i * width : (i + 1) * width]) for i in range(len(ids))]
-        out = []
-        for i, v in zip(rows[key], rows[vector]):
-            v = np.array(v, float) / max(1e-12, float(np.linalg.norm(v)))
-            best, at = max(((float(c @ v / max(1e-12, np.linalg.norm(c))), j) for j, c in enumerate(centers)), default=(-1.0, -1))
-            if best >= event:
-                centers[at] = (centers[at] * sizes[at] + v) / (sizes[at] + 1)
-                sizes[at] += 1
-            else:
-                at = len(ids)
-                ids.append(i)
-                centers.append(v)
-                sizes.append(1)
-            out.append((i, ids[at], best, best >= duplicate))
-        state.update((ids, [float(x) for c in centers for x in c], sizes))
-        yield pd.DataFrame(out, columns=[key, "cluster", "similarity", "duplicate"])
-
-    return stream.groupBy(block).applyInPandasWithState(run, schema, f"ids array<{kind}>, centers array<double>, sizes array<int>", "append", GroupStateTimeout.NoTimeout)
-
-
 def should_crawl(urls: DataFrame, status: DataFrame, now: Column, most: int = 3) -> DataFrame:
     """crawl: addresses never seen, or not running, past their next run, not ended for good, and with tries left. status:
     url, state, next_run, retries."""
