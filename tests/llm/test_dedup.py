@@ -170,3 +170,47 @@ def test_without_repeats_keeps_other_columns(spark):
             assert (r.doc_id, r.text) in before
         else:
             assert r.n_chars == len(r.text)
+
+
+def rows_with_ids_that_repeat():
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    x, tail, y, z = text(300), text(600), text(600), text(250)
+    rows = [(0, x), (1, x + tail), (1, y), (2, y[:200] + z), (2, z), (None, text(400)), (None, text(400)), (None, z), (3, x), (3, x), (3, text(90)), (3, text(130) + x)]
+    rows += [(4, text(50) + tail), (4, tail)]  # one string at two starts: the smaller one stays
+    return rows + [(i, text(20) + rng.choice([x, y, z, tail]) + text(rng.randrange(40))) for i in range(5, 25) for _ in range(2)]
+
+
+def by_rows(rows, depth=100):
+    """As the contract says, row by row: a byte goes if a string over it starts earlier, by (doc_id, start)."""
+    key = lambda d: (d is not None, d or 0)
+    least = {}
+    for d, t in rows:
+        for s in range(len(t) - depth + 1):
+            w = t[s : s + depth]
+            least[w] = min(least.get(w, (key(d), s)), (key(d), s))
+    out = []
+    for d, t in rows:
+        hit = bytearray(len(t))
+        for s in range(len(t) - depth + 1):
+            if least[t[s : s + depth]] < (key(d), s):
+                hit[s : s + depth] = b"\1" * depth
+        kept = "".join(c for c, h in zip(t, hit) if not h)
+        out.append((str(d), len(t), sum(hit), sum(1 for i, h in enumerate(hit) if h and (i == 0 or not hit[i - 1])), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("way", ["broadcast", "shuffled", "many parts"])
+def test_verdicts_belong_to_texts(spark, monkeypatch, way):
+    """Texts that share a doc_id keep their own bytes."""
+    if way == "shuffled":
+        monkeypatch.setattr(suffix_dedup, "BROADCAST", 0)
+    if way == "many parts":
+        monkeypatch.setattr(suffix_dedup, "PART", 2000)
+    rows = rows_with_ids_that_repeat()
+    expected = by_rows(rows)
+    assert [r for r in expected if r[0] == "1"][1][2] == 0 or [r for r in expected if r[0] == "1"][0][2] == 0
+    docs = documents(spark, rows, 5)
+    got = [tuple(r) for r in suffix_dedup.repeated_passages(docs).collect()]
+    assert sorted((str(r[0]), *r[1:]) for r in got) == [e[:5] for e in expected]
+    assert sorted((str(r.doc_id), r.text) for r in suffix_dedup.without_repeats(docs).collect()) == sorted((e[0], e[5]) for e in expected)

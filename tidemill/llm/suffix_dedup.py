@@ -15,9 +15,12 @@ of each task. Digits are hashes: 64 bits of the anchor, and among equal anchors
 A byte is removed if a `depth`-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same
 document. Strings are judged on the input, not on what is left.
 
-Defined results: null or short text keeps all its bytes; a null doc_id counts as the smallest; rows that repeat a doc_id are
-the same document, so none is earlier than the other; an empty table gives an empty result. Other columns are ignored. No
-text is cut: a long one is hashed in overlapping segments.
+Verdicts belong to a row's text, not to its doc_id: where a doc_id has several texts, each carries a hash of itself (copy; 0
+for all others), and doc_ids give the order only.
+
+Defined results: null or short text keeps all its bytes; a null doc_id counts as the smallest; of rows that repeat a doc_id
+none is earlier than the other, but a string is repeated where another of them has it at a smaller start; an empty table
+gives an empty result. Other columns are ignored. No text is cut: a long one is hashed in overlapping segments.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lean, stored
+from .common import cut, fresh, lean, lookup, stored
 
 DEPTH, GRAM = 100, 40
 #: Bytes hashed at once, rows settled at once, text bytes of a partition of the passes.
 SEGMENT, SETTLE, PART = 1 << 18, 1 << 18, 12 << 20
+#: Ids with several texts that are broadcast at most, 9 bytes each.
+BROADCAST = 1 << 20
 NULL_ID = -(1 << 63)
 #: Bits that the second and third digit give up; each is compared among equal 64-bit anchors only.
 RUN_BITS, WINDOW_BITS = np.uint64(16), np.uint64(8)
@@ -167,12 +172,22 @@ def _by_place(columns, ids: int, start: int):
     return tuple(c[order] for c in columns)
 
 
-def settle_runs(gram, run, ids, start, number, mark, keep_groups: bool):
+def _same_as_before(*columns: np.ndarray) -> np.ndarray:
+    """For each row whether it equals the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    out[:1] = False
+    for c in columns:
+        out[1:] &= c[1:] == c[:-1]
+    return out
+
+
+def settle_runs(gram, run, ids, start, number, copy, mark, keep_groups: bool):
     """First and second digit. mark is 1 on a row that stands for runs of several kinds, which their own task settles.
 
-    Returns (repeated ids, starts, numbers), (to compare: grams, ids, starts, numbers), (left over for the next task)."""
-    order = np.lexsort((start, ids, run, mark, gram))
-    gram, run, ids, start, number, mark = (c[order] for c in (gram, run, ids, start, number, mark))
+    Returns (repeated ids, starts, numbers, copies), (to compare: grams, ids, starts, numbers, copies), (left over for the
+    next task)."""
+    order = np.lexsort((copy, start, ids, run, mark, gram))
+    gram, run, ids, start, number, copy, mark = (c[order] for c in (gram, run, ids, start, number, copy, mark))
     new_gram = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
     new_run = new_gram | np.concatenate([[True], (run[1:] != run[:-1]) | (mark[1:] != mark[:-1])]) if len(gram) else new_gram
     head = np.maximum.accumulate(np.where(new_run, np.arange(len(gram)), 0))
@@ -183,17 +198,17 @@ def settle_runs(gram, run, ids, start, number, mark, keep_groups: bool):
     several = (kinds > 1)[group] if len(group) else np.zeros(0, bool)
     compare = several & ~repeated & (mark == 0)
     if keep_groups:
-        lone = ~several & (mark == 0) & new_run
+        lone = ~several & (mark == 0) & ~later & ~_same_as_before(gram, run, mark, ids, start, copy)
         stand = several & new_gram
         left = lone | stand
-        over = (gram[left], run[left], ids[left], start[left], number[left], stand[left].astype(np.int64))
+        over = (gram[left], run[left], ids[left], start[left], number[left], copy[left], stand[left].astype(np.int64))
     else:
         over = ()
-    return (ids[repeated], start[repeated], number[repeated]), (gram[compare], ids[compare], start[compare], number[compare]), over
+    return (ids[repeated], start[repeated], number[repeated], copy[repeated]), (gram[compare], ids[compare], start[compare], number[compare], copy[compare]), over
 
 
 def _first_pass(parts: int):
-    """documents (did, text bytes) -> (part, kind, blob): kind 0 runs by anchor, kind 1 verdicts by document."""
+    """documents (row, copy, text bytes) -> (part, kind, blob): kind 0 runs by anchor, kind 1 verdicts by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = []
@@ -209,11 +224,11 @@ def _first_pass(parts: int):
             return _rows(out)
 
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for buffer, ends, place, shift in segments(t.as_py() for t in batch.column(1)):
+            ids, copies = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for buffer, ends, place, shift in segments(t.as_py() for t in batch.column(2)):
                 first, number, gram, whole = runs_of(buffer, ends)
                 at = np.searchsorted(ends, first, "right")
-                found.append([gram.view(np.int64), whole.view(np.int64), ids[place[at]], first + shift[at], number])
+                found.append([gram.view(np.int64), whole.view(np.int64), ids[place[at]], first + shift[at], number, copies[place[at]]])
                 rows += len(first)
                 if rows >= SETTLE:
                     yield flush()
@@ -225,14 +240,14 @@ def _first_pass(parts: int):
 
 
 def _verdicts(repeated, compare, parts: int) -> list[tuple[int, bytes]]:
-    """Rows (anchor hash, kind, id, start, number) by document: kind 0 repeated, kind 1 to compare."""
+    """Rows (anchor hash, kind, id, start, number, copy) by document: kind 0 repeated, kind 1 to compare."""
     zeros = np.zeros(len(repeated[0]), np.int64)
     gram = np.concatenate([zeros, compare[0]])
     kind = np.concatenate([zeros, np.ones(len(compare[0]), np.int64)])
-    ids, start, number = (np.concatenate([a, b]) for a, b in zip(repeated, compare[1:]))
-    order = np.lexsort((start, ids))
-    gram, kind, ids, start, number = (c[order] for c in (gram, kind, ids, start, number))
-    return _dealt(part_of(ids, parts), gram, kind, ids, start, number)
+    ids, start, number, copy = (np.concatenate([a, b]) for a, b in zip(repeated, compare[1:]))
+    order = np.lexsort((start, copy, ids))
+    gram, kind, ids, start, number, copy = (c[order] for c in (gram, kind, ids, start, number, copy))
+    return _dealt(part_of(ids ^ copy, parts), gram, kind, ids, start, number, copy)
 
 
 def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -262,7 +277,7 @@ def _second_pass(parts: int):
             if 1 in held:
                 yield _rows([(part, 0, b) for b in held[1]])
             if 0 in held:
-                repeated, compare, _ = settle_runs(*unpack(held[0], 6), False)
+                repeated, compare, _ = settle_runs(*unpack(held[0], 7), False)
                 if len(repeated[0]) + len(compare[0]):
                     yield _rows([(p, 0, b) for p, b in _verdicts(repeated, compare, parts)])
 
@@ -279,15 +294,16 @@ def spans_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def settle_windows(gram, window, ids, start):
-    """Last digit: (ids, starts) of windows that also start earlier, and the rows that stand for the others."""
-    order = np.lexsort((start, ids, window, gram))
-    gram, window, ids, start = (c[order] for c in (gram, window, ids, start))
+def settle_windows(gram, window, ids, start, copy):
+    """Last digit: (ids, starts, copies) of windows that also start earlier, and the rows that stand for the others."""
+    order = np.lexsort((copy, start, ids, window, gram))
+    gram, window, ids, start, copy = (c[order] for c in (gram, window, ids, start, copy))
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (window[1:] != window[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
     later = (ids > ids[head]) | (start > start[head])
-    return (ids[later], start[later]), (gram[new], window[new], ids[new], start[new])
+    first = ~later & ~_same_as_before(gram, window, ids, start, copy)
+    return (ids[later], start[later], copy[later]), (gram[first], window[first], ids[first], start[first], copy[first])
 
 
 def _third_pass(parts: int):
@@ -303,8 +319,8 @@ def _third_pass(parts: int):
         def flush() -> pa.RecordBatch:
             out = []
             if windows:
-                (ids, start), over = settle_windows(*(np.concatenate(c) for c in zip(*windows)))
-                covers.append([ids, start, start + DEPTH])
+                (ids, start, copy), over = settle_windows(*(np.concatenate(c) for c in zip(*windows)))
+                covers.append([ids, start, start + DEPTH, copy])
                 over = _by_place(over, 2, 3)
                 out = [(p, 0, b) for p, b in _dealt(part_of(over[0], parts), *over)]
             out += [(p, 1, b) for p, b in _intervals(*(np.concatenate(c) for c in zip(*covers)), parts)]
@@ -313,23 +329,23 @@ def _third_pass(parts: int):
             return _rows(out)
 
         for batch in batches:
-            for part, kind, did, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "row", "blob"))):
+            for part, kind, did, copy, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "row", "copy", "blob"))):
                 if part != now:
                     now, known, blobs = part, None, []
                 if kind == 0:
                     blobs.append(blob)
                     continue
                 if known is None:
-                    known = unpack(blobs, 5)
-                    order = np.lexsort((known[3], known[2]))
+                    known = unpack(blobs, 6)
+                    order = np.lexsort((known[3], known[5], known[2]))
                     known, blobs = [c[order] for c in known], []
-                a, b = np.searchsorted(known[2], did, "left"), np.searchsorted(known[2], did, "right")
+                a, b = _rows_of(known, did, copy)
                 if a == b:
                     continue
                 gram, what, start, number = known[0][a:b], known[1][a:b], known[3][a:b], known[4][a:b]
                 sure = what == 0
                 first, last = spans_of(start[sure], start[sure] + number[sure] + DEPTH - 1)
-                covers.append([np.full(len(first), did), first, last])
+                covers.append([np.full(len(first), did), first, last, np.full(len(first), copy)])
                 size += len(first)
                 if not sure.all():
                     text = zstandard.ZstdDecompressor().decompress(blob)
@@ -337,7 +353,7 @@ def _third_pass(parts: int):
                     fits = start + number + DEPTH - 1 <= len(text)
                     gram, start, number = gram[fits], start[fits], number[fits]
                     each = np.repeat(start, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                    windows.append([np.repeat(gram, number), window_hashes(text, each), np.full(len(each), did), each])
+                    windows.append([np.repeat(gram, number), window_hashes(text, each), np.full(len(each), did), each, np.full(len(each), copy)])
                     size += len(each)
                 if size >= SETTLE:
                     yield flush()
@@ -348,18 +364,24 @@ def _third_pass(parts: int):
     return run
 
 
-def _intervals(ids: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+def _rows_of(known: list[np.ndarray], did: int, copy: int) -> tuple[int, int]:
+    """Where the rows of a document's text lie in columns sorted by id (2) and copy (5)."""
+    a, b = np.searchsorted(known[2], did, "left"), np.searchsorted(known[2], did, "right")
+    return a + np.searchsorted(known[5][a:b], copy, "left"), a + np.searchsorted(known[5][a:b], copy, "right")
+
+
+def _intervals(ids: np.ndarray, start: np.ndarray, end: np.ndarray, copy: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
     """Covered intervals by document, neighbouring and overlapping ones as one."""
-    order = np.lexsort((start, ids))
-    ids, start, end = ids[order], start[order], end[order]
+    order = np.lexsort((start, copy, ids))
+    ids, start, end, copy = ids[order], start[order], end[order], copy[order]
     if not len(ids):
         return []
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (start[1:] > end[:-1])
+    new[1:] = (ids[1:] != ids[:-1]) | (copy[1:] != copy[:-1]) | (start[1:] > end[:-1])
     first = np.flatnonzero(new)
     end = np.maximum.reduceat(end, first)
     zeros = np.zeros(len(first), np.int64)
-    return _dealt(part_of(ids[first], parts), zeros, zeros, ids[first], start[first], end)
+    return _dealt(part_of(ids[first] ^ copy[first], parts), zeros, zeros, ids[first], start[first], end, copy[first])
 
 
 def window_hashes(text: bytes, start: np.ndarray) -> np.ndarray:
@@ -379,8 +401,8 @@ def _window_pass(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _grouped(batches):
-            (ids, start), _ = settle_windows(*unpack(held[0], 4))
-            yield _rows([(p, 1, b) for p, b in _intervals(ids, start, start + DEPTH, parts)])
+            (ids, start, copy), _ = settle_windows(*unpack(held[0], 5))
+            yield _rows([(p, 1, b) for p, b in _intervals(ids, start, start + DEPTH, copy, parts)])
 
     return run
 
@@ -392,22 +414,21 @@ def _last_pass(with_text: bool):
         now, blobs, known = None, [], None
         for batch in batches:
             rows = []
-            for part, kind, doc_id, did, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "doc_id", "row", "blob"))):
+            for part, kind, doc_id, did, copy, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "doc_id", "row", "copy", "blob"))):
                 if part != now:
                     now, blobs, known = part, [], None
                 if kind == 0:
                     blobs.append(blob)
                     continue
                 if known is None:
-                    known = unpack(blobs, 5)
-                    order = np.argsort(known[2], kind="stable")
+                    known = unpack(blobs, 6)
+                    order = np.lexsort((known[5], known[2]))
                     known, blobs = [c[order] for c in known], []
                 text = zstandard.ZstdDecompressor().decompress(blob)
-                a, b = np.searchsorted(known[2], did, "left"), np.searchsorted(known[2], did, "right")
+                a, b = _rows_of(known, did, copy)
                 if with_text and a == b:
                     continue
-                inside = known[3][a:b] < len(text)  # rows that repeat a doc_id with a shorter text
-                start, end = spans_of(known[3][a:b][inside], np.minimum(known[4][a:b][inside], len(text)))
+                start, end = spans_of(known[3][a:b], known[4][a:b])
                 kept, at = [], 0
                 for s, e in zip(start.tolist(), end.tolist()):
                     kept.append(text[at:s])
@@ -424,30 +445,43 @@ def _last_pass(with_text: bool):
 
 
 def _documents(parts: int):
-    """(doc_id, row, text) -> the same with the text compressed, and its part."""
+    """(doc_id, row, copy, text) -> the same with the text compressed, and its part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids = np.asarray(batch.column(1))
-            blobs = [compressor.compress(t.as_py()) for t in batch.column(2)]
-            columns = [pa.array(part_of(ids, parts)), pa.array(np.ones(len(ids), np.int32)), batch.column(0), batch.column(1), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "kind", "doc_id", "row", "blob"])
+            key = np.asarray(batch.column(1)) ^ np.asarray(batch.column(2))
+            blobs = [compressor.compress(t.as_py()) for t in batch.column(3)]
+            columns = [pa.array(part_of(key, parts)), pa.array(np.ones(len(key), np.int32)), *batch.columns[:3], pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "kind", "doc_id", "row", "copy", "blob"])
 
     return run
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows (row, t and others) with copy: a hash of t where the rows of an id have several texts, else 0."""
+    own = F.xxhash64("t")
+    several = cut(rows.groupBy("row").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("row", F.lit(True).alias("several")))
+    few = several.count()
+    if not few:
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    found = rows.join(F.broadcast(several), "row", "left") if few <= BROADCAST else lookup(rows, several, "row", F.col("t"))
+    return found.withColumn("copy", F.when(F.col("several"), own.bitwiseOR(F.lit(1).cast("long"))).otherwise(0)).drop("several")
+
+
 def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs. with_text: text_md5 (of the input) and
     kept_text too, but only the rows that lost bytes; a character that lost a byte is gone from kept_text."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("long").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    rows = _told_apart(rows).select("doc_id", "row", "copy", "t")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART))
     blobs = "part long, kind int, blob binary"
     dealt = lambda df, *then: df.repartition(parts, "part").sortWithinPartitions("part", *then)
-    runs = rows.select("row", "t").mapInArrow(lean(_first_pass(parts)), blobs)
+    runs = rows.select("row", "copy", "t").mapInArrow(lean(_first_pass(parts)), blobs)
     verdicts = dealt(runs).mapInArrow(lean(_second_pass(parts)), blobs)
-    texts = rows.mapInArrow(lean(_documents(parts)), f"part long, kind int, doc_id {kind}, row long, blob binary")
+    texts = rows.mapInArrow(lean(_documents(parts)), f"part long, kind int, doc_id {kind}, row long, copy long, blob binary")
     both = dealt(texts.unionByName(verdicts, allowMissingColumns=True), "kind")
     # written once, as windows and the intervals found beside them have to come of the same run of a task
     third = stored(both.mapInArrow(lean(_third_pass(parts)), blobs))
