@@ -110,7 +110,8 @@ class CrawlSessions(StatefulProcessor):
         yield pd.DataFrame([], columns=["url", "run", "status", "started", "ended", "retries"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs() * 1000, []
+        # all that the watermark has passed at once: a limit that is set now may have been passed as well
+        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
         # of equal times starts come first, then finishes, then ends by the limit
         steps = [(v[0], ("start", "finish").index(k[1]), k[0], v[1]) for k, v in self._entries(self.waiting) if v[0] <= now]
         for _, kind, run, _ in steps:
