@@ -19,12 +19,17 @@ def missing(docs: DataFrame, indexed: DataFrame | None, key: str = "doc_id") ->
     return docs if indexed is None else docs.join(indexed.select(key), key, "left_anti")
 
 
+def pieces(docs: DataFrame, sizes: tuple[int, int] = FULL) -> DataFrame:
+    """doc_id, chunk_id, chunk of docs (doc_id, title, brief, text)."""
+    body = text.join_nonblank("\n\n", F.col("title"), F.col("brief"), F.col("text"))
+    cut = docs.select("doc_id", F.posexplode(text.chunk(body, *sizes)).alias("place", "chunk"))
+    return cut.select("doc_id", F.format_string("%s#chunk_%d", F.col("doc_id").cast("string"), F.col("place")).alias("chunk_id"), "chunk")
+
+
 def build(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], indexed: DataFrame | None = None, sizes: tuple[int, int] = FULL) -> DataFrame:
     """doc_id, chunk_id, chunk, embedding of the documents that are not indexed. docs: doc_id, title, brief, text. The
     embedding function gets a batch of chunks at a time, in tasks."""
-    body = text.join_nonblank("\n\n", F.col("title"), F.col("brief"), F.col("text"))
-    pieces = missing(docs, indexed).select("doc_id", F.posexplode(text.chunk(body, *sizes)).alias("place", "chunk"))
-    named = pieces.select("doc_id", F.format_string("%s#chunk_%d", F.col("doc_id").cast("string"), F.col("place")).alias("chunk_id"), "chunk")
+    named = pieces(missing(docs, indexed), sizes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

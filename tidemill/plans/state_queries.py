@@ -9,7 +9,7 @@ from ..operators import ann
 from ..sources.buckets import BucketTable
 from ..sources.exports import scratch
 from ..sources.tables import checkpointed
-from ..streaming import ingest, stateful
+from ..streaming import followers, ingest, stateful
 from .registry import query, table
 
 ASKED = "vec_id % 20 = 0"
@@ -131,3 +131,58 @@ def stream_crawl_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = log.where("run % 5 = 0").withColumn("arrival", F.floor((came + 1800 - first) / share).cast("int"))
     out = ingest.drain(stateful.crawl_sessions(ingest.in_batches(log.unionByName(again), "arrival"), 6 * 3_600_000, "3 hours"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
+@query("SELECT count(*) FILTER (event_id % 9 = 0) AS duplicate, count(*) FILTER (event_id % 9 > 0 AND value < 5) AS low_value, count(*) FILTER (event_id % 9 > 0 AND value >= 5) AS archive, count(*) AS total FROM events")
+def stream_hub_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that the routing stream itself reports, over four micro-batches."""
+    events = table(spark, sf_dir, "events").select("event_id", "value", F.pmod(F.xxhash64("event_id"), F.lit(4)).cast("int").alias("arrival"))
+    rows = ingest.routed(ingest.in_batches(events, "arrival"), F.col("event_id") % 9 == 0, F.col("value") < 5)
+    counters = followers.HubCounters("hub")
+    spark.streams.addListener(counters)
+    try:
+        ingest.drain(followers.counted(rows, "hub", **{r: F.col("route") == r for r in ("duplicate", "low_value", "archive")}))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(counters)
+    return spark.createDataFrame([tuple(counters.totals[k] for k in ("duplicate", "low_value", "archive", "total"))], "duplicate long, low_value long, archive long, total long")
+
+
+@query()
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are archived by one stream, whose table a second one follows and indexes; records that come again replace their
+    chunks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.lit(None).cast("string").alias("brief"), "text")
+    arrival = (F.col("doc_id") % 3).cast("int")
+    again = docs.where("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("corrected "), F.coalesce("text", F.lit(""))))
+    archive, held, folder = scratch(spark), followers.chunk_table(spark, scratch(spark)), scratch(spark)
+    came = docs.withColumn("arrival", arrival).unionByName(again.withColumn("arrival", F.lit(3)))
+    ingest.drain(ingest.in_batches(came, "arrival"), lambda batch, number: batch.coalesce(1).write.mode("append").parquet(archive))
+    embed = lambda chunks: [[float(len(c)), float(c.count(" "))] for c in chunks]  # noqa: E731 - stands in for a model
+    ingest.drain(ingest.source(spark, archive, docs.schema, files=1), followers.index_sink(held, embed, folder, "index"))
+    return held.read()
+
+
+@query("""
+    SELECT doc_id AS uuid, CASE WHEN text IS NOT NULL AND lang = 'en' THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text, CASE WHEN text IS NOT NULL AND text <> '' AND lang = 'en' THEN 'r1' END AS revision
+    FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents)
+""")
+def stream_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests come in three micro-batches, the last ones twice; the backlog is worked off after the stream. Upper case stands
+    in for a model."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uuid"), "text", "lang")
+    archive = BucketTable(spark, scratch(spark), "uuid string, text string, lang string, revision string", "uuid", buckets=16)
+    archive.merge(docs)
+    asked = docs.select("uuid", F.when(F.col("lang") == "en", 0).otherwise(1).alias("priority"), F.xxhash64("uuid").alias("seq"))
+    came = asked.withColumn("arrival", F.pmod(F.col("seq"), F.lit(3)).cast("int"))
+    came = came.unionByName(came.where("arrival = 2").withColumn("seq", F.col("seq") + 1).withColumn("arrival", F.lit(3)))
+    work = followers.Translations(spark, scratch(spark), archive, (F.col("lang") == "en") & (F.col("text") != ""), lambda f: f.assign(text=f.text.map(_upper)), "r1", fields=("text",))
+    ingest.drain(ingest.in_batches(came, "arrival"), work.sink("requests", 200))
+    while work.work(10_000):
+        pass
+    return archive.read().select("uuid", "text", "revision")
+
+
+def _upper(text: str) -> str:
+    """A to Z in upper case."""
+    return "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in text)

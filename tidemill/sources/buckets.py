@@ -174,6 +174,20 @@ class BucketTable:
             self._write(self._arranged(set_where(self._rows(base, touched), where, values).withColumn("_bucket", self.bucket)), touched, base, batch)
         return sum(r.matched for r in counts), sum(r.modified for r in counts)
 
+    def replace(self, new: DataFrame, by: str, ids: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
+        """All rows that share a value of `by` with new or ids go, rows of new come, in one commit. The table's buckets must be
+        a function of `by`."""
+        base = self.version()
+        if self.committed(batch, base):
+            return base.number
+        rows = checkpointed(self._arranged(new.withColumn("_bucket", self.bucket)))
+        gone = rows.select(by) if ids is None else rows.select(by).unionByName(ids.select(by))
+        gone = checkpointed(gone.where(F.col(by).isNotNull()).distinct().withColumn("_bucket", self.bucket))
+        held = set(base.buckets)
+        touched = sorted(set(self._buckets_of(rows)) | {b for b in self._buckets_of(gone) if b in held})
+        old = self._rows(base, touched).join(gone.select(by), by, "left_anti")
+        return self._write(self._arranged(old.withColumn("_bucket", self.bucket)).unionByName(rows), touched, base, batch)
+
     def delete(self, ids: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """The rows of these keys go."""
         return self.merge(ids.select(self.key).distinct(), insert=False, delete=F.lit(True), batch=batch)
