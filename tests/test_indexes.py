@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import ann
+from tidemill.operators import ann, cluster
+from tidemill.operators import vectors as vector_operators
 from tidemill.plans import catalog
 from tidemill.sources.buckets import BucketTable, Conflict
 from tidemill.sources.exports import scratch
@@ -188,3 +189,40 @@ def test_recall_of_the_queries(spark, name, metric):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").toPandas()
     true = brute(np.array(e.embedding.tolist(), float), np.arange(0, len(e), 20), 10, metric)
     assert len(hits(catalog.QUERIES[name](spark, DATA)) & true) >= 0.9 * len(true)
+
+
+def test_pairs_ship_to_near_cells_only(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PIECE", 64)
+    matrix = clustered(1200, 40)
+    matrix[200:400] = matrix[200]
+    df = vectors(spark, matrix)
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    for eps in (1e-9, 0.02, 0.3):
+        near = np.triu(1 - unit @ unit.T <= eps, 1)
+        pairs = vector_operators.pairs_within(df, eps, block=30)
+        assert {(r.a, r.b) for r in pairs.collect()} == {(int(i), int(j)) for i, j in zip(*np.nonzero(near))}
+    pivots = unit[::30]
+    _, asked = vector_operators._cells(vector_operators.unit_rows(df), pivots, 0.02)
+    assert asked.count() < 0.2 * len(matrix) * (len(pivots) + 1) / 2  # of all that tiles of all pairs would ship
+
+
+def test_copies_count_in_dbscan(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(4)] + [(9, [0.0, 1.0]), (10, [0.0, 0.0]), (11, [0.0, 0.0]), (12, [1.0, 0.01])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.cluster_id for r in cluster.dbscan(df, 0.1, 4).collect()} == {**{i: 0 for i in range(4)}, 12: 0, 9: None, 10: None, 11: None}
+    assert {r.cluster_id for r in cluster.dbscan(df, 0.1, 6).collect()} == {None}
+
+
+@pytest.mark.parametrize("size, samples, selection", [(3, 2, "eom"), (2, 1, "leaf")])
+def test_hdbscan_in_pieces(spark, monkeypatch, size, samples, selection):
+    """The same clusters as over one frame, which is tested by the definition."""
+    import pandas as pd
+
+    monkeypatch.setattr(ann, "PIECE", 50)
+    matrix = clustered(260, 9, size=6, seed=3)
+    matrix[30:50] = matrix[30]
+    ids = np.arange(260) * 3
+    got = {r.vec_id: r.cluster_id for r in cluster.hdbscan(vectors(spark, matrix, ids), size, samples, selection).collect()}
+    whole = cluster._hdbscan(pd.DataFrame({"vec_id": ids, "embedding": list(matrix)}), size, samples, selection)
+    assert got == {int(i): None if pd.isna(c) else int(c) for i, c in zip(whole.vec_id, whole.cluster_id)}
+    assert len(set(got.values())) > 4

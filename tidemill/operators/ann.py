@@ -64,15 +64,17 @@ def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.
     return tuple(np.concatenate(x) for x in found)
 
 
-def ranked_in_lists(rows: DataFrame, asked: DataFrame, n: int, size: int) -> DataFrame:
-    """query_id, vec_id, d2: for each query the n nearest rows of the lists it asks. rows: list, vec_id, v; asked: list,
-    query_id, v. A row that is in several of a query's lists counts once."""
+def meet_in_pieces(rows: DataFrame, asked: DataFrame, size: int, compare: Callable[..., tuple], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """compare's rows, of `schema`, for each list. rows and asked: list, id, v, and the columns of extra as doubles. Each piece
+    of a list's rows meets all that ask the list, in batches: compare(ids, v, extras, ids asking, v asking, extras asking)."""
     counts = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    dealt = rows.join(counts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("pieces").cast("long")).cast("int").alias("piece"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v")
-    spread = asked.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v")
+    more = [F.col(c).cast("double").alias(c) for c in extra]
+    dealt = rows.join(counts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("pieces").cast("long")).cast("int").alias("piece"), F.lit(0).alias("kind"), "id", "v", *more)
+    spread = asked.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("kind"), "id", "v", *more)
+    names = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parts = None, [], []
+        now, held = None, []
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)
             cuts = np.append(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, len(keys))
@@ -83,18 +85,26 @@ def ranked_in_lists(rows: DataFrame, asked: DataFrame, n: int, size: int) -> Dat
                 part, (own, piece, kind) = batch.slice(begin, end - begin), keys[begin].tolist()
                 begin = end
                 if (own, piece) != now:
-                    now, ids, parts = (own, piece), [], []
-                mine = np.asarray(part.column(3))
+                    now, held = (own, piece), []
+                extras = np.stack([np.asarray(part.column(i)) for i in range(5, 5 + len(extra))], axis=1) if extra else None
+                mine = (np.asarray(part.column(3)), _matrix(part.column(4), size), extras)
                 if kind == 0:
-                    ids.append(mine)
-                    parts.append(_matrix(part.column(4), size))
-                elif ids:
-                    ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
-                    q, i, d = _best(ids[0], parts[0], mine, _matrix(part.column(4), size), n)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(d)], names=["query_id", "vec_id", "d2"])
+                    held.append(mine)
+                elif held:
+                    held = [tuple(np.concatenate(x) if x[0] is not None else None for x in zip(*held))]
+                    found = compare(*held[0], *mine)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     both = dealt.unionByName(spread).repartition("list", "piece").sortWithinPartitions("list", "piece", "kind")
-    found = both.mapInArrow(run, "query_id long, vec_id long, d2 double").dropDuplicates(["query_id", "vec_id"])
+    return both.mapInArrow(run, schema)
+
+
+def ranked_in_lists(rows: DataFrame, asked: DataFrame, n: int, size: int) -> DataFrame:
+    """query_id, vec_id, d2: for each query the n nearest rows of the lists it asks. rows: list, vec_id, v; asked: list,
+    query_id, v. A row that is in several of a query's lists counts once."""
+    compare = lambda ids, v, _, query_ids, queries, __: _best(ids, v, query_ids, queries, n)
+    sides = rows.select("list", F.col("vec_id").alias("id"), "v"), asked.select("list", F.col("query_id").alias("id"), "v")
+    found = meet_in_pieces(*sides, size, compare, "query_id long, vec_id long, d2 double").dropDuplicates(["query_id", "vec_id"])
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= n)
 

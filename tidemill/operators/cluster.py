@@ -1,5 +1,6 @@
 """Offline clustering of the points that a plan bounds: those of its last hours, at most its max_points. dbscan runs as an
-eps-join and connected components, average linkage within blocks, hdbscan over the points of the plan in one task."""
+eps-join and connected components, average linkage within blocks, hdbscan as a spanning tree that grows in rounds over pieces
+of all points."""
 
 from __future__ import annotations
 
@@ -7,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import vector
 from .vectors import pairs_within
 
 #: The plan profiles.
@@ -45,20 +48,36 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+def copies(vectors: DataFrame) -> DataFrame:
+    """vec_id, twin: the smallest id of each vector's exact copies."""
+    from ..sources.tables import checkpointed
+
+    rows = vectors.select("vec_id", "embedding")
+    twins = rows.groupBy("embedding").agg(F.min("vec_id").alias("twin"))
+    return checkpointed(rows.join(twins, rows.embedding.eqNullSafe(twins.embedding)).select("vec_id", "twin"))
+
+
 def dbscan(vectors: DataFrame, eps: float = 0.25, min_samples: int = 2) -> DataFrame:
     """vec_id, cluster_id (smallest core id of the cluster; null for noise). Points with at least min_samples neighbours,
-    themselves included, are core; a border point joins its nearest core by id."""
+    themselves included, are core; a border point joins its nearest core by id. Exact copies are one point that counts as
+    many, so that no pair of them is made."""
     from ..sources.tables import checkpointed
 
-    pairs = checkpointed(pairs_within(vectors, eps))
+    twin = copies(vectors)
+    weight = twin.groupBy(F.col("twin").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = checkpointed(pairs_within(vectors.join(weight.select(F.col("node").alias("vec_id")), "vec_id", "left_semi"), eps))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    core = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_samples).select("node"))
+    around = both.join(weight.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("around"))
+    real = vectors.select(F.col("vec_id").alias("node"), F.exists("embedding", lambda x: x != 0).alias("real"))  # a zero vector has no neighbours, nor copies
+    counted = weight.join(around, "node", "left").join(real, "node").withColumn("n", F.when(F.col("real"), F.col("n")).otherwise(1))
+    has = F.coalesce(F.col("around"), F.lit(0)) + F.col("n")
+    core = checkpointed(counted.where((has >= min_samples) & (has > 1)).select("node"))
     inner = pairs.join(core.select(F.col("node").alias("a")), "a").join(core.select(F.col("node").alias("b")), "b").select("a", "b")
     roots = components(inner, core)
     border = both.join(core.select(F.col("node").alias("a")), "a", "left_anti").join(roots.select(F.col("node").alias("b"), "root"), "b")
     border = border.groupBy(F.col("a").alias("node")).agg(F.min_by("root", "b").alias("root"))
     found = roots.unionByName(border)
-    return vectors.select("vec_id").join(found.select(F.col("node").alias("vec_id"), F.col("root").alias("cluster_id")), "vec_id", "left")
+    return twin.join(found.select(F.col("node").alias("twin"), F.col("root").alias("cluster_id")), "twin", "left").select("vec_id", "cluster_id")
 
 
 def _units(group: pd.DataFrame) -> np.ndarray:
@@ -130,13 +149,19 @@ def _spanning_tree(v: np.ndarray, min_samples: int) -> list[tuple[float, int, in
 
 
 def _hdbscan(group: pd.DataFrame, min_cluster_size: int, min_samples: int, selection: str) -> pd.DataFrame:
-    """Labels by HDBSCAN over cosine distance: the condensed tree's clusters of most stability (eom) or its leaves (leaf); null
-    for noise. The root is never a cluster."""
+    """Labels by HDBSCAN over cosine distance of the vectors of one frame."""
     group = group.sort_values("vec_id", kind="stable")
-    ids, n = group.vec_id.to_numpy(), len(group)
+    edges = _spanning_tree(_units(group), min_samples) if len(group) > 1 else []
+    return _condensed(group.vec_id.to_numpy(), edges, min_cluster_size, selection)
+
+
+def _condensed(ids: np.ndarray, edges: list[tuple[float, int, int]], min_cluster_size: int, selection: str) -> pd.DataFrame:
+    """vec_id, cluster_id by the spanning tree's edges (distance, place, place in ids, which ascend), nearest first: the
+    condensed tree's clusters of most stability (eom) or its leaves (leaf); null for noise. The root is never a cluster."""
+    n = len(ids)
     # the tree of single linkage: node n + i joins children[i] at height[i]
     root, top, children, height, weight = np.arange(n), list(range(n)), [], [], [1] * n
-    for far, one, two in _spanning_tree(_units(group), min_samples) if n > 1 else []:
+    for far, one, two in edges:
         a, b = _root(root, one), _root(root, two)
         children.append((top[a], top[b]))
         height.append(far)
@@ -195,13 +220,89 @@ def _hdbscan(group: pd.DataFrame, min_cluster_size: int, min_samples: int, selec
     return pd.DataFrame({"vec_id": ids, "cluster_id": pd.array([None if x < 0 else int(ids[x]) for x in label], "Int64")})
 
 
+def _reach(rows: np.ndarray, core: np.ndarray, queries: np.ndarray, query_core: np.ndarray) -> np.ndarray:
+    """Mutual reachability of rows that belong to queries, one by one; the same from both sides."""
+    return np.maximum(np.maximum(0, 1 - (rows * queries).sum(axis=1)), np.maximum(core, query_core))
+
+
+def _nearest_elsewhere(ids, v, extras, asking, w, more) -> tuple:
+    """For each asking row the nearest row of another part: (part, distance, smaller id, greater id, other part). extras: core
+    distance and part. Of equal edges the one of the smaller ids is chosen, so all agree on which is the least."""
+    out = [[] for _ in range(5)]
+    for at in range(0, len(asking), 512):
+        q, core, part = w[at : at + 512], more[at : at + 512, 0], more[at : at + 512, 1]
+        rough = np.maximum(np.maximum(0, 1 - q @ v.T), np.maximum(core[:, None], extras[None, :, 0]))
+        rough[part[:, None] == extras[None, :, 1]] = np.inf
+        limit = rough.min(axis=1)
+        i, j = np.nonzero((rough <= limit[:, None] + 1e-9) & np.isfinite(rough))
+        d = _reach(v[j], extras[j, 0], q[i], core[i])
+        low, high = np.minimum(asking[at + i], ids[j]), np.maximum(asking[at + i], ids[j])
+        order = np.lexsort((high, low, d, i))
+        first = order[np.append(True, np.diff(i[order]) != 0)] if len(order) else order
+        for o, x in zip(out, (part[i[first]].astype(np.int64), d[first], low[first], high[first], extras[j[first], 1].astype(np.int64))):
+            o.append(x)
+    return tuple(np.concatenate(o) for o in out)
+
+
+def spanning_edges(vectors: DataFrame, min_samples: int) -> tuple[np.ndarray, list[tuple[float, int, int]]]:
+    """Ids in order, and the edges (distance, id, id) of a minimum spanning tree by mutual reachability, nearest first. Each
+    round finds the nearest other part of every part at once, all points against pieces of all points, and joins parts along
+    those edges, so there are at most log2(points) rounds. The driver holds an id and a part for each point of the plan."""
+    from ..sources.tables import checkpointed
+    from . import ann
+
+    unit = checkpointed(vectors.select(F.col("vec_id").alias("id"), vector.doubles(F.col("embedding")).alias("v")).withColumn("_n", F.greatest(vector.norm(F.col("v")), F.lit(1e-12))).select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"), F.lit(0).alias("list")))
+    ids = np.array(sorted(r.id for r in unit.select("id").collect()), np.int64)
+    if len(ids) < 2:
+        return ids, []
+    size, k = len(unit.first().v), min(min_samples, len(ids))
+
+    def distances(own, v, _, asking, w, __) -> tuple:
+        """For each asking row its k least distances to the rows of a piece."""
+        q, d = [], []
+        for at in range(0, len(asking), 512):
+            rough = 1 - w[at : at + 512] @ v.T
+            near = np.argpartition(rough, min(k, len(own)) - 1, axis=1)[:, :k]
+            i = np.repeat(np.arange(len(near)), near.shape[1])
+            q.append(asking[at + i])
+            d.append(np.maximum(0, 1 - (v[near.ravel()] * w[at + i]).sum(axis=1)))
+        return np.concatenate(q), np.concatenate(d)
+
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d"))
+    near = ann.meet_in_pieces(unit, unit, size, distances, "id long, d double").withColumn("place", place)
+    points = checkpointed(unit.join(near.where(F.col("place") == k).select("id", F.col("d").alias("core")), "id"))
+    part, edges = {int(i): int(i) for i in ids}, []
+    while len(set(part.values())) > 1:
+        now = vectors.sparkSession.createDataFrame(list(part.items()), "id long, part long")
+        rows = points.join(now, "id")
+        found = ann.meet_in_pieces(rows, rows, size, _nearest_elsewhere, "part long, d double, low long, high long, other long", ("core", "part"))
+        best = found.groupBy("part").agg(F.min(F.struct("d", "low", "high", "other")).alias("e")).select("part", "e.*").collect()  # a row a part
+        root = {p: p for p in set(part.values())}
+
+        def top(p: int) -> int:
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        for r in sorted(best, key=lambda r: (r.d, r.low, r.high)):
+            a, b = sorted((top(r.part), top(r.other)))
+            if a != b:
+                root[b] = a
+                edges.append((float(r.d), int(r.low), int(r.high)))
+        part = {i: top(p) for i, p in part.items()}
+    return ids, sorted(edges)
+
+
 def hdbscan(vectors: DataFrame, min_cluster_size: int = 3, min_samples: int = 2, selection: str = "eom") -> DataFrame:
-    """vec_id, cluster_id (the smallest id of the cluster; null for noise) of a bounded number of points, a plan's max_points,
-    which meet in one task."""
+    """vec_id, cluster_id (the smallest id of the cluster; null for noise) of a bounded number of points, a plan's max_points.
+    Distances are found by Spark in pieces; the tree of their n - 1 edges is condensed by the driver."""
     if selection not in ("eom", "leaf"):
         raise ValueError(f"unknown selection {selection}")
-    rows = vectors.select("vec_id", "embedding").withColumn("one", F.lit(0))
-    return rows.groupBy("one").applyInPandas(lambda g: _hdbscan(g, min_cluster_size, min_samples, selection), "vec_id long, cluster_id long")
+    ids, edges = spanning_edges(vectors.select("vec_id", "embedding"), min_samples)
+    place = {int(i): at for at, i in enumerate(ids)}
+    found = _condensed(ids, [(d, place[a], place[b]) for d, a, b in edges], min_cluster_size, selection)
+    rows = [(int(i), None if pd.isna(c) else int(c)) for i, c in zip(found.vec_id, found.cluster_id)]
+    return vectors.sparkSession.createDataFrame(rows, "vec_id long, cluster_id long")
 
 
 def bounded(vectors: DataFrame, chosen: dict, ts: str | None = None, now: str | None = None) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector
+from ..sources.tables import checkpointed
+
+#: Pivots at most, which the driver and each task hold.
+PIVOTS = 4096
 
 
 def search(vectors: DataFrame, query: list[float], n: int, threshold: float | None = None, where: Column | None = None, metric: str = "cosine") -> DataFrame:
@@ -48,37 +50,70 @@ def chunk_search(chunks: DataFrame, query: list[float], n: int, share: float) ->
     return docs.groupBy("doc_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "doc_id")
 
 
-def pairs_within(vectors: DataFrame, eps: float, block: int = 2048) -> DataFrame:
-    """Pairs (a, b), a < b, at cosine distance of at most eps, exactly, for the bounded number of points of a clustering
-    plan. Vectors are dealt to blocks by a hash; each two blocks meet in a task of their own, of two blocks' size."""
-    unit = vectors.select("vec_id", vector.doubles(F.col("embedding")).alias("v"))
-    rows = unit.where(vector.dot(F.col("v"), F.col("v")) > 0)
-    blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    met = rows.select("vec_id", "v", own.alias("own"), F.explode(tiles).alias("tile")).select("tile.i", "tile.j", "own", "vec_id", "v")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if now is None or not all(b in sides for b in now):
-                return
-            (left, a), (right, b) = ((np.array([x for x, _ in sides[k]]), np.array([y for _, y in sides[k]])) for k in now)
-            a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
-            for at in range(0, len(left), 1024):
-                i, j = np.nonzero(1 - a[at : at + 1024] @ b.T <= eps)
-                one, two = left[i + at], right[j]
-                keep = one < two if now[0] == now[1] else one != two
-                one, two = np.minimum(one, two)[keep], np.maximum(one, two)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
-
-        for batch in batches:
-            for i, j, k, x, v in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
-                if (i, j) != now:
-                    yield from out()
-                    now, sides = (i, j), {}
-                sides.setdefault(k, []).append((x, np.asarray(v.values)))
-        yield from out()
-
-    return met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(compare, "a long, b long")
+def _cells(rows: DataFrame, pivots: np.ndarray, eps: float) -> tuple[DataFrame, DataFrame]:
+    """rows (id, v) of length one, each in the cell of its nearest pivot (list), and the cells that each has to visit: its own,
+    and of those of greater number each that may hold a row within eps. With r the distance that eps is, by the triangle
+    inequality such a row y of cell q has d(y, q) between d(x, q) - r and the cell's radius, and, as y is nearest to q,
+    d(x, q) is at most d(x, p) + 2 r for x's own pivot p."""
+    reach = float(np.sqrt(2 * eps))
+    squares = (pivots**2).sum(axis=1)
+
+    def distances(vs: pd.Series) -> np.ndarray:
+        m = np.stack(vs.to_numpy())
+        return np.sqrt(np.maximum(0, (m**2).sum(axis=1)[:, None] - 2 * m @ pivots.T + squares))
+
+    @F.pandas_udf("struct<list:int,off:double>")
+    def own(vs: pd.Series) -> pd.DataFrame:
+        d = distances(vs) if len(vs) else np.zeros((0, 1))
+        at = d.argmin(axis=1)
+        return pd.DataFrame({"list": at.astype(np.int32), "off": d[np.arange(len(d)), at]})
+
+    home = checkpointed(rows.select("id", "v", own("v").alias("at")).select("id", "v", "at.list", "at.off"))
+    radius = np.full(len(pivots), -np.inf)
+    for r in home.groupBy("list").agg(F.max("off").alias("radius")).collect():  # a row a pivot
+        radius[r.list] = r.radius
+
+    @F.pandas_udf("array<int>")
+    def visits(vs: pd.Series, lists: pd.Series, off: pd.Series) -> pd.Series:
+        if not len(vs):
+            return pd.Series([], dtype=object)
+        d, at = distances(vs), lists.to_numpy()
+        slack = 1e-7
+        near = (d <= radius[None, :] + reach + slack) & (d <= off.to_numpy()[:, None] + 2 * reach + slack) & (np.arange(len(pivots))[None, :] > at[:, None])
+        near[np.arange(len(at)), at] = True
+        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in near])
+
+    asked = home.select("id", "v", F.col("list").alias("home"), F.explode(visits("v", "list", "off")).alias("list"))
+    return home.select("id", "v", "list"), asked.select("id", "v", "list", (F.col("home") == F.col("list")).cast("double").alias("own"))
+
+
+def unit_rows(vectors: DataFrame) -> DataFrame:
+    """id, v of length one, of the vectors (vec_id, embedding) that are not zero."""
+    rows = vectors.select(F.col("vec_id").alias("id"), vector.doubles(F.col("embedding")).alias("v")).withColumn("_n", vector.norm(F.col("v"))).where("_n > 0")
+    return rows.select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
+
+
+def pairs_within(vectors: DataFrame, eps: float, block: int = 1024) -> DataFrame:
+    """Pairs (a, b), a < b, at cosine distance of at most eps, exactly. Pivots, one for `block` vectors but PIVOTS at most, cut
+    the vectors into cells; a vector is shipped to the cells only that may hold a neighbour of it, and cells of many vectors,
+    copies among them, are pieces of bounded size."""
+    from . import ann
+
+    rows = checkpointed(unit_rows(vectors))
+    first = rows.first()
+    if first is None:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sample = rows.orderBy(F.xxhash64("id")).limit(min(PIVOTS, 1 + rows.count() // block)).select("v").collect()  # PIVOTS rows at most
+    home, asked = _cells(rows, np.array([r.v for r in sample]), eps)
+
+    def compare(ids, v, _, visitors, w, own) -> tuple[np.ndarray, np.ndarray]:
+        found = [], []
+        for at in range(0, len(visitors), 1024):
+            i, j = np.nonzero(1 - w[at : at + 1024] @ v.T <= eps)
+            one, two = visitors[at + i], ids[j]
+            keep = (own[at + i, 0] == 0) | (one < two)  # two of a cell visit each other
+            found[0].append(np.minimum(one, two)[keep])
+            found[1].append(np.maximum(one, two)[keep])
+        return np.concatenate(found[0]), np.concatenate(found[1])
+
+    return ann.meet_in_pieces(home.withColumn("own", F.lit(1.0)), asked, len(first.v), compare, "a long, b long", ("own",))

@@ -115,7 +115,7 @@ def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT e.vec_id, CASE WHEN e.vec_id IN (SELECT a FROM p) THEN m.root ELSE -1 END AS cluster_id FROM embeddings e JOIN (SELECT a, min(b) AS root FROM r GROUP BY 1) m ON m.a = e.vec_id
 """)
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("dbscan", eps=0.6)).na.fill({"cluster_id": -1})
+    return cluster.dbscan(_vectors(spark, sf_dir), eps=0.6).na.fill({"cluster_id": -1})
 
 
 @query()
