@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("script style".split())
+#: Elements whose start ends an open paragraph, and those that may be open inside it.
+ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+INLINE = frozenset("a abbr b cite code em font i label mark q s small span strong sub sup u".split())
 #: What marks boilerplate in a class or id, and in a paragraph.
 CLUTTER = ("ad", "menu", "footer", "recommend", "related", "sidebar")
 NOTICES = ("声明", "版权", "免责声明", "推荐阅读", "相关文章")
 
+#: What readable() takes for content and for none, and what tags are worth.
+LIKELY = frozenset("article articlebody body column content entry hentry main page post story text blog".split())
+UNLIKELY = frozenset("ad ads advert banner breadcrumb combx comment comments community contact disqus extra foot footer footnote header masthead media menu meta nav navbar pager pagination popup promo related rss share shoutbox sidebar sponsor tags tool widget".split())
+TAG_WORTH = {"div": 5, "article": 8, "main": 5, "section": 2, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ul": -3, "ol": -3, "li": -3, "dl": -3, "address": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "th": -5}
+BLOCKS = frozenset("a article blockquote div dl img ol p pre section table ul".split())
+SKIPPED = UNSEEN | {"nav", "aside", "footer", "header", "form", "noscript", "button"}
+PARAGRAPH = 25
+
 
 class Node:
     """An element: tag, attributes, children (elements and texts)."""
@@ -50,6 +61,12 @@ class _Tree(HTMLParser):
         self.root = self.now = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_P:  # a block ends a paragraph that is open, and what is open in it
+            at = self.now
+            while at.parent and at.tag in INLINE:
+                at = at.parent
+            if at.tag == "p":
+                self.now = at.parent
         node = Node(tag, dict(attrs), self.now)
         self.now.children.append(node)
         if tag not in VOID:
@@ -128,18 +145,87 @@ def convert(html: str | None, selectors: list[str], exclude: list[str], markdown
     return "\n".join(x for x in lines if x)
 
 
+def _marks(node: Node) -> set[str]:
+    return {w for name in ("class", "id") for w in (node.attrs.get(name) or "").lower().replace("-", " ").replace("_", " ").split()}
+
+
+def link_density(node: Node) -> float:
+    """Share of an element's text that is inside links."""
+    whole = len(node.text())
+    return sum(len(n.text()) for n in node.walk() if n.tag == "a") / whole if whole else 0.0
+
+
+def readable(root: Node) -> list[Node]:
+    """The elements that hold a page's main text, by the scores of its paragraphs.
+
+    A paragraph of PARAGRAPH characters or more is worth one, one more for each comma, and one for each 100 characters, three at
+    most. Its parent gets all of that, the parent's parent half, on top of what their own tag, class and id are worth; a
+    candidate keeps the share that isn't links. The best candidate is joined by those of its siblings that have a fifth of its
+    score, or are long paragraphs with few links. Elements that a class or id marks as no content take no part."""
+    score: dict[int, float] = {}
+    nodes: dict[int, Node] = {}
+
+    def skipped(node: Node | None) -> bool:
+        while node is not None:
+            if node.tag in SKIPPED or _marks(node) & UNLIKELY and not _marks(node) & LIKELY and node.tag not in ("body", "article"):
+                return True
+            node = node.parent
+        return False
+
+    def worth(node: Node) -> float:
+        marks = _marks(node)
+        return TAG_WORTH.get(node.tag, 0) + 25 * bool(marks & LIKELY) - 25 * bool(marks & UNLIKELY)
+
+    def paragraph(node: Node) -> bool:
+        return node.tag in ("p", "pre", "td") or node.tag == "div" and not any(n.tag in BLOCKS for n in node.walk())
+
+    for node in root.walk():
+        if not paragraph(node) or node.parent is None or skipped(node):
+            continue
+        text = node.text(" ")
+        if len(text) < PARAGRAPH:
+            continue
+        value = 1 + sum(text.count(c) for c in ",，、") + min(len(text) // 100, 3)
+        for above, share in ((node.parent, 1.0), (node.parent.parent, 0.5)):
+            if above is not None:
+                if id(above) not in score:
+                    score[id(above)], nodes[id(above)] = worth(above), above
+                score[id(above)] += value * share
+    if not score:
+        return []
+    final = {k: s * (1 - link_density(nodes[k])) for k, s in score.items()}
+    best = nodes[max(final, key=final.get)]  # of equal ones the first that a paragraph named
+    limit = max(10.0, 0.2 * final[id(best)])
+    if best.parent is None:
+        return [best]
+    out = []
+    for child in best.parent.children:
+        if isinstance(child, str):
+            continue
+        long = child.tag == "p" and len(child.text(" ")) > 80 and link_density(child) < 0.25
+        if child is best or final.get(id(child), 0) >= limit or long and not skipped(child):
+            out.append(child)
+    return out
+
+
 def main_part(html: str | None) -> str:
-    """Text of the page's content: the article, else a content element, else the longest div over 100 characters, else all;
-    without clutter, paragraphs under 50 characters and notices."""
+    """Text of the page's content: what readable() finds, or where that has less than 200 characters the article, else a
+    content element, else the longest div over 100 characters, else all; without clutter, paragraphs under 50 characters and
+    notices."""
     root = parse(html)
-    found = next((n for n in root.walk() if n.tag == "article"), None)
-    found = found or next((n for n in root.walk() if n.tag == "div" and ("content" in n.words("class") or n.attrs.get("id") == "content")), None)
+    parts = readable(root)
+    if sum(len(n.text()) for n in parts) >= 200:
+        found = Node("", {}, None)
+        found.children = list(parts)
+    else:
+        found = next((n for n in root.walk() if n.tag == "article"), None)
+        found = found or next((n for n in root.walk() if n.tag == "div" and ("content" in n.words("class") or n.attrs.get("id") == "content")), None)
     if found is None:
         longest = max((n for n in root.walk() if n.tag == "div"), key=lambda n: len(n.text()), default=None)
         found = longest if longest is not None and len(longest.text()) > 100 else root
 
     def keep(node: Node) -> bool:
-        marks = {w for name in ("class", "id") for w in (node.attrs.get(name) or "").lower().replace("-", " ").replace("_", " ").split()}
+        marks = _marks(node)
         if any(c == m or m == c + "s" or (len(c) > 2 and m.startswith(c)) for c in CLUTTER for m in marks):
             return False
         if node.tag == "p" and not any(n.tag == "p" for n in node.walk()):
