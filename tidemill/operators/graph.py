@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import nested, score
+from ..functions import nested
 from . import vectors as vector_search
 
 #: Fixed values of the walk.
@@ -34,52 +33,67 @@ class Storyline:
     versions: list = field(default_factory=list)  # nodes after each round that accepted some
 
 
+def _edge(similarity: float, shared: int, days: float) -> float:
+    """score.hybrid() of one pair."""
+    return 0.6 * similarity + 0.4 * min(shared * 0.5, 1.0) - 0.008 * abs(days)
+
+
+def _candidates(docs: DataFrame, level: list[int]) -> dict[int, list]:
+    """For each node of a level the docs like it (doc_id, day, title, rare, score), CANDIDATES at most."""
+    own = docs.where(F.col("doc_id").isin(level)).select("doc_id", "embedding").collect()  # a row a node
+    hits = vector_search.search_many(docs.select(F.col("doc_id").alias("vec_id"), "embedding"), {r.doc_id: list(r.embedding) for r in own}, CANDIDATES, RECALL)
+    rows = docs.select("doc_id", "day", "title", "rare").join(F.broadcast(hits.withColumnRenamed("vec_id", "doc_id")), "doc_id")  # CANDIDATES a node
+    out: dict[int, list] = {}
+    for r in rows.collect():
+        out.setdefault(r["query"], []).append(r)
+    return out
+
+
 def grow(
     docs: DataFrame, seed: int, stop: list[str], max_depth: int = 3, window_days: float = 7, snapshot: Callable[[Storyline, str], None] | None = None
 ) -> Storyline:
-    """Walks from the seed. docs: doc_id, day (days since the epoch), title, entities, embedding. Recall, scoring and the
-    time filter are one Spark job for each node that is expanded, over all docs; accepting and folding depend on the order
-    of acceptance and stay on the driver, which sees at most CANDIDATES rows a job. snapshot gets the line and its state after
-    each round that accepted some, and at the end."""
+    """Walks from the seed, a level at a time. docs: doc_id, day (days since the epoch), title, entities, embedding. For all
+    nodes of a level at once, NODES at most, one scan of the docs finds the candidates, CANDIDATES for each; so the scans are as
+    many as the levels. Accepting and folding depend on the order of acceptance, and stay on the driver with those rows.
+    snapshot gets the line and its state after each node that accepted some, and at the end."""
     rare = docs.withColumn("rare", nested.rare(F.col("entities"), stop))
-    first = rare.where(F.col("doc_id") == seed).select("day", "rare", "embedding").first()
+    first = rare.where(F.col("doc_id") == seed).select("day", "rare").first()
     if first is None:
         raise KeyError(seed)
     line = Storyline(nodes={seed: first.day})
     pool, seen, titles = set(first.rare), {seed}, {}
-    queue = deque([(seed, first.day, list(first.embedding), 0)])
-    while queue and len(line.nodes) < NODES:
-        now, day, vector, depth = queue.popleft()
-        if depth >= max_depth:
-            continue
-        hits = vector_search.search(rare.select(F.col("doc_id").alias("vec_id"), "embedding"), vector, CANDIDATES, RECALL)
-        found = rare.join(F.broadcast(hits.withColumnRenamed("vec_id", "doc_id")), "doc_id")  # at most CANDIDATES rows
-        found = found.where(F.abs(F.col("day") - day) <= window_days)
-        shared = F.size(F.array_intersect("rare", F.split(F.lit("\0".join(sorted(pool))), "\0")))
-        found = found.withColumn("edge", score.hybrid(F.col("score"), shared, F.col("day") - day)).where(F.col("edge") >= ACCEPT)
-        accepted = 0
-        for c in sorted(found.collect(), key=lambda c: (-c.edge, c.doc_id)):
-            if accepted == BRANCHES:
+    level, depth = [seed], 0
+    while level and depth < max_depth and len(line.nodes) < NODES:
+        found = _candidates(rare, level)
+        below: list[int] = []
+        for now in level:
+            if len(line.nodes) >= NODES:
                 break
-            if c.doc_id in seen:
-                continue
-            seen.add(c.doc_id)
-            echo = next((n for n, d in line.nodes.items() if any(abs(c.day - d) <= far and c.score >= near for far, near in ECHOES)), None)
-            if echo is not None:
-                if c.title[:15] not in titles.setdefault(echo, set()):
-                    titles[echo].add(c.title[:15])
-                    line.folded.setdefault(echo, []).append(c.doc_id)
-                    pool |= set(c.rare)
-                continue
-            line.nodes[c.doc_id] = c.day
-            line.edges.append((now, c.doc_id, c.edge))
-            pool |= set(c.rare)
-            queue.append((c.doc_id, c.day, list(c.embedding), depth + 1))
-            accepted += 1
-        if accepted:
-            line.versions.append(len(line.nodes))
-            if snapshot is not None:
-                snapshot(line, "PROCESSING")
+            day, accepted = line.nodes[now], 0
+            near = [(_edge(c.score, len(pool & set(c.rare)), c.day - day), c) for c in found.get(now, []) if c.rare is not None and c.day is not None and abs(c.day - day) <= window_days]
+            for edge, c in sorted(near, key=lambda x: (-x[0], x[1].doc_id)):
+                if accepted == BRANCHES or edge < ACCEPT:
+                    break
+                if c.doc_id in seen:
+                    continue
+                seen.add(c.doc_id)
+                echo = next((n for n, d in line.nodes.items() if any(abs(c.day - d) <= far and c.score >= like for far, like in ECHOES)), None)
+                if echo is not None:
+                    if c.title[:15] not in titles.setdefault(echo, set()):
+                        titles[echo].add(c.title[:15])
+                        line.folded.setdefault(echo, []).append(c.doc_id)
+                        pool |= set(c.rare)
+                    continue
+                line.nodes[c.doc_id] = c.day
+                line.edges.append((now, c.doc_id, edge))
+                pool |= set(c.rare)
+                below.append(c.doc_id)
+                accepted += 1
+            if accepted:
+                line.versions.append(len(line.nodes))
+                if snapshot is not None:
+                    snapshot(line, "PROCESSING")
+        level, depth = below, depth + 1
     if snapshot is not None:
         snapshot(line, verdict(None))
     return line

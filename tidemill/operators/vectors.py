@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,8 @@ from ..sources.tables import checkpointed
 
 #: Pivots at most, which the driver and each task hold.
 PIVOTS = 4096
+#: Queries of one scan.
+QUERIES = 256
 
 
 def search(vectors: DataFrame, query: list[float], n: int, threshold: float | None = None, where: Column | None = None, metric: str = "cosine") -> DataFrame:
@@ -26,6 +31,39 @@ def search(vectors: DataFrame, query: list[float], n: int, threshold: float | No
     return rows.orderBy(F.col("score").desc() if metric == "cosine" else F.col("score").asc(), "vec_id").limit(max(0, n))
 
 
+def search_many(vectors: DataFrame, queries: dict[int, list[float]], n: int, threshold: float | None = None) -> DataFrame:
+    """(query, vec_id, score): the n vectors most like each of a block of queries, at most QUERIES of them, by cosine, ties to
+    the smaller id. One scan without a shuffle of vectors: each task sends the best n of its rows for each query."""
+    if len(queries) > QUERIES:
+        raise ValueError(f"a block has {QUERIES} queries at most")
+    schema = "query long, vec_id long, score double"
+    if n <= 0 or not queries:
+        return vectors.sparkSession.createDataFrame([], schema)
+    asked, matrix = list(queries), np.array(list(queries.values()), float)
+    length = np.linalg.norm(matrix, axis=1)
+    rows = vectors.select("vec_id", vector.doubles(F.col("embedding")).alias("v")).where((F.size("v") == matrix.shape[1]) & F.forall("v", lambda x: x.isNotNull()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int]]] = [[] for _ in asked]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, v = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            norms = np.linalg.norm(v, axis=1)
+            for q, own in enumerate(matrix):
+                size = norms * length[q]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = (v * own).sum(axis=1) / size
+                fits = np.flatnonzero((size > 0) & (score >= (-np.inf if threshold is None else threshold)))
+                order = fits[np.lexsort((ids[fits], -score[fits]))][:n]
+                best[q] = sorted([*best[q], *zip((-score[order]).tolist(), ids[order].tolist())])[:n]
+        found = [(asked[q], i, -s) for q, own in enumerate(best) for s, i in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query", "vec_id", "score"])
+
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
+    return rows.mapInArrow(run, schema).withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
 def reference(vectors: DataFrame, vec_id: int) -> list[float]:
     """The vector of a stored row; an unknown id is an error."""
     row = vectors.where(F.col("vec_id") == vec_id).select("embedding").first()
