@@ -72,6 +72,14 @@ def reference(vectors: DataFrame, vec_id: int) -> list[float]:
     return list(row.embedding)
 
 
+def softmax_shares(rows: DataFrame, score: str, key: str) -> DataFrame:
+    """rows with share, softmax() of score within key. Two aggregates are joined back, so that no group meets in one task."""
+    tops = rows.groupBy(key).agg(F.max(score).alias("_top"))
+    raised = rows.join(tops, key).withColumn("_raised", F.exp(F.col(score) - F.col("_top")))
+    sums = raised.groupBy(key).agg(F.sum("_raised").alias("_sum"))
+    return raised.join(sums, key).withColumn("share", F.col("_raised") / F.col("_sum")).drop("_top", "_raised", "_sum")
+
+
 def softmax(score: Column, *keys: str) -> Column:
     """Share of each row's exponential in its group, the largest score subtracted first."""
     w = Window.partitionBy(*keys)

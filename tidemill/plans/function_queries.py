@@ -69,10 +69,10 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, contains(text, 'idiot') OR contains(text, 'scum') AS listed,
-           CAST(len(string_split(text, ' the ')) - 1 + len(string_split(text, '.')) - 1 AS INTEGER) AS marks FROM documents WHERE text <> ''
+           CAST(len(string_split(text, ' the ')) - 1 + len(string_split(text, '.')) - 1 AS INTEGER) AS marks FROM documents
 """)
 def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("text <> ''").select(
+    return _docs(spark, sf_dir).select(
         "doc_id", text.contains_any(F.col("text"), ["idiot", "scum"]).alias("listed"), text.count_markers(F.col("text"), [" the ", "."]).cast("int").alias("marks")
     )
 
@@ -350,17 +350,18 @@ def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", filled.alias("prompt"), block.alias("block"))
 
 
-@query("SELECT event_type, '| event_id | value |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(event_id AS VARCHAR) || ' | ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' |', chr(10) ORDER BY event_id) AS md FROM events WHERE user_id = 3 GROUP BY 1")
+@query("SELECT event_type, event_id // 500 AS page, '| event_id | value |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(event_id AS VARCHAR) || ' | ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' |', chr(10) ORDER BY event_id) AS md FROM events GROUP BY event_type, event_id // 500")
 def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir).where("user_id = 3").select("event_type", "event_id", nested.table_row(F.col("event_id"), F.floor("value")).alias("row"))
-    lines = rows.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", "row"))).alias("t"))
-    return lines.select("event_type", F.concat_ws("\n", F.lit(nested.table_head("event_id", "value")), F.array_join("t.row", "\n")).alias("md"))
+    """Tables of a page of 500 events each."""
+    rows = _events(spark, sf_dir).select("event_type", F.floor(F.col("event_id") / 500).alias("page"), "event_id", nested.table_row(F.col("event_id"), F.floor("value")).alias("row"))
+    lines = rows.groupBy("event_type", "page").agg(F.sort_array(F.collect_list(F.struct("event_id", "row"))).alias("t"))
+    return lines.select("event_type", "page", F.concat_ws("\n", F.lit(nested.table_head("event_id", "value")), F.array_join("t.row", "\n")).alias("md"))
 
 
-@query("SELECT event_id, key, value FROM (UNPIVOT (SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE value > 200) ON event_type, user_id INTO NAME key VALUE value)")
+@query("SELECT event_id, key, value FROM (UNPIVOT (SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS user_id FROM events) ON event_type, user_id INTO NAME key VALUE value)")
 def flatten_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string"))
-    return _events(spark, sf_dir).where("value > 200").select("event_id", F.explode(pairs).alias("key", "value"))
+    return _events(spark, sf_dir).select("event_id", F.explode(pairs).alias("key", "value"))
 
 
 @query("SELECT event_id, n, CAST(coalesce(b, -1) AS BIGINT) AS b FROM (SELECT event_id, CAST(user_id % 2 AS BIGINT) + 1 AS n, CASE WHEN user_id % 2 = 1 THEN user_id END AS b FROM events)")

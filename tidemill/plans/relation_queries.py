@@ -72,7 +72,9 @@ def cluster_left_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN documents d ON d.doc_id = m.vec_id AND d.doc_id % 3 > 0 WHERE m.pos BETWEEN 3 AND 7
 """)
 def member_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    ranked = table(spark, sf_dir, "embeddings").withColumn("place", place).where("place <= 7")  # as many as the slice reaches
+    clusters = ranked.groupBy(F.col("label").alias("cluster_id")).agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     docs = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "lang")
     return joins.members(clusters, docs, "cluster_id", "members", "doc_id", offset=2, limit=5, fallback={"lang": "?"})
 
@@ -104,13 +106,12 @@ def dup_uuid_or_informant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT a.doc_id, b.event_type, c.n_name FROM documents a LEFT JOIN events b ON b.event_id = a.doc_id AND b.value > 30 LEFT JOIN nation c ON c.n_nationkey = a.doc_id
-    WHERE a.n_chars > 2000
+    SELECT a.doc_id, b.event_type, c.n_name FROM documents a LEFT JOIN events b ON b.event_id = a.doc_id LEFT JOIN nation c ON c.n_nationkey = a.doc_id
 """)
 def training_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("value > 30").select(F.col("event_id").alias("doc_id"), "event_type")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), "n_name")
-    return table(spark, sf_dir, "documents").where("n_chars > 2000").select("doc_id").join(events, "doc_id", "left").join(nation, "doc_id", "left")
+    return table(spark, sf_dir, "documents").select("doc_id").join(events, "doc_id", "left").join(nation, "doc_id", "left")
 
 
 @query("""
@@ -161,15 +162,15 @@ def hits_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("embedding")[0] > 0).select("vec_id").intersect(e.where(F.col("embedding")[1] > 0).select("vec_id"))
 
 
-@query("SELECT doc_id AS id, lang AS label FROM documents WHERE n_chars > 3000 UNION ALL SELECT vec_id, NULL FROM embeddings WHERE label = 0")
+@query("SELECT doc_id AS id, lang AS label FROM documents UNION ALL SELECT vec_id, NULL FROM embeddings")
 def concat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("n_chars > 3000").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    return docs.unionByName(table(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("id")), allowMissingColumns=True)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    return docs.unionByName(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), allowMissingColumns=True)
 
 
-@query("SELECT source, lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS p FROM documents WHERE n_chars > 500) WHERE p = 1")
+@query("SELECT source, lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS p FROM documents) WHERE p = 1")
 def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("n_chars > 500").select("source", "lang", "doc_id")
+    rows = table(spark, sf_dir, "documents").select("source", "lang", "doc_id")
     return dedup.first_wins(rows, ["source", "lang"], [F.col("doc_id")])
 
 

@@ -101,14 +101,14 @@ def content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.content_store(pages, "url", "text", "doc_id").select("doc_id", "checksum")
 
 
-@query("SELECT user_id, count(*) AS n_entries, min(CAST(event_id AS VARCHAR)) AS first_guid, 'a & b' AS description FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("SELECT event_id // 40 AS feed, count(*) AS n_entries, min(CAST(event_id AS VARCHAR)) AS first_guid, 'a & b' AS description FROM events GROUP BY 1")
 def feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit("<item><title>t</title><guid>"), F.col("event_id").cast("string"), F.lit("</guid><description>&lt;p&gt;a &amp;amp; b&lt;/p&gt;</description></item>"))
-    rows = _events(spark, sf_dir).where("event_type = 'error'").groupBy("user_id").agg(F.array_join(F.collect_list(item), "").alias("items"))
+    rows = _events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 40).alias("feed")).agg(F.array_join(F.collect_list(item), "").alias("items"))
     xml = F.concat(F.lit("<rss><channel><title>x</title>"), "items", F.lit("</channel></rss>"))
-    parsed = rows.select("user_id", feeds.feed(xml).alias("f"))
-    entries = parsed.select("user_id", F.explode("f.entries").alias("e"))
-    return entries.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_entries"), F.min("e.guid").alias("first_guid"), F.min("e.description").alias("description"))
+    parsed = rows.select("feed", feeds.feed(xml).alias("f"))
+    entries = parsed.select("feed", F.explode("f.entries").alias("e"))
+    return entries.groupBy("feed").agg(F.count(F.lit(1)).alias("n_entries"), F.min("e.guid").alias("first_guid"), F.min("e.description").alias("description"))
 
 
 @query("""
@@ -127,13 +127,13 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.feed_items(articles).select("guid", "title", "date", "link")
 
 
-@query("SELECT event_id AS id, 'https://a.b/' || CAST(event_id AS VARCHAR) AS loc, strftime(ts, '%Y-%m-%d') AS lastmod FROM events WHERE user_id = 5")
+@query("SELECT event_id AS id, 'https://a.b/' || CAST(event_id AS VARCHAR) AS loc, strftime(ts, '%Y-%m-%d') AS lastmod FROM events")
 def sitemap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = F.concat(
         F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.b/'), F.col("event_id").cast("string"), F.lit("</loc><lastmod>"),
         F.date_format("ts", "yyyy-MM-dd"), F.lit("</lastmod></url></urlset>"),
     )
-    rows = _events(spark, sf_dir).where("user_id = 5").select(F.col("event_id").alias("id"), feeds.sitemap(xml).alias("m"))
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("id"), feeds.sitemap(xml).alias("m"))
     return rows.select("id", F.explode("m.urls").alias("u")).select("id", "u.loc", "u.lastmod")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ann
+from ..sources import crawl
 from ..sources.buckets import BucketTable
 from ..sources.exports import scratch
 from ..sources.tables import checkpointed
@@ -186,3 +187,37 @@ def stream_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _upper(text: str) -> str:
     """A to Z in upper case."""
     return "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in text)
+
+
+def _feed(url: str) -> str:
+    """A channel's feed as a server would give it: one to three articles, and no answer for each tenth channel."""
+    number = int(url.rsplit("/", 1)[1])
+    if number % 10 == 0:
+        raise OSError("no answer")
+    items = "".join(f"<item><title>t</title><link>{url}/{i}</link><guid>{i}</guid></item>" for i in range(1 + number % 3))
+    return f"<rss><channel><title>x</title>{items}</channel></rss>"
+
+
+def _article(url: str) -> str:
+    if url.endswith("/2"):
+        raise ValueError("gone")
+    return f"<html><body><article><p>text of {url}</p></article></body></html>"
+
+
+@query("""
+    SELECT event_type AS channel, 'http://h/' || event_id AS url, NULL AS text, 'OSError: no answer' AS error FROM events WHERE event_id % 10 = 0
+    UNION ALL SELECT event_type, 'http://h/' || event_id || '/1', 'text of http://h/' || event_id || '/1', NULL FROM events WHERE event_id % 10 > 0 AND event_id % 3 >= 1
+    UNION ALL SELECT event_type, 'http://h/' || event_id || '/2', NULL, 'ValueError: gone' FROM events WHERE event_id % 10 > 0 AND event_id % 3 = 2
+""")
+def configured_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl from a configuration by names: fetchers, discoverer, extractor, a filter of articles, and handlers that store
+    what came and what failed."""
+    done, failed = scratch(spark), scratch(spark)
+    config = {
+        "d_fetcher_name": "feeds", "e_fetcher_name": "articles", "discoverer_name": "feed", "extractor_name": "text", "article_filter": lambda url, channel: not url.endswith("/0"),
+        "content_handler": lambda df: df.write.parquet(done), "exception_handler": lambda df: df.write.parquet(failed),
+    }
+    made, _ = crawl.from_config(config, {"feeds": _feed, "articles": _article})
+    channels = table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), F.concat(F.lit("http://h/"), F.col("event_id").cast("string")).alias("url"))
+    made.run(channels)
+    return spark.read.parquet(done).unionByName(spark.read.parquet(failed))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..operators import cluster, graph, index, search, vectors
+from ..sources.exports import scratch
 from ..sources.tables import checkpointed
 from .registry import query, table
 
@@ -46,7 +47,7 @@ def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
     q = F.array(*[F.lit(float(x)) for x in vectors.reference(e, 0)])
     rows = e.select("vec_id", "label", vector.cosine(F.col("embedding"), q).alias("s"))
-    return rows.select("vec_id", "label", F.round(vectors.softmax(F.col("s"), "label"), 6).alias("share"))
+    return vectors.softmax_shares(rows, "s", "label").select("vec_id", "label", F.round("share", 6).alias("share"))
 
 
 @query(f"""
@@ -162,6 +163,14 @@ def storyline_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(a), int(b), round(float(s), 6)) for a, b, s in line.edges], "source long, target long, score double")
 
 
+@query()
+def storyline_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version that the walk of storyline_graph wrote while it grew."""
+    folder = scratch(spark)
+    graph.grow(_story_docs(spark, sf_dir), 0, ["the", "of", "and"], max_depth=3, window_days=30, snapshot=graph.snapshot_table(spark, folder, "seed 0"))
+    return graph.latest_snapshot(spark, folder, "seed 0").withColumn("score", F.round("score", 6))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 OR value % 10 >= 5 THEN 'COMPLETED' ELSE 'REJECTED' END AS state FROM events")
 def graph_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = F.when(F.col("event_id") % 7 > 0, F.col("value") % 10)  # a judgement that failed is missing

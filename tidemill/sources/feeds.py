@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,7 +97,7 @@ def rss_document(title: str, link: str, items: DataFrame, n: int = 100) -> str:
     """A feed of the newest n items."""
     newest = items.orderBy(F.col("date").desc(), "guid").limit(n)
     body = "".join(r.item for r in rss_items(newest).collect())  # n items
-    return f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{title}</title><link>{link}</link>{body}</channel></rss>'
+    return f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{escape(title)}</title><link>{escape(link)}</link>{body}</channel></rss>'
 
 
 SITEMAP = "struct<kind:string,urls:array<struct<loc:string,lastmod:string>>>"
