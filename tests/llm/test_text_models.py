@@ -77,21 +77,23 @@ def test_lm_states_are_normalised():
         assert total == pytest.approx(1)
 
 
-def test_lm_scores_equal_the_automaton_of_all_repeated_ngrams(spark):
+@pytest.mark.parametrize("least", [2, 1])
+def test_lm_scores_equal_the_automaton_of_all_repeated_ngrams(spark, least):
+    """Of those that occur `least` times; with 1, of all n-grams."""
     rng = random.Random(3)
     rows = [*cases(), *((200 + i, " ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randrange(200)))) for i in range(300))]
     words = lambda t: (t or "").encode().lower().split() + [b""]
     train = [words(t) for d, t in rows if fold(d, 5) != 1]
     counts = Counter(w for ws in train for w in ws)
     level = lm_scoring.Unigrams(sum(counts.values()), len(counts), *(sum(c == k for c in counts.values()) for k in (1, 2)))
-    names = {w: i + 1 for i, w in enumerate(sorted(w for w, c in counts.items() if c > 1))}
+    names = {w: i + 1 for i, w in enumerate(sorted(w for w, c in counts.items() if c >= least))}
     totals = np.array([0, *(counts[w] for w in names)])
     grams = {2: Counter(), 3: Counter()}
     for ws in train:
         numbers = [len(names) + 1, *(names.get(w, 0) for w in ws)]
         for order in grams:
             grams[order].update(g for g in zip(*(numbers[i:] for i in range(order))) if 0 not in g)
-    kept = {order: {g: n for g, n in own.items() if n > 1} for order, own in grams.items()}
+    kept = {order: {g: n for g, n in own.items() if n >= least} for order, own in grams.items()}
     rare = [g for g, n in kept[2].items() if n == 2]
     assert rare and kept[3]
     made = lm_scoring.build(10 ** level.model(totals), totals, len(train), kept)
@@ -102,7 +104,7 @@ def test_lm_scores_equal_the_automaton_of_all_repeated_ngrams(spark):
         expected[(d, round(made.score([names.get(w, 0) for w in ws], logs), 5))] += 1
     lm_scoring.BUCKET, before = 500, lm_scoring.BUCKET
     try:
-        got = lm_scoring.scores(documents(spark, rows), chunk_bytes=3000).collect()
+        got = lm_scoring.scores(documents(spark, rows), least=least, chunk_bytes=3000).collect()
     finally:
         lm_scoring.BUCKET = before
     assert Counter((r.doc_id, round(r.score, 5)) for r in got) == expected

@@ -17,7 +17,7 @@ def _tokenizer(name: str) -> tuple[str, str]:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.scores(documents(spark, sf_dir), folds=5, held=1)
+    return lm_scoring.scores(documents(spark, sf_dir), folds=5, held=1, least=1)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
