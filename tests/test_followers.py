@@ -166,3 +166,8 @@ def test_counters_count_a_batch_once(spark):
     for args in ((0, 5), (1, 7), (1, 7), (2, 1), (3, 100, "other")):
         counters.onQueryProgress(Event(*args))
     assert counters.totals == {"a": 13, "total": 26}
+
+
+def test_plugin_given_as_text():
+    reader = plugin.CrawlStream({"code": PLUGIN.replace('int(open(options["count"]).read())', "4")})
+    assert reader.latestOffset() == {"at": 4} and len(reader.partitions({"at": 1}, {"at": 4})) == 2

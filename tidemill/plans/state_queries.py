@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ann
-from ..sources import crawl
+from ..sources import crawl, plugin
 from ..sources.buckets import BucketTable
 from ..sources.exports import scratch
 from ..sources.tables import checkpointed
@@ -221,3 +221,26 @@ def configured_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     channels = table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), F.concat(F.lit("http://h/"), F.col("event_id").cast("string")).alias("url"))
     made.run(channels)
     return spark.read.parquet(done).unionByName(spark.read.parquet(failed))
+
+
+_PLUGIN = """
+def latest(options):
+    return int(options["items"])
+
+def tasks(start, end, options):
+    return [(i, min(i + 500, end)) for i in range(start, end, 500)]
+
+def fetch(task, options):
+    for i in range(*task):
+        yield f"u{i}", f"http://h/{i}", "t", None if i % 4 == 0 else "c" * (i % 7), None
+"""
+
+
+@query("""
+    SELECT 'u' || i AS uuid, 'http://h/' || i AS informant, length(repeat('c', CAST(i % 7 AS INTEGER))) AS size FROM range((SELECT count(*) FROM events)) t(i) WHERE i % 4 > 0
+""")
+def stream_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many items as there are events, from a plug-in that runs as a streaming source; items without content are left out."""
+    plugin.register(spark)
+    stream = spark.readStream.format("tidemill_crawl").options(code=_PLUGIN, items=str(table(spark, sf_dir, "events").count())).load()
+    return ingest.drain(stream.where("content IS NOT NULL").select("uuid", "informant", F.char_length("content").cast("long").alias("size")))

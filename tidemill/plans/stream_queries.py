@@ -71,8 +71,8 @@ def stream_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise ValueError("no answer")
         return content.upper()
 
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("uuid"), F.col("event_type").alias("content"))
-    out = ingest.analysed(rows, analyse, "uuid long, content string")
+    rows = _stream(spark, sf_dir).select(F.col("event_id").alias("uuid"), F.col("event_type").alias("content"))
+    out = ingest.drain(ingest.analysed(rows, analyse, "uuid long, content string"))
     return out.select("uuid", "result", F.col("error").isNotNull().alias("failed"))
 
 

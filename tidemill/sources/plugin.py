@@ -4,7 +4,7 @@
     spark.readStream.format("tidemill_crawl").option("path", "/plugins/demo_crawler.py").load()
 
 A batch plug-in is a module with partitions(options) -> list of tasks and fetch(task, options) -> iterable of rows in the
-order of SCHEMA. A stream's plug-in is a file with latest(options) -> number of items there are by now, tasks(start, end,
+order of SCHEMA. A stream's plug-in is a file on the driver (or, with option code, its text) with latest(options) -> number of items there are by now, tasks(start, end,
 options) -> list of tasks for the items from start to before end, and fetch. Tasks run on executors, each by itself, so a lost
 one is fetched again.
 """
@@ -74,6 +74,8 @@ class CrawlStream(DataSourceStreamReader):
         self.options, self.good, self.seen = options, None, 0
 
     def _source(self) -> str:
+        if "code" in self.options:
+            return self.options["code"]
         with open(self.options["path"], encoding="utf-8") as file:
             source = file.read()
         try:
