@@ -10,7 +10,8 @@ No machine holds the automaton. Documents go in chunks of about CHUNK bytes, and
 chunk what it needs: the counts of its distinct words, then the arcs and weights of its pairs, then those of its triples
 whose pairs are both kept. A chunk asks with its own n-grams and their counts in it, packed by a hash of the word or the
 context; where all that name one meet, counts are summed and each chunk is answered in the order of its question. A context
-of many occurrences is split by its words. A token then takes the arc of the longest context that has it, after the failure
+of many occurrences is split by its words. Each exchange's answers are stored and its questions deleted before the next one
+begins. A token then takes the arc of the longest context that has it, after the failure
 weights of the longer ones.
 
 Defined results: null text is empty: one token, the end; a null doc_id is in fold 0; repeated rows repeat their result and
@@ -517,6 +518,17 @@ def build(unigram: np.ndarray, totals: np.ndarray, starts: int, grams: dict[int,
     return Automaton(unigram, totals, starts, kept)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """stored(df), after which Spark deletes the shuffle files of the job: what follows reads the table."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return stored(df)
+    finally:
+        conf.set(name, before)
+
+
 class Unigrams:
     """log10 shares of a word with count c: the model's, and the base's (c + 0.5) / (N + 0.5 (V + 1))."""
 
@@ -548,7 +560,7 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, least: int = LEAST, c
     asked = chunks.select("chunk", "words", "counts").mapInArrow(lean(_word_questions(buckets)), "bucket long, chunk long, words binary, counts binary")
     met = asked.repartition("bucket").sortWithinPartitions("bucket")
     sums = "kinds long, once long, twice long, ends long, top long, train long"
-    known = stored(met.mapInArrow(lean(_word_answers(least, buckets)), f"chunk long, bucket long, blob binary, {sums}"))
+    known = _kept(met.mapInArrow(lean(_word_answers(least, buckets)), f"chunk long, bucket long, blob binary, {sums}"))
     total = [F.coalesce(F.sum(x), F.lit(0)) for x in ("train", "kinds", "once", "twice", "ends")]
     tokens, kinds, once, twice, starts, top = known.where("chunk is null").agg(*total, F.coalesce(F.max("top"), F.lit(START + 1))).first()
     if top >= 1 << BITS:
@@ -572,9 +584,9 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, least: int = LEAST, c
                 yield ask(*(c[i].as_py() for c in batch.columns))
 
     schema = "bucket long, chunk long, blob binary"
-    pairs = _exchange(numbered.mapInArrow(lean(questions), schema), least, True).withColumnRenamed("answers", "pairs")
+    pairs = _kept(_exchange(numbered.mapInArrow(lean(questions), schema), least, True)).withColumnRenamed("answers", "pairs")
     paired = numbered.join(pairs, "chunk", "left").select("chunk", "docs", "tokens", "known", "pairs")
-    triples = _exchange(paired.mapInArrow(lean(questions), schema), least, False).withColumnRenamed("answers", "triples")
+    triples = _kept(_exchange(paired.mapInArrow(lean(questions), schema), least, False)).withColumnRenamed("answers", "triples")
     answered = paired.join(triples, "chunk", "left").select("docs", "tokens", "known", "pairs", "triples")
 
     def answer(docs_: bytes, tokens_: bytes, known_: list, two: list, three: list) -> pa.RecordBatch:
