@@ -98,7 +98,8 @@ def clear_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared checkpoint folder, and read again. It stays until
-    clear_stored() or until the folder is cleared; use cut() for small tables, which Spark clears itself."""
+    clear_stored() or until the folder is cleared; use cut() for small tables, which Spark clears itself where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     return stored_parts([df])
 
 
