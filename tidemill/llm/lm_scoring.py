@@ -38,7 +38,7 @@ from .common import fold, lean, stored, whole_text
 #: Fewest training occurrences of a pair or triple that has an arc (a parameter).
 LEAST = 2
 #: Text bytes of a chunk.
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 #: Tokens for each bucket of words or contexts; new entries between two sums of a bucket.
 BUCKET, MERGED = 1 << 21, 1 << 21
 #: Word ids have fewer bits; 0 is a word that can't be in an arc, START what stands before a text.
