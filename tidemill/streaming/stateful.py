@@ -99,21 +99,21 @@ class CrawlSessions(StatefulProcessor):
         self.retries = handle.getValueState("retries", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        wake = set()
+        first = None
         for frame in rows:
             for run, kind, status, ts in zip(frame.run.tolist(), frame.kind, frame.status, frame.ts):
                 at = pd.Timestamp(ts).value // 1000
                 self.waiting.updateValue((run, kind), (at, status))
-                wake.add(at)
-        for at in wake:
-            self.handle.registerTimer(-(-at // 1000))
+                first = at if first is None else min(first, at)
+        self._wake(first)
         yield pd.DataFrame([], columns=["url", "run", "status", "started", "ended", "retries"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # all that the watermark has passed at once: a limit that is set now may have been passed as well
+        # all that the watermark has passed at once; one timer for the earliest of what is left
         now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
         # of equal times starts come first, then finishes, then ends by the limit
-        steps = [(v[0], ("start", "finish").index(k[1]), k[0], v[1]) for k, v in self._entries(self.waiting) if v[0] <= now]
+        waiting = [(v[0], ("start", "finish").index(k[1]), k[0], v[1]) for k, v in self._entries(self.waiting)]
+        steps = [w for w in waiting if w[0] <= now]
         for _, kind, run, _ in steps:
             self.waiting.removeKey((run, ("start", "finish")[kind]))
         running = {k[0]: v[0] for k, v in self._entries(self.running)}
@@ -129,8 +129,6 @@ class CrawlSessions(StatefulProcessor):
                 running[run] = ts
                 if ts + self.limit_us <= now:
                     steps = steps[:at] + sorted([*steps[at:], (ts + self.limit_us, 2, run, "TIMEOUT")])
-                else:
-                    self.handle.registerTimer(-(-(ts + self.limit_us) // 1000))
             elif run in running and (kind == 1 or running[run] + self.limit_us == ts):
                 retries = retries + 1 if status in RETRIED else 0
                 out.append((key[0], run, status, running.pop(run), ts, retries))
@@ -139,11 +137,16 @@ class CrawlSessions(StatefulProcessor):
         for run in set(running) - before:
             self.running.updateValue((run,), (running[run],))
         self.retries.update((retries,))
+        self._wake(min([w[0] for w in waiting if w[0] > now] + [t + self.limit_us for t in running.values()], default=None))
         frame = pd.DataFrame(out, columns=["url", "run", "status", "started", "ended", "retries"])
         for c in ("started", "ended"):
             frame[c] = pd.to_datetime(frame[c], unit="us", utc=True).dt.tz_localize(None)
         yield frame
 
+    def _wake(self, at_us: int | None) -> None:
+        if at_us is not None:
+            self.handle.registerTimer(-(-at_us // 1000))
+
     @staticmethod
     def _entries(state) -> list:
         return list(state.iterator()) if state.exists() else []
