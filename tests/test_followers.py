@@ -171,3 +171,30 @@ def test_counters_count_a_batch_once(spark):
 def test_plugin_given_as_text():
     reader = plugin.CrawlStream({"code": PLUGIN.replace('int(open(options["count"]).read())', "4")})
     assert reader.latestOffset() == {"at": 4} and len(reader.partitions({"at": 1}, {"at": 4})) == 2
+
+
+def test_a_backlog_is_one_commit(spark):
+    """All that waits is translated in one step, so the archive is written once, whatever its length."""
+    archive = BucketTable(spark, scratch(spark), "uuid string, text string, revision string", "uuid", buckets=4)
+    archive.merge(spark.createDataFrame([(f"d{i}", "foreign" if i % 2 else "own", None) for i in range(600)], archive.schema))
+    work = followers.Translations(spark, scratch(spark), archive, F.col("text") == "foreign", lambda f: f.assign(text=f.text.str.upper()), "r1", ("text",))
+    work.request(archive.read().select("uuid", F.lit(1).alias("priority"), F.xxhash64("uuid").alias("seq")))
+    assert work.work() == 600 and work.work() == 0 and len(archive.versions()) == 2
+    got = {r.uuid: (r.text, r.revision) for r in archive.read().collect()}
+    assert got == {f"d{i}": ("FOREIGN", "r1") if i % 2 else ("own", None) for i in range(600)}
+
+
+def test_new_documents_leave_the_index_as_it_is(spark):
+    """Files of a bucket stay where no document of it comes again."""
+    table = followers.chunk_table(spark, scratch(spark), buckets=4)
+    sink = followers.index_sink(table, embed, scratch(spark), "index")
+    docs = lambda ids, text: spark.createDataFrame([(i, "t", None, text) for i in ids], DOCS)
+    sink(docs(range(40), "one"), 0)
+    before = table.files()
+    sink(docs(range(40, 80), "two"), 1)
+    after = table.files()
+    assert len(before) == 4 and all(set(before[b]) < set(after[b]) for b in before)
+    sink(docs([50], "three"), 2)
+    assert sum(table.files()[b] != after[b] for b in after) == 1
+    rows = {r.doc_id: r.chunk for r in table.read().collect()}
+    assert table.read().count() == 80 and rows == {i: "t\n\n" + ("one" if i < 40 else "three" if i == 50 else "two") for i in range(80)}

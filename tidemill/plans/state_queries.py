@@ -169,7 +169,7 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents)
 """)
 def stream_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests come in three micro-batches, the last ones twice; the backlog is worked off after the stream. Upper case stands
+    """Requests come in three micro-batches, the last ones twice; the backlog is worked off after the stream, as one job. Upper case stands
     in for a model."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uuid"), "text", "lang")
     archive = BucketTable(spark, scratch(spark), "uuid string, text string, lang string, revision string", "uuid", buckets=16)
@@ -179,8 +179,9 @@ def stream_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     came = came.unionByName(came.where("arrival = 2").withColumn("seq", F.col("seq") + 1).withColumn("arrival", F.lit(3)))
     work = followers.Translations(spark, scratch(spark), archive, (F.col("lang") == "en") & (F.col("text") != ""), lambda f: f.assign(text=f.text.map(_upper)), "r1", fields=("text",))
     ingest.drain(ingest.in_batches(came, "arrival"), work.sink("requests", 200))
-    while work.work(10_000):
-        pass
+    archive.vacuum()
+    work.work()
+    archive.vacuum()
     return archive.read().select("uuid", "text", "revision")
 
 

@@ -1,8 +1,8 @@
 """Keyed tables in buckets: inserts, updates and deletes that rewrite only the buckets they touch.
 
 A table is a folder. A row's bucket is a hash of its key, or what the caller names. A commit writes new files for the touched
-buckets below data/<version> and then one small file, versions/<version>.json, that says for each bucket in which version's
-files it is; buckets without a change keep their files and names. That file is created, never replaced: a reader sees all of
+buckets below data/<version> and then one small file, versions/<version>.json, that says for each bucket in which versions'
+files it is; buckets without a change keep their files and names, and those that only gain rows keep them beside the new ones. That file is created, never replaced: a reader sees all of
 a commit or none, and of two writers that started from one version the second gets an error and may begin again. A commit can
 carry the name and number of a stream's batch; a batch that was committed before changes nothing.
 
@@ -21,16 +21,22 @@ from pyspark.sql.types import StructType
 from .tables import checkpointed
 
 
+#: Keys of a commit up to which they are sent to all tasks, so that the rows they don't meet are not shuffled.
+FEW = 500_000
+#: Commits whose files a bucket keeps beside each other; then it is written as one.
+PARTS = 16
+
+
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
 
 @dataclass
 class Version:
-    """What a commit's file says: each bucket's data version, and each stream's last batch."""
+    """What a commit's file says: each bucket's data versions, and each stream's last batch."""
 
     number: int = 0
-    buckets: dict[int, int] = field(default_factory=dict)
+    buckets: dict[int, list[int]] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
 
 
@@ -90,7 +96,7 @@ class BucketTable:
 
     def _rows(self, version: Version, buckets: list[int] | None = None) -> DataFrame:
         wanted = sorted(version.buckets) if buckets is None else [b for b in buckets if b in version.buckets]
-        paths = [f"{self.path}/data/{version.buckets[b]}/bucket={b}" for b in wanted]
+        paths = [f"{self.path}/data/{v}/bucket={b}" for b in wanted for v in version.buckets[b]]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
@@ -100,32 +106,36 @@ class BucketTable:
     def files(self) -> dict[int, list[str]]:
         """Names of each bucket's files in the last version."""
         now, out = self.version(), {}
-        for bucket, version in now.buckets.items():
-            folder = f"data/{version}/bucket={bucket}"
-            out[bucket] = sorted(f"{folder}/{n}" for n in self._names(folder) if not n.startswith(("_", ".")))
+        for bucket, versions in now.buckets.items():
+            folders = [f"data/{v}/bucket={bucket}" for v in versions]
+            out[bucket] = sorted(f"{folder}/{n}" for folder in folders for n in self._names(folder) if not n.startswith(("_", ".")))
         return out
 
     # writing
 
-    def _write(self, rows: DataFrame, touched: list[int], base: Version, batch: tuple[str, int] | None) -> int:
-        """Commits rows (with column _bucket) in place of the touched buckets; gives the new version's number."""
+    def _write(self, rows: DataFrame, touched: list[int], base: Version, batch: tuple[str, int] | None, kept: DataFrame | None = None, added: bool = False) -> int:
+        """Commits rows (with column _bucket) in place of the touched buckets; gives the new version's number. kept: more rows
+        of the touched buckets, written by the tasks that read them. added: rows of other buckets join what these hold."""
         new = Version(base.number + 1, {b: v for b, v in base.buckets.items() if b not in touched}, dict(base.batches))
         if batch is not None:
             new.batches[batch[0]] = batch[1]
-        if touched:
+        if touched or added:
             # a try that failed before its commit may have left files in the folder
             folder, number = f"{self.path}/data", new.number
             while self._files.exists(self._path(f"{folder}/{number}")):
                 number += 1_000_000
             # rebalance: a large bucket is written by several tasks, small ones by one
             rows.withColumnRenamed("_bucket", "bucket").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{number}")
+            if kept is not None:
+                kept.withColumnRenamed("_bucket", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{folder}/{number}")
             found = {int(n.removeprefix("bucket=")) for n in self._names(f"data/{number}") if n.startswith("bucket=")}
-            new.buckets |= {b: number for b in found}
+            new.buckets |= {b: [*new.buckets.get(b, []), number] for b in found}
         self._commit(new)
         return new.number
 
-    def _buckets_of(self, rows: DataFrame) -> list[int]:
-        return sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # a row a bucket
+    def _buckets_of(self, rows: DataFrame) -> dict[int, int]:
+        """How many of the rows each bucket has."""
+        return dict(sorted(tuple(r) for r in rows.groupBy("_bucket").count().collect()))  # a row a bucket
 
     def _arranged(self, rows: DataFrame) -> DataFrame:
         """rows with the table's columns, null where they have none."""
@@ -144,9 +154,17 @@ class BucketTable:
             others = [c for c in rows.columns if c != self.key]
             best = rows.groupBy(self.key).agg(F.max_by(F.struct(*others), F.struct(order, *[c for c in others if c != order])).alias("_new"))
             rows = best.select(self.key, "_new.*")
-        rows = checkpointed(rows.withColumn("_gone", F.lit(False) if delete is None else F.coalesce(delete, F.lit(False))).withColumn("_bucket", self.bucket))
-        touched = self._buckets_of(rows)
+        rows = rows.withColumn("_gone", F.lit(False) if delete is None else F.coalesce(delete, F.lit(False))).withColumn("_bucket", self.bucket)
+        if not base.buckets:
+            return self._write(self._arranged(rows.where(~F.col("_gone"))), [], base, batch, added=insert)
+        rows = checkpointed(rows)
+        sizes = self._buckets_of(rows)
+        touched, kept = list(sizes), None
         old = self._rows(base, touched)
+        if sum(sizes.values()) <= FEW:
+            keys = F.broadcast(rows.select(self.key))  # FEW rows at most
+            kept = self._arranged(old.join(keys, self.key, "left_anti").withColumn("_bucket", self.bucket))
+            old = old.join(keys, self.key, "left_semi")
         update = [c for c in old.columns if c in rows.columns and c != self.key]
         both = old.withColumn("_old", F.lit(True)).join(rows.select(F.struct(*rows.columns).alias("_new"), F.col(self.key)), self.key, "full_outer" if insert else "left")
         hit = F.col("_new").isNotNull()
@@ -154,7 +172,7 @@ class BucketTable:
             hit &= F.coalesce(F.col(f"_new.{order}") >= F.col(order), F.lit(True))
         both = both.where(~(hit & F.coalesce(F.col("_new._gone"), F.lit(False))))
         merged = both.withColumns({c: F.when(hit, F.col(f"_new.{c}").cast(self.schema[c].dataType)).otherwise(F.col(c)) for c in update})
-        return self._write(self._arranged(merged.withColumn("_bucket", self.bucket)), touched, base, batch)
+        return self._write(self._arranged(merged.withColumn("_bucket", self.bucket)), touched, base, batch, kept)
 
     def update(self, where: Column, values: dict[str, Column], batch: tuple[str, int] | None = None) -> tuple[int, int]:
         """New values for the rows that match; a dotted name is a field of a struct. Gives how many match, and how many of
@@ -174,19 +192,29 @@ class BucketTable:
             self._write(self._arranged(set_where(self._rows(base, touched), where, values).withColumn("_bucket", self.bucket)), touched, base, batch)
         return sum(r.matched for r in counts), sum(r.modified for r in counts)
 
-    def replace(self, new: DataFrame, by: str, ids: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
+    def replace(self, new: DataFrame, by: str, ids: DataFrame | None = None, batch: tuple[str, int] | None = None, settled: bool = False) -> int:
         """All rows that share a value of `by` with new or ids go, rows of new come, in one commit. The table's buckets must be
-        a function of `by`."""
+        a function of `by`. Buckets where no row goes keep their files. settled: new is written already, and may be read more
+        than once as it is."""
         base = self.version()
         if self.committed(batch, base):
             return base.number
-        rows = checkpointed(self._arranged(new.withColumn("_bucket", self.bucket)))
+        rows = self._arranged(new.withColumn("_bucket", self.bucket))
+        rows = rows if settled else checkpointed(rows)
         gone = rows.select(by) if ids is None else rows.select(by).unionByName(ids.select(by))
         gone = checkpointed(gone.where(F.col(by).isNotNull()).distinct().withColumn("_bucket", self.bucket))
-        held = set(base.buckets)
-        touched = sorted(set(self._buckets_of(rows)) | {b for b in self._buckets_of(gone) if b in held})
-        old = self._rows(base, touched).join(gone.select(by), by, "left_anti")
-        return self._write(self._arranged(old.withColumn("_bucket", self.bucket)).unionByName(rows), touched, base, batch)
+        sizes = self._buckets_of(gone)
+        held = [b for b in sizes if b in base.buckets]
+        if not held:
+            return self._write(rows, [], base, batch, added=True)
+        few = sum(sizes.values()) <= FEW
+        keys = F.broadcast(gone.select(by)) if few else gone.select(by)  # FEW rows at most
+        met = self._rows(base, held).select(by).join(keys, by, "left_semi").select(self.bucket.alias("_bucket"))
+        touched = sorted({*self._buckets_of(met), *(b for b in held if len(base.buckets[b]) >= PARTS)})
+        old = self._arranged(self._rows(base, touched).join(keys, by, "left_anti").withColumn("_bucket", self.bucket))
+        if few:
+            return self._write(rows, touched, base, batch, old, added=True)
+        return self._write(old.unionByName(rows), touched, base, batch, added=True)
 
     def delete(self, ids: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """The rows of these keys go."""
@@ -196,7 +224,7 @@ class BucketTable:
         """Deletes all versions but the last `keep`, and the files that only those needed; gives the number of deleted
         folders. Must not run beside a writer."""
         known = self.versions()
-        used = {(v, b) for n in known[-keep:] for b, v in self.version(n).buckets.items()}
+        used = {(v, b) for n in known[-keep:] for b, versions in self.version(n).buckets.items() for v in versions}
         for n in known[:-keep]:
             self._files.delete(self._path(f"{self.path}/versions/{n}.json"), False)
         gone = 0

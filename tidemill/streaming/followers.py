@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import index
-from ..sources.buckets import BucketTable
+from ..sources.buckets import FEW, BucketTable
 from ..sources.tables import checkpointed
 from .ingest import Sink
 
@@ -47,13 +47,13 @@ def index_sink(table: BucketTable, embed: Callable[[list[str]], list[list[float]
     def keep(batch: DataFrame, number: int) -> None:
         if table.committed((name, number), table.version()):
             return
-        docs = checkpointed(batch)
-        found = checkpointed(embedded(index.pieces(docs, sizes), embed, size))
+        ids = checkpointed(batch.select("doc_id"))
+        found = checkpointed(embedded(index.pieces(batch, sizes), embed, size))
         bad = F.col("error").isNotNull()
         found.where(bad).write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
-        counts = found.agg(F.count_if(~bad).alias("chunks"), F.count_if(bad).alias("rejected")).withColumn("documents", F.lit(docs.count()))
+        counts = found.agg(F.count_if(~bad).alias("chunks"), F.count_if(bad).alias("rejected")).withColumn("documents", F.lit(ids.count()))
         counts.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
-        table.replace(found.where(~bad).drop("error"), by="doc_id", ids=docs, batch=(name, number))
+        table.replace(found.where(~bad).drop("error"), by="doc_id", ids=ids, batch=(name, number), settled=True)
 
     return keep
 
@@ -78,27 +78,34 @@ class Translations:
         first = rows.groupBy("uuid").agg(F.min(F.struct("priority", "seq")).alias("r")).select("uuid", "r.*")
         self.queue.merge(first.join(self.queue.read().select("uuid"), "uuid", "left_anti"), batch=batch)
 
-    def work(self, n: int, patched: Callable[[DataFrame], None] | None = None) -> int:
-        """Translates the next n records and gives how many were taken. Those that are not in the archive, have a revision or
+    def work(self, n: int | None = None, patched: Callable[[DataFrame], None] | None = None) -> int:
+        """Translates the next n records, or all that wait, and gives how many were taken. A step writes the archive anew
+        where its records lie, so a long backlog is better done in one. Records that are not in the archive, have a revision or
         need none are taken as they are. patched gets the records with their new texts, before they leave the queue: a step
         that failed is done again."""
-        taken = checkpointed(self.queue.read().orderBy("priority", "seq", "uuid").limit(n))
+        taken = self.queue.read()
+        taken = checkpointed(taken if n is None else taken.orderBy("priority", "seq", "uuid").limit(n))
         count = taken.count()
         if not count:
             return 0
-        due = self.archive.read().join(F.broadcast(taken.select("uuid")), "uuid").where(F.col("revision").isNull() & F.coalesce(self.needs, F.lit(False)))  # n rows
-        translate, fields = self.translate, self.fields
+        wanted = F.broadcast(taken.select("uuid")) if count <= FEW else taken.select("uuid")  # FEW rows at most
+        due = self.archive.read().where(F.col("revision").isNull() & F.coalesce(self.needs, F.lit(False))).join(wanted, "uuid")
+        translate, fields = self.translate, list(self.fields)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                yield translate(frame)[["uuid", *fields]]
-
-        new = due.select("uuid", *fields).mapInPandas(run, "uuid string, " + ", ".join(f"{f} string" for f in fields))
-        found = [F.nullif(F.col(f), F.lit("")) for f in fields]
-        new = checkpointed(new.select("uuid", *(x.alias(f"_{f}") for f, x in zip(fields, found))).where(F.coalesce(*(F.col(f"_{f}") for f in fields)).isNotNull()))
-        whole = due.join(new, "uuid").withColumns({f: F.coalesce(f"_{f}", f) for f in fields} | {"revision": F.lit(self.revision)}).drop(*(f"_{f}" for f in fields))
-        whole = checkpointed(whole)
-        self.archive.merge(whole.select("uuid", *fields, "revision"), insert=False)
+                for at in range(0, len(frame), 256):  # texts of a frame, their translations and both joined are in memory
+                    part = frame.iloc[at : at + 256]
+                    yield part.merge(translate(part)[["uuid", *fields]], on="uuid", suffixes=("", "_new"))
+
+        new = due.select("uuid", *fields).mapInPandas(run, "uuid string, " + ", ".join(f"{f} string" for f in [*fields, *(f"{f}_new" for f in fields)]))
+        found = {f: F.nullif(F.col(f"{f}_new"), F.lit("")) for f in fields}
+        new = new.where(F.coalesce(*found.values()).isNotNull()).select("uuid", *(F.coalesce(x, f).alias(f) for f, x in found.items()), F.lit(self.revision).alias("revision"))
+        whole = None
+        if patched is not None:
+            new = checkpointed(new)
+            whole = checkpointed(due.drop(*fields, "revision").join(new, "uuid").select(*due.columns))
+        self.archive.merge(new, insert=False)
         if patched is not None:
             patched(whole)
         self.queue.delete(taken)
