@@ -132,3 +132,12 @@ def test_pages():
     assert pages.text_of("<p>a<b>b</b></p><style>c</style>") == "a b"
     assert pages.convert("<h2>T</h2><p>a <a href='u'>l</a></p>", [], [], True) == "## T\n\na [l](u)"
     assert pages.links_of("<ul class='b a'><li><a href='/x'>X</a><a href='#'>n</a></ul>", "http://h/") == [("http://h/x", "X", "li")]
+
+
+def test_texts_go_to_workers_a_few_at_a_time(spark):
+    """Whole texts are not evaluated in Arrow batches of thousands, nor sent back by a judge."""
+    from tidemill.plans import catalog
+
+    for name in ("text_chunks", "unicode_sanitize", "judge_evaluation"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan and "InPandas" not in plan, name
