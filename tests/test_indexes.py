@@ -226,3 +226,27 @@ def test_hdbscan_in_pieces(spark, monkeypatch, size, samples, selection):
     whole = cluster._hdbscan(pd.DataFrame({"vec_id": ids, "embedding": list(matrix)}), size, samples, selection)
     assert got == {int(i): None if pd.isna(c) else int(c) for i, c in zip(whole.vec_id, whole.cluster_id)}
     assert len(set(got.values())) > 4
+
+
+def test_wide_eps_ships_vectors_once_a_piece(spark, monkeypatch):
+    """Where eps reaches over all cells, a vector goes to as many cells as the pieces' size asks for, not to one for each pivot."""
+    shipped = []
+    real = ann.meet_in_pieces
+    monkeypatch.setattr(ann, "meet_in_pieces", lambda rows, asked, *a, **k: (shipped.append(asked.count()), real(rows, asked, *a, **k))[1])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(4).normal(size=(400, 8)))], "vec_id long, embedding array<double>")
+    found = {tuple(r) for r in vector_operators.pairs_within(df, 0.6, block=20).collect()}
+    v = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert shipped == [400] and found == {(int(a), int(b)) for a, b in zip(*np.nonzero(1 - v @ v.T <= 0.6)) if a < b}
+
+
+def test_tuned_changes_search_the_sample_once(spark, monkeypatch):
+    """The recall of a number of changes is that of a search with it, without searching."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    planes = ann.Hyperplanes(8, tables=3, bits=5)
+    buckets, true = planes.buckets(df).persist(), ann.exact(df, asked, 10, 8, "cosine").persist()
+    want = ann.least_that_reaches(0.8, 15, lambda k: ann.recall(planes.search(buckets, asked, 10, k), true))
+    monkeypatch.setattr(ann.Hyperplanes, "search", None)
+    assert planes.tuned(buckets, df, asked, 10, 0.8) == pytest.approx(want)

@@ -142,15 +142,22 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
 def pairs_within(vectors: DataFrame, eps: float, block: int = 1024) -> DataFrame:
     """Pairs (a, b), a < b, at cosine distance of at most eps, exactly. Pivots, one for `block` vectors but PIVOTS at most, cut
     the vectors into cells; a vector is shipped to the cells only that may hold a neighbour of it, and cells of many vectors,
-    copies among them, are pieces of bounded size."""
+    copies among them, are pieces of bounded size. Where that ships vectors more often than all pairs of pieces would, cells are
+    as large as a piece."""
     from . import ann
 
     rows = checkpointed(unit_rows(vectors))
     first = rows.first()
     if first is None:
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    sample = rows.orderBy(F.xxhash64("id")).limit(min(PIVOTS, 1 + rows.count() // block)).select("v").collect()  # PIVOTS rows at most
-    home, asked = _cells(rows, np.array([r.v for r in sample]), eps)
+    total = rows.count()
+    sample = rows.orderBy(F.xxhash64("id")).limit(min(PIVOTS, 1 + total // block)).select("v").collect()  # PIVOTS rows at most
+    pivots = np.array([r.v for r in sample])
+    home, asked = _cells(rows, pivots, eps)
+    coarse = 1 + total // ann.PIECE
+    if coarse < len(pivots) and asked.count() > total * (1 + coarse / 2):
+        # eps reaches over most cells: as few as the pieces' size allows ship the vectors less often
+        home, asked = _cells(rows, pivots[:coarse], eps)
 
     def compare(ids, v, _, visitors, w, own) -> tuple[np.ndarray, np.ndarray]:
         found = [], []
