@@ -178,8 +178,13 @@ def stream_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     came = asked.withColumn("arrival", F.pmod(F.col("seq"), F.lit(3)).cast("int"))
     came = came.unionByName(came.where("arrival = 2").withColumn("seq", F.col("seq") + 1).withColumn("arrival", F.lit(3)))
     work = followers.Translations(spark, scratch(spark), archive, (F.col("lang") == "en") & (F.col("text") != ""), lambda f: f.assign(text=f.text.map(_upper)), "r1", fields=("text",))
-    ingest.drain(ingest.in_batches(came, "arrival"), work.sink("requests", 200))
-    archive.vacuum()
+    step = work.sink("requests", 200)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        step(batch, number)
+        archive.vacuum()  # nothing else reads it
+
+    ingest.drain(ingest.in_batches(came, "arrival"), keep)
     work.work()
     archive.vacuum()
     return archive.read().select("uuid", "text", "revision")
