@@ -234,7 +234,8 @@ def latest(options):
     return int(options["items"])
 
 def tasks(start, end, options):
-    return [(i, min(i + 500, end)) for i in range(start, end, 500)]
+    size = max(500, -(-(end - start) // 64))
+    return [(i, min(i + size, end)) for i in range(start, end, size)]
 
 def fetch(task, options):
     for i in range(*task):
