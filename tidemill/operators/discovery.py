@@ -13,6 +13,8 @@ GOOD_NAMES = ("article", "post", "item", "entry", "headline", "title", "feed", "
 GOOD_TAGS = ("h2", "h3")
 BAD_NAMES = ("nav", "menu", "header", "foot", "copyright", "sidebar", "aside", "widget", "ad", "meta", "tag", "category")
 BAD_TEXTS = ("关于我们", "联系我们", "首页", "隐私政策", "home", "about", "contact", "privacy")
+#: Addresses of a sitemap level that are sent to all tasks.
+LEVEL = 100_000
 
 
 def link_groups(df: DataFrame, key: str, html: str, url: str) -> DataFrame:
@@ -49,12 +51,15 @@ def sitemap_walk(edges: DataFrame, start: list[str], most: int = 5000) -> DataFr
 
     spark = edges.sparkSession
     found = frontier = spark.createDataFrame([(s, 0) for s in start], "url string, depth int")
-    depth = 0
+    depth, size = 0, len(start)
     while True:
         depth += 1
-        ahead = frontier.join(edges, frontier.url == edges.parent).select(F.col("child").alias("url")).distinct()
+        # of both tables only the level is ever sent to all tasks
+        level = F.broadcast(frontier) if size <= LEVEL else frontier.hint("shuffle_hash")
+        ahead = level.join(edges, frontier.url == edges.parent).select(F.col("child").alias("url")).distinct()
         frontier = checkpointed(ahead.join(found, "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             return found
         found = checkpointed(found.unionByName(frontier))
         if found.count() >= most:
