@@ -102,6 +102,38 @@ def test_articles_keep_phrases_and_near_copies_keep_one_text(spark):
     assert any(all(p in texts[i].split("\n") for p in whole) for i, whole in ((3, copy), (4, other)))
 
 
+def test_runs_that_most_articles_of_a_host_repeat(spark):
+    """A line that most distinct articles repeat goes; copied articles, quotes and lines with tokens of their own stay."""
+    line, quote = "read more of our best stories in the evening letter", "a quoted sentence of eight words or a few more"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    article = lambda *parts: "<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"
+    rows = [(i, f"http://a/{i}", article(own(i), line, *([quote] if i % 3 == 0 else [])) if i < 14 else article(own(i))) for i in range(20)]
+    rows += [(20 + i, f"http://a/c{i}", article(own(0), line, quote)) for i in range(60)]  # copies count once
+    rows += [(100 + i, f"http://b/{i}", article(own(i), line)) for i in range(3)]  # too few to tell
+    rows += [(200 + i, f"http://c/{i}", article(own(7), own(8), f"only {i}")) for i in range(8)]  # near copies
+    texts = {r.page_id: r.text for r in html_extract.main_text(pages(spark, rows)).collect()}
+    for i in range(20):
+        assert texts[i] == "\n".join([own(i), *([quote] if i % 3 == 0 and i < 14 else [])])
+    assert all(texts[20 + i] == texts[0] for i in range(60)) and all(texts[100 + i] == f"{own(i)}\n{line}" for i in range(3))
+    assert all(texts[200 + i] == f"{own(7)}\n{own(8)}\nonly {i}" for i in range(8))
+
+
+def test_hosts_of_several_parts(spark, monkeypatch):
+    """Runs of pages without a marked article are those of the whole host, whatever its parts."""
+    rng = random.Random(1)
+    shared = [" ".join(f"s{k}w{j}" for j in range(9)) for k in range(12)]
+    rows = []
+    for i in range(120):
+        parts = [f"<p>{' '.join(f'p{i}w{j}' for j in range(12))}</p>", *(f"<div>{rng.choice(shared)}</div>" for _ in range(2))]
+        body = "".join(parts) if i % 5 else f"<div>{rng.choice(shared)}</div><article><p>text of {i}</p></article>"
+        rows.append((i, f"http://{'ab'[i % 2]}/{i}", body))
+    rows += [(200, "http://a/0", rows[2][2]), (201, None, rows[3][2]), (202, "http://a/1", "")]
+    whole = {r.page_id: r.text for r in html_extract.main_text(pages(spark, rows)).collect()}
+    monkeypatch.setattr(html_extract, "PART_BYTES", 3000)
+    assert {r.page_id: r.text for r in html_extract.main_text(pages(spark, rows)).collect()} == whole
+    assert whole[1] == " ".join(f"p1w{j}" for j in range(12)) and whole[5] == "text of 5"
+
+
 def test_shared_tokens_equal_brute_force():
     rng = random.Random(0)
     for _ in range(300):
