@@ -228,6 +228,20 @@ def test_hdbscan_in_pieces(spark, monkeypatch, size, samples, selection):
     assert len(set(got.values())) > 4
 
 
+def test_hdbscan_asks_for_few_points_again(spark, monkeypatch):
+    """All points meet once; after that only those whose listed neighbours don't settle their part's edge."""
+    import pandas as pd
+
+    shipped, real = [], ann.meet_in_pieces
+    monkeypatch.setattr(ann, "PIECE", 100)
+    monkeypatch.setattr(ann, "meet_in_pieces", lambda rows, asked, *a, **k: (shipped.append(asked.count()), real(rows, asked, *a, **k))[1])
+    matrix, ids = np.random.default_rng(5).normal(size=(400, 12)), np.arange(400) + 7
+    got = {r.vec_id: r.cluster_id for r in cluster.hdbscan(vectors(spark, matrix, ids), 2, 1, "leaf").collect()}
+    whole = cluster._hdbscan(pd.DataFrame({"vec_id": ids, "embedding": list(matrix)}), 2, 1, "leaf")
+    assert got == {int(i): None if pd.isna(c) else int(c) for i, c in zip(whole.vec_id, whole.cluster_id)}
+    assert shipped[0] == 400 and sum(shipped[1:]) < 200
+
+
 def test_wide_eps_ships_vectors_once_a_piece(spark, monkeypatch):
     """Where eps reaches over all cells, a vector goes to as many cells as the pieces' size asks for, not to one for each pivot."""
     shipped = []

@@ -64,10 +64,11 @@ def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.
     return tuple(np.concatenate(x) for x in found)
 
 
-def meet_in_pieces(rows: DataFrame, asked: DataFrame, size: int, compare: Callable[..., tuple], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def meet_in_pieces(rows: DataFrame, asked: DataFrame, size: int, compare: Callable[..., tuple], schema: str, extra: tuple[str, ...] = (), piece: int = 0) -> DataFrame:
     """compare's rows, of `schema`, for each list. rows and asked: list, id, v, and the columns of extra as doubles. Each piece
-    of a list's rows meets all that ask the list, in batches: compare(ids, v, extras, ids asking, v asking, extras asking)."""
-    counts = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")))  # a row a list
+    of a list's rows, of at most PIECE or `piece` rows, meets all that ask the list, in batches: compare(ids, v, extras, ids
+    asking, v asking, extras asking)."""
+    counts = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / min(PIECE, piece or PIECE)).cast("int").alias("pieces")))  # a row a list
     more = [F.col(c).cast("double").alias(c) for c in extra]
     dealt = rows.join(counts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("pieces").cast("long")).cast("int").alias("piece"), F.lit(0).alias("kind"), "id", "v", *more)
     spread = asked.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("kind"), "id", "v", *more)
