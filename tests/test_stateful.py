@@ -105,3 +105,31 @@ def test_crawl_sessions(spark, batches):
     expected = plain_sessions(log, timedelta(hours=1), max(r[-1] for r in log) - timedelta(minutes=70))
     assert got == expected
     assert {"TIMEOUT", "SUCCESS", "TEMP_FAIL"} <= {r[2] for r in got} and max(r[-1] for r in got) > 1
+
+
+def test_crawl_sessions_of_many_addresses_in_few_buckets(spark):
+    """Addresses of one bucket keep their own runs and counts of retries."""
+    import datetime as dt
+
+    begin = dt.datetime(2024, 5, 1)
+    at = lambda minutes: begin + dt.timedelta(minutes=minutes)
+    rows = []
+    for u in range(60):
+        for step in range(3):
+            run, batch = u * 10 + step, 0 if step < 2 else 1
+            rows.append((f"u{u}", run, "start", None, at(100 * step + u % 7), batch))
+            if (u + step) % 4:
+                rows.append((f"u{u}", run, "finish", "TEMP_FAIL" if u % 3 else "SUCCESS", at(100 * step + 20 + u % 7), batch))
+    rows += [("last", 9999, "start", None, at(5000), 2), ("last", 9998, "start", None, at(5001), 3)]
+    df = spark.createDataFrame(rows, "url string, run long, kind string, status string, ts timestamp, arrival int")
+    out = ingest.drain(stateful.crawl_sessions(ingest.in_batches(df, "arrival"), 3_600_000, "10 minutes", buckets=2))
+    expected = set()
+    for u in range(60):
+        retries = 0
+        for step in range(3):
+            ended = (u + step) % 4 > 0
+            status = ("TEMP_FAIL" if u % 3 else "SUCCESS") if ended else "TIMEOUT"
+            retries = 0 if status == "SUCCESS" else retries + 1
+            start = 100 * step + u % 7
+            expected.add((f"u{u}", u * 10 + step, status, at(start), at(start + (20 if ended else 60)), retries))
+    assert {tuple(r) for r in out.collect()} == expected

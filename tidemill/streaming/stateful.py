@@ -1,16 +1,18 @@
 """Streams whose state is more than an aggregate: online clusters and crawl sessions, as stateful processors.
 
-Their state is a map with an entry for each cluster or event, of which a batch reads and writes what it needs; it lives in
-the RocksDB store (rocksdb_state)."""
+Online clusters keep a map with an entry for each cluster, of which a batch reads and writes what it needs; crawl sessions one
+value for a bucket of addresses. Both live in the RocksDB store (rocksdb_state)."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -84,60 +86,65 @@ RETRIED = ("TEMP_FAIL", "TIMEOUT")
 
 
 class CrawlSessions(StatefulProcessor):
-    """Runs of an address from their log. Events wait until the watermark has passed them and are then taken by their time, so
+    """Runs of addresses from their log. Events wait until the watermark has passed them and are then taken by their time, so
     late and unordered arrival changes nothing, nor does an event that arrives twice. A run that has no finish within `limit`
-    of its start ends as TIMEOUT then; a finish without a running start counts for nothing. State: waiting events and running
-    runs, one entry each, and the count of retries."""
+    of its start ends as TIMEOUT then; a finish without a running start counts for nothing. A key is a bucket of addresses, as
+    each call costs far more than an event. State: one value a bucket, of the waiting events, the running runs and the counts
+    of retries of its addresses."""
 
     def __init__(self, limit_ms: int):
         self.limit_us = limit_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "run long, kind string", "ts long, status string")
-        self.running = handle.getMapState("running", "run long", "ts long")
-        self.retries = handle.getValueState("retries", "n long")
+        self.sessions = handle.getValueState("sessions", "held binary")
+
+    def _held(self) -> tuple[dict, dict, dict]:
+        """(url, run, kind) -> (ts, status) of waiting events; url -> run -> start of running runs; url -> retries, if any."""
+        return pickle.loads(self.sessions.get()[0]) if self.sessions.exists() else ({}, {}, {})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        (waiting, running, retries), first = self._held(), None
         for frame in rows:
-            for run, kind, status, ts in zip(frame.run.tolist(), frame.kind, frame.status, frame.ts):
-                at = pd.Timestamp(ts).value // 1000
-                self.waiting.updateValue((run, kind), (at, status))
-                first = at if first is None else min(first, at)
+            times = frame.ts.to_numpy("datetime64[us]").astype(np.int64)
+            waiting.update(zip(zip(frame.url.tolist(), frame.run.tolist(), frame.kind.tolist()), zip(times.tolist(), frame.status.tolist())))
+            if len(times):
+                first = int(times.min()) if first is None else min(first, int(times.min()))
+        self.sessions.update((pickle.dumps((waiting, running, retries)),))
         self._wake(first)
         yield pd.DataFrame([], columns=["url", "run", "status", "started", "ended", "retries"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # all that the watermark has passed at once; one timer for the earliest of what is left
         now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        waiting, running, retries = self._held()
+        due: dict = {}
         # of equal times starts come first, then finishes, then ends by the limit
-        waiting = [(v[0], ("start", "finish").index(k[1]), k[0], v[1]) for k, v in self._entries(self.waiting)]
-        steps = [w for w in waiting if w[0] <= now]
-        for _, kind, run, _ in steps:
-            self.waiting.removeKey((run, ("start", "finish")[kind]))
-        running = {k[0]: v[0] for k, v in self._entries(self.running)}
-        before = set(running)
-        retries = self.retries.get()[0] if self.retries.exists() else 0
-        steps += [(began + self.limit_us, 2, run, "TIMEOUT") for run, began in running.items() if began + self.limit_us <= now]
-        steps.sort()
-        at = 0
-        while at < len(steps):
-            ts, kind, run, status = steps[at]
-            at += 1
-            if kind == 0:
-                running[run] = ts
-                if ts + self.limit_us <= now:
-                    steps = steps[:at] + sorted([*steps[at:], (ts + self.limit_us, 2, run, "TIMEOUT")])
-            elif run in running and (kind == 1 or running[run] + self.limit_us == ts):
-                retries = retries + 1 if status in RETRIED else 0
-                out.append((key[0], run, status, running.pop(run), ts, retries))
-        for run in before - set(running):
-            self.running.removeKey((run,))
-        for run in set(running) - before:
-            self.running.updateValue((run,), (running[run],))
-        self.retries.update((retries,))
-        self._wake(min([w[0] for w in waiting if w[0] > now] + [t + self.limit_us for t in running.values()], default=None))
+        for (url, run, kind), (ts, status) in waiting.items():
+            if ts <= now:
+                due.setdefault(url, []).append((ts, ("start", "finish").index(kind), run, status))
+        waiting = {k: v for k, v in waiting.items() if v[0] > now}
+        for url, runs in running.items():
+            ends = [(began + self.limit_us, 2, run, "TIMEOUT") for run, began in runs.items() if began + self.limit_us <= now]
+            if ends:
+                due.setdefault(url, []).extend(ends)
+        for url, steps in due.items():
+            runs, again = running.pop(url, {}), retries.pop(url, 0)
+            # a run starts once, so its end by the limit is known beforehand; it counts if the run is still running then
+            steps += [(ts + self.limit_us, 2, run, "TIMEOUT") for ts, kind, run, _ in steps if kind == 0 and ts + self.limit_us <= now]
+            for ts, kind, run, status in sorted(steps, key=lambda x: x[:3]):
+                if kind == 0:
+                    runs[run] = ts
+                elif run in runs and (kind == 1 or runs[run] + self.limit_us == ts):
+                    again = again + 1 if status in RETRIED else 0
+                    out.append((url, run, status, runs.pop(run), ts, again))
+            if runs:
+                running[url] = runs
+            if again:
+                retries[url] = again
+        self.sessions.update((pickle.dumps((waiting, running, retries)),))
+        left = [ts for ts, _ in waiting.values()] + [t + self.limit_us for runs in running.values() for t in runs.values()]
+        self._wake(min(left, default=None))
         frame = pd.DataFrame(out, columns=["url", "run", "status", "started", "ended", "retries"])
         for c in ("started", "ended"):
             frame[c] = pd.to_datetime(frame[c], unit="us", utc=True).dt.tz_localize(None)
@@ -147,18 +154,16 @@ class CrawlSessions(StatefulProcessor):
         if at_us is not None:
             self.handle.registerTimer(-(-at_us // 1000))
 
-    @staticmethod
-    def _entries(state) -> list:
-        return list(state.iterator()) if state.exists() else []
-
     def close(self) -> None:
         pass
 
 
-def crawl_sessions(log: DataFrame, limit_ms: int, late: str) -> DataFrame:
+def crawl_sessions(log: DataFrame, limit_ms: int, late: str, buckets: int = 256) -> DataFrame:
     """(url, run, status, started, ended, retries) of each run as it ends. log: url, run, kind (start or finish), status (of a
-    finish), ts; events may come `late` by as much. Run it inside rocksdb_state()."""
+    finish), ts; events may come `late` by as much. Addresses are dealt to `buckets`, whose waiting events a task holds one
+    bucket at a time. Run it inside rocksdb_state()."""
     kind = dict(log.dtypes)["url"]
     rows = log.select("url", "run", "kind", "status", "ts").withWatermark("ts", late)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)))
     schema = f"url {kind}, run long, status string, started timestamp, ended timestamp, retries long"
-    return rows.groupBy("url").transformWithStateInPandas(CrawlSessions(limit_ms), schema, "Append", "EventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(CrawlSessions(limit_ms), schema, "Append", "EventTime")
