@@ -115,6 +115,14 @@ def test_lm_beats_its_base_on_held_out_text(spark):
     assert out[0] > 0.9 * out[1]
 
 
+def test_lm_ngrams_of_frequent_words_are_scored_as_others(spark, monkeypatch):
+    rows = [(i, " ".join(random.Random(i).choices(["the", "of", "a", "b", "c", f"x{i % 7}"], [9, 9, 2, 1, 1, 1], k=40))) for i in range(60)]
+    scored = lambda least: {r.doc_id: round(r.score, 6) for r in lm_scoring.scores(documents(spark, rows), least=least, chunk_bytes=700).collect()}
+    plain = {least: scored(least) for least in (1, 2)}
+    monkeypatch.setattr(lm_scoring, "BUCKET", 50)  # words and pairs of more than 100 occurrences are dealt to several buckets
+    assert {least: scored(least) for least in plain} == plain
+
+
 def test_lm_edge_tables(spark):
     assert lm_scoring.scores(documents(spark, [])).count() == 0
     held = next(i for i in range(100) if fold(i, 5) == 1)

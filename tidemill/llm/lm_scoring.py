@@ -6,13 +6,13 @@ training, so the automaton grows with the text, and a count has the same meaning
 arc has an absolute-discounting probability, a failure arc the weight that makes the state's probabilities sum to one.
 `Automaton` is this in its plain form.
 
-No machine holds the automaton. Documents go in chunks of about CHUNK bytes, and each level is one exchange that brings a
-chunk what it needs: the counts of its distinct words, then the arcs and weights of its pairs, then those of its triples
-whose pairs are both kept. A chunk asks with its own n-grams and their counts in it, packed by a hash of the word or the
-context; where all that name one meet, counts are summed and each chunk is answered in the order of its question. A context
-of many occurrences is split by its words. Each exchange's answers are stored and its questions deleted before the next one
-begins. A token then takes the arc of the longest context that has it, after the failure
-weights of the longer ones.
+No machine holds the automaton. Documents go in chunks of about CHUNK bytes. One exchange brings a chunk the counts of its
+distinct words. A second one sends each distinct (word before, context word, word) of a chunk to its context word's bucket:
+all pairs and triples with that word in their middle meet there, so the bucket has the arcs and weights of both levels, and
+answers each with the log10 probability of its last word. A context word of many occurrences doesn't meet in one place: its
+pairs are counted by an exchange of their own before, dealt by their last words, and its triples meet by pair, a pair of
+many occurrences again dealt by its last words. Each exchange's answers are stored and its questions deleted before the next
+one begins. A token takes the arc of the longest context that has it, after the failure weights of the longer ones.
 
 Defined results: null text is empty: one token, the end; a null doc_id is in fold 0; repeated rows repeat their result and
 count as often as they stand in training; without training rows every token scores 0; an empty table gives an empty
@@ -33,14 +33,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lean, stored, whole_text
+from .common import clear_stored, fold, lean, stored, stored_so_far, whole_text
 
 #: Fewest training occurrences of a pair or triple that has an arc (a parameter).
 LEAST = 2
 #: Text bytes of a chunk.
 CHUNK = 5 << 20
-#: Tokens for each bucket of words or contexts; new entries between two sums of a bucket.
-BUCKET, MERGED = 1 << 21, 1 << 21
+#: Tokens for each bucket of words or contexts; new entries between two sums of a bucket. A context of more than HOT times
+#: BUCKET occurrences is dealt to several buckets.
+BUCKET, MERGED, HOT = 1 << 20, 1 << 21, 2
 #: Word ids have fewer bits; 0 is a word that can't be in an arc, START what stands before a text.
 BITS, START = 31, 1
 END = b""
@@ -58,6 +59,30 @@ def _unwrap(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of integers from 0 on, each by as many planes of bytes as its largest needs."""
+    head, planes = [], []
+    for x in columns:
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        kind = next(k for k in (1, 2, 4, 8) if k >= width)
+        head += [len(x), width]
+        planes.append(x.astype(f"<u{kind}").view(np.uint8).reshape(-1, kind)[:, :width].T.tobytes())
+    flat = np.array([len(columns), *head], "<i8").tobytes() + b"".join(planes)
+    return zstandard.ZstdCompressor(level=3).compress(flat)
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    flat = zstandard.ZstdDecompressor().decompress(blob)
+    number = int(np.frombuffer(flat, "<i8", 1)[0])
+    out, at = [], 8 + 16 * number
+    for n, width in np.frombuffer(flat, "<i8", 2 * number, 8).reshape(-1, 2).tolist():
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(flat, np.uint8, n * width, at).reshape(width, n).T
+        out.append(x.view("<i8").ravel())
+        at += n * width
+    return out
+
+
 def _words(blob: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
 
@@ -137,7 +162,7 @@ def _word_questions(buckets: int):
     return run
 
 
-KNOWN = {"chunk": pa.int64(), "bucket": pa.int64(), "blob": pa.binary(), "kinds": pa.int64(), "once": pa.int64(), "twice": pa.int64(), "ends": pa.int64(), "top": pa.int64(), "train": pa.int64()}
+KNOWN = {"chunk": pa.int64(), "bucket": pa.int64(), "blob": pa.binary(), "kinds": pa.int64(), "once": pa.int64(), "twice": pa.int64(), "ends": pa.int64(), "top": pa.int64(), "train": pa.int64(), "most": pa.int64()}
 
 
 def _word_answers(least: int, buckets: int):
@@ -152,14 +177,14 @@ def _word_answers(least: int, buckets: int):
                 if n:
                     total[w] = get(w, 0) + n
         counts = np.fromiter(total.values(), np.int64, len(total))
-        # in the order in which chunks name their words, so that differences are small
-        ids = dict(zip(sorted((w for w, n in total.items() if n >= least), key=lambda w: (zlib.crc32(w), w)), count(1)))
+        # frequent words first: they fill questions, and small numbers pack well
+        ids = dict(zip(sorted((w for w, n in total.items() if n >= least), key=lambda w: (-total[w], zlib.crc32(w), w)), count(1)))
         for chunk, blob, _ in asked:
             words = _words(blob)
             own = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
             named = np.fromiter((ids.get(w, 0) for w in words), np.int64, len(words))
-            yield _batch([(chunk, bucket, _wrap(own, _steps(named)), 0, 0, 0, 0, 0, 0)], KNOWN)
-        sums = (len(total), int((counts == 1).sum()), int((counts == 2).sum()), get(END, 0), _spread(len(ids) + 1, bucket, buckets), int(counts.sum()))
+            yield _batch([(chunk, bucket, _packed(own, named), 0, 0, 0, 0, 0, 0, 0)], KNOWN)
+        sums = (len(total), int((counts == 1).sum()), int((counts == 2).sum()), get(END, 0), _spread(len(ids) + 1, bucket, buckets), int(counts.sum()), int(counts.max(initial=0)))
         yield _batch([(None, bucket, None, *sums)], KNOWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,23 +207,6 @@ def _spread(number, bucket, buckets: int):
     return START + 1 + (number - 1) * buckets + bucket
 
 
-def _steps(numbers: np.ndarray) -> np.ndarray:
-    """Each number above 0 as its difference, less one, from the last such number, plus one where that is not below 0; small
-    for numbers that mostly ascend."""
-    at = np.flatnonzero(numbers)
-    out = np.zeros(len(numbers), np.int64)
-    step = np.diff(numbers[at], prepend=0)
-    out[at] = np.where(step > 0, step, step - 1)
-    return out
-
-
-def _numbers(steps: np.ndarray) -> np.ndarray:
-    at = np.flatnonzero(steps)
-    out = np.zeros(len(steps), np.int64)
-    out[at] = np.cumsum(np.where(steps[at] > 0, steps[at], steps[at] + 1))
-    return out
-
-
 def _documents_of(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_next_batch()
 
@@ -209,7 +217,7 @@ def _dealt(context: np.ndarray, sub: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Asked:
-    """The distinct (context, word) of a chunk's places, ordered by bucket, context and word; word 0 asks for the context only.
+    """The distinct (context, word) of a chunk's places, ordered by bucket, context and word; word 0 has no arc.
     A context of more than `hot` occurrences is dealt to several buckets by its words; its sums are asked of all of them."""
 
     def __init__(self, at: np.ndarray, contexts: np.ndarray, total: np.ndarray, word: np.ndarray, train: np.ndarray, lower: np.ndarray, buckets: int, hot: int, by_word: bool):
@@ -228,7 +236,7 @@ class Asked:
         entry = np.empty(len(key), np.int64)
         entry[order] = np.cumsum(new) - 1
         owner, word = self.at[order[first]], word[order[first]]
-        n = (np.add.reduceat(train[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)) * (word > 0)
+        n = np.add.reduceat(train[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         low = lower[order[first]]
         sub = (word * 0x9E3779B1 >> 16 & 0x7FFFFFFF) % parts[owner]
         split = np.flatnonzero(parts > 1)
@@ -259,30 +267,139 @@ class Asked:
             yield int(self.bucket[a]), _wrap([len(first), b - a], np.diff(ids, prepend=0), sizes, self.n[a:b], word, np.diff(names, prepend=0), low)
 
     def answered(self, answers: list) -> np.ndarray:
-        """For each place: the arc's count or 0, then the kept arcs' count, number and lower sum of its context."""
+        """For each place: the arc's count or 0, then the kept arcs' count, number and lower sum of its context, and all its
+        occurrences."""
         if not len(self.bucket):
-            self.counts = np.zeros(0, np.int64)
-            return np.zeros((4, 0), np.int64)
+            return np.zeros((5, 0), np.int64)
         counts, sums = [], []
         for blob in (x["blob"] for x in sorted(answers, key=lambda x: x["bucket"])):
             x = _unwrap(blob)
-            counts.append(x[1 + 3 * x[0] :].reshape(2, -1)[0])
-            sums.append(x[1 : 1 + 3 * x[0]].reshape(3, -1))
-        self.counts = np.concatenate(counts)
-        found = np.zeros((3, len(self.contexts)), np.int64)
+            counts.append(x[1 + 4 * x[0] :])
+            sums.append(x[1 : 1 + 4 * x[0]].reshape(4, -1))
+        found = np.zeros((4, len(self.contexts)), np.int64)
         parts, owner = np.concatenate(sums, axis=1), self.owner[self.leads]
-        for i in range(3):
+        for i in range(4):
             np.add.at(found[i], owner, parts[i])
-        return np.concatenate([self.counts[None, self.entry], found[:, self.at]])
+        return np.concatenate([np.concatenate(counts)[None, self.entry], found[:, self.at]])
+
+
+class Middles:
+    """The distinct (context word, word before, word) of a chunk's places, ordered by the context word's bucket and by these.
+    Words and their counts are named once for a bucket; the first name, with id 0, is for what is in no arc."""
+
+    def __init__(self, words: np.ndarray, middle: np.ndarray, before: np.ndarray, word: np.ndarray, train: np.ndarray, buckets: int):
+        """words: counts and ids; for each place the numbers of its words in that, and whether it counts."""
+        order = np.argsort(words[1], kind="stable")
+        self.counts, self.ids = words[:, order]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        size, none = len(order), np.int64(0)
+        if not size or self.ids[0]:
+            raise ValueError("the first word must have no id")
+        number[words[1] == 0] = none
+        bucket = _dealt(self.ids, np.zeros(size, np.int64), buckets)
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank = np.empty(size, np.int64)
+        rank[by_bucket] = np.arange(size)
+        middle, before, word = number[middle], number[before], number[word]
+        key = rank[middle] * size + before
+        if size >= 1 << 21:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * size + word
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        self.entry = np.empty(len(key), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.n = np.add.reduceat(train[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        first = order[first]
+        self.middle, self.before, self.word = middle[first], before[first], word[first]
+        self.bucket = bucket[self.middle]
 
-    def ids(self, answers: list, buckets: int) -> np.ndarray:
-        """Ids of the kept arcs, in the order of the question; 0 for others."""
-        parts = [np.zeros(0, np.int64)]
-        for answer in sorted(answers, key=lambda x: x["bucket"]):
-            x = _unwrap(answer["blob"])
-            number = _numbers(x[1 + 3 * x[0] :].reshape(2, -1)[1])
-            parts.append(np.where(number > 0, _spread(number, answer["bucket"], buckets), 0))
-        return np.concatenate(parts)
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        place = np.zeros(len(self.ids), np.int64)
+        for a, b in _slices(self.bucket):
+            seen = np.zeros(len(self.ids), bool)
+            seen[0] = seen[self.before[a:b]] = seen[self.word[a:b]] = True
+            names = np.flatnonzero(seen)
+            place[names] = np.arange(len(names))
+            first = np.flatnonzero(np.diff(self.middle[a:b], prepend=-1))
+            middles, sizes = self.ids[self.middle[a:b][first]], np.diff(np.append(first, b - a))
+            columns = (place[self.before[a:b]], place[self.word[a:b]], self.n[a:b], np.diff(self.ids[names], prepend=0), self.counts[names])
+            yield int(self.bucket[a]), _packed(np.diff(middles, prepend=0), sizes, *columns)
+
+    def answered(self, answers: list) -> np.ndarray:
+        """For each place the log10 probability of its word, without the unigram level's part of a word in no arc."""
+        values = [np.zeros(0)]
+        for blob in (x["blob"] for x in sorted(answers, key=lambda x: x["bucket"])):
+            code, value = _unpacked(blob)
+            values.append(value.view(np.float64)[code])
+        return np.concatenate(values)[self.entry]
+
+
+def _around(asked: list[tuple[int, bytes]], least: int, level: Unigrams) -> Iterator[tuple[int, bytes]]:
+    """All questions (chunk, blob) of Middles for one bucket, answered: for each entry its log10 probability."""
+    questions = [(chunk, *_unpacked(blob)) for chunk, blob in asked]
+    words, at = np.unique(np.concatenate([np.cumsum(q[6]) for q in questions]), return_inverse=True)
+    low = np.zeros(len(words), np.int64)
+    low[at] = np.concatenate([q[7] for q in questions])
+    low[0] = 0
+    contexts, context = np.unique(np.concatenate([np.cumsum(q[1]) for q in questions]), return_inverse=True)
+    context = np.repeat(context, np.concatenate([q[2] for q in questions]))
+    shift = np.repeat(np.cumsum([0, *(len(q[6]) for q in questions)])[:-1], [len(q[3]) for q in questions])
+    before, word = at[shift + np.concatenate([q[3] for q in questions])], at[shift + np.concatenate([q[4] for q in questions])]
+    n, ends = np.concatenate([q[5] for q in questions]), np.cumsum([0, *(len(q[3]) for q in questions)])
+    chunks, size = [q[0] for q in questions], len(words)
+    del questions, shift, at
+
+    key = context * size + before
+    if len(contexts) * size * size >= 1 << 63:
+        key = np.unique(key, return_inverse=True)[1]
+    key = key * size + word
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    entry = np.empty(len(key), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    n = np.add.reduceat(n[order], first)
+    first = order[first]
+    context, before, word = context[first], before[first], word[first]
+    del key, new, order, first
+
+    # pairs (context, word)
+    pair, at = np.unique(context * size + word, return_inverse=True)
+    owner, last = np.divmod(pair, size)
+    total = _sums(context, n, len(contexts))
+    count = _sums(at, n, len(pair))
+    kept = (count >= least) & (last > 0)
+    found = [None, *(_sums(owner[kept], x, len(contexts)) for x in (count[kept], np.ones(kept.sum(), np.int64), low[last[kept]]))]
+    below = (found[3] - level.discount * found[2]) / max(1, level.tokens)
+    value = _weight(found, total, below)[owner] + np.where(last > 0, level.model(low[last]), 0)
+    value[kept] = np.log10((count[kept] - DISCOUNT) / total[owner[kept]])
+
+    # triples; those of a pair follow each other
+    pair = np.cumsum(np.diff(context * size + before, prepend=-1) != 0) - 1
+    kinds = int(pair[-1]) + 1
+    arc, own = (n >= least) & (word > 0) & (before > 0), _sums(pair, n, kinds)
+    found = [None, *(_sums(pair[arc], x, kinds) for x in (n[arc], np.ones(arc.sum(), np.int64), count[at[arc]]))]
+    head = np.flatnonzero(np.diff(pair, prepend=-1))
+    below = (found[3] - DISCOUNT * found[2]) / np.maximum(1, total[context[head]])
+    out = value[at] + _weight(found, own, below)[pair]
+    out[arc] = np.log10((n[arc] - DISCOUNT) / own[pair[arc]])
+    for chunk, a, b in zip(chunks, ends, ends[1:]):
+        values, code, times = np.unique(out[entry[a:b]], return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # small codes for frequent values
+        small = np.empty(len(order), np.int64)
+        small[order] = np.arange(len(order))
+        yield chunk, _packed(small[code], values[order].view(np.uint64))
+
+
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, values, size).astype(np.int64)
 
 
 def _entries(blob: bytes, by_word: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,8 +426,8 @@ def _summed(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _answers(asked: list[tuple[int, bytes]], least: int, pairs: bool) -> Iterator[tuple[int, bytes]]:
-    """All questions (chunk, blob) of one bucket, answered: number of contexts, their sums, for each entry the count of its
-    arc and its number among the kept ones. Questions stay packed; what is summed are distinct arcs."""
+    """All questions (chunk, blob) of Asked for one bucket, answered: number of contexts, their sums, for each entry the count
+    of its arc. Questions stay packed; what is summed are distinct arcs."""
     parts, size = [np.zeros((4, 0), np.int64)], 0
     for _, blob in asked:
         ids, sizes, columns = _entries(blob, pairs)
@@ -319,50 +436,62 @@ def _answers(asked: list[tuple[int, bytes]], least: int, pairs: bool) -> Iterato
         size += parts[-1].shape[1]
         if size >= max(MERGED, parts[0].shape[1]):
             parts, size = [_summed(parts)], 0
-    arcs = _summed(parts)
-    context, word, n, low = arcs[:, arcs[2] >= least]
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-    number = np.diff(np.append(first, len(context)))
+    context, word, n, low = _summed(parts)
+    first = np.flatnonzero(np.diff(context, prepend=-1))
+    at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+    kept = (n >= least) & (word > 0)
     # a last row that nothing equals
-    contexts, key = np.append(context[first], -1), np.append(np.repeat(np.arange(len(first)), number) << BITS | word, -1)
-    sums = np.stack([np.append(np.add.reduceat(n, first), 0), np.append(number, 0), np.append(np.add.reduceat(low, first), 0)]) if len(first) else np.zeros((3, 1), np.int64)
-    n = np.append(n, 0)
+    contexts, key = np.append(context[first], -1), np.append(at[kept] << BITS | word[kept], -1)
+    sums = [_sums(at[kept], x, len(contexts)) for x in (n[kept], np.ones(kept.sum(), np.int64), low[kept])]
+    sums, n = np.stack([*sums, _sums(at, n, len(contexts))]), np.append(n[kept], 0)
     for chunk, blob in asked:
         ids, sizes, columns = _entries(blob, pairs)
         at = np.searchsorted(contexts[:-1], ids)
-        at = np.where(contexts[at] == ids, at, len(first))
+        at = np.where(contexts[at] == ids, at, len(contexts) - 1)
         asks = np.repeat(at, sizes) << BITS | columns[0]
         place = np.searchsorted(key[:-1], asks)
-        kept = key[place] == asks
-        yield chunk, _wrap([len(ids)], *sums[:, at], np.where(kept, n[place], 0), _steps(np.where(kept, place + 1, 0) if pairs else np.zeros(len(place), np.int64)))
+        yield chunk, _wrap([len(ids)], *sums[:, at], np.where(key[place] == asks, n[place], 0))
 
 
-def _exchange(asked: DataFrame, least: int, pairs: bool) -> DataFrame:
-    """asked(bucket, chunk, blob) -> chunk and its list of (bucket, blob)."""
+#: Kinds of questions: all around a context word; pairs and triples where it has many occurrences.
+AROUND, PAIRS, TRIPLES = 1, 2, 3
+ASKED_GRAMS = "bucket long, chunk long, kind int, blob binary"
+
+
+def _asked(chunk: int, kind: int, own: Asked | Middles) -> pa.RecordBatch:
+    rows = [(bucket, chunk, kind, blob) for bucket, blob in own.packed()]
+    return _batch(rows, {"bucket": pa.int64(), "chunk": pa.int64(), "kind": pa.int32(), "blob": pa.binary()})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = {"chunk": pa.int64(), "bucket": pa.int64(), "blob": pa.binary()}
 
-        def out(bucket: int, own: list) -> Iterator[pa.RecordBatch]:
-            for chunk, blob in _answers(own, least, pairs):
-                yield _batch([(chunk, bucket, blob)], schema)
+def _exchange(asked: DataFrame, least: int, level: Unigrams) -> DataFrame:
+    """asked(bucket, chunk, kind, blob) -> the answers (chunk, bucket, kind, blob)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = {"chunk": pa.int64(), "bucket": pa.int64(), "kind": pa.int32(), "blob": pa.binary()}
         now, own = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for chunk, blob in _around(own, least, level) if now[1] == AROUND else _answers(own, least, now[1] == PAIRS):
+                yield _batch([(chunk, *now, blob)], schema)
+
         for batch in batches:
-            for bucket, chunk, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != now:
-                    yield from out(now, own)
-                    now, own = bucket, []
+            for bucket, chunk, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, kind) != now:
+                    if own:
+                        yield from out()
+                    now, own = (bucket, kind), []
                 own.append((chunk, blob))
-        yield from out(now, own)
+        if own:
+            yield from out()
 
-    met = asked.repartition("bucket").sortWithinPartitions("bucket")
-    return _by_chunk(met.mapInArrow(lean(run), "chunk long, bucket long, blob binary"))
+    met = asked.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return met.mapInArrow(lean(run), "chunk long, bucket long, kind int, blob binary")
 
 
-def _by_chunk(answers: DataFrame) -> DataFrame:
-    """A chunk's answers are bounded by the chunk."""
-    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
+def _by_chunk(answers: DataFrame, name: str) -> DataFrame:
+    """chunk and the list of its answers, which the chunk bounds."""
+    columns = [c for c in answers.columns if c != "chunk"]
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
 class Chunk:
@@ -377,8 +506,7 @@ class Chunk:
         self.inside[self.begin] = False
         parts = []
         for x in sorted(known, key=lambda x: x["bucket"]):
-            n, steps = _unwrap(x["blob"]).reshape(2, -1)
-            number = _numbers(steps)
+            n, number = _unpacked(x["blob"])
             parts.append(np.stack([n, np.where(number > 0, _spread(number, x["bucket"], buckets), 0)]))
         words = np.concatenate([*parts, np.array([[starts], [START]])], axis=1)
         self.words = words  # the last one is START
@@ -387,41 +515,74 @@ class Chunk:
         self.count, self.id = words[:, self.at]
         self.train = np.repeat(~np.asarray(self.docs.column(1)), lengths)
 
+    def around(self, hot: int) -> tuple[np.ndarray, Middles]:
+        """Last places of pairs whose first word is not hot, and what is asked for them and the words before."""
+        last = np.flatnonzero((self.id[:-1] > 0) & (self.count[:-1] <= hot) & self.inside[1:]) + 1
+        unknown = self.words.shape[1]
+        words = np.concatenate([self.words, [[0], [0]]], axis=1)
+        before = np.where(self.inside[last - 1], self.at[last - 2], unknown)
+        return last, Middles(words, self.at[last - 1], before, self.at[last], self.train[last], self.buckets)
+
     def pairs(self, hot: int) -> tuple[np.ndarray, Asked]:
-        """Last places of pairs, and what is asked for them."""
-        last = np.flatnonzero((self.id[:-1] > 0) & self.inside[1:]) + 1
-        asked = Asked(self.at[last - 1], self.words[1], self.words[0], self.id[last], self.train[last], self.count[last], self.buckets, hot, True)
-        return last, asked
-
-    def with_pairs(self, last: np.ndarray, asked: Asked, answers: list) -> None:
-        """Sets each place's count as the end of a kept pair, and log10 of its last word's failure weight."""
-        found = asked.answered(answers)
-        self.pair, self.fail, self.kind = np.zeros(len(self.at), np.int64), np.zeros(len(self.at)), np.zeros(len(self.at), np.int64)
-        self.pair[last], self.kind[last] = found[0], asked.entry
-        self.kinds, self.totals = asked.ids(answers, self.buckets), asked.counts
+        """Last places of pairs whose first word is hot, and what is asked for them."""
+        last = np.flatnonzero((self.id[:-1] > 0) & (self.count[:-1] > hot) & self.inside[1:]) + 1
+        return last, Asked(self.at[last - 1], self.words[1], self.words[0], self.id[last], self.train[last], self.count[last], self.buckets, hot, True)
+
+    def hot_part(self, hot: int) -> bytes:
+        """The places that pairs() and triples() look at, each run of them after a place of no word."""
+        first = np.flatnonzero((self.id[:-1] > 0) & (self.count[:-1] > hot) & self.inside[1:])
+        need = np.zeros(len(self.at), bool)
+        need[first] = need[first + 1] = need[np.maximum(first - 1, 0)] = True
+        places = np.flatnonzero(need)
+        gaps = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+        used, at = np.unique(np.insert(self.at[places], gaps, self.words.shape[1]), return_inverse=True)
+        words = np.concatenate([self.words, [[0], [0]]], axis=1)[:, used]
+        return _packed(*words, at, np.insert(self.inside[places], gaps, False), np.insert(self.train[places], gaps, False))
+
+    def with_pairs(self, last: np.ndarray, found: np.ndarray) -> None:
+        """Sets each place's count as the end of such a pair, if kept, and log10 of its last word's failure weight."""
+        self.pair, self.fail = np.zeros(len(self.at), np.int64), np.zeros(len(self.at))
+        self.pair[last] = found[0]
         below = (found[3] - self.level.discount * found[2]) / max(1, self.level.tokens)
         self.fail[last] = _weight(found, self.count[last - 1], below)
 
     def triples(self, hot: int) -> tuple[np.ndarray, Asked]:
-        last = np.flatnonzero((self.pair[1:-1] > 0) & self.inside[2:]) + 2
+        """Last places of triples whose second word is hot, and what is asked for them. A pair can be hot if both its words
+        are, and then its count is known."""
+        last = np.flatnonzero((self.id[:-2] > 0) & (self.id[1:-1] > 0) & (self.count[1:-1] > hot) & self.inside[1:-1] & self.inside[2:]) + 2
+        contexts, first, at = np.unique(self.id[last - 1] << BITS | self.id[last - 2], return_index=True, return_inverse=True)
         word = np.where(self.pair[last] > 0, self.id[last], 0)
-        return last, Asked(self.kind[last - 1], self.kinds, self.totals, word, self.train[last], self.pair[last], self.buckets, hot, False)
+        return last, Asked(at, contexts, self.pair[last - 1][first], word, self.train[last], self.pair[last], self.buckets, hot, False)
 
-    def scores(self, last: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """A score for each text."""
-        value = self.fail + self.level.model(self.words[0])[self.at]
+    def scores(self, around: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """A score for each text, of the places of around() and triples() and what was found for them."""
+        unigram = self.level.model(self.words[0])[self.at]
+        value = self.fail + unigram
         two = np.flatnonzero(self.pair)
         value[two] = np.log10((self.pair[two] - DISCOUNT) / self.count[two - 1])
+        last, found = triples
         below = (found[3] - DISCOUNT * found[2]) / self.count[last - 1]
-        value[last] += _weight(found, self.pair[last - 1], below)
+        value[last] += _weight(found, found[4], below)
         three = found[0] > 0
-        value[last[three]] = np.log10((found[0, three] - DISCOUNT) / self.pair[last[three] - 1])
+        value[last[three]] = np.log10((found[0, three] - DISCOUNT) / found[4, three])
+        last, found = around
+        value[last] = found + np.where(self.id[last] > 0, 0, unigram[last])
         return self.sums(value)
 
     def sums(self, value: np.ndarray) -> np.ndarray:
         return np.add.reduceat(np.where(self.inside, value, 0), self.begin)
 
 
+class HotPart(Chunk):
+    """A chunk's places around words of many occurrences, without its texts."""
+
+    def __init__(self, blob: bytes, level: Unigrams, buckets: int):
+        self.level, self.buckets = level, buckets
+        *words, self.at, inside, train = _unpacked(blob)
+        self.words, self.inside, self.train = np.stack(words), inside > 0, train > 0
+        self.count, self.id = self.words[:, self.at]
+
+
 def _weight(found: np.ndarray, total: np.ndarray, below: np.ndarray) -> np.ndarray:
     """log10 of the failure weights of contexts with this count; 0 where a context has no arc."""
     own = (found[1] - DISCOUNT * found[2]) / np.maximum(total, 1)
@@ -554,47 +715,63 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, least: int = LEAST, c
     rows = docs.select("doc_id", (fold(folds) == held).alias("held_out"), whole_text().cast("binary").alias("t"))
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     chunks = rows.mapInArrow(lean(_chunks(id_type, chunk_bytes)), "docs binary, tokens binary, words binary, counts binary, n long")
+    since = stored_so_far()
     chunks = stored(chunks.withColumn("chunk", F.monotonically_increasing_id()))
-    buckets, hot = 1 + chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BUCKET, BUCKET
+    buckets, hot = 1 + chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BUCKET, HOT * BUCKET
 
     asked = chunks.select("chunk", "words", "counts").mapInArrow(lean(_word_questions(buckets)), "bucket long, chunk long, words binary, counts binary")
     met = asked.repartition("bucket").sortWithinPartitions("bucket")
-    sums = "kinds long, once long, twice long, ends long, top long, train long"
+    sums = "kinds long, once long, twice long, ends long, top long, train long, most long"
     known = _kept(met.mapInArrow(lean(_word_answers(least, buckets)), f"chunk long, bucket long, blob binary, {sums}"))
     total = [F.coalesce(F.sum(x), F.lit(0)) for x in ("train", "kinds", "once", "twice", "ends")]
-    tokens, kinds, once, twice, starts, top = known.where("chunk is null").agg(*total, F.coalesce(F.max("top"), F.lit(START + 1))).first()
+    largest = [F.coalesce(F.max(x), F.lit(y)) for x, y in (("top", START + 1), ("most", 0))]
+    tokens, kinds, once, twice, starts, top, most = known.where("chunk is null").agg(*total, *largest).first()
     if top >= 1 << BITS:
         raise ValueError("too many distinct words for their ids")
     level = Unigrams(tokens, kinds, once, twice)
-    words = _by_chunk(known.where("chunk is not null").select("chunk", "bucket", "blob")).withColumnRenamed("answers", "known")
-    numbered = chunks.select("chunk", "docs", "tokens").join(words, "chunk")
-
-    def ask(number: int, docs_: bytes, tokens_: bytes, known_: list, *pairs: list) -> pa.RecordBatch:
-        chunk = Chunk(docs_, tokens_, known_, starts, level, buckets)
-        last, asks = chunk.pairs(hot)
-        if pairs:
-            chunk.with_pairs(last, asks, pairs[0])
-            last, asks = chunk.triples(hot)
-        return _batch([(bucket, number, blob) for bucket, blob in asks.packed()], {"bucket": pa.int64(), "chunk": pa.int64(), "blob": pa.binary()})
+    words = _by_chunk(known.where("chunk is not null").select("chunk", "bucket", "blob"), "known")
+    numbered = _kept(chunks.select("chunk", "docs", "tokens").join(words, "chunk"))
+    clear_stored(docs.sparkSession, since, keep=1)  # numbered has what is still needed of them
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Asks for pairs, or where these are answered for triples."""
         for batch in batches:
             for i in range(batch.num_rows):
-                yield ask(*(c[i].as_py() for c in batch.columns))
-
-    schema = "bucket long, chunk long, blob binary"
-    pairs = _kept(_exchange(numbered.mapInArrow(lean(questions), schema), least, True)).withColumnRenamed("answers", "pairs")
-    paired = numbered.join(pairs, "chunk", "left").select("chunk", "docs", "tokens", "known", "pairs")
-    triples = _kept(_exchange(paired.mapInArrow(lean(questions), schema), least, False)).withColumnRenamed("answers", "triples")
-    answered = paired.join(triples, "chunk", "left").select("docs", "tokens", "known", "pairs", "triples")
-
-    def answer(docs_: bytes, tokens_: bytes, known_: list, two: list, three: list) -> pa.RecordBatch:
-        chunk = Chunk(docs_, tokens_, known_, starts, level, buckets)
-        last, asks = chunk.pairs(hot)
-        chunk.with_pairs(last, asks, two)
-        last, asks = chunk.triples(hot)
-        score = chunk.scores(last, asks.answered(three))
+                number, *columns = (c[i].as_py() for c in batch.columns)
+                chunk = Chunk(*columns, starts, level, buckets)
+                yield _asked(number, AROUND, chunk.around(hot)[1])
+                yield _asked(number, PAIRS, chunk.pairs(hot)[1])
+
+    def hot_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, *columns = (c[i].as_py() for c in batch.columns)
+                yield _batch([(number, Chunk(*columns, starts, level, buckets).hot_part(hot))], {"chunk": pa.int64(), "part": pa.binary()})
+
+    def with_pairs(chunk: Chunk, answers: list) -> Chunk:
+        last, asked = chunk.pairs(hot)
+        chunk.with_pairs(last, asked.answered([x for x in answers if x["kind"] == PAIRS]))
+        return chunk
+
+    def triple_questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, part, answers = (c[i].as_py() for c in batch.columns)
+                yield _asked(number, TRIPLES, with_pairs(HotPart(part, level, buckets), answers).triples(hot)[1])
+
+    found = _kept(_exchange(numbered.mapInArrow(lean(questions), ASKED_GRAMS), least, level))
+    if max(most, starts) > hot:
+        parts = numbered.mapInArrow(lean(hot_parts), "chunk long, part binary")
+        paired = parts.join(_by_chunk(found.where(F.col("kind") == PAIRS), "answers"), "chunk")
+        found = found.union(_kept(_exchange(paired.mapInArrow(lean(triple_questions), ASKED_GRAMS), least, level)))
+    answered = numbered.join(_by_chunk(found, "answers"), "chunk", "left").select("docs", "tokens", "known", "answers")
+
+    def answer(*columns) -> pa.RecordBatch:
+        *columns, answers = columns
+        answers = answers or []
+        chunk = with_pairs(Chunk(*columns, starts, level, buckets), answers)
+        around, triples = chunk.around(hot), chunk.triples(hot)
+        around, triples = ((last, own.answered([x for x in answers if x["kind"] == kind])) for kind, (last, own) in ((AROUND, around), (TRIPLES, triples)))
+        score = chunk.scores(around, triples)
         found = chunk.sums((chunk.count > 0).astype(np.int64))
         base = chunk.sums(level.base(chunk.words[0])[chunk.at])
         columns = [chunk.docs.column(0), chunk.docs.column(1), chunk.docs.column(2), pa.array(found, pa.int64())]
