@@ -123,6 +123,14 @@ def test_lm_ngrams_of_frequent_words_are_scored_as_others(spark, monkeypatch):
     assert {least: scored(least) for least in plain} == plain
 
 
+def test_lm_pairs_and_triples_meet_in_one_exchange(spark, monkeypatch):
+    """So a chunk's n-grams are moved once where no word is hot."""
+    calls, exchange = [], lm_scoring._exchange
+    monkeypatch.setattr(lm_scoring, "_exchange", lambda *args: calls.append(1) or exchange(*args))
+    assert lm_scoring.scores(documents(spark, [(i, "a b c a b d") for i in range(9)]), least=1).count() == 9
+    assert len(calls) == 1
+
+
 def test_lm_edge_tables(spark):
     assert lm_scoring.scores(documents(spark, [])).count() == 0
     held = next(i for i in range(100) if fold(i, 5) == 1)
