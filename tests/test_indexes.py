@@ -242,6 +242,19 @@ def test_hdbscan_asks_for_few_points_again(spark, monkeypatch):
     assert shipped[0] == 400 and sum(shipped[1:]) < 200
 
 
+@pytest.mark.parametrize("name", ["hdbscan_eom"])
+def test_hdbscan_queries_take_all_points(spark, monkeypatch, name):
+    """Every vector of the table has its row, also beyond a plan's max_points; the clusters are those of one frame of all."""
+    from tidemill.plans import catalog
+
+    monkeypatch.setitem(cluster.PLAN, "max_points", 100)
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").toPandas()
+    got = {r.vec_id: r.cluster_id for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    chosen = cluster.PROFILES[name]
+    whole = cluster._hdbscan(rows, chosen["min_cluster_size"], chosen["min_samples"], chosen["selection"])
+    assert len(rows) > 100 and got == dict(zip(whole.vec_id, whole.cluster_id.fillna(-1)))
+
+
 def test_wide_eps_ships_vectors_once_a_piece(spark, monkeypatch):
     """Where eps reaches over all cells, a vector goes to as many cells as the pieces' size asks for, not to one for each pivot."""
     shipped = []

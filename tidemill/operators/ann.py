@@ -64,10 +64,11 @@ def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.
     return tuple(np.concatenate(x) for x in found)
 
 
-def meet_in_pieces(rows: DataFrame, asked: DataFrame, size: int, compare: Callable[..., tuple], schema: str, extra: tuple[str, ...] = (), piece: int = 0) -> DataFrame:
+def meet_in_pieces(rows: DataFrame, asked: DataFrame, size: int, compare: Callable[..., tuple], schema: str, extra: tuple[str, ...] = (), piece: int = 0, last: Callable[..., tuple] | None = None) -> DataFrame:
     """compare's rows, of `schema`, for each list. rows and asked: list, id, v, and the columns of extra as doubles. Each piece
     of a list's rows, of at most PIECE or `piece` rows, meets all that ask the list, in batches: compare(ids, v, extras, ids
-    asking, v asking, extras asking)."""
+    asking, v asking, extras asking). With `last`, compare also takes what it gave for the piece's batch before, at first None,
+    and the rows are those of last(ids, v, extras, what compare gave for the last batch)."""
     counts = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / min(PIECE, piece or PIECE)).cast("int").alias("pieces")))  # a row a list
     more = [F.col(c).cast("double").alias(c) for c in extra]
     dealt = rows.join(counts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("pieces").cast("long")).cast("int").alias("piece"), F.lit(0).alias("kind"), "id", "v", *more)
@@ -75,7 +76,7 @@ def meet_in_pieces(rows: DataFrame, asked: DataFrame, size: int, compare: Callab
     names = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, seen = None, [], None
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)
             cuts = np.append(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, len(keys))
@@ -86,15 +87,22 @@ def meet_in_pieces(rows: DataFrame, asked: DataFrame, size: int, compare: Callab
                 part, (own, piece, kind) = batch.slice(begin, end - begin), keys[begin].tolist()
                 begin = end
                 if (own, piece) != now:
-                    now, held = (own, piece), []
+                    if seen is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last(*held[0], seen)], names=names)
+                    now, held, seen = (own, piece), [], None
                 extras = np.stack([np.asarray(part.column(i)) for i in range(5, 5 + len(extra))], axis=1) if extra else None
                 mine = (np.asarray(part.column(3)), _matrix(part.column(4), size), extras)
                 if kind == 0:
                     held.append(mine)
                 elif held:
                     held = [tuple(np.concatenate(x) if x[0] is not None else None for x in zip(*held))]
+                    if last:
+                        seen = compare(*held[0], *mine, seen)
+                        continue
                     found = compare(*held[0], *mine)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+        if seen is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last(*held[0], seen)], names=names)
 
     both = dealt.unionByName(spread).repartition("list", "piece").sortWithinPartitions("list", "piece", "kind")
     return both.mapInArrow(run, schema)

@@ -179,7 +179,7 @@ def graph_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hdbscan_eom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("hdbscan_eom")).na.fill({"cluster_id": -1})
+    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("hdbscan_eom", max_points=None)).na.fill({"cluster_id": -1})
 
 
 @query()
