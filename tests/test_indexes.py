@@ -242,7 +242,7 @@ def test_hdbscan_asks_for_few_points_again(spark, monkeypatch):
     assert shipped[0] == 400 and sum(shipped[1:]) < 200
 
 
-@pytest.mark.parametrize("name", ["hdbscan_eom"])
+@pytest.mark.parametrize("name", ["hdbscan_eom", "hdbscan_leaf"])
 def test_hdbscan_queries_take_all_points(spark, monkeypatch, name):
     """Every vector of the table has its row, also beyond a plan's max_points; the clusters are those of one frame of all."""
     from tidemill.plans import catalog

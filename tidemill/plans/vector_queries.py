@@ -184,4 +184,4 @@ def hdbscan_eom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hdbscan_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("hdbscan_leaf")).na.fill({"cluster_id": -1})
+    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("hdbscan_leaf", max_points=None)).na.fill({"cluster_id": -1})
