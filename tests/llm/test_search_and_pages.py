@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import html_extract, topk
@@ -134,6 +135,25 @@ def test_hosts_of_several_parts(spark, monkeypatch):
     assert whole[1] == " ".join(f"p1w{j}" for j in range(12)) and whole[5] == "text of 5"
 
 
+@pytest.mark.parametrize("size", [1, 700, 3000])
+def test_runs_that_most_articles_of_a_host_of_several_parts_repeat(spark, monkeypatch, size):
+    """Which lines most distinct articles repeat is decided by the whole host, whatever its parts, also of one article each."""
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    half, most = "a line that just half of all the articles repeat here", "read more of our best stories in the evening letter"
+    article = lambda *parts: "<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"
+    rows = [(i, f"http://a/{i}", "<div>menu</div>" * (i % 3) + article(own(i), *([half] if i < 10 else []), *([most] if i >= 9 else []))) for i in range(20)]
+    rows += [(20 + i, f"http://a/c{i}", "<div>menu</div>" * (i % 2) + article(own(i % 2), half)) for i in range(40)]  # copies count once
+    rows += [(100 + i, f"http://b/{i}", article(own(i), most)) for i in range(4)]  # too few to tell
+    rows += [(200 + i, f"http://c/{i}", article(own(7), own(8), f"only {i}")) for i in range(12)]  # near copies
+    monkeypatch.setattr(html_extract, "PART_BYTES", size)
+    texts = {r.page_id: r.text for r in html_extract.main_text(pages(spark, rows)).collect()}
+    assert len(texts) == len(rows)
+    for i in range(20):
+        assert texts[i] == "\n".join([own(i), *([half] if i < 10 else [])])
+    assert all(texts[20 + i] == texts[i % 2] for i in range(40)) and all(texts[100 + i] == f"{own(i)}\n{most}" for i in range(4))
+    assert all(texts[200 + i] == f"{own(7)}\n{own(8)}\nonly {i}" for i in range(12))
+
+
 def test_shared_tokens_equal_brute_force():
     rng = random.Random(0)
     for _ in range(300):
