@@ -255,6 +255,16 @@ def test_hdbscan_queries_take_all_points(spark, monkeypatch, name):
     assert len(rows) > 100 and got == dict(zip(whole.vec_id, whole.cluster_id.fillna(-1)))
 
 
+def test_agglomerative_query_takes_all_points(spark, monkeypatch):
+    from tidemill.plans import catalog
+
+    monkeypatch.setitem(cluster.PLAN, "max_points", 100)
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").toPandas()
+    got = {r.vec_id: r.cluster_id for r in catalog.QUERIES["agglomerative"](spark, "/root/testdata/sf0.001").collect()}
+    whole = [cluster._linkage(group, cluster.PROFILES["agglomerative_loose"]["distance"]) for _, group in rows.groupby("label")]
+    assert len(rows) > 100 and got == {i: c for part in whole for i, c in zip(part.vec_id, part.cluster_id)}
+
+
 def test_wide_eps_ships_vectors_once_a_piece(spark, monkeypatch):
     """Where eps reaches over all cells, a vector goes to as many cells as the pieces' size asks for, not to one for each pivot."""
     shipped = []

@@ -121,7 +121,7 @@ def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("agglomerative_loose"), block="label")
+    return cluster.run_plan(_vectors(spark, sf_dir), cluster.plan("agglomerative_loose", max_points=None), block="label")
 
 
 @query("SELECT label AS cluster_id, count(*) AS size, min(vec_id) AS repr_doc_id, max(ts) AS last_seen FROM embeddings JOIN events ON event_id = vec_id GROUP BY 1 ORDER BY size DESC, cluster_id LIMIT 5")
